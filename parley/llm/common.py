@@ -61,7 +61,7 @@ def blobs(bucket: np.ndarray, parts: int, record: np.ndarray) -> tuple[list[int]
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a DataFrame, for choosing how finely to split work."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts_for(df: DataFrame, per_part: int, least: int = 1) -> int:

@@ -20,6 +20,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from parley import worker_cache
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 21
 
@@ -45,12 +47,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _CODE = mix(np.arange(1, 257, dtype=U64))
 _CODE_LOWER = _CODE[_LOWER]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n (kept between calls)."""
-    have = _powers.get(base)
+    kept = worker_cache()
+    have = kept.get(base)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         both = []
@@ -63,7 +65,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 p[filled : filled + step] = p[:step] * U64(pow(b, filled, 1 << 64))
                 filled += step
             both.append(p)
-        have = _powers[base] = (both[0], both[1])
+        have = kept[base] = (both[0], both[1])
     return have
 
 
