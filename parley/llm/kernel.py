@@ -148,12 +148,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
-    """(first row, end row, bytes, offsets) of consecutive runs of texts of about `limit` bytes; a longer text comes alone, whole."""
+    """(first row, end row, bytes, offsets) of consecutive runs of at most 65,536 texts and about `limit` bytes; a longer text comes alone, whole."""
     data, offsets = text_buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        end = min(max(end, row + 1), n)
+        end = min(max(end, row + 1), n, row + 65_536)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 

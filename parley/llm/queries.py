@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, toxicity, url_filter
+from . import exact_dedup, ngram_join, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,9 @@ def op5_url_filter(spark, d):
     return url_filter.block_pages(table(spark, d, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op5_url_filter)}
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL}
+def op7_ngram_jaccard(spark, d):
+    return ngram_join.similar_pairs(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op5_url_filter, op7_ngram_jaccard)}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL, "op7_ngram_jaccard": ngram_join.SQL}

@@ -35,7 +35,7 @@ def grams(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """Per-coordinate FTRL-proximal for binary features; a bias is the last coordinate and isn't regularised."""
 
-    def __init__(self, alpha=0.15, beta=1.0, l1=1.5, l2=0.5):
+    def __init__(self, alpha=1.0, beta=1.0, l1=8.0, l2=0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros((1 << BITS) + 1)
         self.n = np.zeros((1 << BITS) + 1)
@@ -66,7 +66,7 @@ def examples(texts) -> list[np.ndarray]:
     return out
 
 
-def fit(texts, labels: np.ndarray, epochs: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts, labels: np.ndarray, epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights (all of them non-zero; the bias is place 2**BITS)."""
     rows, model, rng = examples(texts), Ftrl(), np.random.default_rng(seed)
     for _ in range(epochs):
@@ -129,7 +129,7 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def score(docs: DataFrame, model: DataFrame, threshold: float = 0.5, keep_columns: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
     """(doc_id, score, toxic) of every row, or with `keep_columns` the rows themselves with `_toxic`.
 
     Whole texts are scored, of any length. A null text has a null score and isn't
