@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, toxicity, url_filter
+from . import decontaminate, exact_dedup, ngram_join, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,13 @@ def op7_ngram_jaccard(spark, d):
     return ngram_join.similar_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op5_url_filter, op7_ngram_jaccard)}
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL, "op7_ngram_jaccard": ngram_join.SQL}
+def op4_decontaminate(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op9_warc(spark, d):
+    return warc.pages_from_records(warc.records(table(spark, d, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_decontaminate, op5_url_filter, op7_ngram_jaccard, op9_warc)}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL, "op7_ngram_jaccard": ngram_join.SQL, "op9_warc": warc.SQL}
