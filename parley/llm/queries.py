@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, ngram_join, secrets, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,13 @@ def op9_warc(spark, d):
     return warc.pages_from_records(warc.records(table(spark, d, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_decontaminate, op5_url_filter, op7_ngram_jaccard, op9_warc)}
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL, "op7_ngram_jaccard": ngram_join.SQL, "op9_warc": warc.SQL}
+def op6_suffix_dedup(spark, d):
+    return suffix_dedup.repeated_passages(table(spark, d, "documents"))
+
+
+def op10_secrets(spark, d):
+    return secrets.scan(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_decontaminate, op5_url_filter, op6_suffix_dedup, op7_ngram_jaccard, op9_warc, op10_secrets)}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL, "op7_ngram_jaccard": ngram_join.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op9_warc": warc.SQL}
