@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join, pieces, secrets, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, lm, ngram_join, pieces, secrets, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,9 @@ def op2_sentencepiece(spark, d):
     return pieces.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_toxicity, op4_decontaminate, op5_url_filter, op6_suffix_dedup, op7_ngram_jaccard, op9_warc, op10_secrets)}
+def op8_lm_score(spark, d):
+    return lm.score(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_toxicity, op4_decontaminate, op5_url_filter, op6_suffix_dedup, op7_ngram_jaccard, op8_lm_score, op9_warc, op10_secrets)}
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL, "op7_ngram_jaccard": ngram_join.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op9_warc": warc.SQL}
