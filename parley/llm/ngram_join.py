@@ -2,19 +2,21 @@
 
 Tokens are distinct word n-grams (48-bit hashes) in a global order, rare ones
 first. With threshold t a set of n tokens may miss m = n - ceil(t n) of them, so
-two similar sets share a token among the first m + 1 of either. Tokens that are
-frequent in the corpus make poor index keys; for them the prefix is extended and
-pairs of tokens are indexed instead of single ones:
+two similar sets share k tokens among the first m + k of either; k grows with the
+set (`shared`), and a pair is a candidate once it has k common signatures. Tokens
+that are frequent in the corpus make poor index keys; for them the prefix is
+extended further and pairs of tokens are indexed instead of single ones:
 
 * class 1 (rare) tokens are signatures by themselves;
 * class 2 (frequent) tokens are spread over GROUPS groups by hash; the prefix is
-  extended until it holds m + 1 + GROUPS tokens. Similar sets without a common
-  class 1 token then share GROUPS + 1 tokens of class 2, hence two in one
-  group, and every pair of a group's prefix tokens is a signature.
-
-Sets of fewer than LONG = ceil((GROUPS + 1) / t) tokens can't be extended that
-far; they, and all sets up to LONG / t that might be similar to one of them, also
-index their class 2 tokens singly. So every similar pair has a common signature.
+  extended until it holds m + k + GROUPS tokens, and every pair of a group's
+  prefix tokens is a signature. Similar sets share k + GROUPS of these tokens;
+  the common tokens of class 2 make at least as many common pairs as they are,
+  less GROUPS, so k signatures are common.
+
+Sets of fewer than `LONG` tokens can't be extended that far; they, and all sets
+up to LONG / t that might be similar to one of them, also index their class 2
+tokens singly. So every similar pair has k common signatures, k of the smaller.
 Identical sets are collapsed before the join and told as pairs with their
 representative. Candidates are verified on whole gram sets, made anew from the
 texts of the documents that occur in candidate pairs only.
@@ -47,6 +49,17 @@ def need(n, t: float):
     return np.ceil(np.asarray(n) * t - 1e-9).astype(np.int64)
 
 
+def shared(n, t: float):
+    """How many common signatures a set of n tokens must have with a similar one."""
+    return np.maximum(1, need(n, t) // 8)
+
+
+def long_from(t: float) -> int:
+    """LONG: from this size on the prefix can be extended by GROUPS."""
+    n = np.arange(1, ceil(2 * (GROUPS + 2) / t) + 16)
+    return int(n[need(n, t) >= shared(n, t) + GROUPS][0])
+
+
 def gram_sets(column, n: int):
     """(first row, end row, keys): per chunk the sorted distinct `row in chunk << 48 | gram`.
 
@@ -120,7 +133,7 @@ def _add_counts(table: pa.Table) -> pa.Table:
 
 def _signatures(n, t, parts, sent):
     """(bucket, blob): signatures of a partition's sets, packed as parallel arrays."""
-    long = ceil((GROUPS + 1) / t)
+    long = long_from(t)
     out = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches):
@@ -139,7 +152,7 @@ def _signatures(n, t, parts, sent):
                 e = _edges(key, end - row)
                 size = np.diff(e)
                 place = np.arange(len(gram)) - e[d]
-                m = size - need(size, t)
+                m = size - need(size, t) + shared(size, t) - 1  # so that m + 1 tokens hold k common ones
                 two = f >= frequent
                 rare_before = np.concatenate([[0], np.cumsum(~two)])
                 c1 = rare_before[e[:-1] + np.minimum(m + 1, size)] - rare_before[e[:-1]]
@@ -184,8 +197,8 @@ def _signatures(n, t, parts, sent):
 
 
 def _pairs(t):
-    """Distinct pairs of documents in a bucket that have a common signature and sizes that allow similarity."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs of documents in a bucket with sizes that allow similarity: how many signatures they share there, how many they must share in all."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("least", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
         d, low, z, high = [], [], [], []
@@ -199,6 +212,8 @@ def _pairs(t):
         sig = np.concatenate(low).astype(U64) | np.concatenate(high).astype(U64) << U64(32)
         ids, at = np.unique(np.concatenate(d), return_inverse=True)
         size = np.concatenate(z)
+        smallest = np.full(len(ids), np.iinfo(np.int32).max, np.int64)
+        np.minimum.at(smallest, at, size)
         order = np.argsort(sig)
         sig = sig[order]
         again = np.zeros(len(sig), bool)
@@ -209,7 +224,15 @@ def _pairs(t):
         order, sig = order[again], sig[again]
         order = order[np.lexsort((at[order], sig))]
         at, size = at[order].astype(U64), size[order]
-        found, held = [], 0
+        keys, counts, found, held = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
+
+        def fold():
+            nonlocal keys, counts, found, held
+            k, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
+            keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
+            found, held = [], 0
+
         alive, step = np.arange(len(sig)), 1
         while len(alive):
             alive = alive[alive + step < len(sig)]
@@ -219,12 +242,13 @@ def _pairs(t):
             found.append(at[x[ok]] << U64(32) | at[y[ok]])
             held += len(found[-1])
             if held > 4_000_000:
-                found = [np.unique(np.concatenate(found))]
-                held = len(found[0]) if len(found[0]) < 2_000_000 else 0
+                fold()
             step += 1
-        key = np.unique(np.concatenate(found)) if found else np.zeros(0, U64)
-        a, b = ids[(key >> U64(32)).astype(np.int64)], ids[(key & U64(0xFFFFFFFF)).astype(np.int64)]
-        return pa.table([np.minimum(a, b), np.maximum(a, b)], schema=out)
+        fold()
+        x, y = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
+        least = shared(np.minimum(smallest[x], smallest[y]), t)
+        a, b = ids[x], ids[y]
+        return pa.table([np.minimum(a, b), np.maximum(a, b), counts.astype(np.int32), least.astype(np.int32)], schema=out)
 
     return run
 
@@ -302,8 +326,8 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast
 
     parts = common.parts_for(rows, 48 << 20)
     blobs = reps.mapInArrow(_signatures(n, threshold, parts, sent), "bucket int, blob binary")
-    cand = blobs.groupBy("bucket").applyInArrow(_pairs(threshold), "a bigint, b bigint")
-    cand = common.materialise(cand.distinct(), "gram-candidates")
+    met = blobs.groupBy("bucket").applyInArrow(_pairs(threshold), "a bigint, b bigint, n int, least int")
+    cand = common.materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"), "gram-candidates")
     side = max(2, ceil(common.parts_for(rows, 16 << 20) ** 0.5))
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     cand = cand.withColumn("cell", cell("a") * side + cell("b"))

@@ -129,23 +129,31 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def score(docs: DataFrame, model: DataFrame, threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
-    """(doc_id, score, toxic) of every row, or with `keep_columns` the rows themselves with `_toxic`.
+def probability(model: DataFrame):
+    """The model as a function from a text column to a probability column; null for null."""
+    sent = model.sparkSession.sparkContext.broadcast(tuple(map(bytes, model.first())))  # some kilobytes
+
+    @F.pandas_udf("double")
+    def of(text):
+        import pandas as pd
+
+        column = pa.array(text, pa.string(), from_pandas=True)
+        return pd.Series(Model(*sent.value).score(column)).round(6).mask(text.isna().to_numpy())
+
+    return of
+
+
+def score(docs: DataFrame, model: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(doc_id, score, toxic) of every row.
 
     Whole texts are scored, of any length. A null text has a null score and isn't
     toxic; an empty text has the bias alone. Equal texts score equally. Other
     columns are ignored; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(map(bytes, model.first())))  # some kilobytes
-
-    @F.pandas_udf("double")
-    def probability(text):
-        import pandas as pd
+    out = docs.select("doc_id", probability(model)("text").alias("score"))
+    return out.withColumn("toxic", F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
-        col = pa.array(text, pa.string(), from_pandas=True)
-        s = pd.Series(Model(*sent.value).score(col)).round(6)
-        return s.mask(text.isna().to_numpy())
 
-    if keep_columns:
-        return docs.withColumn("_toxic", F.coalesce(probability("text") >= threshold, F.lit(False)))
-    return docs.select("doc_id", probability("text").alias("score")).withColumn("toxic", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+def drop_toxic(docs: DataFrame, model: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents that aren't toxic, null texts among them, with all their columns."""
+    return docs.where(F.coalesce(probability(model)("text") < threshold, F.lit(True)))
