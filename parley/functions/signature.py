@@ -12,6 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def shl(c: Column, n: Column | int) -> Column:
+    """c << n, where n may be a column."""
+    return F.call_function("shiftleft", c, F.lit(n) if isinstance(n, int) else n)
+
+
+def shru(c: Column, n: Column | int) -> Column:
+    """c >>> n, where n may be a column."""
+    return F.call_function("shiftrightunsigned", c if isinstance(c, Column) else F.col(c), F.lit(n) if isinstance(n, int) else n)
+
+
 def word_names(bits: int, prefix: str = "s") -> list[str]:
     return [f"{prefix}{w}" for w in range(bits // 64)]
 
@@ -43,7 +53,7 @@ def get_bit(words: list[str], i: Column | int) -> Column:
     """Bit i of a signature, 0 or 1."""
     i = F.lit(i) if isinstance(i, int) else i
     word = F.element_at(F.array(*words), (F.floor(i / 64) + 1).cast("int"))
-    return F.shiftrightunsigned(word, (63 - i % 64).cast("int")).bitwiseAND(F.lit(1)).cast("int")
+    return shru(word, (63 - i % 64).cast("int")).bitwiseAND(F.lit(1)).cast("int")
 
 
 def bits_of(words: list[str]) -> Column:
@@ -55,10 +65,10 @@ def band(words: list[str], first: int, last: int) -> Column:
     """Bits first .. last - 1 (at most 64 of them) as a number."""
     n, w, off = last - first, first // 64, first % 64
     if off + n <= 64:
-        part = F.shiftrightunsigned(F.col(words[w]), 64 - off - n)
+        part = shru(F.col(words[w]), 64 - off - n)
     else:
         rest = off + n - 64
-        part = F.shiftleft(F.col(words[w]), rest).bitwiseOR(F.shiftrightunsigned(F.col(words[w + 1]), 64 - rest))
+        part = shl(F.col(words[w]), rest).bitwiseOR(shru(F.col(words[w + 1]), 64 - rest))
     return part if n == 64 else part.bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
 
 
@@ -79,12 +89,12 @@ def from_bytes(raw: Column, bits: int, prefix: str = "s") -> list[Column]:
     digits = F.hex(raw)
     high = lambda w: F.conv(F.substring(digits, 16 * w + 1, 8), 16, 10).cast("bigint")
     low = lambda w: F.conv(F.substring(digits, 16 * w + 9, 8), 16, 10).cast("bigint")
-    return [F.shiftleft(high(w), 32).bitwiseOR(low(w)).alias(f"{prefix}{w}") for w in range(bits // 64)]
+    return [shl(high(w), 32).bitwiseOR(low(w)).alias(f"{prefix}{w}") for w in range(bits // 64)]
 
 
 def to_ints(words: list[str]) -> Column:
     """The bytes of a signature as an array of numbers from 0 to 255, as in JSON."""
-    return F.flatten(F.array(*[F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda k, w=w: F.shiftrightunsigned(F.col(w), (k * 8).cast("int")).bitwiseAND(F.lit(255)).cast("int")) for w in words]))
+    return F.flatten(F.array(*[F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda k, w=w: shru(F.col(w), (k * 8).cast("int")).bitwiseAND(F.lit(255)).cast("int")) for w in words]))
 
 
 def literal_words(row, bits: int, prefix: str = "s") -> list[int]:

@@ -37,14 +37,18 @@ def features(text: Column, use_bigrams: bool = True, drop_stop_words: bool = Tru
     return F.concat(words, bigrams(words)) if use_bigrams else words
 
 
-def hashed(token: Column, dim: int, seed: int = 7, bands: int = 4) -> Column:
-    """Array of (pos, sign) structs, one for each band, from MD5 of seed, band and token."""
+def hash_blocks(token: Column, seed: int = 7, bands: int = 4) -> list[Column]:
+    """MD5 of seed, block number and token, one for each four bands."""
+    return [F.md5(F.concat(F.lit(f"{seed}|{b}|"), token)) for b in range(-(-max(1, bands) // 4))]
+
+
+def hashed(blocks: list[Column], dim: int, bands: int = 4) -> Column:
+    """Array of (pos, sign) structs, one for each band, from `hash_blocks`: seven hex digits give the place, the eighth the sign."""
     out = []
     for b in range(max(1, bands)):
-        h = F.md5(F.concat(F.lit(f"{seed}|{b}|"), token))
-        pos = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-        sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") >= 8, 1).otherwise(-1)
-        out.append(F.struct(pos.alias("pos"), sign.alias("sign")))
+        h, at = blocks[b // 4], 8 * (b % 4) + 1
+        pos = (F.conv(F.substring(h, at, 7), 16, 10).cast("bigint") % dim).cast("int")
+        out.append(F.struct(pos.alias("pos"), F.when(F.substring(h, at + 7, 1) >= "8", 1).otherwise(-1).alias("sign")))
     return F.array(*out)
 
 

@@ -12,11 +12,11 @@ COMPACT_AT = 256
 
 def pack_value(event: Column, doc: Column) -> Column:
     """event << 32 | doc (the low 32 bits of doc)."""
-    return F.shiftleft(event.cast("bigint"), 32).bitwiseOR(doc.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return S.shl(event.cast("bigint"), 32).bitwiseOR(doc.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def unpack_value(value: Column) -> tuple[Column, Column]:
-    return F.shiftrightunsigned(value, 32), value.bitwiseAND(F.lit(0xFFFFFFFF))
+    return S.shru(value, 32), value.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 class ColdTier:
@@ -88,7 +88,7 @@ def bit_sliced(store: DataFrame, bits: int, block: int = 64) -> DataFrame:
     """(bit, word_idx, word): the store turned by 90 degrees; bit j of a word is the row with insert_seq = 64 word_idx + j, least significant first."""
     words = S.word_names(bits)
     each = store.select("insert_seq", F.posexplode(S.bits_of(words)).alias("bit", "on"))
-    at = F.shiftleft(F.col("on").cast("bigint"), (F.col("insert_seq") % block).cast("int"))
+    at = S.shl(F.col("on").cast("bigint"), (F.col("insert_seq") % block).cast("int"))
     return each.groupBy("bit", F.floor(F.col("insert_seq") / block).alias("word_idx")).agg(F.bit_or(at).alias("word"))
 
 
@@ -104,7 +104,7 @@ def rank(vector: DataFrame, positions: DataFrame, length: int) -> DataFrame:
     p = positions.select("i", F.least(F.greatest("i", F.lit(0)), F.lit(length)).alias("at")).withColumn("word_idx", F.floor(F.col("at") / 64))
     total = v.agg(F.sum(F.bit_count("word")).alias("all"))
     j = p.join(v, "word_idx", "left").crossJoin(total)
-    below = F.shiftleft(F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int")) - 1
+    below = F.bitwise_not(S.shl(F.lit(-1).cast("bigint"), (F.col("at") % 64).cast("int")))
     one = F.coalesce(F.col("ones") + F.bit_count(F.col("word").bitwiseAND(below)), F.col("all"), F.lit(0))
     return j.select("i", one.alias("rank1"), (F.col("at") - one).alias("rank0"))
 
@@ -115,7 +115,7 @@ def select(vector: DataFrame, ordinals: DataFrame, length: int, ones: bool = Tru
     word = F.col("word") if ones else F.bitwise_not("word")
     before = F.col("ones") if ones else 64 * F.col("word_idx") - F.col("ones")
     bits = v.select(F.col("word_idx"), word.alias("w"), before.alias("b"))
-    spread = bits.select("word_idx", "w", "b", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where((F.shiftrightunsigned("w", F.col("bit")).bitwiseAND(F.lit(1)) == 1) & (64 * F.col("word_idx") + F.col("bit") < length))
-    below = F.shiftleft(F.lit(1).cast("bigint"), F.col("bit")) - 1
+    spread = bits.select("word_idx", "w", "b", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where((S.shru("w", F.col("bit")).bitwiseAND(F.lit(1)) == 1) & (64 * F.col("word_idx") + F.col("bit") < length))
+    below = F.bitwise_not(S.shl(F.lit(-1).cast("bigint"), F.col("bit")))
     numbered = spread.select((F.col("b") + F.bit_count(F.col("w").bitwiseAND(below)) + 1).alias("j"), (64 * F.col("word_idx") + F.col("bit")).alias("position"))
     return ordinals.join(numbered, "j", "left")

@@ -27,7 +27,7 @@ def embed_with(df: DataFrame, embedder: Embedder, text: str = "text", batch: int
     dim = embedder.dim
 
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts):
         out = []
         for i in range(0, len(texts), batch):
             part = texts.iloc[i : i + batch].fillna("").tolist()
@@ -46,9 +46,11 @@ def hashed_components(df: DataFrame, key: str, text: str = "text", dim: int = 25
     Rows are split into features within the row; the only shuffle is the sum by
     (key, pos), most of which happens before it.
     """
-    hash_options = {k: options.pop(k) for k in ("seed", "bands") if k in options}
+    seed, bands = options.pop("seed", 7), options.pop("bands", 4)
     f = df.select(key, F.explode(T.features(F.col(text), **options)).alias("token"))
-    hits = f.select(key, F.explode(T.hashed(F.col("token"), dim, **hash_options)).alias("h"))
+    h = T.hash_blocks(F.col("token"), seed, bands)
+    f = f.select(key, *[x.alias(f"h{i}") for i, x in enumerate(h)])
+    hits = f.select(key, F.explode(T.hashed([F.col(f"h{i}") for i in range(len(h))], dim, bands)).alias("h"))
     return hits.groupBy(key, F.col("h.pos").alias("pos")).agg(F.sum("h.sign").alias("value"))
 
 
@@ -62,7 +64,7 @@ def hashed_embedding(df: DataFrame, key: str, text: str = "text", dim: int = 256
 def text_signature(df: DataFrame, key: str, text: str = "text", bits: int = 256, **options) -> DataFrame:
     """(key, s0, ...): signatures of texts. Components of zero set their bit, so a text without features is all ones."""
     c = hashed_components(df, key, text, bits, **options).where("value < 0")
-    bit = F.shiftleft(F.lit(1).cast("bigint"), (63 - F.col("pos") % 64).cast("int"))
+    bit = S.shl(F.lit(1).cast("bigint"), (63 - F.col("pos") % 64).cast("int"))
     words = c.groupBy(key).agg(*[F.bit_or(F.when(F.floor(F.col("pos") / 64) == w, bit).otherwise(0)).alias(f"n{w}") for w in range(bits // 64)])
     return df.select(key).join(words, key, "left").select(key, *[F.bitwise_not(F.coalesce(f"n{w}", F.lit(0).cast("bigint"))).alias(f"s{w}") for w in range(bits // 64)])
 
@@ -82,7 +84,7 @@ def project(df: DataFrame, vector: str, matrix: np.ndarray, out: str = "projecte
     m = np.ascontiguousarray(matrix, np.float64)
 
     @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
+    def run(v):
         x = np.stack([np.asarray(y, np.float64) for y in v]) if len(v) else np.zeros((0, m.shape[1]))
         if x.shape[1] != m.shape[1]:
             raise ValueError(f"expected {m.shape[1]} dimensions, got {x.shape[1]}")
@@ -115,7 +117,7 @@ def random_index_signature(occurrences: DataFrame, base: DataFrame, key: str, to
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("value").desc(), "pos"))
     kept = total.withColumn("r", rank).where(F.col("r") <= bits)
     wide = kept.withColumn("slot", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1) if (base.agg(F.max("pos")).first()[0] or 0) >= bits else kept.withColumn("slot", F.col("pos"))
-    bit = F.when(F.col("value") > 0, F.shiftleft(F.lit(1).cast("bigint"), (63 - F.col("slot") % 64).cast("int"))).otherwise(0)
+    bit = F.when(F.col("value") > 0, S.shl(F.lit(1).cast("bigint"), (63 - F.col("slot") % 64).cast("int"))).otherwise(0)
     words = wide.groupBy(key).agg(*[F.bit_or(F.when(F.floor(F.col("slot") / 64) == w, bit).otherwise(0)).alias(f"n{w}") for w in range(bits // 64)])
     return occurrences.select(key).distinct().join(words, key, "left").select(key, *[F.coalesce(f"n{w}", F.lit(0).cast("bigint")).alias(f"s{w}") for w in range(bits // 64)])
 
@@ -129,7 +131,7 @@ def majority_signature(df: DataFrame, by: str, bits: int = 256) -> DataFrame:
     def word(w: int):
         out = F.lit(0).cast("bigint")
         for i in range(64):
-            out = out.bitwiseOR(F.when(F.col(f"c{64 * w + i}") * 2 >= F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), 63 - i)).otherwise(F.lit(0).cast("bigint")))
+            out = out.bitwiseOR(F.when(F.col(f"c{64 * w + i}") * 2 >= F.col("n"), S.shl(F.lit(1).cast("bigint"), 63 - i)).otherwise(F.lit(0).cast("bigint")))
         return out.alias(f"s{w}")
 
     return c.select(by, *[word(w) for w in range(bits // 64)])
