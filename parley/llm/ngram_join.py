@@ -324,11 +324,13 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast
     gone = gone.join(multi, "doc_id", "left_anti")
     reps = rows.join(F.broadcast(gone) if small(copies, 40) else gone, "doc_id", "left_anti")
 
-    parts = common.parts_for(rows, 48 << 20)
+    # few buckets: a similar pair is told once by each bucket in which it has a common signature
+    size = common.input_bytes(rows)
+    parts = max(8, ceil(size / (48 << 20)))
     blobs = reps.mapInArrow(_signatures(n, threshold, parts, sent), "bucket int, blob binary")
     met = blobs.groupBy("bucket").applyInArrow(_pairs(threshold), "a bigint, b bigint, n int, least int")
     cand = common.materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"), "gram-candidates")
-    side = max(2, ceil(common.parts_for(rows, 16 << 20) ** 0.5))
+    side = max(3, ceil((size / (64 << 20)) ** 0.5))  # a document's text goes to 2 side - 1 cells at most
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     cand = cand.withColumn("cell", cell("a") * side + cell("b"))
     wanted = common.materialise(cand.select(F.explode(F.array("a", "b")).alias("doc_id"), "cell").distinct(), "gram-wanted")
