@@ -92,10 +92,19 @@ def bit_sliced(store: DataFrame, bits: int, block: int = 64) -> DataFrame:
     return each.groupBy("bit", F.floor(F.col("insert_seq") / block).alias("word_idx")).agg(F.bit_or(at).alias("word"))
 
 
-def with_prefix(vector: DataFrame, by: list[str] = ()) -> DataFrame:
-    """A bit vector (word_idx, word; 64 bits each, least significant first) with `ones` before each word."""
-    w = Window.partitionBy(*by).orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return vector.withColumn("ones", F.coalesce(F.sum(F.bit_count("word")).over(w), F.lit(0)))
+def with_prefix(vector: DataFrame, by: list[str] = (), chunk: int = 1 << 16) -> DataFrame:
+    """A bit vector (word_idx, word; 64 bits each, least significant first) with `ones` before each word.
+
+    Two levels, as in a rank directory: running sums within chunks of words, which
+    are tasks of their own, and over the chunks' totals, which are few.
+    """
+    by = list(by)
+    v = vector.withColumn("_chunk", F.floor(F.col("word_idx") / chunk))
+    over = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = v.groupBy(*by, "_chunk").agg(F.sum(F.bit_count("word")).alias("_sum")).select(*by, "_chunk", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_chunk").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("ones", F.coalesce(F.sum(F.bit_count("word")).over(inside), F.lit(0)))
+    return v.join(totals, [*by, "_chunk"]).withColumn("ones", F.col("ones") + F.col("_before")).select(vector.columns + ["ones"])
 
 
 def rank(vector: DataFrame, positions: DataFrame, length: int) -> DataFrame:

@@ -199,6 +199,19 @@ class LowRankSR:
         if self.t % 25 == 0:
             self.gap = spectral_gap(self.m)
 
+    def observe_counts(self, counts: list[tuple[int, int, int]], rounds: int = 200) -> None:
+        """Counted transitions (prev, next, n) in `rounds` interleaved passes, whatever their number: each pass steps along the mean change."""
+        rows = [(self.features[p], self.features[q], n) for p, q, n in counts if p in self.features and q in self.features]
+        if not rows:
+            return
+        p, q, n = (np.array(x, float) for x in zip(*rows))
+        n /= n.sum()
+        for _ in range(rounds):
+            delta = p + self.gamma * q @ self.m.T - p @ self.m.T
+            self.m += eta_at(self.eta, self.t) * (delta * n[:, None]).T @ p
+            self.t += 1
+        self.gap = spectral_gap(self.m)
+
     def predict(self, context: list[int], k: int) -> list[tuple[int, float]]:
         if not context or k == 0 or context[-1] not in self.features:
             return []

@@ -102,11 +102,12 @@ def sig_to_bits(spark, d):
     return vectors(spark, d).select("doc_idx", S.bits_of(["s0"]).alias("bits"))
 
 
-@register(f"WITH {V} SELECT x.doc_idx AS a, y.doc_idx AS b, bit_count(xor(x.s, y.s))::INTEGER AS distance FROM v x, v y WHERE x.label = 0 AND y.label = 0 AND x.doc_idx < y.doc_idx")
+@register(f"WITH {V} SELECT x.doc_idx AS a, y.doc_idx AS b, bit_count(xor(x.s, y.s))::INTEGER AS distance FROM v x, v y WHERE x.label = y.label AND x.doc_idx < y.doc_idx")
 def hamming_pairs(spark, d):
-    v = vectors(spark, d).where("event = '0'")
-    y = v.select(F.col("doc_idx").alias("b"), F.col("s0").alias("q0"))
-    return v.join(y, v["doc_idx"] < y["b"]).select(F.col("doc_idx").alias("a"), "b", S.hamming(["s0"], ["q0"]).alias("distance"))
+    """Distances of all pairs of vectors of one event."""
+    v = vectors(spark, d)
+    y = v.select(F.col("doc_idx").alias("b"), F.col("s0").alias("q0"), F.col("event").alias("e"))
+    return v.join(y, (v["event"] == y["e"]) & (v["doc_idx"] < y["b"])).select(F.col("doc_idx").alias("a"), "b", S.hamming(["s0"], ["q0"]).alias("distance"))
 
 
 @register(f"WITH {V} SELECT doc_idx, distance FROM d ORDER BY distance, doc_idx LIMIT 10")
@@ -458,17 +459,15 @@ def hybrid_predict(spark, d):
 
 @register()
 def lowrank_predict(spark, d):
-    """Low-rank SR over label centroids of the embeddings, trained on their sequence."""
+    """Low-rank SR over label centroids of the embeddings, trained on the transitions of all sessions of events (event i has the centroid of label i)."""
     v = vectors(spark, d).withColumn("event_id", F.col("event").cast("int"))
     n, s, x = successor.bit_statistics(v, 64)
     mean, w, _ = successor.principal_components(n, s, x, 16)
     m = successor.LowRankSR(16, 64, projection=w, mean=mean)
     for r in embed.majority_signature(v, "event_id", 64).orderBy("event_id").collect():  # one row an event
         m.set_centroid(r["event_id"], successor.unpack(np.array([[r["s0"]]]))[0])
-    pairs = v.select("event_id", F.lead("event_id").over(markov.Window.orderBy("doc_idx")).alias("next")).where("next IS NOT NULL").groupBy("event_id", "next").count().orderBy("event_id", "next")
-    for r in pairs.collect():  # at most the square of the number of events
-        for _ in range(r["count"]):
-            m.observe(r["event_id"], r["next"])
+    pairs = markov.transitions(turns(spark, d), markov.MarkovOptions(1)).select(F.col("context")[0].alias("event_id"), "next", F.col("weight").cast("bigint").alias("n")).orderBy("event_id", "next")
+    m.observe_counts([(r["event_id"], r["next"], r["n"]) for r in pairs.collect()])  # at most the square of the number of events
     rows = [(e, i + 1, t, float(round(p, 6))) for e in sorted(m.features) for i, (t, p) in enumerate(m.predict([e], 3))]
     return spark.createDataFrame(rows, "source int, rank int, target int, probability double")
 
@@ -605,22 +604,22 @@ def _first_bits(spark, d) -> tuple[DataFrame, int]:
     return cold.bit_sliced(s, 64).where("bit = 0").select("word_idx", "word"), s.agg(F.max("insert_seq") + 1).first()[0]
 
 
-@register(f"WITH {BITS}, n AS (SELECT max(i) + 1 AS n FROM bv), p AS (SELECT i FROM range(0, 700, 7) t(i)) SELECT p.i, coalesce((SELECT sum(bit) FROM bv WHERE bv.i < p.i), 0)::BIGINT AS rank1, (SELECT least(p.i, n) FROM n) - coalesce((SELECT sum(bit) FROM bv WHERE bv.i < p.i), 0)::BIGINT AS rank0 FROM p")
+@register(f"WITH {BITS}, n AS (SELECT max(i) + 1 AS n FROM bv), p AS (SELECT i FROM range(0, (SELECT max(vec_id) + 71 FROM embeddings)) t(i)) SELECT p.i, coalesce((SELECT sum(bit) FROM bv WHERE bv.i < p.i), 0)::BIGINT AS rank1, (SELECT least(p.i, n) FROM n) - coalesce((SELECT sum(bit) FROM bv WHERE bv.i < p.i), 0)::BIGINT AS rank0 FROM p")
 def bit_rank(spark, d):
     v, n = _first_bits(spark, d)
-    return cold.rank(v, spark.range(0, 700, 7).withColumnRenamed("id", "i"), n)
+    return cold.rank(v, spark.range(0, n + 70).withColumnRenamed("id", "i"), n)
 
 
-@register(f"WITH {BITS}, o AS (SELECT i, row_number() OVER (ORDER BY i) AS j FROM bv WHERE bit = 1) SELECT k.j, o.i AS position FROM range(1, 400) k(j) LEFT JOIN o ON o.j = k.j")
+@register(f"WITH {BITS}, o AS (SELECT i, row_number() OVER (ORDER BY i) AS j FROM bv WHERE bit = 1) SELECT k.j, o.i AS position FROM range(1, (SELECT max(vec_id) + 3 FROM embeddings)) k(j) LEFT JOIN o ON o.j = k.j")
 def bit_select(spark, d):
     v, n = _first_bits(spark, d)
-    return cold.select(v, spark.range(1, 400).withColumnRenamed("id", "j"), n)
+    return cold.select(v, spark.range(1, n + 2).withColumnRenamed("id", "j"), n)
 
 
-@register(f"WITH {BITS}, o AS (SELECT i, row_number() OVER (ORDER BY i) AS j FROM bv WHERE bit = 0) SELECT k.j, o.i AS position FROM range(1, 400) k(j) LEFT JOIN o ON o.j = k.j")
+@register(f"WITH {BITS}, o AS (SELECT i, row_number() OVER (ORDER BY i) AS j FROM bv WHERE bit = 0) SELECT k.j, o.i AS position FROM range(1, (SELECT max(vec_id) + 3 FROM embeddings)) k(j) LEFT JOIN o ON o.j = k.j")
 def bit_select_zero(spark, d):
     v, n = _first_bits(spark, d)
-    return cold.select(v, spark.range(1, 400).withColumnRenamed("id", "j"), n, ones=False)
+    return cold.select(v, spark.range(1, n + 2).withColumnRenamed("id", "j"), n, ones=False)
 
 
 # --- metrics and formatting --------------------------------------------------------------------------------------------
