@@ -14,6 +14,8 @@ also encoded by the sentencepiece library, and every text is decoded again.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,7 @@ U64 = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _NONE = np.int64(1) << 40
+LONG_UNIT = 256
 
 
 class Vocabulary:
@@ -123,7 +126,69 @@ class Vocabulary:
         return rank, merged
 
     def merge(self, symbol: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols (-1 for characters without a piece) of units, in order, after all merges; and where each began."""
+        """Symbols (-1 for characters without a piece) of units, in order, after all merges; and where each began.
+
+        Units of up to LONG_UNIT characters take their best entries together, round by
+        round; each longer one has a heap of its own, as its rounds would be too many.
+        """
+        if not len(symbol):
+            return symbol.copy(), np.arange(0)
+        size = np.bincount(unit)
+        long = np.flatnonzero(size > LONG_UNIT)
+        if not len(long):
+            return self._merge_short(symbol, unit)
+        lead = np.searchsorted(unit, long)
+        rest = np.ones(len(symbol), bool)
+        parts = []
+        for a, n in zip(lead.tolist(), size[long].tolist()):
+            rest[a : a + n] = False
+            s, b = self._merge_long(symbol[a : a + n])
+            parts.append((s, b + a))
+        keep = np.flatnonzero(rest)
+        s, b = self._merge_short(symbol[keep], unit[keep])
+        symbols, begins = np.concatenate([s, *(x for x, _ in parts)]), np.concatenate([keep[b], *(x for _, x in parts)])
+        order = np.argsort(begins, kind="stable")
+        return symbols[order], begins[order]
+
+    def _merge_long(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(symbol)
+        sym, nxt, prv = symbol.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def pair(a, b):
+            got = known.get((a, b))
+            if got is None:
+                r, m = self.pairs(np.array([a]), np.array([b]))
+                got = known[a, b] = int(r[0]), int(m[0])
+            return got
+
+        rank, merged = self.pairs(symbol[:-1], symbol[1:])
+        hit = np.flatnonzero(rank < _NONE)
+        heap = list(zip(rank[hit].tolist(), hit.tolist(), symbol[hit].tolist(), symbol[hit + 1].tolist(), merged[hit].tolist()))
+        heapq.heapify(heap)
+        alive = np.ones(n, bool)
+        while heap:
+            _, a, x, y, m = heapq.heappop(heap)
+            b = nxt[a]
+            if sym[a] != x or b >= n or sym[b] != y or not alive[a]:
+                continue  # one of the two has been merged since
+            sym[a], alive[b], sym[b] = m, False, -1
+            c = nxt[a] = nxt[b]
+            if c < n:
+                prv[c] = a
+                if sym[c] >= 0:
+                    r, z = pair(m, sym[c])
+                    if r < _NONE:
+                        heapq.heappush(heap, (r, a, m, sym[c], z))
+            p = prv[a]
+            if p >= 0 and sym[p] >= 0:
+                r, z = pair(sym[p], m)
+                if r < _NONE:
+                    heapq.heappush(heap, (r, p, sym[p], m, z))
+        begin = np.flatnonzero(alive)
+        return np.array(sym, symbol.dtype)[begin], begin
+
+    def _merge_short(self, symbol: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         symbol = symbol.copy()
         begin = np.arange(len(symbol))
         if not len(symbol):
