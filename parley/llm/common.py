@@ -61,8 +61,14 @@ def blobs(bucket: np.ndarray, parts: int, record: np.ndarray) -> tuple[list[int]
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame, for choosing how finely to split work."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """How much a DataFrame holds, for choosing how finely to split work: Catalyst's estimate, at most what its sources hold; measured where a source has no statistics."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sources = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if sources < 1 << 60:
+        return min(int(plan.stats().sizeInBytes()), sources)
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes), F.lit(0))
+    return int(df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0])
 
 
 def parts_for(df: DataFrame, per_part: int, least: int = 1) -> int:

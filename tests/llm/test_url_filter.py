@@ -1,0 +1,54 @@
+import numpy as np
+import pytest
+
+from parley.llm import url_filter as U
+
+
+def keys(n, seed):
+    return np.random.default_rng(seed).integers(0, 2**63, n).astype(np.uint64)
+
+
+@pytest.mark.parametrize("listed, others", [(0, 100), (100, 0), (1, 5000), (3000, 20_000), (5000, 50)])
+def test_a_cascade_is_exact_over_its_universe(listed, others):
+    a, b = keys(listed, 1), keys(others, 2)
+    c = U.Cascade.build(a, b)
+    assert c.has(a).all() and not c.has(b).any()
+    again = U.Cascade.load(c.dump())
+    assert again.has(a).all() and not again.has(b).any()
+
+
+def test_levels_alternate_and_stay_small():
+    a, b = keys(5000, 3), keys(200_000, 4)
+    c = U.Cascade.build(a, b)
+    assert len(c.levels) >= 3 and len(c.dump()) * 8 < 25 * len(a)
+    assert c.levels[0].has(a).all() and 0 < c.levels[0].has(b).sum() < len(b) * 0.03
+
+
+def sets(spark, universe, listed):
+    mk = lambda x: spark.createDataFrame([(v,) for v in x], "key string")
+    return mk(universe), mk(listed)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+@pytest.mark.parametrize("per_shard", [1 << 20, 300])
+def test_membership_is_a_set_s(spark, limit, per_shard):
+    universe = [f"site{i % 700}.org/{i}" for i in range(2000)] + [None, "site1.org/1", ""]
+    listed = [u for i, u in enumerate(universe[:2000]) if i % 9 == 0] + ["not/in/universe", None]
+    u, on = sets(spark, universe, listed)
+    c = U.build(u, on, per_shard)
+    assert (c.count() > 1) == (per_shard == 300)
+    got = [(r["key"], r["blocked"]) for r in U.listed(u, c, limit).collect()]
+    assert sorted(got, key=repr) == sorted(((k, k in set(listed) - {None}) for k in universe), key=repr)
+
+
+def test_empty_sides(spark):
+    u, on = sets(spark, ["a", "b"], [])
+    assert {r["blocked"] for r in U.listed(u, U.build(u, on)).collect()} == {False}
+    e, _ = sets(spark, [], [])
+    assert U.listed(e, U.build(e, e)).collect() == []
+
+
+def test_pages(spark):
+    rows = [(1, "https://www.A.org/x/?utm_source=q", 1), (2, "http://a.org/x", 1), (3, "http://a.org/y#utm_z", 1), (4, None, 1), (5, "", 1), (None, "http://b.org/?ref=1", 1), (2, "http://a.org/x", 1)]
+    got = U.block_pages(spark.createDataFrame(rows, "page_id bigint, url string, blocked int"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, "a.org/x", True), (2, "a.org/x", True), (3, "a.org/y", False), (4, None, False), (5, "", False), (None, "b.org", True), (2, "a.org/x", True)]))
