@@ -17,6 +17,8 @@ Null texts have no tokens, as have empty texts.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -162,3 +164,11 @@ def tokenised(column: pa.Array, mode: str = "SPACE", limit: int = CHUNK_BYTES):
     """(first row, end row, Words) over a string column, chunk by chunk."""
     for row, end, data, offsets in chunks(column, limit):
         yield row, end, Words(data, offsets, mode)
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, as workers live on between tasks."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()

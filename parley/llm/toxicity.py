@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options)
             at, w = fit(t["text"], t["label"].to_numpy(), **options)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["places", "weights"])
 
-    return rows.coalesce(1).mapInArrow(learn, "places binary, weights binary")
+    return rows.repartition(1).mapInArrow(learn, "places binary, weights binary")
 
 
 class Model:
