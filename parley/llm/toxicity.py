@@ -118,7 +118,9 @@ class Model:
         return self._dense
 
     def score(self, texts) -> np.ndarray:
-        """Probability of each text."""
+        """Probability of each text; 0 under a model without any weight, which has learnt nothing."""
+        if not self.weights:
+            return np.zeros(len(texts))
         w, out = self.dense(), []
         for row, end, words in K.tokenised(texts, "ALNUM"):
             d, p = grams(words)
@@ -131,7 +133,7 @@ class Model:
 
 def probability(model: DataFrame):
     """The model as a function from a text column to a probability column; null for null."""
-    sent = model.sparkSession.sparkContext.broadcast(tuple(map(bytes, model.first())))  # some kilobytes
+    sent = model.sparkSession.sparkContext.broadcast(tuple(map(bytes, model.first() or (b"", b""))))  # some kilobytes; without any labels there is no row
 
     @F.pandas_udf("double")
     def of(text):
