@@ -55,7 +55,7 @@ class Model:
         self.cls[order] = np.minimum((mass - c[order] / 2) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int32)
         total = np.bincount(self.cls, c, minlength=CLASSES)
         self.within = (np.log(c) - np.log(total[self.cls])).astype(np.float32)
-        self.rest["bias"] = np.log(np.maximum(total, 1) / total.sum()).astype(np.float32)
+        self.rest["bias"] = np.log(np.maximum(total, 1e-12) / total.sum()).astype(np.float32)
 
     def dump(self) -> tuple[bytes, ...]:
         return (self.embed.tobytes(), *(self.rest[k].tobytes() for k, _ in SHAPES), self.cls.tobytes(), self.within.tobytes())
