@@ -139,9 +139,29 @@ def _signatures(n, t, parts, sent):
     def run(batches):
         counts = np.frombuffer(sent.value, "<u4")
         frequent = 4 * counts.mean() + 64
+
+        def packed():
+            s, d, z = np.concatenate(sigs), np.concatenate(docs), np.concatenate(sizes).astype("<i4")
+            h = K.mix(s + U64(17))
+            bucket = ((h >> U64(40)) % U64(parts)).astype(np.int64)
+            order = np.lexsort((z, d, bucket))
+            bucket, h, d, z = bucket[order], h[order], d[order].astype("<i8"), z[order]
+            lead = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (d[1:] != d[:-1]) | (z[1:] != z[:-1])]))
+            times = np.diff(np.append(lead, len(d))).astype("<i4")
+            edge, runs = np.searchsorted(bucket, np.arange(parts + 1)), np.searchsorted(bucket[lead], np.arange(parts + 1))
+            low, high, d, z = h.astype("<u4"), (h >> U64(32)).astype(np.uint8), d[lead], z[lead]
+            used = np.flatnonzero(np.diff(edge))
+            blob = [
+                np.array([runs[u + 1] - runs[u]], "<i8").tobytes() + b"".join(x[runs[u] : runs[u + 1]].tobytes() for x in (d, z, times)) + b"".join(x[edge[u] : edge[u + 1]].tobytes() for x in (low, high))
+                for u in used
+            ]
+            for x in (sigs, docs, sizes):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blob, pa.binary())], schema=out)
+
+        sigs, docs, sizes = [], [], []
         for b in batches:
             ids = b.column(0).to_numpy()
-            sigs, docs, sizes = [], [], []
             for row, end, key in gram_sets(b.column(1), n):
                 if not len(key):
                     continue
@@ -180,18 +200,11 @@ def _signatures(n, t, parts, sent):
                         docs.append(ids[row + dd[same]])
                         sizes.append(size[dd[same]])
                         step += 1
-            if not sigs:
-                continue
-            s, d, z = np.concatenate(sigs), np.concatenate(docs), np.concatenate(sizes).astype("<i4")
-            h = K.mix(s + U64(17))
-            bucket = ((h >> U64(40)) % U64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(parts + 1))
-            low, high = h[order].astype("<u4"), (h[order] >> U64(32)).astype(np.uint8)
-            d, z = d[order].astype("<i8"), z[order]
-            used = np.flatnonzero(np.diff(edge))
-            blob = [b"".join(x[edge[u] : edge[u + 1]].tobytes() for x in (d, low, z, high)) for u in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blob, pa.binary())], schema=out)
+                if sum(map(len, sigs)) > 500_000:
+                    yield packed()
+        if sigs:
+            yield packed()
+        K.trim()
 
     return run
 
@@ -201,29 +214,21 @@ def _pairs(t):
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("least", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
-        d, low, z, high = [], [], [], []
-        for x in table["blob"]:
+        d, z, times, low, high = [], [], [], [], []
+        for x in table["blob"]:  # documents with how many signatures follow, then the signatures
             raw = x.as_buffer()
-            k = raw.size // 17
-            d.append(np.frombuffer(raw, "<i8", k))
-            low.append(np.frombuffer(raw, "<u4", k, 8 * k))
-            z.append(np.frombuffer(raw, "<i4", k, 12 * k))
-            high.append(np.frombuffer(raw, np.uint8, k, 16 * k))
-        sig = np.concatenate(low).astype(U64) | np.concatenate(high).astype(U64) << U64(32)
-        ids, at = np.unique(np.concatenate(d), return_inverse=True)
-        size = np.concatenate(z)
+            k = int(np.frombuffer(raw, "<i8", 1)[0])
+            n = (raw.size - 8 - 16 * k) // 5
+            d.append(np.frombuffer(raw, "<i8", k, 8))
+            z.append(np.frombuffer(raw, "<i4", k, 8 + 8 * k))
+            times.append(np.frombuffer(raw, "<i4", k, 8 + 12 * k))
+            low.append(np.frombuffer(raw, "<u4", n, 8 + 16 * k))
+            high.append(np.frombuffer(raw, np.uint8, n, 8 + 16 * k + 4 * n))
+        z, low, high = np.concatenate(z), np.concatenate(low), np.concatenate(high)
+        ids, of_run = np.unique(np.concatenate(d), return_inverse=True)
         smallest = np.full(len(ids), np.iinfo(np.int32).max, np.int64)
-        np.minimum.at(smallest, at, size)
-        order = np.argsort(sig)
-        sig = sig[order]
-        again = np.zeros(len(sig), bool)
-        if len(sig) > 1:
-            eq = sig[1:] == sig[:-1]
-            again[1:] = eq
-            again[:-1] |= eq
-        order, sig = order[again], sig[again]
-        order = order[np.lexsort((at[order], sig))]
-        at, size = at[order].astype(U64), size[order]
+        np.minimum.at(smallest, of_run, z)
+        run_of = np.repeat(np.arange(len(z), dtype=np.int32), np.concatenate(times))
         keys, counts, found, held = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
 
         def fold():
@@ -233,21 +238,43 @@ def _pairs(t):
             counts = np.bincount(at, np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
             found, held = [], 0
 
-        alive, step = np.arange(len(sig)), 1
-        while len(alive):
-            alive = alive[alive + step < len(sig)]
-            alive = alive[sig[alive + step] == sig[alive]]
-            x, y = alive, alive + step
-            ok = (at[x] != at[y]) & (np.minimum(size[x], size[y]) >= need(np.maximum(size[x], size[y]), t))
-            found.append(at[x[ok]] << U64(32) | at[y[ok]])
-            held += len(found[-1])
-            if held > 4_000_000:
-                fold()
-            step += 1
+        # slices of the signatures' range one after another, so that a bucket needs little more memory than itself
+        bits = min(max(0, int(len(low) >> 18).bit_length()), 16)
+        slot = (low >> np.uint32(32 - bits)).astype(np.uint16) if bits else np.zeros(len(low), np.uint16)
+        by_slot = np.argsort(slot, kind="stable").astype(np.uint32)
+        edge = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=1 << bits))])
+        del slot
+        for first, last in zip(edge[:-1], edge[1:]):
+            mine = by_slot[first:last]
+            sig = low[mine].astype(U64) | high[mine].astype(U64) << U64(32)
+            order = np.argsort(sig)
+            sig = sig[order]
+            again = np.zeros(len(sig), bool)
+            if len(sig) > 1:
+                eq = sig[1:] == sig[:-1]
+                again[1:] = eq
+                again[:-1] |= eq
+            sig, runs = sig[again], run_of[mine[order[again]]]
+            at = of_run[runs]
+            order = np.lexsort((at, sig))
+            sig, at, size = sig[order], at[order].astype(U64), z[runs[order]]
+            alive, step = np.arange(len(sig)), 1
+            while len(alive):
+                alive = alive[alive + step < len(sig)]
+                alive = alive[sig[alive + step] == sig[alive]]
+                x, y = alive, alive + step
+                ok = (at[x] != at[y]) & (np.minimum(size[x], size[y]) >= need(np.maximum(size[x], size[y]), t))
+                found.append(at[x[ok]] << U64(32) | at[y[ok]])
+                held += len(found[-1])
+                if held > 4_000_000:
+                    fold()
+                step += 1
         fold()
         x, y = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
         least = shared(np.minimum(smallest[x], smallest[y]), t)
         a, b = ids[x], ids[y]
+        del low, high, run_of, by_slot
+        K.trim()
         return pa.table([np.minimum(a, b), np.maximum(a, b), counts.astype(np.int32), least.astype(np.int32)], schema=out)
 
     return run
@@ -264,11 +291,18 @@ def _verify(n, t):
             e = _edges(key, end - row)
             gram = key & LOW48
             sets += [gram[e[i] : e[i + 1]] for i in range(end - row)]
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")
         a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        ai, bi = order[np.searchsorted(ids[order], a)], order[np.searchsorted(ids[order], b)]
+        ranks = ids[order]
+        al, ak = np.searchsorted(ranks, a), np.searchsorted(ranks, a, "right") - np.searchsorted(ranks, a)
+        bl, bk = np.searchsorted(ranks, b), np.searchsorted(ranks, b, "right") - np.searchsorted(ranks, b)
+        # a doc_id that repeats with several texts is compared with each of them
+        pair = np.repeat(np.arange(len(a)), ak * bk)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(ak * bk) - ak * bk, ak * bk)
+        ai, bi = order[al[pair] + nth // bk[pair]], order[bl[pair] + nth % bk[pair]]
+        a, b = a[pair], b[pair]
+        by = np.lexsort((bi, ai))
+        a, b, ai, bi = a[by], b[by], ai[by], bi[by]
         common_ = np.zeros(len(a), np.int64)
         edge = np.flatnonzero(np.concatenate([[True], ai[1:] != ai[:-1], [True]]))
         for s, e in zip(edge[:-1], edge[1:]):
@@ -281,8 +315,13 @@ def _verify(n, t):
                 stop = np.cumsum([len(x) for x in other])
                 common_[c : c + len(other)] = hit[stop] - hit[stop - [len(x) for x in other]]
         size = np.array([len(x) for x in sets])
+        del sets
+        K.trim()
         total = size[ai] + size[bi] - common_
-        ok = common_ >= total * t - 1e-9
+        ok = np.flatnonzero(common_ >= total * t - 1e-9)
+        # of several texts the most similar two are told
+        ok = ok[np.lexsort((-common_[ok] / total[ok], b[ok], a[ok]))]
+        ok = ok[np.concatenate([[True], (a[ok][1:] != a[ok][:-1]) | (b[ok][1:] != b[ok][:-1])])] if len(ok) else ok
         return pa.table([a[ok], b[ok], common_[ok].astype(np.int32), total[ok].astype(np.int32)], schema=out)
 
     return run
@@ -326,11 +365,11 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast
 
     # few buckets: a similar pair is told once by each bucket in which it has a common signature
     size = common.input_bytes(rows)
-    parts = max(8, ceil(size / (48 << 20)))
+    parts = max(8, ceil(size / (12 << 20)))
     blobs = reps.mapInArrow(_signatures(n, threshold, parts, sent), "bucket int, blob binary")
     met = blobs.groupBy("bucket").applyInArrow(_pairs(threshold), "a bigint, b bigint, n int, least int")
     cand = common.materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"), "gram-candidates")
-    side = max(3, ceil((size / (64 << 20)) ** 0.5))  # a document's text goes to 2 side - 1 cells at most
+    side = max(6, ceil((size / (16 << 20)) ** 0.5))  # a document's text goes to 2 side - 1 cells at most
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     cand = cand.withColumn("cell", cell("a") * side + cell("b"))
     wanted = common.materialise(cand.select(F.explode(F.array("a", "b")).alias("doc_id"), "cell").distinct(), "gram-wanted")
