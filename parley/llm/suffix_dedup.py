@@ -106,10 +106,25 @@ def _segments(length, gram, parts, bits, sent):
     kind = np.dtype([("h", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("before", "<i2"), ("starts", "<i2"), ("words", "<i2"), ("size", "<i4")])
 
     def run(batches):
-        blocks = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool).reshape(64, -1)
+        blocks = np.frombuffer(sent.value, np.uint8).reshape(64, -1)
+
+        def packed():
+            m = np.concatenate(metas)
+            bucket = ((m["h"] >> U64(20)) % U64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(parts + 1))
+            used = np.flatnonzero(np.diff(edge))
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array([m[order[edge[u] : edge[u + 1]]].tobytes() for u in used], pa.binary()), pa.array([b"".join([pieces[i] for i in order[edge[u] : edge[u + 1]].tolist()]) for u in used], pa.binary())],
+                schema=out,
+            )
+            metas.clear()
+            pieces.clear()
+            return batch
+
+        metas, pieces, held = [], [], 0
         for b in batches:
             ids = b.column(0).to_numpy()
-            metas, pieces = [], []
             for row, _, words in K.tokenised(b.column(1)):
                 at, anchor, h = anchored(words, length, gram)
                 if not len(at):
@@ -121,7 +136,7 @@ def _segments(length, gram, parts, bits, sent):
                 hh = h[lead]
                 maybe = np.ones(len(lead), bool)
                 for p in _probe_places(hh, bits):
-                    maybe &= blocks[(hh >> U64(58)).astype(np.int64), p]
+                    maybe &= blocks[(hh >> U64(58)).astype(np.int64), p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1 == 1
                 lead, starts, hh = lead[maybe], starts[maybe], hh[maybe]
                 w = at[lead]
                 last = w + starts - 1 + length - 1
@@ -132,17 +147,13 @@ def _segments(length, gram, parts, bits, sent):
                 metas.append(m)
                 raw = words.data.tobytes()
                 pieces += [raw[x:y] for x, y in zip(words.start[w].tolist(), words.end[last].tolist())]
-            if not pieces:
-                continue
-            m = np.concatenate(metas)
-            bucket = ((m["h"] >> U64(20)) % U64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(parts + 1))
-            used = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([m[order[edge[u] : edge[u + 1]]].tobytes() for u in used], pa.binary()), pa.array([b"".join([pieces[i] for i in order[edge[u] : edge[u + 1]].tolist()]) for u in used], pa.binary())],
-                schema=out,
-            )
+                held += int(m["size"].sum())
+                if held > 8 << 20:
+                    yield packed()
+                    held = 0
+        if pieces:
+            yield packed()
+        K.trim()
 
     return run, kind
 
@@ -276,7 +287,7 @@ def _sorted_bucket(length, kind):
         count = np.diff(lead)
         load = np.cumsum(np.repeat(np.where(count > 1, 1, 0), count) * meta["size"][order].astype(np.int64))
         docs, starts, ends = [], [], []
-        part = (load - 1) // (4 << 20)
+        part = (load - 1) // (1 << 20)
         part = part[lead[1:] - 1]  # by the last segment of an anchor, so that none is split
         for p in np.unique(part[count > 1]):
             mine = order[np.repeat((part == p) & (count > 1), count)]
@@ -292,6 +303,8 @@ def _sorted_bucket(length, kind):
                 docs.append(m["doc"][seg[b]])
                 starts.append(m["first"][seg[b]] + step[b])
                 ends.append(m["first"][seg[b]] + step[e] + length)
+        del raw, meta
+        K.trim()
         if not docs:
             return out.empty_table()
         return pa.table([np.concatenate(docs), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)], schema=out)
