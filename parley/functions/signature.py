@@ -94,7 +94,10 @@ def from_bytes(raw: Column, bits: int, prefix: str = "s") -> list[Column]:
 
 def to_ints(words: list[str]) -> Column:
     """The bytes of a signature as an array of numbers from 0 to 255, as in JSON."""
-    return F.flatten(F.array(*[F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda k, w=w: shru(F.col(w), (k * 8).cast("int")).bitwiseAND(F.lit(255)).cast("int")) for w in words]))
+    def of_word(w: str) -> Column:
+        return F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda k: shru(F.col(w), (k * 8).cast("int")).bitwiseAND(F.lit(255)).cast("int"))
+
+    return F.flatten(F.array(*map(of_word, words)))
 
 
 def literal_words(row, bits: int, prefix: str = "s") -> list[int]:
