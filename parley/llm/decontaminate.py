@@ -205,6 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, i
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j < 2 else pa.int32()) for j, c in enumerate(cols)], names=["doc_id", "item_id", "covered", "item_tokens", "slots", "changed"])
+            K.trim()
 
         found = rows.mapInArrow(search, _OUT)
         result = found if result is None else result.unionByName(found)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from parley import worker_cache
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = (1 << 20) - 64
 
 #: Odd multipliers of the two polynomial hashes (bytes in a word, words in a window), modulo 2**64.
 BYTE_BASE = 0x9E3779B97F4A7C15

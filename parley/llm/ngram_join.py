@@ -120,6 +120,7 @@ def _survey(n):
             parts = [x.astype("<u4").tobytes() for x in np.split(counts, SKETCH_BLOCKS)]
             void = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*void, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=_FIRST)
+        K.trim()
 
     return run
 

@@ -386,6 +386,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame
                 null = void[row:end]
                 lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32(), mask=np.append(null, False)), pa.array(ids, pa.int32())) if null.any() else pa.ListArray.from_arrays(pa.array(edge), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), lists, pa.array(count.astype(np.int32)), pa.array(same), pa.array(ok)], schema=_OUT)
+        K.trim()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _OUT_SQL)
 

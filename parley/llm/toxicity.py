@@ -99,6 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options)
         if got:
             t = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("text", "ascending")])
             at, w = fit(t["text"], t["label"].to_numpy(), **options)
+            del got, t
+            K.trim()
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["places", "weights"])
 
     return rows.repartition(1).mapInArrow(learn, "places binary, weights binary")

@@ -70,7 +70,7 @@ def test_merges_follow_the_agenda(v, word):
 
 def test_encoded_rows(docs_of, v):
     long = " ".join(random.Random(1).choice(["alpha", "beta", "gamma", "delta"]) for _ in range(200_000))
-    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (None, "a b"), (7, "again"), (7, "again"), (101, long), (102, long.replace(" ", ""))]
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (None, "a b"), (200, "again"), (200, "again"), (101, long), (102, long.replace(" ", ""))]
     got = P.encode(docs_of(rows)).collect()
     assert len(got) == len(rows) and all(r["agrees"] for r in got)
     by = {}
