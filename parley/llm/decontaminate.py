@@ -1,4 +1,4 @@
-"""Benchmark decontamination on canonical templates.
+"""Benchmark decontamination on canonical templates and on plain words.
 
 Texts are reduced to templates: numbers, names and units become typed
 placeholders, every other word its lowered form. Windows of WINDOW template
@@ -8,12 +8,19 @@ consistency: one and the same slot value of the item must always have become
 one and the same value in the document, and different values different ones, as
 it is when a question was re-parameterised. What passes counts towards the
 share of the item that the document covers.
+
+A name shows by its capital, which the first word of a sentence has anyway. So
+templates are read twice, once without names at the beginning of sentences and
+once with those that are capitalised within a sentence of the same text too. As
+capitals may be changed or lost in a copy, texts are read a third time as plain
+lowered words, whose windows need no slots. What any reading finds counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +36,7 @@ UNITS = (
 _NUM, _NAME, _UNIT = (int(x) for x in K.mix(np.array([101, 102, 103], U64)))
 _STOP = np.isin(np.arange(256), [10, 33, 46, 63])  # newline ! . ?
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
+_BYTES = np.repeat([1, 2, 3, 4], [192, 32, 16, 16])  # of a UTF-8 letter, by its first
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 
 
@@ -36,39 +44,74 @@ def _hashes_of(words: list[str]) -> np.ndarray:
     return np.sort(K.Words(*K.text_buffers(pa.array(words)), "ALNUM").hash)
 
 
-class Templates:
-    """Template tokens of a chunk: `code` (placeholder or word hash), `value` (hash of what stands there), `slot`, `doc`, `first`, and `run` for window hashes."""
+class Tokens:
+    """Words of a chunk with their kinds: lowered `hash`, `doc`, `first`, and which are numbers, units, capitalised, and first in a sentence."""
 
     def __init__(self, words: K.Words):
-        h, d, n = words.hash, words.doc, len(words)
+        low = words
+        if len(words.data) and words.data.max() >= 128:  # letters beyond ASCII; lowering neither makes nor joins words
+            text = pa.LargeStringArray.from_buffers(len(words.offsets) - 1, pa.py_buffer(np.ascontiguousarray(words.offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(words.data)))
+            try:
+                low = K.Words(*K.text_buffers(pc.utf8_lower(text)), "ALNUM")
+            except pa.ArrowInvalid:  # not UTF-8: only ASCII is lowered
+                pass
+        self.hash, self.doc, self.first = low.hash, words.doc, words.first
+        d, n = words.doc, len(words)
         a = words.data[words.start] if n else np.zeros(0, np.uint8)
-        num = _DIGIT[a]
-        lead = np.ones(n, bool)
+        self.num = _DIGIT[a]
+        self.lead = np.ones(n, bool)
         if n > 1:
-            lead[1:] = d[1:] != d[:-1]
+            self.lead[1:] = d[1:] != d[:-1]
         stops = np.concatenate([[0], np.cumsum(_STOP[words.data])])
-        begins = lead.copy()
+        self.begins = self.lead.copy()
         if n > 1:
-            begins[1:] |= stops[words.start[1:]] > stops[words.end[:-1]]
-        name = _UPPER[a] & ~begins
+            self.begins[1:] |= stops[words.start[1:]] > stops[words.end[:-1]]
+        self.capital = _UPPER[a]
+        wide = np.flatnonzero(a >= 128)
+        for k in range(4):  # a first letter beyond ASCII is a capital if lowering changes one of its bytes
+            w = wide[k < _BYTES[a[wide]]]
+            self.capital[w] |= words.data[words.start[w] + k] != low.data[np.minimum(low.start[w] + k, len(low.data) - 1)]
         after_number = np.zeros(n, bool)
-        after_number[1:] = num[:-1] & ~lead[1:]
-        maybe = np.flatnonzero(after_number & ~num)
-        unit = np.zeros(n, bool)
-        unit[maybe] = np.isin(h[maybe], _hashes_of(UNITS)) if len(maybe) else False
-        name &= ~unit
-        code = h.copy()
-        code[num], code[name], code[unit] = U64(_NUM), U64(_NAME), U64(_UNIT)
-        slot = num | name | unit
+        after_number[1:] = self.num[:-1] & ~self.lead[1:]
+        maybe = np.flatnonzero(after_number & ~self.num)
+        self.unit = np.zeros(n, bool)
+        self.unit[maybe] = np.isin(self.hash[maybe], _hashes_of(UNITS)) if len(maybe) else False
+
+    def names(self) -> np.ndarray:
+        """Capitalised words within sentences."""
+        return self.capital & ~self.begins & ~self.unit
+
+    def all_names(self) -> np.ndarray | None:
+        """These, and the same text's words that begin a sentence and are such names elsewhere; None if there are no more."""
+        name = self.names()
+        key = K.mix(self.hash + self.doc.astype(U64) * U64(K.WORD_BASE))
+        more = self.capital & self.begins & ~self.unit
+        more[more] = np.isin(key[more], key[name])
+        return name | more if more.any() else None
+
+
+class Templates:
+    """Template tokens of a chunk: `code` (placeholder or word hash), `value` (hash of what stands there), `slot`, `doc`, `first`, `word` (first word) and `run` for window hashes.
+
+    `name` tells the names among the words; None stands for plain words without slots.
+    """
+
+    def __init__(self, tokens: Tokens, name: np.ndarray | None):
+        h, d, n = tokens.hash, tokens.doc, len(tokens.hash)
+        code, slot = h, np.zeros(n, bool)
+        if name is not None:
+            code = h.copy()
+            code[tokens.num], code[name], code[tokens.unit] = U64(_NUM), U64(_NAME), U64(_UNIT)
+            slot = tokens.num | name | tokens.unit
         more = np.zeros(n, bool)  # a further word of the same slot, as in 3.5 or a full name
         if n > 1:
-            more[1:] = slot[1:] & (code[1:] == code[:-1]) & ~lead[1:] & ~unit[1:]
+            more[1:] = slot[1:] & slot[:-1] & (code[1:] == code[:-1]) & ~tokens.lead[1:] & ~tokens.unit[1:]
         keep = np.flatnonzero(~more)
         total = np.concatenate([np.zeros(1, U64), np.cumsum(K.mix(h + U64(1)))])
-        ends = np.append(keep[1:], n)
-        self.code, self.slot, self.doc = code[keep], slot[keep], d[keep]
+        ends = np.append(keep[1:], n)[: len(keep)]
+        self.code, self.slot, self.doc, self.word = code[keep], slot[keep], d[keep], keep
         self.value = total[ends] - total[keep]
-        self.first = np.searchsorted(keep, words.first)
+        self.first = np.searchsorted(keep, tokens.first)
         p, _ = K.powers(K.WORD_BASE, len(keep) + 1)
         self.run = np.concatenate([np.zeros(1, U64), np.cumsum(self.code * p[: len(keep)])])
 
@@ -79,45 +122,75 @@ class Templates:
         return at, K.span(self.run, at, n)
 
 
-def templates(column):
+def readings(column):
+    """(first row, end row, templates, templates with names that begin sentences or None, plain words), chunk by chunk."""
     for row, end, words in K.tokenised(column, "ALNUM"):
-        yield row, end, Templates(words)
+        tokens = Tokens(words)
+        name = tokens.all_names()
+        yield row, end, (Templates(tokens, tokens.names()), None if name is None else Templates(tokens, name), Templates(tokens, None))
 
 
-class Items:
-    """Benchmark items: their template tokens and an index of their windows."""
+def templates(column):
+    for row, end, (t, _, _) in readings(column):
+        yield row, end, t
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.code, self.value, self.slot = np.array(ids, np.int64), [], [], []
-        for _, _, t in templates(pa.array(texts, pa.string())):
-            for i in range(len(t.first) - 1):
-                s = slice(t.first[i], t.first[i + 1])
-                self.code.append(t.code[s])
-                self.value.append(t.value[s])
-                self.slot.append(t.slot[s])
-        self.lengths = {}
+
+class Index:
+    """Windows of the items in some of their readings; an entry is one reading of one item."""
+
+    def __init__(self):
+        self.owner, self.code, self.value, self.slot, self.word, self.lengths = [], [], [], [], [], {}
+
+    def add(self, owner: int, t: Templates, i: int, words: int, first: int) -> None:
+        """Text i of t, which has `words` words, of which the first is word `first` of the chunk."""
+        s = slice(t.first[i], t.first[i + 1])
+        self.owner.append(owner)
+        self.code.append(t.code[s])
+        self.value.append(t.value[s])
+        self.slot.append(t.slot[s])
+        self.word.append(np.append(t.word[s] - first, words))
+
+    def build(self) -> None:
         by = {}
         for i, c in enumerate(self.code):
             if len(c):
                 by.setdefault(min(len(c), WINDOW), []).append(i)
         p, _ = K.powers(K.WORD_BASE, max([64, *(len(c) + 1 for c in self.code)]))
-        for n, items in by.items():
-            hs, owner, pos = [], [], []
-            for i in items:
+        for n, entries in by.items():
+            hs, entry, pos = [], [], []
+            for i in entries:
                 run = np.concatenate([np.zeros(1, U64), np.cumsum(self.code[i] * p[: len(self.code[i])])])
                 at = np.arange(len(self.code[i]) - n + 1)
                 hs.append(K.span(run, at, n))
-                owner.append(np.full(len(at), i))
+                entry.append(np.full(len(at), i))
                 pos.append(at)
-            h, o, q = np.concatenate(hs), np.concatenate(owner), np.concatenate(pos)
+            h, o, q = np.concatenate(hs), np.concatenate(entry), np.concatenate(pos)
             order = np.argsort(h, kind="stable")
             gate = np.zeros(1 << 20, bool)
             gate[(h >> U64(44)).astype(np.int64)] = True
             self.lengths[n] = (h[order], o[order], q[order], gate)
 
 
-def _matches(t: Templates, items: Items):
-    """(document in chunk, item, document position, item position, length) of all windows in common."""
+class Items:
+    """Benchmark items: an index of their templates, with and without names that begin sentences, and one of their plain words; `tokens` are the words at which template tokens begin."""
+
+    def __init__(self, ids: list[int], texts: list[str]):
+        self.ids, self.tokens, self.slots, self.plain, self.templates = np.array(ids, np.int64), [], [], Index(), Index()
+        for _, _, (t, named, plain) in readings(pa.array(texts, pa.string())):
+            for i in range(len(t.first) - 1):
+                owner, first, words = len(self.tokens), int(plain.first[i]), int(plain.first[i + 1] - plain.first[i])
+                self.templates.add(owner, t, i, words, first)
+                self.tokens.append(self.templates.word[-1])
+                self.slots.append(self.templates.slot[-1])
+                if named is not None:
+                    self.templates.add(owner, named, i, words, first)
+                self.plain.add(owner, plain, i, words, first)
+        self.templates.build()
+        self.plain.build()
+
+
+def _matches(t: Templates, items: Index):
+    """(document in chunk, entry, document position, item position, length) of all windows in common."""
     out = []
     for n, (h, owner, pos, gate) in items.lengths.items():
         at, w = t.windows(n)
@@ -143,8 +216,8 @@ def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
     return pairs == len(np.unique(a)) == len(np.unique(b))
 
 
-def find(t: Templates, items: Items):
-    """For each document and item with consistent matches: (document, item, tokens covered, tokens of the item, slots, changed slots)."""
+def _spans(t: Templates, items: Index):
+    """(document, entry, document token, entry token, tokens) of merged windows on one diagonal with consistent slots."""
     m = _matches(t, items)
     if not len(m):
         return
@@ -153,23 +226,39 @@ def find(t: Templates, items: Items):
     new = np.ones(len(m), bool)
     new[1:] = (m[1:, 0] != m[:-1, 0]) | (m[1:, 1] != m[:-1, 1]) | (diagonal[1:] != diagonal[:-1]) | (m[1:, 2] > m[:-1, 2] + m[:-1, 4])
     edge = np.append(np.flatnonzero(new), len(m))
-    spans: dict[tuple[int, int], list] = {}
     for s, e in zip(edge[:-1], edge[1:]):
         d, i, at, p, _ = m[s].tolist()
         n = int(m[e - 1, 2] + m[e - 1, 4]) - at
         slot = items.slot[i][p : p + n]
-        a, b = items.value[i][p : p + n][slot], t.value[at : at + n][slot]
-        if _consistent(a, b):
-            spans.setdefault((d, i), []).append((n, p, int(slot.sum()), int((a != b).sum())))
+        if _consistent(items.value[i][p : p + n][slot], t.value[at : at + n][slot]):
+            yield d, i, at, p, n
+
+
+def find(texts: tuple[Templates, Templates | None, Templates], items: Items):
+    """For each document and item with consistent matches in any reading: (document, item, tokens covered, tokens of the item, slots, changed slots)."""
+    spans: dict[tuple[int, int], list] = {}
+    for t, index in ((texts[0], items.templates), (texts[1], items.templates), (texts[2], items.plain)):
+        for d, i, at, p, n in _spans(t, index) if t is not None else ():
+            owner, word = index.owner[i], index.word[i]
+            if index is items.plain:
+                tokens, k = items.tokens[owner][:-1], items.slots[owner]
+                slots = tokens[k & (tokens >= p) & (tokens < p + n)]
+                changed = np.zeros(len(slots), bool)
+            else:
+                k = index.slot[i][p : p + n]
+                slots = word[p : p + n][k]
+                changed = index.value[i][p : p + n][k] != t.value[at : at + n][k]
+            spans.setdefault((d, owner), []).append((int(word[p]), int(word[p + n]), slots, changed))
     for (d, i), found in spans.items():
-        size = len(items.code[i])
-        on = np.zeros(size, bool)
+        tokens = items.tokens[i]
+        on = np.zeros(tokens[-1], bool)
         slots = changed = 0
-        for n, p, k, c in sorted(found, key=lambda x: (-x[0], x[1], x[3])):
-            if not on[p : p + n].any():  # a passage that occurs again isn't counted again
-                slots, changed = slots + k, changed + c
-            on[p : p + n] = True
-        yield d, i, int(on.sum()), size, slots, changed
+        for b, e, k, c in sorted(found, key=lambda x: (x[0] - x[1], x[0], int(x[3].sum()))):
+            new = ~on[k]  # a slot that another passage or reading has covered isn't counted again
+            slots, changed = slots + int(new.sum()), changed + int((new & c).sum())
+            on[b:e] = True
+        covered = int(np.logical_and.reduceat(on, tokens[:-1]).sum())
+        yield d, i, covered, len(tokens) - 1, slots, changed
 
 
 _OUT = "doc_id bigint, item_id bigint, covered int, item_tokens int, slots int, changed int"
@@ -179,7 +268,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, i
     """(doc_id, item_id, covered, item_tokens, slots, changed): documents that hold at least `coverage` of an item's template.
 
     `covered` of `item_tokens` template tokens occur in the document in windows of
-    WINDOW tokens (items shorter than that as a whole) with consistent slots;
+    WINDOW tokens (items shorter than that as a whole) with consistent slots, or in
+    as long windows of equal words, however they are capitalised;
     `changed` of the `slots` in them have other values than the item, 0 for a plain
     copy. Documents are searched whole, at any length. Null or empty texts match
     nothing; rows without id are left out; repeated rows are told as often as they
@@ -201,7 +291,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, i
             items = Items(*sent.value)
             for b in batches:
                 ids = b.column(0).to_numpy()
-                out = [(int(ids[row + d]), int(items.ids[i]), *x) for row, _, t in templates(b.column(1)) for d, i, *x in find(t, items) if x[0] >= coverage * x[1]]
+                out = [(int(ids[row + d]), int(items.ids[i]), *x) for row, _, t in readings(b.column(1)) for d, i, *x in find(t, items) if x[0] >= coverage * x[1]]
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j < 2 else pa.int32()) for j, c in enumerate(cols)], names=["doc_id", "item_id", "covered", "item_tokens", "slots", "changed"])

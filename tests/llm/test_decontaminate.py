@@ -89,3 +89,30 @@ def test_passes_give_the_same(docs_of, bench):
     docs = docs_of([(1, ITEM), (2, "the capital of the large island that lies south of the old continent")])
     whole = sorted(map(repr, C.contaminated(docs, bench).collect()))
     assert sorted(map(repr, C.contaminated(docs, bench, items_per_pass=1).collect())) == whole and len(whole) == 2
+
+
+def test_copies_in_other_capitals_are_caught(docs_of, bench, spark):
+    got = found(docs_of([(13, ITEM.lower()), (14, ITEM.upper()), (15, "before. " + ITEM.title() + " after")]), bench)
+    for doc in (13, 14, 15):
+        assert (doc, 1) in got and got[doc, 1]["covered"] == got[doc, 1]["item_tokens"] == 29 and got[doc, 1]["changed"] == 0
+    item = "Übung macht den Meister, sagt Émile Öztürk, und Ärger über 3 Äpfel übt auch Özil"
+    other = spark.createDataFrame([(9, item)], "item_id bigint, text string")
+    assert set(found(docs_of([(1, item.upper()), (2, item.lower()), (3, item.replace("Émile Öztürk", "Ömer")), (4, None)]), other)) == {(1, 9), (2, 9), (3, 9)}
+
+
+def test_names_that_begin_sentences(docs_of, spark):
+    """Each sentence begins with the name, so that all windows of the item hold it there."""
+    item = "Miller has 12 apples. Miller buys 3 pears. Miller eats 4 plums. Miller finds 5 nuts. How many fruits has Miller?"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    each = item
+    for name in ("Baker", "Cook", "Dean", "Evans", "Fox"):
+        each = each.replace("Miller", name, 1)
+    got = found(docs_of([(1, item.replace("Miller", "Baker")), (2, each), (3, each + " Baker, Cook, Dean, Evans, Fox")]), bench)
+    assert set(got) == {(1, 1)} and got[1, 1]["covered"] == got[1, 1]["item_tokens"] and got[1, 1]["changed"] == 5
+
+
+def test_an_edited_mention_leaves_the_rest_of_a_copy(docs_of, spark):
+    item = "The baker mixes 12 g of salt into the dough and lets it rest over night in a cool room before the first 12 loaves are made from it and then sold"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = found(docs_of([(1, item.replace("first 12", "first 13"))]), bench)[1, 1]
+    assert got["covered"] == got["item_tokens"] - 1
