@@ -8,12 +8,12 @@ every token of a document is scored exactly once, with at least OVERLAP tokens
 (or all there are) before it; windows are scored in batches with masked
 attention.
 
-Everything learnt comes from the whole corpus: token counts from all documents,
-and training windows from all documents at a fixed rate, so what is gathered
-grows with the input. Training is data-parallel: groups of about GROUP windows
-are trained on from common parameters, and the changes are averaged by how often
-each group saw a token; only averages reach the driver, whose size is the
-model's.
+Everything learnt comes from the whole corpus: token counts and training windows
+from all documents. Training is data-parallel: groups of about GROUP windows are
+trained on from common parameters, TOGETHER of them in one task, and the changes
+are averaged by how often each group saw a token; only averages reach the
+driver, whose size is the model's. Windows are cut where they are trained on;
+what is shuffled are pieces of documents of PIECE windows.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ U64 = np.uint64
 DIM, CLASSES, CONTEXT, OVERLAP = 16, 64, 32, 8
 STRIDE = CONTEXT - OVERLAP
 GROUP = 16_384
+TOGETHER = 16
+PIECE = 64
 BLOCKS = 32
 BOS = 1
 _MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
@@ -159,7 +161,7 @@ _KINDS_SQL = "doc_id bigint, block int, data binary, kind string"
 
 
 def _gather(model: str, rate: int):
-    """Encoded documents, training windows and, at the end, token counts of a partition."""
+    """Encoded documents, each with the rate at which its windows are trained on as block, and, at the end, token counts of a partition."""
 
     def run(batches):
         v = pieces.Vocabulary.of(model)
@@ -172,16 +174,7 @@ def _gather(model: str, rate: int):
                 total += np.bincount(ids, minlength=len(total))
                 raw, edge = ids.astype(wide).tobytes(), (np.concatenate([[0], np.cumsum(count)]) * np.dtype(wide).itemsize).tolist()
                 k = end - row
-                void = pa.nulls(k, pa.int32())
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(row, k), void, pa.array([raw[edge[i] : edge[i + 1]] for i in range(k)], pa.binary()), pa.array(["doc"] * k)], schema=_KINDS)
-                w, _, _ = windows_of(ids.astype(np.int32), count)
-                if len(w):
-                    h = K.mix((w.astype(np.int64).view(U64) * K.powers(K.WORD_BASE, w.shape[1])[0][: w.shape[1]]).sum(axis=1))
-                    take = h < U64((2**64 - 1) // rate)  # a share of all windows of all documents
-                    w, h = w[take].astype("<i4"), h[take]
-                    n = len(w)
-                    if n:
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.nulls(n, pa.int32()), pa.array([x.tobytes() for x in w], pa.binary()), pa.array(["window"] * n)], schema=_KINDS)
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(row, k), pa.array([rate] * k, pa.int32()), pa.array([raw[edge[i] : edge[i + 1]] for i in range(k)], pa.binary()), pa.array(["doc"] * k)], schema=_KINDS)
         if total.any():
             part = [x.astype("<i8").tobytes() for x in np.split(total, BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(part, pa.binary()), pa.array(["count"] * BLOCKS)], schema=_KINDS)
@@ -197,17 +190,57 @@ def _sum(dtype):
     return run
 
 
-def _step(sent, rate):
-    """The change that training on a group's windows makes, weighted by how often the group saw each id."""
+def _pieces(wide: str):
+    """(doc_id, piece, rate, data) of documents cut into PIECE windows each; data are the ids from the first window's first place on."""
+    width, bos = np.dtype(wide).itemsize, np.array([BOS], wide).tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("rate", pa.int32()), ("data", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            row, piece, out = [], [], []
+            for i, x in enumerate(b.column(2)):
+                raw = bos + x.as_buffer().to_pybytes()
+                n = len(raw) // width - 1
+                for k in range(-(-(1 + -(-max(n - CONTEXT, 0) // STRIDE)) // PIECE) if n else 0):
+                    at = k * PIECE * STRIDE
+                    row.append(i)
+                    piece.append(k)
+                    out.append(raw[at * width : (at + (PIECE - 1) * STRIDE + CONTEXT + 1) * width])
+            if out:
+                take = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(piece, pa.int32()), b.column(1).take(take), pa.array(out, pa.binary())], schema=schema)
+
+    return run
+
+
+def _windows(pieces_of: list[bytes], rate: int, wide: str) -> np.ndarray:
+    """All windows of pieces, or one of `rate` by content, in the order of their contents' hashes."""
+    kept, hashes = [np.zeros((0, CONTEXT + 1), "<i4")], [np.zeros(0, U64)]
+    for k in range(0, len(pieces_of), 256):
+        seq = [np.frombuffer(x, wide) for x in pieces_of[k : k + 256]]
+        w, doc, index = windows_of(np.concatenate([x[1:] for x in seq]).astype(np.int32), np.array([len(x) - 1 for x in seq]))
+        w[index == 0, 0] = [x[0] for x in seq]
+        h = K.mix((w.astype(np.int64).view(U64) * K.powers(K.WORD_BASE, w.shape[1])[0][: w.shape[1]]).sum(axis=1))
+        take = h <= U64((2**64 - 1) // rate)
+        kept.append(w[take].astype("<i4"))
+        hashes.append(h[take])
+    return np.concatenate(kept)[np.argsort(np.concatenate(hashes).view(np.int64), kind="stable")]
+
+
+def _step(sent, rate, wide):
+    """The changes that training on each of a task's groups of windows makes, weighted by how often the group saw each id, summed."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("doc_id", "ascending"), ("data", "ascending")])["data"]
-        w = np.stack([np.frombuffer(x.as_buffer(), "<i4") for x in order])
-        m, old = Model.load(sent.value), Model.load(sent.value)
-        m.train(w, rate)
-        seen = np.bincount(np.maximum(w[:, :-1], 0).ravel(), minlength=len(m.embed)).astype(np.float32)
-        flat = np.concatenate([seen, ((m.embed - old.embed) * seen[:, None]).ravel(), *(len(w) * (m.rest[k] - old.rest[k]).ravel() for k, _ in SHAPES), [len(w)]]).astype("<f4")
-        flat = np.concatenate([flat, np.zeros(-len(flat) % BLOCKS, "<f4")])
+        order = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("data", "ascending")])
+        w = _windows([x.as_py() for x in order["data"]], order["rate"][0].as_py(), wide)
+        old, flat = Model.load(sent.value), 0
+        for part in np.array_split(w, max(1, len(w) // GROUP)):
+            m = Model.load(sent.value)
+            m.train(part, rate)
+            seen = np.bincount(np.maximum(part[:, :-1], 0).ravel(), minlength=len(m.embed)).astype(np.float32)
+            flat = flat + np.concatenate([seen, ((m.embed - old.embed) * seen[:, None]).ravel(), *(len(part) * (m.rest[k] - old.rest[k]).ravel() for k, _ in SHAPES), [len(part)]])
+        flat = np.concatenate([flat, np.zeros(-len(flat) % BLOCKS)]).astype("<f4")
+        K.trim()
         return pa.table([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(flat, BLOCKS)], pa.binary())], names=["block", "data"])
 
     return run
@@ -226,12 +259,15 @@ def fit(corpus: DataFrame, vocabulary: int, rounds: int = 2, rate: float = 0.1)
     if counts is None:
         return m
     m.count(counts[:vocabulary])
-    windows = corpus.where("kind = 'window'").select("doc_id", "data")
-    groups = max(1, windows.count() // GROUP)
-    windows = windows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    wide = "<u2" if vocabulary <= 65536 else "<u4"
+    docs = corpus.where("kind = 'doc'").select("doc_id", "block", "data")
+    size = F.expr(f"1 + ceil(greatest(length(data) / {np.dtype(wide).itemsize} - {CONTEXT}, 0) / {STRIDE})")
+    count = docs.where("length(data) > 0").agg(F.sum(size / F.col("block"))).first()[0] or 0
+    tasks = max(1, int(count) // (GROUP * TOGETHER))
+    cut = docs.mapInArrow(_pieces(wide), "doc_id bigint, piece int, rate int, data binary").withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "data"), F.lit(tasks)))
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(m.dump())
-        got = _collected(windows.groupBy("g").applyInArrow(_step(sent, rate / (1 + r)), "block int, data binary"), "<f4")
+        got = _collected(cut.groupBy("g").applyInArrow(_step(sent, rate / (1 + r), wide), "block int, data binary"), "<f4")
         if got is None:
             return m
         seen, at = got[:vocabulary], vocabulary * (1 + DIM)
@@ -240,7 +276,7 @@ def fit(corpus: DataFrame, vocabulary: int, rounds: int = 2, rate: float = 0.1)
         rest, total = got[at : at + n], got[at + n]
         for k, s in SHAPES:
             d, rest = rest[: int(np.prod(s))], rest[int(np.prod(s)) :]
-            m.rest[k] += (d.reshape(s) / total).astype(np.float32)
+            m.rest[k] += (d.reshape(s) / max(total, 1)).astype(np.float32)
     return m
 
 
@@ -263,12 +299,13 @@ def score_flat(m: Model, ids: np.ndarray, count: np.ndarray, batch: int = 128) -
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("mean_nll", pa.float64())])
 
 
-def score(docs: DataFrame, model: str = pieces.MODEL, window_rate: int = 48, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, model: str = pieces.MODEL, window_rate: int = 1, rounds: int = 2) -> DataFrame:
     """(doc_id, n_tokens, mean_nll) of every row, under a model trained on the same rows.
 
     mean_nll is the mean of -log p over the tokens of the whole text, each scored
-    once; null for null and empty texts, which have no tokens. One of `window_rate`
-    windows, chosen by their content from all documents, is trained on. Equal texts
+    once; null for null and empty texts, which have no tokens. Every window of every
+    document is trained on; a `window_rate` above 1 takes only one of so many, chosen
+    by their content. Equal texts
     score equally; doc_id may be null; other columns are ignored; an empty table
     gives no rows.
     """

@@ -109,3 +109,25 @@ def test_odd_rows(docs_of):
     assert {(r["n_tokens"], r["mean_nll"]) for r in got if r["doc_id"] in (2, 3)} == {(0, None)}
     assert len({r["mean_nll"] for r in got if r["doc_id"] in (1, None)}) == 1
     assert L.score(docs_of([])).collect() == []
+
+
+def test_all_windows_are_trained_on():
+    """Pieces hold each window of each document once."""
+    import pyarrow as pa
+
+    count = np.array([0, 1, 31, 32, 33, 56, 57, 1544, 1545, 1568, 1569, 10_000])
+    ids = np.random.default_rng(6).integers(2, 30_000, count.sum()).astype(np.int32)
+    want, _, _ = L.windows_of(ids, count)
+    docs = [x.astype("<u2").tobytes() for x in np.split(ids, np.cumsum(count)[:-1])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array([1] * len(docs), pa.int32()), pa.array(docs, pa.binary())], names=["doc_id", "block", "data"])
+    cut = [x for b in L._pieces("<u2")([batch]) for x in b.column(3).to_pylist()]
+    got = L._windows(cut, 1, "<u2")
+    assert sorted(got.tolist()) == sorted(want.tolist())
+    assert 0 < len(L._windows(cut, 4, "<u2")) < len(got) / 2
+
+
+def test_small_tables_are_trained_on(docs_of, english):
+    """At the rate that the query uses, a table of a few windows makes its documents likelier than counts and random weights do."""
+    docs = docs_of([(i, english(i, 60)) for i in range(6)])
+    mean = lambda **o: np.mean([r["mean_nll"] for r in L.score(docs, **o).collect()])
+    assert mean() < mean(rounds=0) - 0.01
