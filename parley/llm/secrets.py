@@ -1,7 +1,10 @@
 """Secrets, confirmed by their structure.
 
-Candidates are maximal runs of base64, base64url or hex characters, found on the
-text's bytes. A candidate is reported only once it decodes and what it decodes
+Candidates lie in maximal runs of base64, base64url or hex characters, found on
+the text's bytes. As a run may hold more than a secret, such as a path or a name
+before it, candidates begin wherever a kind can begin: at the first characters of
+its encoding, or after a separator; the encoding's own lengths tell where they
+end. A candidate is reported only once it decodes and what it decodes
 to has the inner structure of its kind: a signed token's header and payload are
 JSON objects with an algorithm, a DER key's nested lengths add up to the end and
 hold the integers of its kind, an OpenSSH blob's length-prefixed fields fill it,
@@ -24,13 +27,17 @@ from . import kernel as K
 
 LEAST = 16
 _RUN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-.="))
-_MARK = np.isin(np.arange(256), list(b"0123456789+/_"))
 _HEX = re.compile(rb"[0-9a-fA-F]+\Z")
 _B64 = re.compile(rb"[A-Za-z0-9+/]+={0,2}\Z")
 _B64URL = re.compile(rb"[A-Za-z0-9_-]+={0,2}\Z")
 _NAMED = re.compile(rb"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*[:=]\s*[\"']?\Z")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_AWS = re.compile(rb"(?:AKIA|ASIA)([A-Z2-7]{16})\Z")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])*)-----END \1-----")
+_PEM_SPACE = re.compile(rb"\s+|\\+[nrt]|\\+(?=/)")  # line ends may be escaped, as in JSON
+_AWS = re.compile(rb"(?<![A-Za-z0-9+])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9+])")
+_PART = (re.compile(rb"[A-Za-z0-9+/]{16,}"), re.compile(rb"[A-Za-z0-9_-]{16,}"))
+_KEY = re.compile(rb"MI[GHI]|(?<![A-Za-z0-9])M[A-P]|b3BlbnNzaC1rZXktdjEA")  # the first bytes of DER sequences and of OpenSSH keys
+_HEXES = re.compile(rb"(?<![A-Za-z0-9])[0-9a-fA-F]{16,}(?![A-Za-z0-9])")
+_JSON = re.compile(rb"e[yw][A-Za-z0-9_-]")
 SIGNED = {"HS256": 32, "HS384": 48, "HS512": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "none": 0}
 
 
@@ -132,29 +139,95 @@ def signed_token(raw: bytes) -> bool:
 
 
 def _random_bytes(data: bytes) -> bool:
-    """Whether decoded bytes look drawn, not counted or repeated: at least half of them differ, and so do their steps."""
+    """Whether decoded bytes look drawn, not counted or repeated: at least half of them differ, or of all bytes that there are, and so do their steps."""
     step = {(y - x) % 256 for x, y in zip(data, data[1:])}
-    return 2 * len(set(data)) > len(data) and 2 * len(step) > len(data) - 1
-
-
-def confirm(raw: bytes, before: bytes) -> str | None:
-    """The kind of secret that a candidate run is, given the bytes before it; None if its structure doesn't show one."""
-    if raw.count(b".") == 2 and signed_token(raw):
-        return "signed_token"
-    m = _AWS.match(raw)
-    if m and int.from_bytes(base64.b32decode(m[1])[:6], "big") >> 7 & 0xFFFFFFFFFF <= 999_999_999_999:
-        return "cloud_key_id"
-    for data in (bytes.fromhex(raw.decode()) if _HEX.match(raw) and len(raw) % 2 == 0 else None, _b64(raw), _b64(raw, True)):
-        kind = data and (der_kind(data) or ssh_kind(data))
-        if kind:
-            return kind
-    if _HEX.match(raw) and len(raw) % 2 == 0 and _NAMED.search(before) and _random_bytes(bytes.fromhex(raw.decode())):
-        return "assigned_hex"
-    return None
+    return 2 * len(set(data)) > min(len(data), 256) and 2 * len(step) > min(len(data) - 1, 256)
+
+
+def _length(data: bytes) -> int | None:
+    """How many bytes a DER sequence or OpenSSH key that begins with the data has, by its own lengths; None if they don't say."""
+    if data[:1] == b"0":
+        if len(data) < 2 or data[1] < 128:
+            return 2 + data[1] if len(data) > 1 else None
+        k = data[1] & 127
+        return 2 + k + int.from_bytes(data[2 : 2 + k], "big") if 1 <= k <= 4 and len(data) >= 2 + k else None
+    at, left = len(b"openssh-key-v1\0"), 3
+    keys = False
+    while left:
+        if at + 4 > len(data):
+            return None
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        if not left and not keys:  # cipher, kdf and its options; then the public keys, and the private ones together
+            n = int.from_bytes(data[at : at + 4], "big")
+            if not 1 <= n <= 16:
+                return None
+            at, left, keys = at + 4, n + 1, True
+    return at
+
+
+def _keys(run: bytes):
+    """(start, end, kind) of encoded keys in a run."""
+    for url, form in enumerate(_PART):
+        for part in form.finditer(run):
+            for m in _KEY.finditer(run, part.start(), part.end()):
+                a, e = m.start(), part.end()
+                head = run[a : min(e, a + 8 if run[a] == 77 else e)]
+                n = _length((base64.urlsafe_b64decode if url else base64.b64decode)(head[: len(head) // 4 * 4]))
+                c = -(-n * 4 // 3) if n else 0
+                if not LEAST <= c <= e - a or run[a + c : a + c + 1].isalnum():
+                    continue
+                data = _b64(run[a : a + c], bool(url))
+                kind = data and (der_kind(data) or ssh_kind(data))
+                if kind:
+                    c += len(re.match(rb"=*", run[a + c : a + c + -c % 4])[0])
+                    yield a, a + c, kind
+
+
+def _tokens(run: bytes):
+    """(start, end) of signed tokens in a run: a header that may begin anywhere before a dot, a whole payload, and a signature up to a separator."""
+    parts, at = run.split(b"."), 0
+    for head, body, tail in zip(parts, parts[1:], parts[2:]):
+        if _JSON.match(body) and _b64(body, True):
+            sign = re.match(rb"[A-Za-z0-9_-]*(?:={1,2}(?![A-Za-z0-9=]))?", tail)[0]
+            for m in _JSON.finditer(head):
+                first = head[m.start() :]
+                if not _B64URL.match(first):
+                    continue
+                # after a signature may follow a name set off by a hyphen or underscore
+                sizes = {-(-n * 4 // 3) for n in SIGNED.values() if n is not None}
+                ends = [sign] + [sign[:n] for n in sorted(sizes, reverse=True) if sign[n : n + 1] in (b"-", b"_")]
+                ends += [b""] if sign and not sign[:1].isalnum() else []
+                got = next((x for x in ends if signed_token(b".".join((first, body, x)))), None)
+                if got is not None:
+                    yield at + m.start(), at + len(head) + len(body) + 2 + len(got)
+                    break
+        at += len(head) + 1
+
+
+def confirmed(run: bytes, before: bytes):
+    """(start, end, kind) of all secrets in a run, given the bytes before it; those that begin first, and of these the longest, where some overlap."""
+    found = [(a, e, "signed_token") for a, e in _tokens(run)] if run.count(b".") >= 2 else []
+    if b"AKIA" in run or b"ASIA" in run:
+        found += [(m.start(), m.end(), "cloud_key_id") for m in _AWS.finditer(run) if int.from_bytes(base64.b32decode(m[1])[:6], "big") >> 7 & 0xFFFFFFFFFF <= 999_999_999_999]
+    if b"M" in run or b"b3Blbn" in run:
+        found += _keys(run)
+    for m in _HEXES.finditer(run):
+        if len(m[0]) % 2 == 0:
+            data = bytes.fromhex(m[0].decode())
+            kind = der_kind(data) or ssh_kind(data)
+            if not kind and _NAMED.search((before + run[: m.start()])[-40:]) and _random_bytes(data):
+                kind = "assigned_hex"
+            if kind:
+                found.append((m.start(), m.end(), kind))
+    last = 0
+    for a, e, kind in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= last:
+            yield a, e, kind
+            last = e
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of at least LEAST characters within one text that hold a digit or sign, trailing dots left out."""
+    """Starts and ends of runs of at least LEAST characters within one text."""
     on = _RUN[data]
     n = len(data)
     edge = np.empty(n + 1, bool)
@@ -170,10 +243,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         pos = np.sort(np.concatenate([pos, cut, cut]))
     s, e = pos[0::2], pos[1::2]
     long = e - s >= LEAST
-    s, e = s[long], e[long]
-    marks = np.concatenate([[0], np.cumsum(_MARK[data], dtype=np.int64)])
-    some = marks[e] > marks[s]
-    return s[some], e[some]
+    return s[long], e[long]
 
 
 def scan_chunk(data: np.ndarray, offsets: np.ndarray):
@@ -185,7 +255,7 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray):
         m = _PEM.match(raw, at)
         if m:
             d = int(np.searchsorted(offsets, at, "right")) - 1
-            got = _b64(re.sub(rb"\s+", b"", m[2])) if m.end() <= offsets[d + 1] else None
+            got = _b64(_PEM_SPACE.sub(b"", m[2])) if m.end() <= offsets[d + 1] else None
             kind = got and (der_kind(got) or ssh_kind(got))
             if kind:
                 yield d, kind, at - int(offsets[d]), m[0]
@@ -194,23 +264,10 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray):
     s, e = candidates(data, offsets)
     d = np.searchsorted(offsets, s, "right") - 1
     for a, b, t in zip(s.tolist(), e.tolist(), d.tolist()):
-        if any(x <= a < y for x, y in taken):
-            continue
         low = int(offsets[t])
-        # a run may hold `name=value` and end in full stops: its parts are tried from the longest
-        run = raw[a:b].rstrip(b".")
-        tries = [(a, run)]
-        if b"=" in run.rstrip(b"="):
-            k = run.rstrip(b"=").rfind(b"=") + 1
-            tries.append((a + k, run[k:]))
-        for k, v in tries:
-            v = v.lstrip(b".-") if v[:1] in b".-" else v
-            if len(v) < LEAST:
-                continue
-            kind = confirm(v, raw[max(low, k - 40) : k])
-            if kind:
-                yield t, kind, k - low, v
-                break
+        for k, end, kind in confirmed(raw[a:b], raw[max(low, a - 40) : a]):
+            if not any(x < a + end and a + k < y for x, y in taken):
+                yield t, kind, a + k - low, raw[a + k : a + end]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("secret", pa.string())])

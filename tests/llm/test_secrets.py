@@ -75,3 +75,43 @@ def test_scan_of_whole_texts(docs_of):
 def test_neighbouring_texts_are_not_joined(docs_of):
     t = token({"alg": "HS256"}, {"a": 1}, b"q" * 32).decode()
     assert S.scan(docs_of([(i, t[a:b]) for i, (a, b) in enumerate([(0, 40), (40, None)])]).coalesce(1)).collect() == []
+
+
+@pytest.mark.parametrize("before, after", [("https://host/cb/", ""), ("https://host/cb/", "/more"), ("id-", ""), ("a=b.c-", "-x"), ("name=", "."), ("x.y/", "=z")])
+def test_secrets_within_runs(docs_of, before, after):
+    """What stands before or after a secret in the same run doesn't hide it."""
+    t = token({"alg": "HS256"}, {"sub": 1}, b"s" * 32).decode()
+    key = b64(RSA).decode()
+    secrets = [(1, "signed_token", t), (2, "rsa_private_key", key), (3, "cloud_key_id", "AKIA" + "BCDEFGHIJKLMNOPQ"), (4, "ec_private_key", b64(EC).decode())]
+    got = {(r["doc_id"], r["kind"], r["secret"], r["start"]) for r in S.scan(docs_of([(i, before + x + after) for i, _, x in secrets])).collect()}
+    assert got == {(i, kind, x, len(before)) for i, kind, x in secrets}
+
+
+def chunk(*texts):
+    import pyarrow as pa
+
+    return [x for _, _, data, offsets in S.K.chunks(pa.array(texts)) for x in S.scan_chunk(data, offsets)]
+
+
+def test_unsigned_tokens_keep_their_dot():
+    t = token({"alg": "none"}, {"sub": 1}, b"").decode()
+    assert t.endswith(".") and [(x[1], x[2], x[3].decode()) for x in chunk(f"the token {t} is open")] == [("signed_token", 10, t)]
+
+
+def test_escaped_line_ends():
+    body = base64.encodebytes(PKCS8).decode().replace("\n", "\\n")
+    pem = "-----BEGIN PRIVATE KEY-----\\n" + body + "-----END PRIVATE KEY-----"
+    assert [(x[1], x[3].decode()) for x in chunk('{"private_key": "' + pem + '\\n"}')] == [("pkcs8_private_key", pem)]
+
+
+def test_long_hex_values():
+    import random
+
+    value = random.Random(3).randbytes(1000).hex()
+    assert [x[1] for x in chunk(f"secret = {value}")] == ["assigned_hex"] and chunk("secret = " + "00ff" * 500) == []
+
+
+def test_openssh_in_a_path():
+    f = lambda x: len(x).to_bytes(4, "big") + x
+    key = b"openssh-key-v1\0" + f(b"none") + f(b"none") + f(b"") + b"\0\0\0\1" + f(f(b"ssh-ed25519") + f(b"p" * 32)) + f(b"s" * 64)
+    assert [(x[1], x[3]) for x in chunk("keys/" + b64(key).decode() + "/old")] == [("openssh_private_key", b64(key))]
