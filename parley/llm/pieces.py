@@ -89,6 +89,7 @@ class Vocabulary:
         """Empties the store of encoded units."""
         self.known = np.zeros(0, U64)
         self.known_at, self.known_size, self.known_ok = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known_checked = np.zeros(0, bool)
         self.store = np.zeros(0, np.int32)
 
     def _table(self, keys, ranks, merged) -> None:
@@ -312,6 +313,12 @@ class Vocabulary:
         have = np.zeros(len(distinct), bool)
         inside = pos < len(self.known)
         have[inside] = self.known[pos[inside]] == distinct[inside]
+        if check:  # units that were kept without asking the library
+            again = np.flatnonzero(have)
+            again = again[~self.known_checked[pos[again]]]
+            if len(again):
+                self.known_ok[pos[again]] = self.encode_units(raw, start[first[again]], end[first[again]], True)[2]
+                self.known_checked[pos[again]] = True
         new = np.flatnonzero(~have)
         if len(new):
             out, per, ok = self.encode_units(raw, start[first[new]], end[first[new]], check)
@@ -319,6 +326,7 @@ class Vocabulary:
             self.store = np.concatenate([self.store, out])
             ins = np.searchsorted(self.known, distinct[new])
             self.known = np.insert(self.known, ins, distinct[new])
+            self.known_checked = np.insert(self.known_checked, ins, check)
             self.known_at, self.known_size, self.known_ok = np.insert(self.known_at, ins, at), np.insert(self.known_size, ins, per), np.insert(self.known_ok, ins, ok)
         slot = np.searchsorted(self.known, distinct)[which]
         per = self.known_size[slot]

@@ -100,3 +100,19 @@ def test_units_are_kept_apart_from_the_store(v):
     assert a == v.encode(["one two three one two"]) == [v.library.encode("one two three one two")]
     ids, count, ok = v.encode_chunk(*__import__("parley.llm.kernel", fromlist=["x"]).text_buffers(pa.array(["", None, "x"], pa.string())))
     assert count.tolist()[:2] == [0, 0] and ok.all() and len(ids) == count[2]
+
+
+def test_cached_units_are_still_checked(monkeypatch):
+    """Units that were encoded without a check, as for the language model, are checked when they are met again."""
+    from parley.llm import kernel as K
+    from parley.llm import pieces
+
+    v, asked = pieces.Vocabulary.of(pieces.MODEL), []
+    v.forget()
+    encode = v.encode_units
+    monkeypatch.setattr(v, "encode_units", lambda raw, s, e, check: (asked.append(check), encode(raw, s, e, check))[1])
+    text = K.text_buffers(__import__("pyarrow").array(["a few words here"]))
+    plain, _, _ = v.encode_chunk(*text, check=False)
+    checked, _, ok = v.encode_chunk(*text, check=True)
+    v.encode_chunk(*text, check=True)
+    assert asked == [False, True] and ok.all() and plain.tolist() == checked.tolist()
