@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,24 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
+    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, one of our own if driver and executors are one process, as in tests, else an error."""
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"parley-{os.getuid()}")
     return at.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or with underscores before it until no column of the DataFrame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing.
 

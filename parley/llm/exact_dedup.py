@@ -1,13 +1,13 @@
 """Exact duplicates by a cuckoo-filter index over live digests.
 
 A document's digest is two independent 64-bit hashes of its text, made in the
-JVM. Digests (24 bytes a document, never texts) are shuffled by digest; every
-partition holds a `CuckooIndex`: a filter of 16-bit fingerprints whose slots
-also name the stored key. A lookup that hits the filter is verified against the
-stored keys of the two buckets; when an insertion finds no free slot, the
-filter is rebuilt twice as large from the stored keys. Digests that were seen
-more than once then have their texts compared in full, so a digest collision
-cannot make two documents equal.
+JVM. Digests (never texts) are counted in their task and shuffled by digest;
+before and after the shuffle a `CuckooIndex` holds them: a filter of 16-bit
+fingerprints whose slots also name the stored key. A lookup that hits the filter
+is verified against the stored keys of the two buckets; when an insertion finds
+no free slot, the filter is rebuilt twice as large from the stored keys. Texts
+whose digests were seen more than once are then grouped by the texts themselves,
+so a digest collision cannot make two documents equal.
 """
 
 from __future__ import annotations
@@ -72,20 +72,30 @@ class CuckooIndex:
             found[at[same]] = row[same]
         return found
 
-    def insert(self, keys: np.ndarray, payload: np.ndarray) -> np.ndarray:
-        """Adds one reference for each key; true where the key was new. The payload kept is that of the first reference."""
-        keys = np.asarray(keys, U64).reshape(-1, 2)
+    @staticmethod
+    def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order that brings equal keys together, where each run of them begins in it, and how long it is."""
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         run = keys[order]
-        lead = np.ones(len(run), bool)
-        lead[1:] = (run[1:] != run[:-1]).any(axis=1)
-        which = np.cumsum(lead) - 1
-        times = np.bincount(which, minlength=int(lead.sum()))
+        lead = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)])) if len(run) else np.zeros(0, np.int64)
+        return order, lead, np.diff(np.append(lead, len(run)))
+
+    def insert(self, keys: np.ndarray, payload: np.ndarray, refs: np.ndarray | None = None) -> np.ndarray:
+        """Adds one reference for each key, or `refs` of them; true where the key was new. The payload kept is the least."""
+        keys = np.asarray(keys, U64).reshape(-1, 2)
+        new = np.zeros(len(keys), bool)
+        if not len(keys):
+            return new
+        order, lead, times = self._runs(keys)
+        least = np.minimum.reduceat(np.asarray(payload, np.int64)[order], lead)
+        if refs is not None:
+            times = np.add.reduceat(np.asarray(refs, np.int64)[order], lead)
         first = order[lead]
         row = self.find(keys[first])
-        self.count[row[row >= 0]] += times[row >= 0]
+        old = row[row >= 0]
+        self.count[old] += times[row >= 0]
+        self.payload[old] = np.minimum(self.payload[old], least[row >= 0])
         fresh = first[row < 0]
-        new = np.zeros(len(keys), bool)
         new[fresh] = True
         if len(fresh):
             begin, self.size = self.size, self.size + len(fresh)
@@ -95,7 +105,7 @@ class CuckooIndex:
                 self.payload = np.concatenate([self.payload, np.zeros(room - len(self.payload), np.int64)])
                 self.count = np.concatenate([self.count, np.zeros(room - len(self.count), np.int64)])
             self.keys[begin : self.size] = keys[fresh]
-            self.payload[begin : self.size] = np.asarray(payload)[fresh]
+            self.payload[begin : self.size] = least[row < 0]
             self.count[begin : self.size] = times[row < 0]
             self._place(np.arange(begin, self.size))
         return new
@@ -138,21 +148,27 @@ class CuckooIndex:
                 return False
         return True
 
-    def delete(self, keys: np.ndarray) -> np.ndarray:
-        """Takes away one reference for each key; true where there was one. A key without references leaves the filter."""
+    def delete(self, keys: np.ndarray, refs: np.ndarray | None = None) -> np.ndarray:
+        """Takes away one reference for each key, or up to `refs` of them; true where there was one. A key without references leaves the filter."""
         keys = np.asarray(keys, U64).reshape(-1, 2)
         had = np.zeros(len(keys), bool)
-        for i in range(len(keys)):
-            row = int(self.find(keys[i : i + 1])[0])
-            if row < 0:
-                continue
-            had[i] = True
-            self.count[row] -= 1
-            if not self.count[row]:
-                _, one, two = self._places(keys[i : i + 1])
-                for b in {int(one[0]), int(two[0])}:
-                    s = np.flatnonzero(self.row[b] == row)
-                    self.print[b, s], self.row[b, s] = 0, -1
+        if not len(keys):
+            return had
+        order, lead, times = self._runs(keys)
+        row = self.find(keys[order[lead]])
+        there = np.where(row >= 0, self.count[row], 0) if self.size else np.zeros(len(row), np.int64)
+        if refs is None:
+            had[order] = np.arange(len(keys)) - np.repeat(lead, times) < np.repeat(there, times)
+        else:
+            had[order] = np.repeat(there > 0, times)
+            times = np.add.reduceat(np.asarray(refs, np.int64)[order], lead)
+        live = row[row >= 0]
+        self.count[live] -= np.minimum(times, there)[row >= 0]
+        dead = live[self.count[live] == 0]
+        _, one, two = self._places(self.keys[dead])
+        for bucket in (one, two):
+            at, slot = np.nonzero(self.row[bucket] == dead[:, None])
+            self.print[bucket[at], slot], self.row[bucket[at], slot] = 0, -1
         return had
 
     def live(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,34 +177,83 @@ class CuckooIndex:
         return self.keys[rows], self.payload[rows], self.count[rows]
 
 
+def _d1():
+    return F.xxhash64("text")
+
+
+def _d2():
+    return F.xxhash64(F.lit("second"), "text")  # the text last: a hash of several columns is seeded with that of those before
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, d1, d2) of documents with an id and a text."""
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("d1"), F.xxhash64("text", F.lit("second")).alias("d2")
-    )
-
-
-_SEEN = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
-
-
-def _repeated(batches):
-    """Rows of a partition whose digest the partition's index holds already, and once for each such digest its first row."""
-    index, told = CuckooIndex(1 << 12), np.zeros(0, bool)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        doc = b.column(0).to_numpy()
-        keys = np.stack([b.column(1).to_numpy().view(U64), b.column(2).to_numpy().view(U64)], axis=1)
-        again = ~index.insert(keys, doc)
-        if index.size > len(told):
-            told = np.concatenate([told, np.zeros(max(index.size, 2 * len(told)) - len(told), bool)])
-        if again.any():
-            rows = np.unique(index.find(keys[again]))
-            rows = rows[~told[rows]]
-            told[rows] = True
-            ids = np.concatenate([doc[again], index.payload[rows]])
-            k = np.concatenate([keys[again], index.keys[rows]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(k[:, 0]), pa.array(k[:, 1])], schema=_SEEN)
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), _d1().alias("d1"), _d2().alias("d2"))
+
+
+_LIVE = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("first_id", pa.int64()), ("refs", pa.int64())])
+_LIVE_SQL = "d1 bigint, d2 bigint, first_id bigint, refs bigint"
+
+
+def _told(index: CuckooIndex, least: int):
+    """Keys with at least so many references, in batches."""
+    keys, payload, count = index.live()
+    on = np.flatnonzero(count >= least)
+    for k in range(0, len(on), 1 << 16):
+        at = on[k : k + (1 << 16)]
+        d = keys[at].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(payload[at]), pa.array(count[at])], schema=_LIVE)
+
+
+def _counted(least: int, bound: int | None = None):
+    """References of a partition's digests (d1, d2, first_id, refs) put together by an index, which is emptied when it holds `bound` keys."""
+
+    def run(batches):
+        index = CuckooIndex(1 << 12)
+        for b in batches:
+            if b.num_rows:
+                d1, d2, first, refs = (c.to_numpy() for c in b.columns)
+                index.insert(np.stack([d1.view(U64), d2.view(U64)], axis=1), first, refs)
+            if bound and index.size >= bound:
+                yield from _told(index, least)
+                index = CuckooIndex(1 << 12)
+        yield from _told(index, least)
+
+    return run
+
+
+def _classes(docs: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """(d1, d2, sha, keeper_id, copies, ties) of every text that several rows have; ties is the number of rows of the keeper's id, 2 where it isn't known.
+
+    Digests are put together by an index in every task before they are shuffled, so
+    a text is sent once by each task however many rows have it, and so are the texts
+    of repeated digests when they are compared.
+    """
+    parts = common.parts_for(docs, 64 << 20)
+    here = digests(docs).select("d1", "d2", F.col("doc_id").alias("first_id"), F.lit(1).cast("bigint").alias("refs")).mapInArrow(_counted(1, 1 << 18), _LIVE_SQL)
+    seen = common.materialise(here.repartition(parts, "d1").mapInArrow(_counted(2), _LIVE_SQL).select("d1", "d2", "first_id"), "repeated-digests")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", _d1().alias("d1"), _d2().alias("d2"))
+    # beyond the bound a join by the digest's shuffle; its rows of one digest are split by adaptive execution
+    texts = rows.join(F.broadcast(seen) if seen.count() * 32 <= broadcast_bytes else seen, ["d1", "d2"])
+    same = texts.groupBy("d1", "d2", "text").agg(F.min("doc_id").alias("keeper_id"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("doc_id") == F.col("first_id")).alias("ties"), F.min("first_id").alias("first_id"))
+    ties = F.when(F.col("keeper_id") == F.col("first_id"), F.col("ties")).otherwise(2)
+    return common.materialise(same.where("copies > 1").select("d1", "d2", F.sha2("text", 256).alias("sha"), "keeper_id", "copies", ties.alias("ties")), "equal-texts")
+
+
+def _with_class(rows: DataFrame, classes: DataFrame, broadcast_bytes: int, how: str) -> DataFrame:
+    """Rows with their text's class. Classes are broadcast within the bound; beyond it the largest ones are, of which there can't be many, and the rest is joined by a shuffle."""
+    names = {c: common.unused(rows, c) for c in classes.columns}
+    side = classes.select(*[F.col(c).alias(n) for c, n in names.items()])
+    text = F.when(F.col("doc_id").isNotNull(), F.col("text"))
+    on = lambda x: (F.xxhash64(text) == x[names["d1"]]) & (F.xxhash64(F.lit("second"), text) == x[names["d2"]]) & (F.sha2(text, 256) == x[names["sha"]])
+    n, total = classes.agg(F.count(F.lit(1)), F.sum("copies")).first()
+    if n * 150 <= broadcast_bytes:
+        return rows.join(F.broadcast(side), on(side), how), names
+    large = side.where(F.col(names["copies"]) > total // 50_000)  # fewer than 50,000, as their copies add up to no more than the total
+    first = rows.join(F.broadcast(large), on(large), "left")
+    found = F.col(names["keeper_id"]).isNotNull()
+    rest = first.where(~found).select(rows.columns)
+    small = side.where(F.col(names["copies"]) <= total // 50_000)
+    return first.where(found).unionByName(rest.join(small, on(small), how)), names
 
 
 def exact_duplicates(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -200,53 +265,42 @@ def exact_duplicates(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFr
     rows that repeat a doc_id count as often as they occur. An empty table gives
     no rows. Other columns are ignored.
 
-    The ids of repeated digests are broadcast to fetch their texts only if they
-    fit `broadcast_bytes`; beyond that the texts are joined by a shuffle.
+    What is broadcast are digests of repeated texts within `broadcast_bytes`;
+    beyond it they are joined by a shuffle.
     """
-    spark = docs.sparkSession
-    parts = common.parts_for(docs, 64 << 20)
-    seen = digests(docs).repartition(parts, "d1").mapInArrow(_repeated, "doc_id bigint, d1 bigint, d2 bigint")
-    seen = common.materialise(seen.distinct(), "repeated-digests")
-    small = seen.count() * 40 <= broadcast_bytes
-    side = F.broadcast(seen) if small else seen
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL").join(side, "doc_id")
-    # a row that repeats a doc_id with another text meets a digest that isn't its own
-    texts = texts.where((F.xxhash64("text") == F.col("d1")) & (F.xxhash64("text", F.lit("second")) == F.col("d2")))
-    same = texts.groupBy("d1", "d2", "text").agg(F.min("doc_id").alias("keeper_id"), F.count(F.lit(1)).alias("copies"), F.collect_list("doc_id").alias("ids"))
-    return same.where("copies > 1").select(F.explode("ids").alias("doc_id"), "keeper_id", "copies")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found, _ = _with_class(rows, _classes(docs, broadcast_bytes), broadcast_bytes, "inner")
+    return found.select("doc_id", "keeper_id", "copies")
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents without repeated texts: of equal texts the row with the least doc_id stays, once.
+def drop_duplicates(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The documents without repeated texts: of equal texts one row with the least doc_id stays.
 
-    Rows with a null text or a null doc_id all stay.
+    Each row is settled by its own text, so other rows of its doc_id don't matter.
+    Rows with a null text or a null doc_id all stay. Of several rows with the least
+    doc_id and the very text, any one stays. All columns are kept, whatever their
+    names; an empty table stays empty.
     """
-    found = common.materialise(exact_duplicates(docs).groupBy("doc_id", "keeper_id").agg(F.count(F.lit(1)).alias("times")), "duplicates")
-    gone = found.where("doc_id <> keeper_id").select("doc_id", "keeper_id")
-    twice = found.where("doc_id = keeper_id AND times > 1").select("doc_id")
-    if found.where("doc_id = keeper_id AND times > 1").limit(1).count():
-        # an id may repeat with different texts, so such ids are settled on whole rows
-        ids = found.groupBy("doc_id").agg(F.sum("times").alias("n")).where("n > 1").select("doc_id").union(twice).distinct()
-        odd = docs.join(ids, "doc_id", "left_semi").where("text IS NOT NULL")
-        rest = docs.join(ids, "doc_id", "left_anti").unionByName(docs.join(ids, "doc_id", "left_semi").where("text IS NULL"))
-        first = odd.dropDuplicates(["doc_id", "text"])
-        return _without(rest, gone).unionByName(_without(first, gone))
-    return _without(docs, gone)
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    small = gone.count() * 40 <= 64 << 20
-    return docs.join(F.broadcast(gone.select("doc_id").distinct()) if small else gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    classes = _classes(docs, broadcast_bytes)
+    rows, names = _with_class(docs, classes, broadcast_bytes, "left")
+    kept = rows.where(F.col(names["keeper_id"]).isNull() | (F.col("doc_id").cast("bigint") == F.col(names["keeper_id"])))
+    if not classes.where("ties > 1").limit(1).count():
+        return kept.select(docs.columns)
+    one = F.coalesce(names["ties"], F.lit(1)) == 1
+    several = kept.where(~one).dropDuplicates(["doc_id", *(names[c] for c in ("d1", "d2", "sha"))])
+    return kept.where(one).select(docs.columns).unionByName(several.select(docs.columns))
 
 
 def apply_changes(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
     """A live index (d1, d2, first_id, refs) after inserting and deleting documents (doc_id, text).
 
     Each bucket of digests is rebuilt as a `CuckooIndex` and takes its insertions,
-    then its deletions; deleting what isn't live does nothing.
+    then its deletions; deleting what isn't live does nothing. Changes of one digest
+    are counted in their tasks first, so a hot text is a row a task. first_id is the
+    least id inserted. Rows without id or text change nothing.
     """
-    parts = common.parts_for(index, 64 << 20)
-    out = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("first_id", pa.int64()), ("refs", pa.int64())])
+    # buckets hold digests, 32 bytes each: of the index and of what comes in
+    parts = max(common.parts_for(x, 64 << 20) for x in (index, inserted, deleted))
 
     def change(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
@@ -254,21 +308,17 @@ def apply_changes(index: DataFrame, inserted: DataFrame, deleted: DataFrame) ->
         ids, refs = table["id"].to_numpy(), table["refs"].to_numpy()
         held = CuckooIndex(max(8, len(kind)))
         old = np.flatnonzero(kind == 0)
-        held.insert(keys[old], ids[old])
-        held.count[held.find(keys[old])] = refs[old]
-        new = np.flatnonzero(kind == 1)
-        new = new[np.argsort(ids[new], kind="stable")]
-        held.insert(keys[new], ids[new])
-        held.delete(keys[kind == 2])
-        k, payload, count = held.live()
-        k = k.view(np.int64)
-        return pa.table([k[:, 0], k[:, 1], payload, count], schema=out)
+        for x in (0, 1):
+            held.insert(keys[kind == x], ids[kind == x], refs[kind == x])
+        held.delete(keys[kind == 2], refs[kind == 2])
+        return pa.Table.from_batches(list(_told(held, 1)), schema=_LIVE)
 
     rows = index.selectExpr("d1", "d2", "first_id AS id", "refs", "0 AS kind")
     for kind, docs in ((1, inserted), (2, deleted)):
-        rows = rows.unionByName(digests(docs).selectExpr("d1", "d2", "doc_id AS id", "1L AS refs", f"{kind} AS kind"))
+        changes = digests(docs).selectExpr("d1", "d2", "doc_id AS first_id", "1L AS refs").mapInArrow(_counted(1, 1 << 18), _LIVE_SQL)
+        rows = rows.unionByName(changes.selectExpr("d1", "d2", "first_id AS id", "refs", f"{kind} AS kind"))
     rows = rows.withColumn("bucket", F.pmod("d1", F.lit(parts)))
-    return rows.groupBy("bucket").applyInArrow(change, "d1 bigint, d2 bigint, first_id bigint, refs bigint")
+    return rows.groupBy("bucket").applyInArrow(change, _LIVE_SQL)
 
 
 SQL = """

@@ -74,11 +74,63 @@ def test_duplicates_are_brute_force(docs_of, limit):
     assert got == brute(CASES)
 
 
-def test_repeated_rows_and_repeated_ids(docs_of):
-    rows = [(1, "a"), (1, "a"), (2, "b"), (2, "a"), (3, "b")]
-    assert sorted(map(tuple, D.exact_duplicates(docs_of(rows)).collect())) == brute(rows)
-    kept = sorted((r["doc_id"], r["text"]) for r in D.drop_duplicates(docs_of(rows)).collect())
-    assert (1, "a") in kept and len([t for _, t in kept if t == "a"]) == 1
+def kept_by_brute_force(rows):
+    """Rows that stay: of equal texts one with the least id, and all without id or text."""
+    out, seen = [], set()
+    least = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            least[t] = min(i, least.get(t, i))
+    for i, t in rows:
+        if i is None or t is None:
+            out.append((i, t))
+        elif i == least[t] and t not in seen:
+            seen.add(t)
+            out.append((i, t))
+    return sorted(out, key=repr)
+
+
+REPEATED = [
+    [(1, "a"), (1, "a"), (2, "b"), (2, "a"), (3, "b")],
+    [(1, "A"), (5, "A"), (5, "B"), (7, "C")],
+    [(1, "A"), (5, "A"), (5, None), (7, "C")],
+    [(5, None), (5, None), (5, ""), (4, ""), (4, ""), (None, ""), (None, "")],
+]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_repeated_rows_and_repeated_ids(docs_of, limit):
+    r = random.Random(7)
+    drawn = [(r.choice([None, 1, 2, 3, 4, 5]), r.choice([None, "", "a", "b", "c", "d"])) for _ in range(40)]
+    rows = [(i and i + 100 * k, t and f"{t}{k}") for k, part in enumerate([*REPEATED, drawn, drawn[:12]]) for i, t in part]
+    docs = docs_of(rows)
+    assert sorted(map(tuple, D.exact_duplicates(docs, limit).collect())) == sorted((i, min(g), len(g)) for g in groups_of(rows) for i in g)
+    kept = D.drop_duplicates(docs, limit)
+    assert kept.columns == docs.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=repr) == kept_by_brute_force(rows)
+
+
+def groups_of(rows):
+    by = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            by.setdefault(t, []).append(i)
+    return [g for g in by.values() if len(g) > 1]
+
+
+def test_a_text_that_half_of_the_rows_have(spark):
+    """Each task sends a hot text's digest once, so no task gets its rows."""
+    df = spark.range(0, 20_000, 1, 8).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('t', id) END AS text")
+    here = D.digests(df).selectExpr("d1", "d2", "doc_id AS first_id", "1L AS refs").mapInArrow(D._counted(1, 1 << 18), D._LIVE_SQL)
+    assert here.where("refs > 1").count() == 8
+    got = D.exact_duplicates(df, 0).groupBy("keeper_id", "copies").count().collect()
+    assert list(map(tuple, got)) == [(0, 10_000, 10_000)]
+    assert D.drop_duplicates(df).count() == 10_001
+
+
+def test_names_of_further_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "a", 1, 2, "x", 5), (2, "a", 3, 4, "y", 6)], "doc_id int, text string, d1 int, keeper_id int, sha string, ties int")
+    assert list(map(tuple, D.drop_duplicates(df).collect())) == [(1, "a", 1, 2, "x", 5)]
 
 
 def test_empty_table(docs_of):
