@@ -24,7 +24,7 @@ U64 = np.uint64
 
 
 class Bloom:
-    """Bits for 64-bit keys; `salt` makes the levels independent."""
+    """Bits for 128-bit keys, given as two columns of 64; `salt` makes the levels independent."""
 
     def __init__(self, bits: np.ndarray, hashes: int, salt: int):
         self.bits, self.hashes, self.salt = bits, hashes, salt
@@ -38,8 +38,9 @@ class Bloom:
         return b
 
     def _places(self, keys: np.ndarray):
-        a = mix(keys ^ mix(np.array([self.salt + 1], U64)))
-        step = mix(a) | U64(1)
+        salt = mix(np.array([2 * self.salt + 1, 2 * self.salt + 2], U64))
+        a = mix(keys[:, 0] ^ salt[0] ^ mix(keys[:, 1] ^ salt[1]))
+        step = mix(keys[:, 1] + mix(keys[:, 0] + salt[0])) | U64(1)  # not a function of `a`: all 128 bits tell keys apart
         m = U64(len(self.bits) * 8)
         for i in range(self.hashes):
             yield ((a + U64(i) * step) % m).astype(np.int64)
@@ -97,78 +98,93 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"[?#][\s\S]*$", ""), r"/+$", "")
 
 
+def _hashes(key: Column) -> tuple[Column, Column]:
+    """128 bits of a key; the key comes last, as a hash of several columns is seeded with that of those before."""
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
+
+
 def build(universe: DataFrame, listed: DataFrame, keys_per_shard: int = 1 << 20) -> DataFrame:
     """(shard, shards, cascade BINARY) of all keys (column `key`) of `universe`, exact for the keys in `listed`.
 
-    Only 64-bit hashes of keys are shuffled. Null keys are left out; repeated keys
-    count once; listed keys that aren't in the universe are added to it. Should two
-    keys of the universe have the same 64-bit hash, one listed and one not, no
-    filter over hashes could tell them apart, so building fails with an error.
+    Only 128-bit hashes of keys are shuffled, of which two keys of a universe have
+    the same with a probability below 1e-15 even for 1e11 keys; a listed and an
+    unlisted key with one hash would both count as listed. Null keys are left out;
+    repeated keys count once; listed keys that aren't in the universe are added to it.
     """
-    both = (
-        universe.select("key", F.lit(False).alias("on")).unionByName(listed.select("key", F.lit(True).alias("on"))).where("key IS NOT NULL")
-        .groupBy(F.xxhash64("key").alias("h")).agg(F.max("on").alias("on"), (F.min(F.xxhash64("key", F.lit(2))) != F.max(F.xxhash64("key", F.lit(2)))).alias("clash"))
-    )
-    keys = common.materialise(both, "url-keys")
+    h1, h2 = _hashes(F.col("key"))
+    both = universe.select("key", F.lit(False).alias("on")).unionByName(listed.select("key", F.lit(True).alias("on"))).where("key IS NOT NULL")
+    keys = common.materialise(both.groupBy(h1.alias("h1"), h2.alias("h2")).agg(F.max("on").alias("on")), "url-keys")
     shards = max(1, -(-keys.count() // keys_per_shard))
     out = pa.schema([("shard", pa.int32()), ("shards", pa.int32()), ("cascade", pa.binary())])
 
     def one(table: pa.Table) -> pa.Table:
-        if table.num_rows and max(table["clash"].to_pylist()):
-            raise ValueError("two keys have the same 64-bit hash")
-        h, on = table["h"].to_numpy().view(U64), table["on"].to_numpy()
+        h, on = np.stack([table[c].to_numpy().view(U64) for c in ("h1", "h2")], axis=1), table["on"].to_numpy()
         return pa.table([pa.array([table["shard"][0].as_py()], pa.int32()), pa.array([shards], pa.int32()), pa.array([Cascade.build(h[on], h[~on]).dump()], pa.binary())], schema=out)
 
-    split = keys.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+    split = keys.withColumn("shard", _shard("h1", shards))
     return split.groupBy("shard").applyInArrow(one, "shard int, shards int, cascade binary")
 
 
+def _shard(h: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(h), F.lit(shards)).cast("int")
+
+
 def listed(rows: DataFrame, cascades: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """`rows` (with a column `key`) and whether each key is listed, as `blocked`.
+    """`rows` (with a column `key`) and whether each key is listed, as a further column `blocked`.
 
     Exact for every key of the universe that the cascades were built over. A null
-    key isn't blocked. Repeated rows are decided alike; an empty table gives no rows.
+    key isn't blocked. Repeated rows are decided alike; an empty table gives no
+    rows. All columns are kept; if there is one named `blocked` already, the new one
+    has an underscore before it.
     """
+    blocked = common.unused(rows, "blocked")
     held = common.materialise(cascades, "cascades")
     size = held.agg(F.sum(F.length("cascade")), F.max("shards")).first()
     if not size[0]:
-        return rows.withColumn("blocked", F.lit(False))
+        return rows.withColumn(blocked, F.lit(False))
     shards = size[1]
-    rows = rows.withColumn("_h", F.xxhash64("key"))
+    h1, h2 = _hashes(F.col("key"))
     if size[0] <= broadcast_bytes:
         sent = rows.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cascade"]) for r in held.collect()})
 
         @F.pandas_udf("boolean")
-        def probe(shard, h):
+        def probe(shard, h1, h2):
             import pandas as pd
 
-            out = np.zeros(len(h), bool)
-            s, k = shard.to_numpy(), h.to_numpy().view(U64)
-            for x in np.unique(s):
-                if x in sent.value:
-                    on = s == x
-                    out[on] = Cascade.load(sent.value[x]).has(k[on])
+            out, k, s = np.zeros(len(h1), bool), np.stack([h1.to_numpy().view(U64), h2.to_numpy().view(U64)], axis=1), shard.to_numpy()
+            order = np.argsort(s, kind="stable")
+            edge = np.append(np.flatnonzero(np.concatenate([[True], s[order][1:] != s[order][:-1]])), len(s)) if len(s) else [0]
+            for a, b in zip(edge[:-1], edge[1:]):
+                raw = sent.value.get(int(s[order[a]]))
+                if raw is not None:
+                    out[order[a:b]] = Cascade.load(raw).has(k[order[a:b]])
             return pd.Series(out)
 
-        hit = probe(F.pmod(F.xxhash64("_h"), F.lit(shards)).cast("int"), F.col("_h"))
-        return rows.withColumn("blocked", F.col("key").isNotNull() & hit).drop("_h")
+        return rows.withColumn(blocked, F.col("key").isNotNull() & probe(F.pmod(F.xxhash64(h1), F.lit(shards)).cast("int"), h1, h2))
 
     # too large to send: every shard's distinct key hashes go to its cascade, and come back as blocked hashes
     def decide(keys: pa.Table, filters: pa.Table) -> pa.Table:
-        h = keys["_h"].to_numpy()
+        h = np.stack([keys[c].to_numpy() for c in names], axis=1)
         on = Cascade.load(filters["cascade"][0].as_py()).has(h.view(U64)) if filters.num_rows else np.zeros(len(h), bool)
-        return pa.table({"_h": h[on], "blocked": np.ones(int(on.sum()), bool)})
+        return pa.table({names[0]: np.ascontiguousarray(h[on, 0]), names[1]: np.ascontiguousarray(h[on, 1]), "hit": np.ones(int(on.sum()), bool)})
 
-    distinct = rows.where("key IS NOT NULL").select("_h").distinct().withColumn("shard", F.pmod(F.xxhash64("_h"), F.lit(shards)).cast("int"))
-    hits = distinct.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(decide, "_h bigint, blocked boolean")
-    return rows.join(hits, "_h", "left").withColumn("blocked", F.col("key").isNotNull() & F.coalesce("blocked", F.lit(False))).drop("_h")
+    names = [common.unused(rows, c) for c in ("h1", "h2")]
+    hashed = rows.withColumns(dict(zip(names, (h1, h2))))
+    distinct = hashed.where("key IS NOT NULL").groupBy(*names).agg(F.count(F.lit(1)).alias("copies")).withColumn("shard", F.pmod(F.xxhash64(names[0]), F.lit(shards)).cast("int"))
+    distinct = common.materialise(distinct, "url-hashes")
+    hits = distinct.drop("copies").groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(decide, f"{names[0]} bigint, {names[1]} bigint, hit boolean")
+    on = common.unused(rows, "copies")
+    hits = common.materialise(hits.join(distinct.drop("shard"), names).select(*names, F.col("copies").alias(on)), "url-hits")
+    return common.join_classes(hashed, hits, names, on, "left", broadcast_bytes).withColumn(blocked, F.col("key").isNotNull() & F.col(on).isNotNull()).select(*rows.columns, blocked)
 
 
 def block_pages(pages: DataFrame) -> DataFrame:
     """(page_id, key, blocked): pages whose address was captured with tracking parameters anywhere in the table.
 
     The list is the set of addresses seen with a `utm_` or `ref` parameter; the
-    universe are all addresses of the table. A page with a null url isn't blocked.
+    universe are all addresses of the table. A page with a null url isn't blocked
+    and has a null key; rows that repeat a page_id are told each; other columns are
+    ignored; an empty table gives no rows.
     """
     rows = pages.select("page_id", "url", url_key(F.col("url")).alias("key"))
     tracked = rows.where(F.col("url").rlike(r"[?&](utm_[a-z]+|ref)=")).select("key")

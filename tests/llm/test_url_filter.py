@@ -5,7 +5,7 @@ from parley.llm import url_filter as U
 
 
 def keys(n, seed):
-    return np.random.default_rng(seed).integers(0, 2**63, n).astype(np.uint64)
+    return np.random.default_rng(seed).integers(0, 2**63, (n, 2)).astype(np.uint64)
 
 
 @pytest.mark.parametrize("listed, others", [(0, 100), (100, 0), (1, 5000), (3000, 20_000), (5000, 50)])
@@ -41,6 +41,23 @@ def test_membership_is_a_set_s(spark, limit, per_shard):
     assert sorted(got, key=repr) == sorted(((k, k in set(listed) - {None}) for k in universe), key=repr)
 
 
+def test_keys_that_share_64_bits_are_told_apart():
+    a = keys(2000, 5)
+    b = a.copy()
+    b[:, 1] += np.uint64(1)
+    c = U.Cascade.build(a, b)
+    assert c.has(a).all() and not c.has(b).any()
+
+
+def test_columns_are_kept(spark):
+    u, on = sets(spark, ["a", "b"], ["a"])
+    rows = u.selectExpr("key", "'x' AS blocked", "1 AS h1", "2 AS h2", "3 AS copies")
+    for limit in (64 << 20, 0):
+        got = U.listed(rows, U.build(u, on), limit)
+        assert got.columns == ["key", "blocked", "h1", "h2", "copies", "_blocked"]
+        assert sorted(map(tuple, got.collect())) == [("a", "x", 1, 2, 3, True), ("b", "x", 1, 2, 3, False)]
+
+
 def test_empty_sides(spark):
     u, on = sets(spark, ["a", "b"], [])
     assert {r["blocked"] for r in U.listed(u, U.build(u, on)).collect()} == {False}
