@@ -10,6 +10,10 @@ may be in chunked transfer framing.
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,30 +77,97 @@ def body_of(response: bytes) -> tuple[str, bytes | None]:
 def records(pages: DataFrame, segment_bytes: int = 1024) -> DataFrame:
     """WARC records of pages (page_id, url, html): each page a chunked HTTP response, in segments of `segment_bytes`.
 
-    A null html gives an empty body; rows without page_id are left out; a repeated
-    page_id repeats its records.
+    A null html gives an empty body; rows without page_id are left out; rows that
+    repeat a page_id are captures of their own, which their record ids number. An
+    empty table gives no records; other columns are ignored.
     """
 
     def split(batches):
         for b in batches:
             out = [[] for _ in RECORD]
-            for page, url, html in zip(*(c.to_pylist() for c in b.columns)):
+            for page, url, html, capture in zip(*(c.to_pylist() for c in b.columns)):
                 body = HEAD + frame((html or "").encode(), 512 + page % 1024)
                 n = max(1, -(-len(body) // segment_bytes))
-                first = f"<urn:page:{page}:1>"
+                first = f"<urn:page:{page}:{capture}:1>"
                 for k in range(n):
                     row = (
-                        f"<urn:page:{page}:{k + 1}>", "response" if k == 0 else "continuation", url, None if k == 0 else first,
+                        f"<urn:page:{page}:{capture}:{k + 1}>", "response" if k == 0 else "continuation", url, None if k == 0 else first,
                         k + 1 if n > 1 else None, len(body) if k == n - 1 and n > 1 else None, body[k * segment_bytes : (k + 1) * segment_bytes],
                     )
                     for col, v in zip(out, row):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, RECORD)], schema=RECORD)
 
-    rows = pages.select(F.col("page_id").cast("bigint"), "url", "html").where("page_id IS NOT NULL")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").where("page_id IS NOT NULL")
+    if rows.groupBy("page_id").count().where("count > 1").limit(1).count():
+        rows = common.materialise(rows.withColumn("capture", F.monotonically_increasing_id()), "captures")
+    else:
+        rows = rows.withColumn("capture", F.lit(0).cast("bigint"))
     return rows.mapInArrow(split, RECORD_SQL)
 
 
+def read_bytes(data: bytes) -> list[tuple]:
+    """Rows of RECORD from the bytes of a WARC file, plain or with each record compressed by itself (gzip members).
+
+    A record is a version line, named fields up to an empty line, and a block of as
+    many bytes as Content-Length says. Folded field lines are joined; names are case
+    insensitive; the block of records other than responses and continuations is kept
+    as it is. Reading ends at the first place that doesn't begin a record.
+    """
+    if data[:2] == b"\x1f\x8b":
+        out, left = [], data
+        while left:
+            d = zlib.decompressobj(31)
+            try:
+                out.append(d.decompress(left))
+            except zlib.error:
+                break
+            left = d.unused_data
+        data = b"".join(out)
+    rows, at = [], 0
+    while data.startswith(b"WARC/", at):
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            break
+        head = re.sub(rb"\r\n[ \t]+", b" ", data[at:end]).split(b"\r\n")[1:]
+        field = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in head)}
+        number = lambda name: int(field[name]) if field.get(name, "").isdigit() else None  # noqa: B023, E731
+        size = number(b"content-length")
+        if size is None or end + 4 + size > len(data):
+            break
+        rows.append((
+            field.get(b"warc-record-id"), field.get(b"warc-type"), field.get(b"warc-target-uri"), field.get(b"warc-segment-origin-id"),
+            number(b"warc-segment-number"), number(b"warc-segment-total-length"), data[end + 4 : end + 4 + size],
+        ))
+        at = end + 4 + size
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+    return rows
+
+
+def write_bytes(rows: list[tuple], compress: bool = False) -> bytes:
+    """A WARC file of rows of RECORD."""
+    out = []
+    for ident, kind, uri, origin, number, total, payload in rows:
+        named = (("WARC-Record-ID", ident), ("WARC-Type", kind), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total), ("Content-Length", len(payload or b"")))
+        raw = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in named if v is not None) + b"\r\n" + (payload or b"") + b"\r\n\r\n"
+        out.append(gzip.compress(raw, mtime=0) if compress else raw)
+    return b"".join(out)
+
+
+def read_files(spark, path: str) -> DataFrame:
+    """Records of all WARC files under a path, a task for each few files; segments of one record may lie in several of them."""
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                rows = read_bytes(content.as_buffer().to_pybytes())
+                for k in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 1000]), RECORD)], schema=RECORD)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SQL)
+
+
 _OUT = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("segments", pa.int32()), ("length", pa.int64()), ("status", pa.string()), ("body", pa.string())])
 
 
@@ -179,8 +250,12 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 
 def pages_from_records(records: DataFrame) -> DataFrame:
-    """(page_id, url, segments, status, html) of the records that `records` makes."""
-    return reassemble(records).select(F.regexp_extract("record_id", r"page:(-?\d+):", 1).cast("bigint").alias("page_id"), F.col("target_uri").alias("url"), "status", F.col("body").alias("html"))
+    """(page_id, url, status, html) of the records that `records` makes, a row for each page it was given.
+
+    status and html are those of `reassemble`; records of other origins have a null
+    page_id; an empty table gives no rows.
+    """
+    return reassemble(records).select(F.expr(r"nullif(regexp_extract(record_id, 'page:(-?[0-9]+):', 1), '')").cast("bigint").alias("page_id"), F.col("target_uri").alias("url"), "status", F.col("body").alias("html"))
 
 
 SQL = "SELECT page_id, url, 'ok' AS status, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL"

@@ -69,4 +69,26 @@ def test_odd_rows(spark):
     assert got == {"<w>": ("ok", "", 1), "<n>": ("bad_http", None, 1)}
     pages = spark.createDataFrame([(1, None, None, 0), (2, "u", "", 0), (None, "u", "x", 0), (3, "u", "y" * 300_000, 0), (4, "u", "z", 0), (4, "u", "z", 0)], "page_id bigint, url string, html string, record_id int")
     back = sorted(((r["page_id"], r["html"], r["status"]) for r in W.pages_from_records(W.records(pages)).collect()))
-    assert back == [(1, "", "ok"), (2, "", "ok"), (3, "y" * 300_000, "ok"), (4, "z", "ok")]
+    assert back == [(1, "", "ok"), (2, "", "ok"), (3, "y" * 300_000, "ok"), (4, "z", "ok"), (4, "z", "ok")]
+    twice = spark.createDataFrame([(2, "u", "one"), (2, "v", "two"), (2, "u", None), (3, "w", "x")], "page_id int, url string, html string")
+    got = sorted(map(tuple, W.pages_from_records(W.records(twice, 20)).collect()))
+    assert got == [(2, "u", "ok", ""), (2, "u", "ok", "one"), (2, "v", "ok", "two"), (3, "w", "ok", "x")]
+    assert W.pages_from_records(W.records(twice.limit(0))).collect() == []
+    foreign = W.pages_from_records(record(spark, [whole])).collect()
+    assert [(r["page_id"], r["status"]) for r in foreign] == [(None, "ok")]
+
+
+def test_files(spark, tmp_path):
+    """Records survive being written to files, segments of one record in several of them."""
+    body = W.HEAD + W.frame("grüße ".encode() * 500, 64)
+    parts = cut(body, 5) + [("<i>", "warcinfo", None, None, None, None, b"software: x\r\n")]
+    for compress in (False, True):
+        assert W.read_bytes(W.write_bytes(parts, compress)) == parts
+    assert W.read_bytes(b"") == [] and W.read_bytes(b"no warc") == []
+    assert W.read_bytes(W.write_bytes(parts)[:-700]) == parts[: len(W.read_bytes(W.write_bytes(parts)[:-700]))] != parts  # a file that was cut off
+    folded = b"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID: <f>\r\nWARC-Target-URI: http://a\r\n /b\r\ncontent-length: 3\r\n\r\nabc\r\n\r\n"
+    assert W.read_bytes(folded) == [("<f>", "response", "http://a /b", None, None, None, b"abc")]
+    (tmp_path / "a.warc").write_bytes(W.write_bytes(parts[3:] + parts[:1]))
+    (tmp_path / "b.warc.gz").write_bytes(W.write_bytes(parts[1:3], True))
+    got = {r["record_id"]: (r["status"], r["body"]) for r in W.reassemble(W.read_files(spark, str(tmp_path)).where("warc_type <> 'warcinfo'")).collect()}
+    assert got == {"<a:1>": ("ok", "grüße " * 500)}
