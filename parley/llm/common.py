@@ -58,6 +58,36 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Has the session cut what goes to Python workers into Arrow batches of at most 8 MB, as texts may be long; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name)) > limit:
+        spark.conf.set(name, str(limit))
+
+
+def _bytes(size: str) -> int:
+    m = re.match(r"(-?\d+)\s*([kmgt]?)", size.lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if int(m[1]) > 0 else 1 << 62
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, how: str, broadcast_bytes: int, width: int = 100) -> DataFrame:
+    """Rows with their class by equal `keys`; column `copies` of a class tells how many rows have it.
+
+    Classes are broadcast if they fit `broadcast_bytes` at `width` bytes each. Beyond
+    that the largest are, of which there are fewer than 50,000, as their copies add
+    up to no more than the rows, and only the rest is joined by a shuffle, so no task
+    gets all rows of a hot class.
+    """
+    n, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(copies), F.lit(0))).first()
+    if n * width <= broadcast_bytes:
+        return rows.join(F.broadcast(classes), keys, how)
+    bound = total // 50_000
+    first = rows.join(F.broadcast(classes.where(F.col(copies) > bound)), keys, "left")
+    found = F.col(copies).isNotNull()
+    rest = first.where(~found).select(rows.columns)
+    return first.where(found).unionByName(rest.join(classes.where(F.col(copies) <= bound), keys, how))
+
+
 def empty(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 

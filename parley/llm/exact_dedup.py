@@ -7,7 +7,8 @@ fingerprints whose slots also name the stored key. A lookup that hits the filter
 is verified against the stored keys of the two buckets; when an insertion finds
 no free slot, the filter is rebuilt twice as large from the stored keys. Texts
 whose digests were seen more than once are then grouped by the texts themselves,
-so a digest collision cannot make two documents equal.
+so a collision of digests cannot make two documents equal; rows are then told
+their group by 192 bits of hashes.
 """
 
 from __future__ import annotations
@@ -222,7 +223,7 @@ def _counted(least: int, bound: int | None = None):
 
 
 def _classes(docs: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """(d1, d2, sha, keeper_id, copies, ties) of every text that several rows have; ties is the number of rows of the keeper's id, 2 where it isn't known.
+    """(d1, d2, d3, keeper_id, copies, ties) of every text that several rows have; ties is the number of rows of the keeper's id, 2 where it isn't known.
 
     Digests are put together by an index in every task before they are shuffled, so
     a text is sent once by each task however many rows have it, and so are the texts
@@ -236,24 +237,16 @@ def _classes(docs: DataFrame, broadcast_bytes: int) -> DataFrame:
     texts = rows.join(F.broadcast(seen) if seen.count() * 32 <= broadcast_bytes else seen, ["d1", "d2"])
     same = texts.groupBy("d1", "d2", "text").agg(F.min("doc_id").alias("keeper_id"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("doc_id") == F.col("first_id")).alias("ties"), F.min("first_id").alias("first_id"))
     ties = F.when(F.col("keeper_id") == F.col("first_id"), F.col("ties")).otherwise(2)
-    return common.materialise(same.where("copies > 1").select("d1", "d2", F.sha2("text", 256).alias("sha"), "keeper_id", "copies", ties.alias("ties")), "equal-texts")
+    return common.materialise(same.where("copies > 1").select("d1", "d2", F.xxhash64(F.lit("third"), "text").alias("d3"), "keeper_id", "copies", ties.alias("ties")), "equal-texts")
 
 
-def _with_class(rows: DataFrame, classes: DataFrame, broadcast_bytes: int, how: str) -> DataFrame:
-    """Rows with their text's class. Classes are broadcast within the bound; beyond it the largest ones are, of which there can't be many, and the rest is joined by a shuffle."""
+def _with_class(rows: DataFrame, classes: DataFrame, broadcast_bytes: int, how: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with the columns of their text's class, which are told by name."""
     names = {c: common.unused(rows, c) for c in classes.columns}
-    side = classes.select(*[F.col(c).alias(n) for c, n in names.items()])
     text = F.when(F.col("doc_id").isNotNull(), F.col("text"))
-    on = lambda x: (F.xxhash64(text) == x[names["d1"]]) & (F.xxhash64(F.lit("second"), text) == x[names["d2"]]) & (F.sha2(text, 256) == x[names["sha"]])
-    n, total = classes.agg(F.count(F.lit(1)), F.sum("copies")).first()
-    if n * 150 <= broadcast_bytes:
-        return rows.join(F.broadcast(side), on(side), how), names
-    large = side.where(F.col(names["copies"]) > total // 50_000)  # fewer than 50,000, as their copies add up to no more than the total
-    first = rows.join(F.broadcast(large), on(large), "left")
-    found = F.col(names["keeper_id"]).isNotNull()
-    rest = first.where(~found).select(rows.columns)
-    small = side.where(F.col(names["copies"]) <= total // 50_000)
-    return first.where(found).unionByName(rest.join(small, on(small), how)), names
+    keyed = rows.withColumns({names["d1"]: F.xxhash64(text), names["d2"]: F.xxhash64(F.lit("second"), text), names["d3"]: F.when(text.isNotNull(), F.xxhash64(F.lit("third"), text))})
+    side = classes.select(*[F.col(c).alias(n) for c, n in names.items()])
+    return common.join_classes(keyed, side, [names[c] for c in ("d1", "d2", "d3")], names["copies"], how, broadcast_bytes), names
 
 
 def exact_duplicates(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -287,7 +280,7 @@ def drop_duplicates(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFra
     if not classes.where("ties > 1").limit(1).count():
         return kept.select(docs.columns)
     one = F.coalesce(names["ties"], F.lit(1)) == 1
-    several = kept.where(~one).dropDuplicates(["doc_id", *(names[c] for c in ("d1", "d2", "sha"))])
+    several = kept.where(~one).dropDuplicates(["doc_id", *(names[c] for c in ("d1", "d2", "d3"))])
     return kept.where(one).select(docs.columns).unionByName(several.select(docs.columns))
 
 

@@ -8,8 +8,9 @@ end. A candidate is reported only once it decodes and what it decodes
 to has the inner structure of its kind: a signed token's header and payload are
 JSON objects with an algorithm, a DER key's nested lengths add up to the end and
 hold the integers of its kind, an OpenSSH blob's length-prefixed fields fill it,
-a cloud key id decodes to an account number, an assigned hex value decodes whole
-to bytes that aren't a mere pattern.
+a cloud key id decodes to an account number. A hex value that is assigned to a
+secret's name decodes whole to bytes that aren't a mere pattern, but has no inner
+structure; it is told apart as not confirmed.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import kernel as K
 
 LEAST = 16
@@ -270,22 +272,27 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray):
                 yield t, kind, a + k - low, raw[a + k : a + end]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("secret", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("secret", pa.string()), ("confirmed", pa.bool_())])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, secret) of every confirmed secret; start counts bytes of the UTF-8 text.
+    """(doc_id, kind, start, secret, confirmed) of every secret; start counts bytes of the UTF-8 text.
+
+    confirmed tells whether the decoded bytes have the inner structure of their kind;
+    it is false for `assigned_hex` alone, which has none.
 
     Texts are scanned whole, at any length. Null and empty texts hold none; rows
     without doc_id are told with a null id; repeated rows are told as often as they
     occur; other columns are ignored; an empty table gives no rows.
     """
 
+    common.small_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
-            out = [(ids[row + t], kind, start, v.decode()) for row, _, data, offsets in K.chunks(b.column(1)) for t, kind, start, v in scan_chunk(data, offsets)]
+            out = [(ids[row + t], kind, start, v.decode(), kind != "assigned_hex") for row, _, data, offsets in K.chunks(b.column(1)) for t, kind, start, v in scan_chunk(data, offsets)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, kind string, start bigint, secret string")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, kind string, start bigint, secret string, confirmed boolean")

@@ -115,3 +115,36 @@ def test_openssh_in_a_path():
     f = lambda x: len(x).to_bytes(4, "big") + x
     key = b"openssh-key-v1\0" + f(b"none") + f(b"none") + f(b"") + b"\0\0\0\1" + f(f(b"ssh-ed25519") + f(b"p" * 32)) + f(b"s" * 64)
     assert [(x[1], x[3]) for x in chunk("keys/" + b64(key).decode() + "/old")] == [("openssh_private_key", b64(key))]
+
+
+def test_planted_secrets_and_decoys(docs_of):
+    """Whole query: what is found over random texts are the planted secrets, each where it was put, and none of the decoys."""
+    import random
+
+    r = random.Random(11)
+    words = "deploy the service again before noon with key note token value path config see mail host run".split()
+    prose = lambda: " ".join(r.choice(words) for _ in range(r.randrange(3, 60)))
+    f = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = lambda: b"openssh-key-v1\0" + f(b"none") + f(b"none") + f(b"") + b"\0\0\0\1" + f(f(b"ssh-ed25519") + f(r.randbytes(32))) + f(r.randbytes(64))
+    ec = lambda: tlv(0x30, tlv(2, b"\1") + tlv(4, r.randbytes(32)) + tlv(0xA0, tlv(6, b"\x2a\x86")))
+    real = [
+        lambda: ("signed_token", token({"alg": "HS256"}, {"n": r.random()}, r.randbytes(32))), lambda: ("signed_token", token({"alg": "ES384", "typ": "JWT"}, {"s": "ü"}, r.randbytes(96))),
+        lambda: ("ec_private_key", b64(ec())), lambda: ("openssh_private_key", b64(ssh())), lambda: ("ec_private_key", ec().hex().encode()),
+        lambda: ("cloud_key_id", b"AKIA" + b"BCDEFGHIJKLMNOPQ"[r.randrange(4) :].ljust(16, b"C")),
+    ]
+    decoy = [
+        lambda: token({"alg": "HS256"}, {"n": 1}, r.randbytes(31)), lambda: token({"alg": "nope"}, {"n": 1}, r.randbytes(32)), lambda: b64(ec()[:-2]), lambda: b64(r.randbytes(40)),
+        lambda: r.randbytes(20).hex().encode(), lambda: b"https://example.org/" + r.randbytes(9).hex().encode() + b"/index.html", lambda: b64(ssh()[:-1]),
+    ]
+    rows, want = [], []
+    for i in range(120):
+        text = prose()
+        for _ in range(r.randrange(4)):
+            if r.random() < 0.5:
+                kind, x = r.choice(real)()
+                want.append((i, kind, len(text.encode()) + 1, x.decode(), True))
+            else:
+                x = r.choice(decoy)()
+            text += " " + x.decode() + r.choice([" ", ", ", "\n", " é "]) + prose()
+        rows.append((i, text))
+    assert sorted(map(tuple, S.scan(docs_of(rows)).collect())) == sorted(want) and len(want) > 50
