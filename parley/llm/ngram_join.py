@@ -17,9 +17,10 @@ extended further and pairs of tokens are indexed instead of single ones:
 Sets of fewer than `LONG` tokens can't be extended that far; they, and all sets
 up to LONG / t that might be similar to one of them, also index their class 2
 tokens singly. So every similar pair has k common signatures, k of the smaller.
-Identical sets are collapsed before the join and told as pairs with their
-representative. Candidates are verified on whole gram sets, made anew from the
-texts of the documents that occur in candidate pairs only.
+Identical sets are collapsed before the join. Candidates are verified on whole
+gram sets, made anew from the texts of the documents that occur in candidate pairs
+only; a text is sent to the cells of blocks in which it has candidates, and as
+blocks follow the least gram, groups of near copies are sent about once.
 
 Token frequencies are counted over all documents in a fixed number of hash
 buckets; collisions merely change the order, which may be any.
@@ -27,6 +28,7 @@ buckets; collisions merely change the order, which may be any.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -91,12 +93,12 @@ def _sketch_place(gram: np.ndarray) -> np.ndarray:
     return (gram >> U64(48 - SKETCH_BITS)).astype(np.int64)
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
-_FIRST_SQL = "doc_id bigint, f1 bigint, f2 bigint, n int, block int, counts binary"
+_FIRST = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+_FIRST_SQL = "doc_id bigint, f1 bigint, f2 bigint, n int, low bigint, block int, counts binary"
 
 
 def _survey(n):
-    """Set fingerprints of a partition's documents, and at the end its share of the frequency sketch."""
+    """Set fingerprints and least grams of a partition's documents, and at the end its share of the frequency sketch."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -115,10 +117,10 @@ def _survey(n):
                     np.cumsum(K.mix(gram + U64(salt << 50)), out=total[1:])
                     f.append((total[e[some + 1]] - total[e[some]]).view(np.int64))
                 k = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + some]), pa.array(f[0]), pa.array(f[1]), pa.array((e[some + 1] - e[some]).astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_FIRST)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row + some]), pa.array(f[0]), pa.array(f[1]), pa.array((e[some + 1] - e[some]).astype(np.int32)), pa.array(gram[e[some]].view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_FIRST)
         if counts.any():
             parts = [x.astype("<u4").tobytes() for x in np.split(counts, SKETCH_BLOCKS)]
-            void = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            void = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*void, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=_FIRST)
         K.trim()
 
@@ -132,7 +134,27 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table([table["block"].slice(0, 1), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["block", "counts"])
 
 
-def _signatures(n, t, parts, sent):
+def _spread(sig, doc, size, often, block):
+    """Signatures of tokens that occur `often`, for tasks of about 2 x `block` documents each.
+
+    The documents of a signature that may have more fall into groups by hash, and each
+    goes to the pairs of groups that hold its own, as signatures of their own; so any
+    two documents still meet.
+    """
+    groups = 1 + often // block
+    hot = groups > 1
+    if not hot.any():
+        return sig, doc, size
+    k = groups[hot]
+    at = np.repeat(np.flatnonzero(hot), k)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+    own = (K.mix(doc[at].view(U64)) % groups[at].astype(U64)).astype(np.int64)
+    low, high = np.minimum(own, other).astype(U64), np.maximum(own, other).astype(U64)
+    own_sig = K.mix(sig[at] * U64(3) + K.mix(low << U64(32) | high)) & LOW48
+    return np.concatenate([sig[~hot], own_sig]), np.concatenate([doc[~hot], doc[at]]), np.concatenate([size[~hot], size[at]])
+
+
+def _signatures(n, t, parts, sent, block=100_000):
     """(bucket, blob): signatures of a partition's sets, packed as parallel arrays."""
     long = long_from(t)
     out = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -160,6 +182,10 @@ def _signatures(n, t, parts, sent):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blob, pa.binary())], schema=out)
 
+        def put(*found):
+            for to, x in zip((sigs, docs, sizes), _spread(*found, block)):
+                to.append(x)
+
         sigs, docs, sizes = [], [], []
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -182,24 +208,20 @@ def _signatures(n, t, parts, sent):
                 # class 1 singly, from the extended prefix where there is one (rare tokens all come before frequent ones)
                 one = short & ~two
                 single = short & two & (size <= ceil(long / t))[d]
-                take = np.flatnonzero(one | single)
-                sigs.append(gram[take])
-                docs.append(ids[row + d[take]])
-                sizes.append(size[d[take]])
+                for take in (np.flatnonzero(one), np.flatnonzero(single)):
+                    put(gram[take], ids[row + d[take]], size[d[take]], f[take])
                 pick = np.flatnonzero(two & extended[d] & (place < (m + 1 + GROUPS)[d]))
                 if len(pick):
                     g = K.mix(gram[pick])
                     slot = d[pick] * GROUPS + (g & U64(GROUPS - 1)).astype(np.int64)
                     o = np.lexsort((g, slot))
-                    slot, g, dd = slot[o], g[o], d[pick][o]
+                    slot, g, dd, ff = slot[o], g[o], d[pick][o], f[pick][o]
                     step = 1
                     while True:
                         same = np.flatnonzero(slot[step:] == slot[:-step])
                         if not len(same):
                             break
-                        sigs.append(K.mix(g[same] * U64(3) + g[same + step]) & LOW48)
-                        docs.append(ids[row + dd[same]])
-                        sizes.append(size[dd[same]])
+                        put(K.mix(g[same] * U64(3) + g[same + step]) & LOW48, ids[row + dd[same]], size[dd[same]], np.minimum(ff[same], ff[same + step]))
                         step += 1
                 if sum(map(len, sigs)) > 500_000:
                     yield packed()
@@ -210,34 +232,41 @@ def _signatures(n, t, parts, sent):
     return run
 
 
-def _pairs(t):
-    """Pairs of documents in a bucket with sizes that allow similarity: how many signatures they share there, how many they must share in all."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("least", pa.int32())])
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("least", pa.int32())])
+
+
+def _pairs(t, hold=2_000_000):
+    """Pairs of documents in a bucket with sizes that allow similarity: how many signatures they share there, how many they must share in all.
+
+    They are told whenever `hold` of them have been met, so a pair may be told in parts, to be added up.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, z, times, low, high = [], [], [], [], []
-        for x in table["blob"]:  # documents with how many signatures follow, then the signatures
-            raw = x.as_buffer()
-            k = int(np.frombuffer(raw, "<i8", 1)[0])
-            n = (raw.size - 8 - 16 * k) // 5
-            d.append(np.frombuffer(raw, "<i8", k, 8))
-            z.append(np.frombuffer(raw, "<i4", k, 8 + 8 * k))
-            times.append(np.frombuffer(raw, "<i4", k, 8 + 12 * k))
-            low.append(np.frombuffer(raw, "<u4", n, 8 + 16 * k))
-            high.append(np.frombuffer(raw, np.uint8, n, 8 + 16 * k + 4 * n))
+        for batch in batches:
+            for x in batch.column("blob"):  # documents with how many signatures follow, then the signatures
+                raw = np.frombuffer(x.as_buffer(), np.uint8)
+                k = int(raw[:8].view("<i8")[0])
+                n = (len(raw) - 8 - 16 * k) // 5
+                d.append(raw[8 : 8 + 8 * k].view("<i8").copy())
+                z.append(raw[8 + 8 * k : 8 + 12 * k].view("<i4").copy())
+                times.append(raw[8 + 12 * k : 8 + 16 * k].view("<i4").copy())
+                low.append(np.frombuffer(raw[8 + 16 * k : 8 + 16 * k + 4 * n].tobytes(), "<u4"))
+                high.append(raw[8 + 16 * k + 4 * n :].copy())
         z, low, high = np.concatenate(z), np.concatenate(low), np.concatenate(high)
         ids, of_run = np.unique(np.concatenate(d), return_inverse=True)
         smallest = np.full(len(ids), np.iinfo(np.int32).max, np.int64)
         np.minimum.at(smallest, of_run, z)
         run_of = np.repeat(np.arange(len(z), dtype=np.int32), np.concatenate(times))
-        keys, counts, found, held = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
+        del d, times
+        found, held = [], 0
 
-        def fold():
-            nonlocal keys, counts, found, held
-            k, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
-            keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
-            found, held = [], 0
+        def told():
+            keys, counts = np.unique(np.concatenate(found), return_counts=True)
+            for k in range(0, len(keys), 1 << 18):
+                x, y = (keys[k : k + (1 << 18)] >> U64(32)).astype(np.int64), (keys[k : k + (1 << 18)] & U64(0xFFFFFFFF)).astype(np.int64)
+                least = shared(np.minimum(smallest[x], smallest[y]), t)
+                yield pa.RecordBatch.from_arrays([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), counts[k : k + (1 << 18)].astype(np.int32), least.astype(np.int32)], schema=_MET)
 
         # slices of the signatures' range one after another, so that a bucket needs little more memory than itself
         bits = min(max(0, int(len(low) >> 18).bit_length()), 16)
@@ -267,16 +296,14 @@ def _pairs(t):
                 ok = (at[x] != at[y]) & (np.minimum(size[x], size[y]) >= need(np.maximum(size[x], size[y]), t))
                 found.append(at[x[ok]] << U64(32) | at[y[ok]])
                 held += len(found[-1])
-                if held > 4_000_000:
-                    fold()
+                if held > hold:
+                    yield from told()
+                    found, held = [], 0
                 step += 1
-        fold()
-        x, y = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-        least = shared(np.minimum(smallest[x], smallest[y]), t)
-        a, b = ids[x], ids[y]
-        del low, high, run_of, by_slot
+        if held:
+            yield from told()
+        del low, high, run_of, by_slot, found
         K.trim()
-        return pa.table([np.minimum(a, b), np.maximum(a, b), counts.astype(np.int32), least.astype(np.int32)], schema=out)
 
     return run
 
@@ -328,41 +355,24 @@ def _verify(n, t):
     return run
 
 
-def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """(a, b, common, total): all pairs with |A and B| / |A or B| >= threshold over word n-gram sets, with identical sets collapsed.
-
-    Each class of identical sets is represented by its least doc_id. A row with
-    a = representative, b = another member has common = total; the other rows
-    are pairs of representatives, a < b. Two documents are a pair of the full
-    join exactly if their representatives are equal or form a row.
-
-    Words are runs of ASCII letters, digits and non-ASCII bytes, ASCII lowered. A
-    text of 1 to n - 1 words has the one gram of all its words. Null and empty
-    texts have no grams and are in no pair, and rows without doc_id are left out.
-    Rows that repeat a doc_id with one text count once; with several texts a pair
-    holds if it holds for one of them, and a doc_id is never paired with itself.
-    Texts are processed whole at any length; other columns are ignored; an empty
-    table gives no rows.
-
-    Lists of document ids are broadcast only within `broadcast_bytes`; beyond it
-    the texts are joined by shuffles.
-    """
+def _similar(docs: DataFrame, n: int, threshold: float, broadcast_bytes: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, common, total) of pairs of representatives, and (a, b, n) of classes' other members, over rows whose doc_id is unique."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     first = common.materialise(rows.mapInArrow(_survey(n), _FIRST_SQL), "gram-survey")
     blocks = first.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_counts, "block int, counts binary").collect()
     if not blocks:
-        return spark.createDataFrame([], "a bigint, b bigint, common int, total int")
+        return spark.createDataFrame([], "a bigint, b bigint, common int, total int"), spark.createDataFrame([], "a bigint, b bigint, n int")
     sent = spark.sparkContext.broadcast(b"".join(bytes(x["counts"]) for x in sorted(blocks, key=lambda x: x["block"])))  # 4 MB at any size of the corpus
 
     small = lambda df, width: df.count() * width <= broadcast_bytes
-    found = first.where("block IS NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("a"), F.collect_set("doc_id").alias("ids"))
-    copies = common.materialise(found.where(F.size("ids") > 1).select("a", F.explode("ids").alias("b"), "n").where("a <> b"), "gram-copies")
-    gone = copies.select(F.col("b").alias("doc_id")).distinct()
-    # a doc_id that is repeated with different texts stays, as it is a representative elsewhere
-    multi = first.where("block IS NULL").groupBy("doc_id").agg(F.count_distinct("f1").alias("k")).where("k > 1").select("doc_id")
-    gone = gone.join(multi, "doc_id", "left_anti")
-    reps = rows.join(F.broadcast(gone) if small(copies, 40) else gone, "doc_id", "left_anti")
+    sets = first.where("block IS NULL").select("doc_id", "f1", "f2", "n", "low")
+    classes = common.materialise(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "gram-classes")
+    members = common.join_classes(sets, classes, ["f1", "f2", "n"], "copies", "inner", broadcast_bytes)
+    copies = common.materialise(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n").distinct(), "gram-copies")
+    gone = copies.select(F.col("b").alias("doc_id"))
+    reps = rows.join(F.broadcast(gone) if small(gone, 40) else gone, "doc_id", "left_anti")
 
     # few buckets: a similar pair is told once by each bucket in which it has a common signature
     size = common.input_bytes(rows)
@@ -370,15 +380,86 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast
     blobs = reps.mapInArrow(_signatures(n, threshold, parts, sent), "bucket int, blob binary")
     met = blobs.groupBy("bucket").applyInArrow(_pairs(threshold), "a bigint, b bigint, n int, least int")
     cand = common.materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"), "gram-candidates")
-    side = max(6, ceil((size / (16 << 20)) ** 0.5))  # a document's text goes to 2 side - 1 cells at most
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    cand = cand.withColumn("cell", cell("a") * side + cell("b"))
+
+    # similar texts mostly share their least gram, by which texts fall into blocks; a cell holds the texts of two blocks that have candidates in common
+    side = max(6, ceil(size / block_bytes))
+    place = sets.select("doc_id", F.pmod(F.xxhash64("low"), F.lit(side)).alias("block"), "n")
+    heavy = place.groupBy("block").agg((F.sum(F.col("n").cast("bigint") * 8) / (4 * block_bytes)).alias("load")).where("load > 1").select("block", F.ceil("load").alias("split"))
+    # blocks that are much too large, such as a group of near copies, are split by document; there are fewer than `side` of them
+    place = place.join(F.broadcast(heavy) if side * 24 <= broadcast_bytes else heavy, "block", "left")
+    place = common.materialise(place.select("doc_id", F.struct("block", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("split")), F.lit(0)).alias("part")).alias("at")), "gram-blocks")
+    side_of = lambda c: (F.broadcast(place) if small(place, 40) else place).select(F.col("doc_id").alias(c), F.col("at").alias(f"at_{c}"))
+    cand = common.materialise(cand.join(side_of("a"), "a").join(side_of("b"), "b").select("a", "b", F.struct(F.least("at_a", "at_b").alias("x"), F.greatest("at_a", "at_b").alias("y")).alias("cell")), "gram-cells")
     wanted = common.materialise(cand.select(F.explode(F.array("a", "b")).alias("doc_id"), "cell").distinct(), "gram-wanted")
-    texts = rows.join(F.broadcast(wanted) if small(wanted, 40) else wanted, "doc_id")
+    texts = rows.join(F.broadcast(wanted) if small(wanted, 60) else wanted, "doc_id")
     pairs = texts.groupBy("cell").cogroup(cand.groupBy("cell")).applyInArrow(_verify(n, threshold), "a bigint, b bigint, common int, total int")
+    return pairs, copies
+
+
+def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = 64 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+    """(a, b, common, total): all pairs with |A and B| / |A or B| >= threshold over word n-gram sets, with identical sets collapsed.
+
+    Each class of identical sets is represented by its least doc_id. A row with
+    a = representative, b = another member has common = total; the other rows
+    are pairs of representatives, a < b. Two documents are a pair of the full
+    join exactly if their representatives are equal or form a row.
+
+    Words are runs of ASCII letters, digits and non-ASCII bytes, ASCII lowered. A
+    text of 1 to n - 1 words has the one gram of all its words. Null and empty
+    texts have no grams and are in no pair, and rows without doc_id are left out.
+    A doc_id names one text here: rows that repeat it with the same text count
+    once. For tables that repeat ids with several texts see `similar_documents`.
+    Texts are processed whole at any length; other columns are ignored; an empty
+    table gives no rows.
+
+    Lists of document ids are broadcast only within `broadcast_bytes`; beyond it
+    the texts are joined by shuffles. Texts are verified in cells of two blocks of
+    about `block_bytes` each.
+    """
+    pairs, copies = _similar(docs, n, threshold, broadcast_bytes, block_bytes)
     return pairs.unionByName(copies.select("a", "b", F.col("n").alias("common"), F.col("n").alias("total")))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str | None]:
+    """The documents, and the name of a further column that numbers their rows in the order of doc_id; None where doc_id is unique and does that itself."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    if not ids.where("count > 1").limit(1).count():
+        return docs, None
+    key = common.unused(docs, "row_key")
+    # the last sort keys split the rows of a hot doc_id; numbers are kept in a table, so that they are the same at every use
+    return common.materialise(docs.orderBy("doc_id", F.xxhash64("text"), F.rand(1)).withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
+def similar_documents(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = 64 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, group_id, links) of every document that another row is similar to, as `similar_pairs` has it.
+
+    links counts the rows similar to it, copies included; group_id is the least
+    doc_id of all that links lead to, from document to document. Every row is a
+    document of its own, also where rows repeat a doc_id. Null and empty texts and
+    rows without doc_id are similar to nothing; an empty table gives no rows.
+    """
+    docs, key = _keyed(docs)
+    rows = docs if key is None else docs.select(F.when(F.col("doc_id").isNotNull(), F.col(key)).alias("doc_id"), "text")
+    pairs, copies = _similar(rows, n, threshold, broadcast_bytes, block_bytes)
+    pairs = common.materialise(pairs.select("a", "b"), "similar")
+    sizes = common.materialise(copies.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("size")), "class-sizes")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = sizes.select(F.col("a").alias("b"), "size")
+    met = common.join_classes(both, other, ["b"], "size", "left", broadcast_bytes, 24).select("a", F.coalesce("size", F.lit(1)).alias("n"))
+    links = met.unionByName(sizes.select("a", (F.col("size") - 1).alias("n"))).groupBy("a").agg(F.sum("n").alias("links"))
+    keeper = groups(pairs).select(F.col("doc_id").alias("a"), F.col("keeper_id").alias("group_id"))
+    reps = links.join(keeper, "a", "left").join(sizes, "a", "left").select("a", F.coalesce("group_id", "a").alias("group_id"), "links", F.coalesce("size", F.lit(1)).alias("size"))
+    reps = common.materialise(reps, "similar-representatives")
+    members = common.join_classes(copies.select("a", "b"), reps.where("size > 1"), ["a"], "size", "inner", broadcast_bytes)
+    out = reps.select(F.col("a").alias("doc_id"), "group_id", "links").unionByName(members.select(F.col("b").alias("doc_id"), "group_id", "links"))
+    if key is None:
+        return out
+    # numbers follow the ids, so the least number of a group stands for its least id
+    name = docs.select(F.col(key), F.col("doc_id").cast("bigint").alias("id"))
+    out = out.join(name.select(F.col(key).alias("doc_id"), F.col("id").alias("own")), "doc_id").select("own", "group_id", "links")
+    return out.join(name.select(F.col(key).alias("group_id"), F.col("id").alias("group")), "group_id").select(F.col("own").alias("doc_id"), F.col("group").alias("group_id"), "links")
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, keeper_id): connected components of pairs (a, b), named by their least doc_id.
 
@@ -402,28 +483,37 @@ def groups(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def drop_similar(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of similar ones: the one with the least doc_id. Documents in no pair stay."""
-    gone = groups(similar_pairs(docs, **options)).where("doc_id <> keeper_id").select("doc_id")
-    small = gone.count() * 40 <= 64 << 20
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = 64 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+    """One document of each group of similar ones: the one with the least doc_id. Documents similar to none stay.
+
+    Every row is settled by its own text, also where rows repeat a doc_id; of rows
+    with the least doc_id of a group one stays. Rows with a null or empty text or a
+    null doc_id all stay. All columns are kept, whatever their names; an empty table
+    stays empty.
+    """
+    rows, key = _keyed(docs)
+    own = "doc_id" if key is None else key
+    pairs, copies = _similar(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(own)).alias("doc_id"), "text"), n, threshold, broadcast_bytes, block_bytes)
+    gone = groups(pairs).where("doc_id <> keeper_id").select(F.col("doc_id").alias(own)).unionByName(copies.select(F.col("b").alias(own)))
+    gone = common.materialise(gone, "similar-gone")
+    small = gone.count() * 40 <= broadcast_bytes
+    return rows.join(F.broadcast(gone) if small else gone, own, "left_anti").select(docs.columns)
 
 
 SQL = r"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '') AS t
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+  SELECT DISTINCT r, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
     ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS gram
   FROM w),
-s AS (SELECT doc_id, count(*) AS n, list(gram ORDER BY gram) AS grams FROM g GROUP BY doc_id),
-r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY grams) AS rep FROM s),
-gr AS (SELECT g.doc_id, g.gram, r.n FROM g JOIN r USING (doc_id) WHERE r.rep = r.doc_id),
-p AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common, any_value(x.n + y.n) - count(*) AS total
-  FROM gr x JOIN gr y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)
-SELECT a, b, common::INTEGER AS common, total::INTEGER AS total FROM p WHERE 2 * common >= total
-UNION ALL SELECT rep, doc_id, n::INTEGER, n::INTEGER FROM r WHERE rep <> doc_id
+s AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+e AS (
+  SELECT x.r AS a, y.r AS b FROM g x JOIN g y ON x.gram = y.gram AND x.r <> y.r JOIN s sx ON sx.r = x.r JOIN s sy ON sy.r = y.r
+  GROUP BY x.r, y.r HAVING 3 * count(*) >= any_value(sx.n + sy.n)),
+reach AS (SELECT DISTINCT a AS r, a AS far FROM e UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.far),
+k AS (SELECT reach.r, min(w.doc_id) AS group_id FROM reach JOIN w ON w.r = reach.far GROUP BY reach.r)
+SELECT w.doc_id, k.group_id, (SELECT count(*) FROM e WHERE e.a = k.r) AS links FROM k JOIN w USING (r)
 """

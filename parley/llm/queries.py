@@ -25,7 +25,7 @@ def op5_url_filter(spark, d):
 
 
 def op7_ngram_jaccard(spark, d):
-    return ngram_join.similar_pairs(table(spark, d, "documents"))
+    return ngram_join.similar_documents(table(spark, d, "documents"))
 
 
 def op4_decontaminate(spark, d):

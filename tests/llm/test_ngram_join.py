@@ -78,20 +78,100 @@ def test_other_thresholds(docs_of, threshold, n):
     assert got == want
 
 
+def linked(rows, t=0.5):
+    """(doc_id, group_id, links) of rows by comparing everything with everything; each row is a document."""
+    rows = [(i, x) for i, x in rows if i is not None and grams(x)]
+    sets = [grams(x) for _, x in rows]
+    near = [[b for b, q in enumerate(sets) if a != b and len(p & q) >= t * len(p | q) - 1e-9] for a, p in enumerate(sets)]
+    out = []
+    for a in range(len(rows)):
+        if near[a]:
+            seen, todo = {a}, [a]
+            while todo:
+                for b in near[todo.pop()]:
+                    if b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+            out.append((rows[a][0], min(rows[b][0] for b in seen), len(near[a])))
+    return sorted(out)
+
+
+def kept(rows):
+    """How many rows stay: one of each group, and all that are similar to nothing."""
+    sets = [(i, grams(x)) for i, x in rows if i is not None and grams(x)]
+    root = list(range(len(sets)))
+    for a, (_, p) in enumerate(sets):
+        for b in range(a):
+            if 2 * len(p & sets[b][1]) >= len(p | sets[b][1]):
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+    return len(rows) - len(sets) + len(set(root))
+
+
+ODD_LONG = " ".join(f"w{i % 7000}" for i in range(60_000))
+ODD = [(1, "a b c d e"), (2, "A, b; C d e"), (3, None), (4, ""), (5, "!!! ..."), (None, "a b c d e"), (6, "x"), (7, "x"), (8, ODD_LONG), (9, ODD_LONG + " tail end"), (10, "nothing like these at all")]
+
+
 def test_odd_rows(docs_of):
-    long = " ".join(f"w{i % 7000}" for i in range(60_000))
-    rows = [(1, "a b c d e"), (2, "A, b; C d e"), (3, None), (4, ""), (5, "!!! ..."), (None, "a b c d e"), (6, "x"), (7, "x"), (8, long), (9, long + " tail end"), (1, "a b c d e")]
-    assert expanded(J.similar_pairs(docs_of(rows)).collect()) == {(1, 2), (6, 7), (8, 9)}
-    assert J.similar_pairs(docs_of([])).collect() == [] and J.similar_pairs(docs_of([(1, None)])).collect() == []
-    docs = docs_of(rows)
+    docs = docs_of(ODD)
+    assert sorted(map(tuple, J.similar_documents(docs).collect())) == linked(ODD) == [(1, 1, 1), (2, 1, 1), (6, 6, 1), (7, 6, 1), (8, 8, 1), (9, 8, 1)]
     kept = J.drop_similar(docs)
     assert kept.columns == docs.columns
-    assert sorted({r["doc_id"] for r in kept.collect()}, key=lambda x: (x is None, x)) == [1, 3, 4, 5, 6, 8, None]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 3, 4, 5, 6, 8, 10, None]
 
 
-def test_an_id_with_several_texts(docs_of):
-    rows = [(1, "one two three four five"), (1, "red green blue black white"), (2, "one two three four five six"), (3, "red green blue black white grey"), (4, "nothing like the others at all")]
-    assert expanded(J.similar_pairs(docs_of(rows)).collect()) == brute(rows)
+def test_empty_tables(docs_of):
+    for rows in ([], [(1, None)]):
+        docs = docs_of(rows)
+        assert J.similar_documents(docs).collect() == [] and J.similar_pairs(docs).collect() == [] and J.drop_similar(docs).count() == len(rows)
+
+
+def test_rows_that_repeat_ids(docs_of):
+    """Each row is settled by its own text."""
+    base, other = "one two three four five six seven eight", "red green blue black white grey brown pink"
+    r = random.Random(5)
+    drawn = [(r.randrange(20, 26), t if t is None or r.random() < 0.8 else t + " more") for t in ("the first text of them all is here", "quite another text stands there now", "and a third one with other words in it", None) for _ in range(6)]
+    rows = [(1, base), (5, base + " nine"), (5, other), (5, None), (7, base), (7, base), (8, other.upper()), *drawn]
+    docs = docs_of(rows)
+    assert sorted(map(tuple, J.similar_documents(docs).collect())) == linked(rows)
+    got = [(x["doc_id"], x["text"]) for x in J.drop_similar(docs).collect()]
+    assert len(got) == kept(rows) and {(1, base), (5, other), (5, None)} <= set(got) and not {(5, base + " nine"), (7, base)} & set(got)
+    assert not linked(got)
+
+
+@pytest.mark.parametrize("limit, block", [(64 << 20, 16 << 20), (0, 1 << 10)])
+def test_documents_are_brute_force(docs_of, limit, block):
+    rows = corpus(4, 15)
+    assert sorted(map(tuple, J.similar_documents(docs_of(rows), broadcast_bytes=limit, block_bytes=block).collect())) == linked(rows)
+
+
+def test_hot_signatures_are_split():
+    """Documents of a split signature still meet, each two of them, and no part has all of them."""
+    import numpy as np
+
+    doc = np.arange(2000, dtype=np.int64)
+    sig, docs, size = J._spread(np.full(2000, 77, np.uint64), doc, np.ones(2000, np.int64), np.full(2000, 2000), 250)
+    parts = {}
+    for s, d in zip(sig.tolist(), docs.tolist()):
+        parts.setdefault(s, []).append(d)
+    assert max(map(len, parts.values())) < 700
+    met = np.zeros((2000, 2000), bool)
+    for m in parts.values():
+        met[np.ix_(m, m)] = True
+    assert met.all()
+
+
+def test_pairs_are_told_in_parts(spark):
+    """What a bucket tells in parts adds up to what it tells at once."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(i, " ".join(f"w{(j * 7 + i % 5) % 40}" for j in range(60))) for i in range(60)], "doc_id bigint, text string")
+    sent = spark.sparkContext.broadcast(b"\1\0\0\0" * (1 << J.SKETCH_BITS))
+    blobs = d.mapInArrow(J._signatures(3, 0.5, 2, sent), "bucket int, blob binary")
+    told = lambda hold: blobs.groupBy("bucket").applyInArrow(J._pairs(0.5, hold), "a bigint, b bigint, n int, least int")
+    whole, parts = told(10**9), told(50)
+    add = lambda x: sorted(map(tuple, x.groupBy("a", "b").agg(F.sum("n"), F.min("least")).collect()))
+    assert add(whole) == add(parts) != [] and parts.count() >= whole.count()
 
 
 def test_a_long_chain_is_one_group(spark):
