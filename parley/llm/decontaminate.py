@@ -2,7 +2,8 @@
 
 Texts are reduced to templates: numbers, names and units become typed
 placeholders, every other word its lowered form. Windows of WINDOW template
-tokens are joined by hash with the windows of the benchmark items; matches on
+tokens are joined by hash with the windows of the benchmark items, by broadcast
+or, for a large benchmark, by a shuffle; matches on
 one diagonal (document position minus item position) are then checked for slot
 consistency: one and the same slot value of the item must always have become
 one and the same value in the document, and different values different ones, as
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import kernel as K
 
 U64 = np.uint64
@@ -169,6 +171,9 @@ class Index:
             gate = np.zeros(1 << 20, bool)
             gate[(h >> U64(44)).astype(np.int64)] = True
             self.lengths[n] = (h[order], o[order], q[order], gate)
+        sizes = np.array([len(c) for c in self.code], np.int64)
+        self.at = np.cumsum(sizes) - sizes
+        self.flat = np.concatenate(self.code) if self.code else np.zeros(0, U64)
 
 
 class Items:
@@ -204,7 +209,7 @@ def _matches(t: Templates, items: Index):
         j = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         same = np.ones(len(at), bool)
         for x in range(n):  # the tokens themselves, not only the window's hash
-            same &= t.code[at + x] == np.fromiter((items.code[o][p + x] for o, p in zip(owner[j], pos[j])), U64, len(j))
+            same &= t.code[at + x] == items.flat[items.at[owner[j]] + pos[j] + x]
         at, j = at[same], j[same]
         out.append(np.stack([t.doc[at], owner[j], at, pos[j], np.full(len(at), n)], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
@@ -261,7 +266,112 @@ def find(texts: tuple[Templates, Templates | None, Templates], items: Items):
         yield d, i, covered, len(tokens) - 1, slots, changed
 
 
-_OUT = "doc_id bigint, item_id bigint, covered int, item_tokens int, slots int, changed int"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int32()), ("item_tokens", pa.int32()), ("slots", pa.int32()), ("changed", pa.int32())])
+_FOUND_SQL = "doc_id bigint, d1 bigint, d2 bigint, item_id bigint, covered int, item_tokens int, slots int, changed int"
+
+
+def _digests() -> list:
+    return [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit("second"), "text").alias("d2")]
+
+
+def _told(items: Items, coverage: float, columns) -> pa.RecordBatch | None:
+    """Rows of _FOUND for columns doc_id, text, d1, d2."""
+    ids, text, d1, d2 = columns
+    ids, d1, d2 = (x.to_numpy() for x in (ids, d1, d2))
+    out = [(int(ids[row + d]), int(d1[row + d]), int(d2[row + d]), int(items.ids[i]), *x) for row, _, t in readings(text) for d, i, *x in find(t, items) if x[0] >= coverage * x[1]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND) if out else None
+
+
+def _sorted_windows(readings_of, lengths):
+    """Hashes of the windows of `lengths` tokens of each text of a chunk in all readings: (text, hash), repetitions taken out."""
+    doc, h = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for t in readings_of:
+        for n in lengths if t is not None else ():
+            at, w = t.windows(n)
+            doc.append(t.doc[at])
+            h.append(w)
+    doc, h = np.concatenate(doc), np.concatenate(h)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[new], h[new]
+
+
+def _joined(rows: DataFrame, texts: DataFrame, coverage: float, items_per_pass: int, docs_per_task: int) -> DataFrame:
+    """Rows of _FOUND by a join of window hashes, for benchmarks that aren't to be broadcast: documents go to the shards of items with which they have a window in common."""
+    spark = rows.sparkSession
+    shards = -(-texts.count() // items_per_pass)
+    items = common.materialise(texts.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int")), "benchmark")
+
+    def of_items(batches):
+        for b in batches:
+            shard = b.column(1).to_numpy()
+            for row, end, r in readings(b.column(0)):
+                for n in range(1, WINDOW + 1):
+                    doc, h = _sorted_windows(r, (n,))
+                    # an item shorter than a window is sought as a whole
+                    size = [np.diff(t.first)[doc] if t is not None else np.zeros(len(doc), int) for t in r]
+                    on = np.logical_or.reduce([np.minimum(x, WINDOW) == n for x in size])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(shard[row + doc[on]]), pa.array(np.full(int(on.sum()), n, np.int32))], names=["h", "shard", "n"])
+
+    windows = common.materialise(items.select("text", "shard").mapInArrow(of_items, "h bigint, shard int, n int").distinct(), "benchmark-windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW
+    # a bitmap of 4 MB keeps windows that no item has from being shuffled
+    bits = windows.select(F.shiftrightunsigned("h", 39).alias("bit")).distinct().groupBy(F.floor(F.col("bit") / (1 << 19)).cast("int").alias("block"))
+    packed = bits.applyInArrow(lambda t: pa.table({"block": t["bit"].slice(0, 1).cast(pa.int64()), "bits": [np.packbits(np.bincount(t["bit"].to_numpy() % (1 << 19), minlength=1 << 19) > 0).tobytes()]}), "block bigint, bits binary")
+    have = {int(r["block"]) >> 19: bytes(r["bits"]) for r in packed.collect()}  # 64 blocks
+    sent = spark.sparkContext.broadcast(b"".join(have.get(i, bytes(1 << 16)) for i in range(64)))
+
+    def of_docs(batches):
+        gate = np.frombuffer(sent.value, np.uint8)
+        for b in batches:
+            ids = b.column(0)
+            for row, end, r in readings(b.column(1)):
+                doc, h = _sorted_windows(r, lengths)
+                at = (h >> U64(39)).astype(np.int64)
+                on = gate[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+                yield pa.RecordBatch.from_arrays([ids.slice(row, end - row).take(pa.array(doc[on])), pa.array(h[on].view(np.int64))], names=["doc_id", "h"])
+
+    met = rows.select("doc_id", "text").mapInArrow(of_docs, "doc_id bigint, h bigint").join(windows.select("h", "shard").distinct(), "h").select("doc_id", "shard").distinct()
+    met = common.materialise(met, "benchmark-candidates")
+    # a shard that many documents share is searched by several tasks
+    tasks = met.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / docs_per_task).alias("tasks"))
+    met = met.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("doc_id"), F.col("tasks")))
+    left = rows.join(met, "doc_id").select("shard", "task", "doc_id", "text", "d1", "d2")
+    right = items.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+
+    def search(docs: pa.Table, part: pa.Table) -> pa.Table:
+        part = part.sort_by([("item_id", "ascending"), ("text", "ascending")])
+        items, got = Items(part["item_id"].to_pylist(), part["text"].to_pylist()), []
+        for b in docs.to_batches() if part.num_rows else ():
+            got.append(_told(items, coverage, [b.column(c) for c in ("doc_id", "text", "d1", "d2")]))
+        K.trim()
+        return pa.Table.from_batches([x for x in got if x is not None], schema=_FOUND)
+
+    return left.groupBy("shard", "task").cogroup(right.select("shard", "task", "item_id", "text").groupBy("shard", "task")).applyInArrow(search, _FOUND_SQL)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float, items_per_pass: int, docs_per_task: int = 20_000) -> DataFrame:
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", *_digests())
+    texts = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    part = texts.limit(items_per_pass + 1).collect()
+    if len(part) > items_per_pass:
+        return _joined(rows, texts, coverage, items_per_pass, docs_per_task)
+    part = sorted((r[0], r[1]) for r in part)
+    sent = spark.sparkContext.broadcast(([i for i, _ in part], [t for _, t in part]))
+
+    def search(batches):
+        items = Items(*sent.value)
+        for b in batches:
+            got = _told(items, coverage, b.columns)
+            if got is not None:
+                yield got
+        K.trim()
+
+    return rows.mapInArrow(search, _FOUND_SQL)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, items_per_pass: int = 20_000) -> DataFrame:
@@ -273,39 +383,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, i
     `changed` of the `slots` in them have other values than the item, 0 for a plain
     copy. Documents are searched whole, at any length. Null or empty texts match
     nothing; rows without id are left out; repeated rows are told as often as they
-    occur; other columns are ignored; empty tables give no rows.
+    occur, each by its own text; items that repeat an id are sought each; other
+    columns are ignored; empty tables give no rows.
 
-    The items are broadcast `items_per_pass` at a time, so what is sent is bounded
-    however large the benchmark; each pass reads the documents once.
+    Up to `items_per_pass` items are broadcast with their windows, so that the
+    hash join needs no shuffle. A larger benchmark is split into shards of that
+    size, and windows are joined by a shuffle: the documents are read once to find
+    the shards with which they have a window in common, and once to be sent there.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    texts = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy(F.col("item_id").cast("bigint").alias("item_id"), "text").count().select("item_id", "text")
-    passes = max(1, -(-texts.count() // items_per_pass))
-    result = None
-    for k in range(passes):
-        part = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()  # one pass's items
-        sent = spark.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part]))
-
-        def search(batches, sent=sent):
-            items = Items(*sent.value)
-            for b in batches:
-                ids = b.column(0).to_numpy()
-                out = [(int(ids[row + d]), int(items.ids[i]), *x) for row, _, t in readings(b.column(1)) for d, i, *x in find(t, items) if x[0] >= coverage * x[1]]
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j < 2 else pa.int32()) for j, c in enumerate(cols)], names=["doc_id", "item_id", "covered", "item_tokens", "slots", "changed"])
-            K.trim()
-
-        found = rows.mapInArrow(search, _OUT)
-        result = found if result is None else result.unionByName(found)
-    return result
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which `contaminated` finds no item."""
-    from . import common
-
-    gone = common.materialise(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
-    small = gone.count() * 40 <= 64 << 20
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    return _contaminated(docs, benchmark, coverage, items_per_pass).select("doc_id", "item_id", "covered", "item_tokens", "slots", "changed")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, items_per_pass: int = 20_000) -> DataFrame:
+    """The documents in which `contaminated` finds no item.
+
+    Every row is settled by its own text, also where rows repeat a doc_id. Rows with
+    a null or empty text or a null doc_id all stay. All columns are kept, whatever
+    their names; an empty table stays empty.
+    """
+    gone = common.materialise(_contaminated(docs, benchmark, coverage, items_per_pass).select("doc_id", "d1", "d2").distinct(), "contaminated")
+    small = gone.count() * 48 <= 64 << 20
+    names = {c: common.unused(docs, f"_{c}") for c in gone.columns}
+    gone = gone.select(*[F.col(c).alias(n) for c, n in names.items()])
+    on = (F.col("doc_id").cast("bigint") == F.col(names["doc_id"])) & (F.xxhash64("text") == F.col(names["d1"])) & (F.xxhash64(F.lit("second"), "text") == F.col(names["d2"]))
+    return docs.join(F.broadcast(gone) if small else gone, on, "left_anti").select(docs.columns)

@@ -85,6 +85,101 @@ def test_odd_rows(docs_of, bench):
     assert C.decontaminate(docs, bench.where("false")).count() == len(rows)
 
 
+def test_rows_that_repeat_ids(docs_of, bench):
+    docs = docs_of([(1, ITEM), (1, "clean words only"), (1, None), (2, "more clean words"), (2, "more clean words"), (None, ITEM)])
+    for options in ({}, {"items_per_pass": 1}):
+        kept = C.decontaminate(docs, bench, **options)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, "clean words only"), (1, None), (2, "more clean words"), (2, "more clean words"), (None, ITEM)], key=repr)
+
+
+def naive_readings(text):
+    """Tokens of each reading as (kind, value), word by word; ASCII texts only."""
+    import re
+
+    words, begins = [], True
+    for m in re.finditer(r"[0-9A-Za-z]+|[\n.!?]", text):
+        if m[0] in "\n.!?":
+            begins = True
+        else:
+            words.append((m[0], begins))
+            begins = False
+    unit = [i > 0 and w.lower() in C.UNITS and words[i - 1][0][0].isdigit() and not w[0].isdigit() for i, (w, _) in enumerate(words)]
+    inner = {w.lower() for i, (w, b) in enumerate(words) if w[0].isupper() and not b and not unit[i]}
+    out = []
+    for named in ("inner", "all", "none"):
+        tokens = []  # kind, value, first word
+        for i, (w, b) in enumerate(words):
+            name = w[0].isupper() and not unit[i] and (not b or named == "all" and w.lower() in inner)
+            kind = w.lower() if named == "none" else "<num>" if w[0].isdigit() else "<unit>" if unit[i] else "<name>" if name else w.lower()
+            if kind in ("<num>", "<name>") and tokens and tokens[-1][0] == kind:
+                tokens[-1] = (kind, tokens[-1][1] + (w.lower(),), tokens[-1][2])
+            else:
+                tokens.append((kind, (w.lower(),), i))
+        out.append((tokens, len(words)))
+    return out
+
+
+def naive_cover(item, text):
+    """How many template tokens of an item a text covers, by trying every pair of positions."""
+    base = naive_readings(item)[0][0]
+    on = set()
+    items, docs = naive_readings(item), naive_readings(text)
+    for d, options in ((docs[0], items[:2]), (docs[1], items[:2]), (docs[2], items[2:])):
+        for it, n_words in options:
+            k = min(C.WINDOW, len(it))
+            if not k:
+                continue
+            dt = d[0]
+            for shift in range(-len(it), len(dt)):
+                starts = [p for p in range(len(it) - k + 1) if 0 <= p + shift <= len(dt) - k and all(it[p + x][0] == dt[p + shift + x][0] for x in range(k))]
+                while starts:
+                    run = [starts.pop(0)]
+                    while starts and starts[0] <= run[-1] + k:
+                        run.append(starts.pop(0))
+                    a, b = run[0], run[-1] + k
+                    pairs = {(it[p][1], dt[p + shift][1]) for p in range(a, b) if it[p][0][0] == "<"}
+                    if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
+                        end = it[b][2] if b < len(it) else n_words
+                        on |= set(range(it[a][2], end))
+    ends = [t[2] for t in base[1:]] + [naive_readings(item)[0][1]]
+    return sum(all(w in on for w in range(t[2], e)) for t, e in zip(base, ends)), len(base)
+
+
+def test_whole_query_is_brute_force(spark, docs_of):
+    """Random items, and texts made of their changed parts: what is covered is what the comparison of all positions covers."""
+    import random
+
+    r = random.Random(8)
+    words = "sold bought apples seeds then and how many of to the farm left in all day was".split()
+    names, units = ["Miller", "Jones", "Baker", "Smith"], ["kg", "km", "days"]
+
+    def item():
+        out = []
+        for _ in range(r.randrange(3, 30)):
+            x = r.random()
+            out.append(r.choice(names) if x < 0.15 else f"{r.randrange(1, 9)} {r.choice(units)}" if x < 0.25 else str(r.randrange(1, 30)) if x < 0.35 else r.choice(words))
+        return " ".join(out).replace(" then", ". Then")
+
+    items = [(i, item()) for i in range(25)]
+    rows = []
+    for i in range(150):
+        t = r.choice(items)[1].split()
+        for _ in range(r.randrange(3)):
+            k = r.randrange(len(t))
+            t[k] = r.choice(names + words + ["5", "kg"])
+        if r.random() < 0.5:
+            swap = dict(zip(names, r.sample(names, 4)))
+            t = [swap.get(x, x) for x in t]
+        t = " ".join(t[: r.randrange(1, len(t) + 1)] if r.random() < 0.3 else t)
+        rows.append((i, r.choice([t, t.upper(), t.lower(), "the day. " + t + " left"])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted((d, i, *naive_cover(x, t)) for d, t in rows for i, x in items if naive_cover(x, t)[0] >= 0.5 * naive_cover(x, t)[1])
+    for options in ({}, {"items_per_pass": 7}):
+        assert sorted((x["doc_id"], x["item_id"], x["covered"], x["item_tokens"]) for x in C.contaminated(docs_of(rows), bench, **options).collect()) == want
+    assert len(want) > 50
+
+
 def test_passes_give_the_same(docs_of, bench):
     docs = docs_of([(1, ITEM), (2, "the capital of the large island that lies south of the old continent")])
     whole = sorted(map(repr, C.contaminated(docs, bench).collect()))
