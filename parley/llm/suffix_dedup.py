@@ -15,6 +15,8 @@ collision can't make a passage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -69,7 +71,8 @@ def _anchors(length, gram, parts):
                     new[1:] = anchor[1:] != anchor[:-1]
                     got.append(h[new])
             if got:
-                h = np.concatenate(got)
+                h = np.sort(np.concatenate(got))
+                h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]  # twice is often enough, however often an anchor occurs
                 used, raw = common.blobs(((h >> U64(20)) % U64(parts)).astype(np.int64), parts, h)
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(raw, pa.binary())], schema=out)
 
@@ -100,29 +103,75 @@ def _probe_places(h: np.ndarray, bits: int):
         yield ((x >> U64(shift)) & U64((1 << (bits - 6)) - 1)).astype(np.int64)
 
 
-def _segments(length, gram, parts, bits, sent):
-    """(bucket, meta, text): what surrounds possibly repeated anchors, as packed records and the words' bytes."""
-    out = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("text", pa.binary())])
-    kind = np.dtype([("h", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("before", "<i2"), ("starts", "<i2"), ("words", "<i2"), ("size", "<i4")])
+_KIND = np.dtype([("h", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("before", "<i2"), ("starts", "<i2"), ("words", "<i2"), ("size", "<i4")])
+_SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("stop", "<i4")])
+_PACKED = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("text", pa.binary()), ("spans", pa.binary())])
+_PACKED_SQL = "bucket int, meta binary, text binary, spans binary"
+
+
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Window starts `start` up to `stop`, with those that touch or overlap in one document put together."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["start"], spans["doc"]))]
+    doc, stop = spans["doc"], spans["stop"].astype(np.int64)
+    order = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 33
+    far = np.maximum.accumulate(stop + order) - order  # the furthest stop so far within the document
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (spans["start"][1:] > far[:-1])])
+    out = spans[new]
+    out["stop"] = np.maximum.reduceat(stop, np.flatnonzero(new))
+    return out
+
+
+def _segments(length, gram, parts, bits, sent, hold=4 << 20):
+    """What surrounds possibly repeated anchors, as packed records and the words' bytes, by bucket.
+
+    Equal segments of one task prove each other to be repeated: their window starts
+    are told as spans, and the segment is sent once, to be compared with those of
+    other tasks. So a passage that many texts share is sent about once by each task.
+    """
 
     def run(batches):
         blocks = np.frombuffer(sent.value, np.uint8).reshape(64, -1)
+        metas, pieces, held, often, often_bytes = [], [], 0, {}, 0
 
         def packed():
+            nonlocal often_bytes
             m = np.concatenate(metas)
+            send, proved, here = np.ones(len(m), bool), np.zeros(len(m), bool), {}
+            for i, key in enumerate(zip(pieces, m["before"].tolist(), m["starts"].tolist())):
+                if key in often:  # sent and seen twice by this task before
+                    send[i], proved[i] = False, True
+                    continue
+                at = here.setdefault(key, i)
+                if at != i:
+                    send[i], proved[i], proved[at] = False, True, True
+                    if key not in often and often_bytes < 8 << 20:
+                        often[key] = None
+                        often_bytes += len(key[0]) + 100
+            spans = np.zeros(int(proved.sum()), _SPAN)
+            spans["doc"], spans["start"] = m["doc"][proved], m["first"][proved]
+            spans["stop"] = spans["start"] + m["starts"][proved]
+            spans = _merged(spans)
             bucket = ((m["h"] >> U64(20)) % U64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.flatnonzero(send)
+            order = order[np.argsort(bucket[order], kind="stable")]
             edge = np.searchsorted(bucket[order], np.arange(parts + 1))
-            used = np.flatnonzero(np.diff(edge))
+            to = (K.mix(spans["doc"].view(U64)) % U64(parts)).astype(np.int64) if len(spans) else np.zeros(0, np.int64)
+            by = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[by], np.arange(parts + 1))
+            used = np.flatnonzero(np.diff(edge) + np.diff(cut))
             batch = pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([m[order[edge[u] : edge[u + 1]]].tobytes() for u in used], pa.binary()), pa.array([b"".join([pieces[i] for i in order[edge[u] : edge[u + 1]].tolist()]) for u in used], pa.binary())],
-                schema=out,
-            )
+                [
+                    pa.array(used, pa.int32()), pa.array([m[order[edge[u] : edge[u + 1]]].tobytes() for u in used], pa.binary()),
+                    pa.array([b"".join([pieces[i] for i in order[edge[u] : edge[u + 1]].tolist()]) for u in used], pa.binary()), pa.array([spans[by[cut[u] : cut[u + 1]]].tobytes() for u in used], pa.binary()),
+                ],
+                schema=_PACKED,
+            )
             metas.clear()
             pieces.clear()
             return batch
 
-        metas, pieces, held = [], [], 0
         for b in batches:
             ids = b.column(0).to_numpy()
             for row, _, words in K.tokenised(b.column(1)):
@@ -138,9 +187,11 @@ def _segments(length, gram, parts, bits, sent):
                 for p in _probe_places(hh, bits):
                     maybe &= blocks[(hh >> U64(58)).astype(np.int64), p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1 == 1
                 lead, starts, hh = lead[maybe], starts[maybe], hh[maybe]
+                if not len(lead):
+                    continue
                 w = at[lead]
                 last = w + starts - 1 + length - 1
-                m = np.zeros(len(lead), kind)
+                m = np.zeros(len(lead), _KIND)
                 m["h"], m["doc"], m["first"] = hh, ids[row + words.doc[w]], w - words.first[words.doc[w]]
                 m["before"], m["starts"], m["words"] = anchor[lead] - w, starts, last - w + 1
                 m["size"] = words.end[last] - words.start[w]
@@ -148,14 +199,15 @@ def _segments(length, gram, parts, bits, sent):
                 raw = words.data.tobytes()
                 pieces += [raw[x:y] for x, y in zip(words.start[w].tolist(), words.end[last].tolist())]
                 held += int(m["size"].sum())
-                if held > 8 << 20:
+                if held > hold:
                     yield packed()
                     held = 0
         if pieces:
             yield packed()
+        often.clear()
         K.trim()
 
-    return run, kind
+    return run
 
 
 class Suffixes:
@@ -273,41 +325,117 @@ def repeats(meta: np.ndarray, raw: np.ndarray, length: int):
     return seg[back], step[back]
 
 
-def _sorted_bucket(length, kind):
-    out = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 
-    def run(table: pa.Table) -> pa.Table:
-        meta = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table["meta"]])
-        raw = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["text"]])
-        # segments of one anchor stay together; a bucket is worked off in parts of bounded size
-        offsets = np.concatenate([[0], np.cumsum(meta["size"].astype(np.int64))])
-        order = np.argsort(meta["h"], kind="stable")
-        h = meta["h"][order]
-        lead = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
-        count = np.diff(lead)
-        load = np.cumsum(np.repeat(np.where(count > 1, 1, 0), count) * meta["size"][order].astype(np.int64))
-        docs, starts, ends = [], [], []
-        part = (load - 1) // (1 << 20)
-        part = part[lead[1:] - 1]  # by the last segment of an anchor, so that none is split
-        for p in np.unique(part[count > 1]):
-            mine = order[np.repeat((part == p) & (count > 1), count)]
-            m = meta[mine]
-            text = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in mine])
-            seg, step = repeats(m, text, length)
-            o = np.lexsort((step, seg))
-            seg, step = seg[o], step[o]
-            if len(seg):
-                new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (step[1:] != step[:-1] + 1)])
-                b = np.flatnonzero(new)
-                e = np.append(b[1:], len(seg)) - 1
-                docs.append(m["doc"][seg[b]])
-                starts.append(m["first"][seg[b]] + step[b])
-                ends.append(m["first"][seg[b]] + step[e] + length)
-        del raw, meta
+
+def _windows_alike(meta: np.ndarray, texts: list, length: int, part_bytes: int):
+    """Single windows of one anchor's segments whose hashes occur twice or more, as segments of their own in parts of about `part_bytes`: for anchors that are too frequent to be sorted at once."""
+    edge = np.cumsum(meta["size"].astype(np.int64))
+    n = meta["starts"].astype(np.int64)
+    cuts = np.unique(np.searchsorted(edge, np.arange(part_bytes, edge[-1] + part_bytes, part_bytes)))
+    chunks = [(a, min(b + 1, len(meta))) for a, b in zip(np.concatenate([[0], cuts[:-1] + 1]).tolist(), cuts.tolist()) if a < len(meta)]
+
+    def windows(a, b):
+        raw = np.concatenate(texts[a:b])
+        words = K.Words(raw, np.concatenate([[0], np.cumsum(meta["size"][a:b].astype(np.int64))]), "SPACE")
+        k = n[a:b]
+        seg = np.repeat(np.arange(b - a), k)
+        step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        return raw, words, seg, step, words.first[:-1][seg] + step
+
+    h = []
+    for a, b in chunks:
+        _, words, _, _, at = windows(a, b)
+        h.append(K.span(words.prefix(), at, length))
+    whole = np.sort(np.concatenate(h))
+    again = np.unique(whole[1:][whole[1:] == whole[:-1]])
+    del whole
+    # equal hashes go to the same part
+    parts = 1 + sum(int(np.isin(x, again).sum()) for x in h) * 8 * length // part_bytes
+    metas, pieces = [[] for _ in range(parts)], [[] for _ in range(parts)]
+    for (a, b), x in zip(chunks, h):
+        on = np.flatnonzero(np.isin(x, again))
+        if not len(on):
+            continue
+        raw, words, seg, step, at = windows(a, b)
+        seg, step, at = seg[on], step[on], at[on]
+        m = meta[a:b][seg]
+        m["first"] += step.astype(np.int32)
+        m["before"] -= step.astype(np.int16)
+        m["starts"], m["words"] = 1, length
+        begin, end = words.start[at], words.end[at + length - 1]
+        m["size"] = end - begin
+        part = (K.mix(x[on]) % U64(parts)).astype(np.int64)
+        for p in np.unique(part):
+            mine = np.flatnonzero(part == p)
+            metas[p].append(m[mine])
+            pieces[p] += [raw[i:j] for i, j in zip(begin[mine].tolist(), end[mine].tolist())]
+    for m, text in zip(metas, pieces):
+        if m:
+            yield np.concatenate(m), text
+
+
+def _sorted_bucket(length, part_bytes=1 << 20):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        metas, raws, spans = [], [], []
+        for b in batches:
+            for m, t, x in zip(b.column("meta"), b.column("text"), b.column("spans")):
+                if x.as_buffer().size:
+                    spans.append(np.frombuffer(x.as_buffer().to_pybytes(), _SPAN))
+                if m.as_buffer().size:
+                    metas.append(np.frombuffer(m.as_buffer().to_pybytes(), _KIND))
+                    raws.append(np.frombuffer(t.as_buffer().to_pybytes(), np.uint8))
+        found, held = spans, 0
+
+        def told():
+            s = _merged(np.concatenate(found))
+            return pa.RecordBatch.from_arrays([pa.array(s["doc"]), pa.array(s["start"]), pa.array(s["stop"] + np.int32(length - 1))], schema=_OUT)
+
+        def compare(m, texts):
+            seg, step = repeats(m, np.concatenate(texts), length)
+            s = np.zeros(len(seg), _SPAN)
+            s["doc"], s["start"] = m["doc"][seg], m["first"][seg] + step
+            s["stop"] = s["start"] + 1
+            found.append(_merged(s))
+
+        if metas:
+            # where each segment's bytes are: which blob, and where in it
+            blob = np.repeat(np.arange(len(metas)), [len(m) for m in metas])
+            begin = np.concatenate([np.cumsum(m["size"].astype(np.int64)) - m["size"] for m in metas])
+            meta = np.concatenate(metas)
+            metas.clear()
+            text = lambda i: raws[blob[i]][begin[i] : begin[i] + meta["size"][i]]
+            # segments of one anchor stay together; a bucket is worked off in parts of bounded size
+            order = np.argsort(meta["h"], kind="stable")
+            h = meta["h"][order]
+            lead = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+            count = np.diff(lead)
+            load = np.add.reduceat(meta["size"][order].astype(np.int64), lead[:-1])
+            load[count < 2] = 0
+            hot = np.flatnonzero(load > 4 * part_bytes)
+            part = np.where(load > 4 * part_bytes, 0, load)
+            part = (np.cumsum(part) - 1) // part_bytes
+            use = (count > 1) & (load <= 4 * part_bytes)
+            each = np.repeat(use, count)
+            by = np.repeat(part, count)[each]
+            mine = order[each]
+            for x in np.split(mine, np.flatnonzero(by[1:] != by[:-1]) + 1) if len(mine) else ():
+                compare(meta[x], [text(i) for i in x.tolist()])
+                held += 1
+                if held % 64 == 0:
+                    yield told()
+                    found.clear()
+            for a in hot:
+                x = order[lead[a] : lead[a + 1]]
+                for m, t in _windows_alike(meta[x], [text(i) for i in x.tolist()], length, part_bytes):
+                    compare(m, t)
+                yield told() if found else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _OUT], schema=_OUT)
+                found.clear()
+            del meta, order, h, mine, each, by
+        if found:
+            yield told()
+        del metas, raws, spans, found
         K.trim()
-        if not docs:
-            return out.empty_table()
-        return pa.table([np.concatenate(docs), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)], schema=out)
 
     return run
 
@@ -330,6 +458,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, f
     if not 1 <= gram <= length:
         raise ValueError("gram must be from 1 to length")
     spark = docs.sparkSession
+    common.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     parts = common.parts_for(rows, 32 << 20)
     anchors = rows.select("text").mapInArrow(_anchors(length, gram, parts), "bucket int, blob binary")
@@ -339,8 +468,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, f
     blocks = again.withColumn("block", F.shiftrightunsigned("h", 58).cast("int")).groupBy("block").applyInArrow(_bitmap(bits), "block int, bits binary").collect()
     parts_of = {r["block"]: bytes(r["bits"]) for r in blocks}
     sent = spark.sparkContext.broadcast(b"".join(parts_of.get(i, bytes(1 << (bits - 9))) for i in range(64)))
-    segments, kind = _segments(length, gram, parts, bits, sent)
-    spans = rows.mapInArrow(segments, "bucket int, meta binary, text binary").groupBy("bucket").applyInArrow(_sorted_bucket(length, kind), "doc_id bigint, start_word int, end_word int")
+    segments = rows.mapInArrow(_segments(length, gram, parts, bits, sent), _PACKED_SQL)
+    spans = segments.groupBy("bucket").applyInArrow(_sorted_bucket(length), "doc_id bigint, start_word int, end_word int")
     w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     far = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     # spans of neighbouring windows overlap or their window starts touch

@@ -114,7 +114,7 @@ def test_colliding_hashes_are_verified(docs_of, monkeypatch):
     r = random.Random(4)
     meta_rows = [(i, " ".join(f"w{r.randrange(5)}" for _ in range(12))) for i in range(40)]
     raw = np.frombuffer("".join(t for _, t in meta_rows).encode(), np.uint8)
-    _, kind = P._segments(10, 4, 4, 16, None)
+    kind = P._KIND
     m = np.zeros(40, kind)
     m["h"], m["doc"], m["starts"], m["words"], m["before"] = 1, range(40), 3, 12, 2
     m["size"] = [len(t) for _, t in meta_rows]
@@ -127,3 +127,27 @@ def test_colliding_hashes_are_verified(docs_of, monkeypatch):
             windows.setdefault((s, tuple(w[s : s + 10])), []).append(i)
     true = {(i, s) for (s, _), g in windows.items() if len(g) > 1 for i in g}
     assert set(zip(seg.tolist(), step.tolist())) <= true
+
+
+def test_a_passage_that_all_texts_share(docs_of, spark):
+    """Equal segments are sent once by each task, and anchors that are too frequent are compared window by window."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(5000)}"
+    passage = [word() for _ in range(30)]
+    rows = [(i, " ".join([*[word() for _ in range(r.randrange(20))], *passage[r.randrange(3) :], *[word() for _ in range(r.randrange(20))]])) for i in range(150)]
+    want = brute(rows, 12)
+    docs = docs_of(rows).coalesce(2)
+    assert spans(docs, length=12, gram=5) == want
+    sent = spark.sparkContext.broadcast(b"\xff" * (64 * 2))
+    packed = docs.select("doc_id", "text").mapInArrow(P._segments(12, 5, 4, 10, sent, 1 << 30), P._PACKED_SQL)
+    for part_bytes in (1 << 20, 50):
+        out = packed.groupBy("bucket").applyInArrow(P._sorted_bucket(12, part_bytes), "doc_id bigint, start_word int, end_word int").collect()
+        got = {(x["doc_id"], s) for x in out for s in range(x["start_word"], x["end_word"] - 11)}
+        assert got == {(i, s) for i, a, e in want for s in range(a, e - 11)}
+    texts = b"".join(bytes(x["text"]) for x in packed.select("text").collect())
+    assert texts.count(" ".join(passage[10:24]).encode()) < 40
+
+
+def test_spans_that_touch_are_one():
+    s = np.array([(1, 0, 3), (1, 3, 4), (2, 4, 5), (1, 9, 12), (1, 5, 20), (3, 1, 2), (2, 6, 7), (-1, 0, 1)], P._SPAN)
+    assert P._merged(s).tolist() == [(-1, 0, 1), (1, 0, 4), (1, 5, 20), (2, 4, 5), (2, 6, 7), (3, 1, 2)]
