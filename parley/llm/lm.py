@@ -1,23 +1,27 @@
 """Language-model scores by a causal self-attention model trained here, in numpy.
 
 Tokens are the subword ids of `pieces`. The model embeds id and place, attends
-causally within a window of CONTEXT tokens, and predicts the next token as
-(class given the context) x (token given its class): classes are slices of equal
-mass of the corpus' own token counts. Windows overlap by OVERLAP tokens, so that
-every token of a document is scored exactly once, with at least OVERLAP tokens
-(or all there are) before it; windows are scored in batches with masked
-attention.
-
-Everything learnt comes from the whole corpus: token counts and training windows
-from all documents. Training is data-parallel: groups of about GROUP windows are
-trained on from common parameters, TOGETHER of them in one task, and the changes
-are averaged by how often each group saw a token; only averages reach the
-driver, whose size is the model's. Windows are cut where they are trained on;
-what is shuffled are pieces of documents of PIECE windows.
+causally within a window of CONTEXT tokens, and predicts the next token in two
+steps from the same hidden state: its class, by a softmax over classes, and the
+token, by a softmax over the class's tokens. The most frequent tokens of the corpus
+are classes of their own, the others fall into slices in the order of their counts.
+Windows overlap by OVERLAP tokens, so that every token of a document is scored
+exactly once, with at least OVERLAP tokens (or all there are) before it; windows
+are scored in batches with masked attention.
+
+Everything learnt comes from the whole corpus: token counts from all documents,
+and every token is predicted once in training. Training is data-parallel and goes
+in ROUNDS, each over its own share of all windows: groups of about GROUP windows
+are trained on from common parameters, TOGETHER of them in one task, and the
+changes are averaged, those of embeddings by how often each group saw a token;
+only averages reach the driver, whose size is the model's. Windows are cut where
+they are trained on; what is shuffled are pieces of documents of PIECE windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,127 +32,209 @@ from . import kernel as K
 from . import pieces
 
 U64 = np.uint64
-DIM, CLASSES, CONTEXT, OVERLAP = 16, 64, 32, 8
+DIM, SINGLE, CLASSES, CONTEXT, OVERLAP = 16, 48, 64, 32, 8
 STRIDE = CONTEXT - OVERLAP
 GROUP = 16_384
-TOGETHER = 16
+TOGETHER = 8
 PIECE = 64
+ROUNDS = 3
 BLOCKS = 32
 BOS = 1
-_MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
-SHAPES = (("place", (CONTEXT, DIM)), ("qkv", (DIM, 3 * DIM)), ("mixed", (DIM, DIM)), ("head", (DIM, CLASSES)), ("bias", (CLASSES,)))
+TOP = np.float32(40)  # logits beyond it count as it, so that no exponential overflows
+_SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+_ONE = {n: np.ones(n, np.float32) for n in (DIM, CONTEXT)}
+#: Parameters besides those of tokens; the last row of `head` are biases.
+SHAPES = (("place", (CONTEXT, DIM)), ("query", (DIM, DIM)), ("key", (DIM, DIM)), ("value", (DIM, DIM)), ("mixed", (DIM, DIM)), ("head", (DIM + 1, CLASSES)))
+_SCALE = np.float32(DIM**-0.5)
+
+
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    """Where each of CLASSES classes begins among the ids in descending order of their counts, and the number of ids.
+
+    The SINGLE most frequent ids are classes of their own, for which the first softmax
+    is all; the others are slices of equal sums of the counts' square roots, which
+    makes the mean size of the class of a token least.
+    """
+    c = np.sqrt(np.sort(counts.astype(np.float64) + 1)[::-1])[SINGLE:]
+    if not len(c):
+        return np.minimum(np.arange(CLASSES + 1), len(counts))
+    mass, rest = np.cumsum(c), CLASSES - SINGLE
+    return np.concatenate([np.arange(SINGLE), SINGLE + np.searchsorted((mass - c / 2) / mass[-1] * rest, np.arange(rest + 1))])
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """Hidden states with a further component of one, which biases are multiplied with."""
+    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
 
 
 class Model:
-    """Parameters: `embed` (vocabulary x DIM) and the rest of SHAPES; `cls` and `within` are the class and the log share in it of each id."""
+    """Parameters: `embed` (vocabulary x DIM), `out` (tokens as predicted, those of a class next to each other; DIM weights and a bias) and the rest of SHAPES.
+
+    `order` tells an id's place among the rows of `out`, `edge` where classes begin there, `cls` the class of each id.
+    """
 
     def __init__(self, vocabulary: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.embed = rng.normal(0, 0.3, (vocabulary, DIM)).astype(np.float32)
         self.rest = {k: rng.normal(0, 0.3 if k != "place" else 0.1, s).astype(np.float32) for k, s in SHAPES}
-        self.cls = np.zeros(vocabulary, np.int32)
-        self.within = np.full(vocabulary, -np.log(vocabulary), np.float32)
+        self.out = np.zeros((vocabulary, DIM + 1), np.float32)
+        self.count(np.zeros(vocabulary))
 
     def count(self, counts: np.ndarray) -> None:
-        """Classes of about equal mass, frequent ids first; shares with one added to every count."""
+        """Classes and biases from the corpus' counts, with one added to each."""
         c = counts.astype(np.float64) + 1
-        order = np.argsort(-c, kind="stable")
-        mass = np.cumsum(c[order])
-        self.cls[order] = np.minimum((mass - c[order] / 2) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int32)
-        total = np.bincount(self.cls, c, minlength=CLASSES)
-        self.within = (np.log(c) - np.log(total[self.cls])).astype(np.float32)
-        self.rest["bias"] = np.log(np.maximum(total, 1e-12) / total.sum()).astype(np.float32)
+        by = np.argsort(-c, kind="stable")
+        self.order = np.empty(len(c), np.int32)
+        self.order[by] = np.arange(len(c))
+        self.edge = classes_of(counts)
+        row_cls = np.repeat(np.arange(CLASSES), np.diff(self.edge))
+        self.cls = row_cls[self.order].astype(np.int16)
+        total = np.bincount(row_cls, c[by], minlength=CLASSES)
+        self.out[:, DIM] = np.log(c[by] / total[row_cls])
+        self.rest["head"][DIM] = np.log(np.maximum(total, 1e-12) / total.sum())
 
     def dump(self) -> tuple[bytes, ...]:
-        return (self.embed.tobytes(), *(self.rest[k].tobytes() for k, _ in SHAPES), self.cls.tobytes(), self.within.tobytes())
+        return (self.embed.tobytes(), self.out.tobytes(), *(self.rest[k].tobytes() for k, _ in SHAPES), self.order.tobytes(), self.edge.astype(np.int64).tobytes(), self.cls.tobytes())
 
     @staticmethod
     def load(raw: tuple[bytes, ...]) -> Model:
         m = Model.__new__(Model)
-        m.embed = np.frombuffer(raw[0], np.float32).reshape(-1, DIM).copy()
-        m.rest = {k: np.frombuffer(r, np.float32).reshape(s).copy() for (k, s), r in zip(SHAPES, raw[1:-2])}
-        m.cls, m.within = np.frombuffer(raw[-2], np.int32), np.frombuffer(raw[-1], np.float32)
+        m.embed, m.out = (np.frombuffer(x, np.float32).reshape(-1, n).copy() for x, n in zip(raw, (DIM, DIM + 1)))
+        m.rest = {k: np.frombuffer(r, np.float32).reshape(s).copy() for (k, s), r in zip(SHAPES, raw[2:-3])}
+        m.order, m.edge, m.cls = np.frombuffer(raw[-3], np.int32), np.frombuffer(raw[-2], np.int64), np.frombuffer(raw[-1], np.int16)
         return m
 
     def attend(self, ids: np.ndarray):
-        """Hidden states of windows (batch, CONTEXT) of ids, and what the gradient needs."""
-        p = self.rest
+        """Hidden states of windows (batch, CONTEXT) of ids, and what the gradient needs; `a` are exponentials whose sums' inverses are `inv`."""
+        p, n = self.rest, ids.shape
         x = self.embed[ids] + p["place"]
-        qkv = x @ p["qkv"]
-        q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
-        a = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
-        a += _MASK
-        a -= a.max(axis=2, keepdims=True)
+        flat = x.reshape(-1, DIM)
+        q = (flat @ (p["query"] * _SCALE)).reshape(*n, DIM)
+        k, v = (flat @ p["key"]).reshape(*n, DIM), (flat @ p["value"]).reshape(*n, DIM)
+        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        np.minimum(a, TOP, out=a)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        c = a @ v
-        return x + c @ p["mixed"], (x, q, k, v, a, c)
+        a *= _SEEN
+        inv = (1 / (a @ _ONE[CONTEXT]))[..., None]
+        c = (a @ v) * inv
+        return x + (c.reshape(-1, DIM) @ p["mixed"]).reshape(*n, DIM), (x, q, k, v, a, inv, c)
+
+    def _ones(self, least: int = 0) -> np.ndarray:
+        """Ones to add up rows with, as a product is faster than a sum over short rows."""
+        return np.ones(max(CLASSES, int(np.diff(self.edge).max()), least), np.float32)
+
+    def losses(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """-log p of a target under each hidden state."""
+        cls, out, one = self.cls[target], np.empty(len(h), np.float32), self._ones()
+        h = _with_one(h)
+        for b in range(0, len(h), 4096):
+            z = h[b : b + 4096] @ self.rest["head"]
+            np.minimum(z, TOP, out=z)
+            own = z[np.arange(len(z)), cls[b : b + 4096]]
+            np.exp(z, out=z)
+            out[b : b + 4096] = np.log(z @ one[:CLASSES]) - own
+        for c, rows in self._by_class(cls):
+            e, f = self.edge[c], self.edge[c + 1]
+            for b in range(0, len(rows), 1024):
+                r = rows[b : b + 1024]
+                z = h[r] @ self.out[e:f].T
+                np.minimum(z, TOP, out=z)
+                own = z[np.arange(len(z)), self.order[target[r]] - e]
+                np.exp(z, out=z)
+                out[r] += np.log(z @ one[: f - e]) - own
+        return out
+
+    def _by_class(self, cls: np.ndarray):
+        """Classes of several tokens, and which rows have them."""
+        order = np.argsort(cls, kind="stable")
+        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.edge) > 1)):
+            yield c, order[edge[c] : edge[c + 1]]
 
     def nll(self, ids: np.ndarray, first: int) -> np.ndarray:
         """-log p of the tokens at places first + 1 .. CONTEXT of windows of CONTEXT + 1 ids, given all before them in the window."""
         h, _ = self.attend(ids[:, :-1])
-        z = h[:, first:] @ self.rest["head"]
-        z += self.rest["bias"]
         target = ids[:, first + 1 :]
-        top = z.max(axis=2, keepdims=True)
-        own = np.take_along_axis(z, self.cls[target][..., None].astype(np.int64), 2)[..., 0] - top[..., 0]
-        z -= top
-        np.exp(z, out=z)
-        return np.log(z.sum(axis=2)) - own - self.within[target]
-
-    def train(self, windows: np.ndarray, rate: float, batch: int = 64) -> None:
-        """One pass of Adagrad over windows of CONTEXT + 1 ids; ids of -1 are padding, which has no loss."""
-        p = self.rest
-        ge = np.full(self.embed.shape, 1e-4, np.float32)
-        gr = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES}
-        scale = np.float32(DIM**-0.5)
+        return self.losses(h[:, first:].reshape(-1, DIM), target.ravel()).reshape(target.shape)
+
+    def train(self, windows: np.ndarray, rate: float, batch: int | None = None) -> None:
+        """One pass of Adagrad over windows of CONTEXT + 1 ids, in 64 steps of up to 256 windows or more steps; ids of -1 are padding, which has no loss."""
+        batch = batch or min(256, max(16, len(windows) // 64))
+        p, rate = self.rest, np.float32(rate)
+        seen = {k: np.full(v.shape, 1e-4, np.float32) for k, v in (("embed", self.embed), ("out", self.out), *p.items())}
+        one = self._ones()
+        narrow = np.uint16 if len(self.embed) <= 65536 else np.int32
+
+        def step(x, s, d):
+            s += d * d
+            x -= rate * d / np.sqrt(s)
+
         for b in range(0, len(windows), batch):
             w = windows[b : b + batch]
-            ids, target = np.maximum(w[:, :-1], 0), w[:, 1:]
-            real = (target >= 0).astype(np.float32)
-            n = max(float(real.sum()), 1.0)
-            h, (x, q, k, v, a, c) = self.attend(ids)
-            z = h @ p["head"] + p["bias"]
-            z -= z.max(axis=2, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(axis=2, keepdims=True)
-            cls = self.cls[np.maximum(target, 0)].astype(np.int64)
-            np.put_along_axis(z, cls[..., None], np.take_along_axis(z, cls[..., None], 2) - 1, 2)
-            z *= real[..., None] / np.float32(n)
-            flat = lambda y: y.reshape(-1, y.shape[-1])
-            g = {"head": flat(h).T @ flat(z), "bias": flat(z).sum(axis=0)}
-            dh = z @ p["head"].T
-            g["mixed"] = flat(c).T @ flat(dh)
-            dc = dh @ p["mixed"].T
-            dv = a.transpose(0, 2, 1) @ dc
-            da = dc @ v.transpose(0, 2, 1)
-            da = a * (da - (da * a).sum(axis=2, keepdims=True))
-            dqkv = np.concatenate([da @ k * scale, da.transpose(0, 2, 1) @ q * scale, dv], axis=2)
-            g["qkv"] = flat(x).T @ flat(dqkv)
-            dx = dh + dqkv @ p["qkv"].T
-            g["place"] = dx.sum(axis=0)
+            ids, target = np.maximum(w[:, :-1], 0), w[:, 1:].ravel()
+            real = np.flatnonzero(target >= 0)
+            if not len(real):
+                continue
+            h, (x, q, k, v, a, inv, c) = self.attend(ids)
+            target, hs, share = target[real], _with_one(h.reshape(-1, DIM)[real]), np.float32(1 / len(real))
+            cls = self.cls[target]
+            dhs = np.empty((len(hs), DIM), np.float32)
+            g = {"head": np.zeros_like(p["head"])}
+            for r in range(0, len(hs), 4096):
+                part = hs[r : r + 4096]
+                z = part @ p["head"]
+                np.minimum(z, TOP, out=z)
+                np.exp(z, out=z)
+                z *= (share / (z @ one[:CLASSES]))[:, None]
+                z[np.arange(len(z)), cls[r : r + 4096]] -= share
+                g["head"] += part.T @ z
+                dhs[r : r + 4096] = z @ p["head"][:DIM].T
+            for k_, rows in self._by_class(cls):
+                e, f = self.edge[k_], self.edge[k_ + 1]
+                part, out = hs[rows], self.out[e:f]
+                z = part @ out.T
+                np.minimum(z, TOP, out=z)
+                np.exp(z, out=z)
+                z *= (share / (z @ one[: f - e]))[:, None]
+                z[np.arange(len(z)), self.order[target[rows]] - e] -= share
+                dhs[rows] += z @ out[:, :DIM]
+                step(out, seen["out"][e:f], z.T @ part)
+            dh = np.zeros((ids.size, DIM), np.float32)
+            dh[real] = dhs
+            g["mixed"] = c.reshape(-1, DIM).T @ dh
+            dc = (dh @ p["mixed"].T).reshape(c.shape)
+            ds = dc * inv
+            dv = a.transpose(0, 2, 1) @ ds
+            da = ds @ np.ascontiguousarray(v.transpose(0, 2, 1))
+            da -= ((dc * c) @ _ONE[DIM])[..., None] * inv
+            da *= a
+            dq, dk = (da @ k).reshape(-1, DIM) * _SCALE, (da.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+            flat, dv = x.reshape(-1, DIM), dv.reshape(-1, DIM)
+            g["query"], g["key"], g["value"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
+            dx = dh + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
+            g["place"] = dx.reshape(-1, CONTEXT * DIM).sum(axis=0).reshape(CONTEXT, DIM)
             for name, d in g.items():
-                gr[name] += d * d
-                p[name] -= np.float32(rate) * d / np.sqrt(gr[name])
-            order = np.argsort(ids, axis=None, kind="stable")
+                step(p[name], seen[name], d)
+            order = np.argsort(ids.ravel().astype(narrow), kind="stable")
             s = ids.ravel()[order]
             lead = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            d, rows = np.add.reduceat(flat(dx)[order], lead, axis=0), s[lead]
-            ge[rows] += d * d
-            self.embed[rows] -= np.float32(rate) * d / np.sqrt(ge[rows])
+            d, rows = np.add.reduceat(dx[order], lead, axis=0), s[lead]
+            held = seen["embed"][rows] + d * d
+            seen["embed"][rows] = held
+            self.embed[rows] -= rate * d / np.sqrt(held)
 
 
-def windows_of(ids: np.ndarray, count: np.ndarray):
+def windows_of(ids: np.ndarray, count: np.ndarray, stride: int = STRIDE):
     """Windows over documents' ids: (rows of CONTEXT + 1 ids padded with -1, document, index in the document).
 
-    Window k of a document begins STRIDE k tokens after its BOS; it scores the tokens
+    Window k of a document begins `stride` k tokens after its BOS; it scores the tokens
     that no earlier window has scored.
     """
-    size = np.where(count > 0, 1 + -(-np.maximum(count - CONTEXT, 0) // STRIDE), 0)
+    size = np.where(count > 0, 1 + -(-np.maximum(count - CONTEXT, 0) // stride), 0)
     doc = np.repeat(np.arange(len(count)), size)
     index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     begin = np.cumsum(count) - count
-    place = index[:, None] * STRIDE + np.arange(CONTEXT + 1)  # 0 is BOS, i the i-th token
+    place = index[:, None] * stride + np.arange(CONTEXT + 1)  # 0 is BOS, i the i-th token
     at = begin[doc][:, None] + place - 1
     inside = place <= count[doc][:, None]
     w = np.where(inside, ids[np.clip(at, 0, max(len(ids) - 1, 0))] if len(ids) else -1, -1)
@@ -160,8 +246,8 @@ _KINDS = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("data", pa.b
 _KINDS_SQL = "doc_id bigint, block int, data binary, kind string"
 
 
-def _gather(model: str, rate: int):
-    """Encoded documents, each with the rate at which its windows are trained on as block, and, at the end, token counts of a partition."""
+def _gather(model: str):
+    """Encoded documents and, at the end, token counts of a partition."""
 
     def run(batches):
         v = pieces.Vocabulary.of(model)
@@ -174,10 +260,11 @@ def _gather(model: str, rate: int):
                 total += np.bincount(ids, minlength=len(total))
                 raw, edge = ids.astype(wide).tobytes(), (np.concatenate([[0], np.cumsum(count)]) * np.dtype(wide).itemsize).tolist()
                 k = end - row
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(row, k), pa.array([rate] * k, pa.int32()), pa.array([raw[edge[i] : edge[i + 1]] for i in range(k)], pa.binary()), pa.array(["doc"] * k)], schema=_KINDS)
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(row, k), pa.nulls(k, pa.int32()), pa.array([raw[edge[i] : edge[i + 1]] for i in range(k)], pa.binary()), pa.array(["doc"] * k)], schema=_KINDS)
         if total.any():
             part = [x.astype("<i8").tobytes() for x in np.split(total, BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(part, pa.binary()), pa.array(["count"] * BLOCKS)], schema=_KINDS)
+        K.trim()
 
     return run
 
@@ -191,57 +278,61 @@ def _sum(dtype):
 
 
 def _pieces(wide: str):
-    """(doc_id, piece, rate, data) of documents cut into PIECE windows each; data are the ids from the first window's first place on."""
+    """(doc_id, piece, data) of documents cut into PIECE windows each, without overlap; data are the ids from the first window's first place on."""
     width, bos = np.dtype(wide).itemsize, np.array([BOS], wide).tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("rate", pa.int32()), ("data", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("data", pa.binary())])
 
     def run(batches):
         for b in batches:
             row, piece, out = [], [], []
-            for i, x in enumerate(b.column(2)):
+            for i, x in enumerate(b.column(1)):
                 raw = bos + x.as_buffer().to_pybytes()
                 n = len(raw) // width - 1
-                for k in range(-(-(1 + -(-max(n - CONTEXT, 0) // STRIDE)) // PIECE) if n else 0):
-                    at = k * PIECE * STRIDE
+                for k in range(-(-n // (CONTEXT * PIECE))):
+                    at = k * PIECE * CONTEXT
                     row.append(i)
                     piece.append(k)
-                    out.append(raw[at * width : (at + (PIECE - 1) * STRIDE + CONTEXT + 1) * width])
+                    out.append(raw[at * width : (at + PIECE * CONTEXT + 1) * width])
             if out:
                 take = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(piece, pa.int32()), b.column(1).take(take), pa.array(out, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(piece, pa.int32()), pa.array(out, pa.binary())], schema=schema)
 
     return run
 
 
-def _windows(pieces_of: list[bytes], rate: int, wide: str) -> np.ndarray:
-    """All windows of pieces, or one of `rate` by content, in the order of their contents' hashes."""
-    kept, hashes = [np.zeros((0, CONTEXT + 1), "<i4")], [np.zeros(0, U64)]
+def _windows(pieces_of: list[bytes], wide: str, seed: int) -> np.ndarray:
+    """All windows of pieces, in an order drawn by seed."""
+    kept = [np.zeros((0, CONTEXT + 1), "<i4")]
     for k in range(0, len(pieces_of), 256):
         seq = [np.frombuffer(x, wide) for x in pieces_of[k : k + 256]]
-        w, doc, index = windows_of(np.concatenate([x[1:] for x in seq]).astype(np.int32), np.array([len(x) - 1 for x in seq]))
+        w, _, index = windows_of(np.concatenate([x[1:] for x in seq]).astype(np.int32), np.array([len(x) - 1 for x in seq]), CONTEXT)
         w[index == 0, 0] = [x[0] for x in seq]
-        h = K.mix((w.astype(np.int64).view(U64) * K.powers(K.WORD_BASE, w.shape[1])[0][: w.shape[1]]).sum(axis=1))
-        take = h <= U64((2**64 - 1) // rate)
-        kept.append(w[take].astype("<i4"))
-        hashes.append(h[take])
-    return np.concatenate(kept)[np.argsort(np.concatenate(hashes).view(np.int64), kind="stable")]
+        kept.append(w.astype("<i4"))
+    w = np.concatenate(kept)
+    return w[np.random.default_rng(seed).permutation(len(w))]
+
+
+def _flat(m: Model, seen: np.ndarray, old: Model, n: int) -> np.ndarray:
+    """Changes of all parameters, weighted, with the weights: how often each id was seen for its embedding, n for the rest."""
+    return np.concatenate([seen, ((m.embed - old.embed) * seen[:, None]).ravel(), n * (m.out - old.out).ravel(), *(n * (m.rest[k] - old.rest[k]).ravel() for k, _ in SHAPES), [n]])
 
 
 def _step(sent, rate, wide):
-    """The changes that training on each of a task's groups of windows makes, weighted by how often the group saw each id, summed."""
+    """The changes that training on each of a task's groups of windows makes, weighted and summed."""
 
-    def run(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("data", "ascending")])
-        w = _windows([x.as_py() for x in order["data"]], order["rate"][0].as_py(), wide)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("data", "ascending")])
+        w = _windows([x.as_py() for x in order["data"]], wide, key[0].as_py())
+        del order
         old, flat = Model.load(sent.value), 0
         for part in np.array_split(w, max(1, len(w) // GROUP)):
             m = Model.load(sent.value)
             m.train(part, rate)
-            seen = np.bincount(np.maximum(part[:, :-1], 0).ravel(), minlength=len(m.embed)).astype(np.float32)
-            flat = flat + np.concatenate([seen, ((m.embed - old.embed) * seen[:, None]).ravel(), *(len(part) * (m.rest[k] - old.rest[k]).ravel() for k, _ in SHAPES), [len(part)]])
+            flat = flat + _flat(m, np.bincount(np.maximum(part[:, :-1], 0).ravel(), minlength=len(m.embed)).astype(np.float32), old, len(part))
         flat = np.concatenate([flat, np.zeros(-len(flat) % BLOCKS)]).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(flat, BLOCKS)], pa.binary())], names=["block", "data"])
+        del w, flat, m, old
         K.trim()
-        return pa.table([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(flat, BLOCKS)], pa.binary())], names=["block", "data"])
 
     return run
 
@@ -251,32 +342,32 @@ def _collected(df: DataFrame, dtype) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(bytes(r["data"]), "<f8" if dtype == "<f4" else "<i8") for r in sorted(rows, key=lambda r: r["block"])]) if rows else None
 
 
-def fit(corpus: DataFrame, vocabulary: int, rounds: int = 2, rate: float = 0.1) -> Model:
-    """A model trained on what `_gather` took from the corpus."""
+def fit(corpus: DataFrame, vocabulary: int, rounds: int = ROUNDS, rate: float = 0.3) -> Model:
+    """A model trained on what `_gather` took from the corpus: every token is predicted in one of the rounds."""
     spark = corpus.sparkSession
     m = Model(vocabulary)
     counts = _collected(corpus.where("kind = 'count'").select("block", "data"), "<i8")
     if counts is None:
         return m
     m.count(counts[:vocabulary])
+    if not rounds:
+        return m
     wide = "<u2" if vocabulary <= 65536 else "<u4"
-    docs = corpus.where("kind = 'doc'").select("doc_id", "block", "data")
-    size = F.expr(f"1 + ceil(greatest(length(data) / {np.dtype(wide).itemsize} - {CONTEXT}, 0) / {STRIDE})")
-    count = docs.where("length(data) > 0").agg(F.sum(size / F.col("block"))).first()[0] or 0
-    tasks = max(1, int(count) // (GROUP * TOGETHER))
-    cut = docs.mapInArrow(_pieces(wide), "doc_id bigint, piece int, rate int, data binary").withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "data"), F.lit(tasks)))
+    docs = corpus.where("kind = 'doc'").select("doc_id", "data")
+    count = docs.agg(F.sum(F.ceil(F.length("data") / (np.dtype(wide).itemsize * CONTEXT)))).first()[0] or 0
+    tasks = max(1, int(count) // (GROUP * TOGETHER * rounds))
+    cut = docs.mapInArrow(_pieces(wide), "doc_id bigint, piece int, data binary").withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "data"), F.lit(tasks * rounds)))
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(m.dump())
-        got = _collected(cut.groupBy("g").applyInArrow(_step(sent, rate / (1 + r), wide), "block int, data binary"), "<f4")
+        got = _collected(cut.where(F.col("g") % rounds == r).groupBy("g").applyInArrow(_step(sent, rate / (1 + r / 2), wide), "block int, data binary"), "<f4")
         if got is None:
-            return m
+            continue
         seen, at = got[:vocabulary], vocabulary * (1 + DIM)
         m.embed += (got[vocabulary:at].reshape(-1, DIM) / np.maximum(seen, 1)[:, None]).astype(np.float32)
-        n = sum(int(np.prod(s)) for _, s in SHAPES)
-        rest, total = got[at : at + n], got[at + n]
-        for k, s in SHAPES:
-            d, rest = rest[: int(np.prod(s))], rest[int(np.prod(s)) :]
-            m.rest[k] += (d.reshape(s) / max(total, 1)).astype(np.float32)
+        total = max(got[at + m.out.size + sum(x.size for x in m.rest.values())], 1)
+        for x in (m.out, *(m.rest[k] for k, _ in SHAPES)):
+            x += (got[at : at + x.size].reshape(x.shape) / total).astype(np.float32)
+            at += x.size
     return m
 
 
@@ -287,31 +378,32 @@ def score_flat(m: Model, ids: np.ndarray, count: np.ndarray, batch: int = 128) -
     for head in (True, False):  # a document's first window scores all its tokens, the others the last STRIDE
         rows = np.flatnonzero((index == 0) == head)
         first = 0 if head else OVERLAP
-        for b in range(0, len(rows), batch):
-            r = rows[b : b + batch]
-            x = w[r]
-            real = x[:, first + 1 :] >= 0
-            loss = m.nll(np.maximum(x, 0), first)
-            out += np.bincount(doc[r], np.where(real, loss, 0).sum(axis=1, dtype=np.float64), minlength=len(count))
+        for b in range(0, len(rows), 16 * batch):
+            r = rows[b : b + 16 * batch]
+            x = np.maximum(w[r], 0)
+            h = np.concatenate([m.attend(x[i : i + batch, :-1])[0][:, first:] for i in range(0, len(x), batch)])
+            place = np.flatnonzero((w[r][:, first + 1 :] >= 0).ravel())
+            loss = m.losses(h.reshape(-1, DIM)[place], x[:, first + 1 :].ravel()[place])
+            out += np.bincount(np.repeat(doc[r], CONTEXT - first)[place], loss, minlength=len(count))
     return out
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("mean_nll", pa.float64())])
 
 
-def score(docs: DataFrame, model: str = pieces.MODEL, window_rate: int = 1, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, model: str = pieces.MODEL, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, mean_nll) of every row, under a model trained on the same rows.
 
     mean_nll is the mean of -log p over the tokens of the whole text, each scored
-    once; null for null and empty texts, which have no tokens. Every window of every
-    document is trained on; a `window_rate` above 1 takes only one of so many, chosen
-    by their content. Equal texts
-    score equally; doc_id may be null; other columns are ignored; an empty table
-    gives no rows.
+    once; null for null and empty texts, which have no tokens. Every token of every
+    document is predicted once in training. Equal texts score equally; doc_id may be
+    null; repeated rows are trained on and told as often as they occur; other
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    corpus = common.materialise(rows.mapInArrow(_gather(model, window_rate), _KINDS_SQL), "lm-corpus", "kind")
+    corpus = common.materialise(rows.mapInArrow(_gather(model), _KINDS_SQL), "lm-corpus", "kind")
     m = fit(corpus, pieces.Vocabulary.of(model).size, rounds)
     sent = spark.sparkContext.broadcast(m.dump())
     wide = "<u2" if len(m.embed) <= 65536 else "<u4"
@@ -331,5 +423,6 @@ def score(docs: DataFrame, model: str = pieces.MODEL, window_rate: int = 1, roun
                 mean = np.round(loss / np.maximum(c, 1), 4)
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(c.astype(np.int32)), pa.array(mean, mask=c == 0)], schema=_OUT)
                 begin = end
+        K.trim()
 
     return corpus.where("kind = 'doc'").select("doc_id", "data").mapInArrow(run, "doc_id bigint, n_tokens int, mean_nll double")

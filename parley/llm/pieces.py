@@ -227,7 +227,9 @@ class Vocabulary:
             q = q[q >= 0]
             rank[q], merged[q] = self.pairs(symbol[q], symbol[nxt[q]])
             # a new pair may sit at a position that had none
-            held = np.unique(np.concatenate([held[rank[held] < _NONE], p[rank[p] < _NONE], q[rank[q] < _NONE]]))
+            held = np.concatenate([held[rank[held] < _NONE], p[rank[p] < _NONE], q[rank[q] < _NONE]])
+            held.sort(kind="stable")
+            held = held[np.concatenate([[True], held[1:] != held[:-1]])] if len(held) else held
         return symbol[alive], begin[alive]
 
     def encode_units(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, check: bool):
