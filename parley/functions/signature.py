@@ -102,3 +102,10 @@ def to_ints(words: list[str]) -> Column:
 
 def literal_words(row, bits: int, prefix: str = "s") -> list[int]:
     return [int(row[f"{prefix}{w}"]) for w in range(bits // 64)]
+
+
+def register_sql(spark) -> None:
+    """Makes `ham64(a, b)` and `ham256(a, b)` known to SQL: differing bits of two numbers, and of two arrays of four."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ham64(a BIGINT, b BIGINT) RETURNS INT RETURN bit_count(a ^ b)")
+    words = " + ".join(f"bit_count(a[{w}] ^ b[{w}])" for w in range(4))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ham256(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS INT RETURN {words}")

@@ -33,9 +33,19 @@ def scope(bridge: DataFrame, events: list[int]) -> DataFrame:
     return bridge.where(F.col("event_id").isin(events)).select("doc_idx").distinct()
 
 
-def inverted_list(bridge: DataFrame) -> DataFrame:
-    """(event_id, rows): the sorted rows of each event."""
-    return bridge.groupBy("event_id").agg(F.array_sort(F.collect_set("doc_idx")).alias("rows"))
+def inverted_list(bridge: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(event_id, block, rows): the sorted rows of each event, in blocks of `block` ids, so that no list grows with the event."""
+    return bridge.groupBy("event_id", F.floor(F.col("doc_idx") / block).alias("block")).agg(F.array_sort(F.collect_set("doc_idx")).alias("rows"))
+
+
+def worth_keeping(bridge: DataFrame, least: int = 1024) -> DataFrame:
+    """(event_id, rows) of events with at least `least` rows: those of which an index or a cached copy is worth its cost; others are scanned."""
+    return bridge.groupBy("event_id").agg(F.count_distinct("doc_idx").alias("rows")).where(F.col("rows") >= least)
+
+
+def event_names(predictions: DataFrame, events: DataFrame) -> DataFrame:
+    """Predictions (with event_id) with the event's `name`; unknown events are left out."""
+    return predictions.join(events.select("event_id", "name"), "event_id")
 
 
 def scope_key(events: Column) -> Column:

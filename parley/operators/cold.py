@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import signature as S
+from parley.operators import search
 
 COMPACT_AT = 256
 
@@ -19,6 +22,18 @@ def unpack_value(value: Column) -> tuple[Column, Column]:
     return S.shru(value, 32), value.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+class Cold(Protocol):
+    """What a cold tier offers, whatever keeps its rows: (insert_seq, s0, ..., value)."""
+
+    def rows(self) -> DataFrame: ...
+
+    def append(self, rows: DataFrame) -> None: ...
+
+    def nearest(self, query: list[int], k: int) -> DataFrame: ...
+
+    def within(self, query: list[int], r: int) -> DataFrame: ...
+
+
 class ColdTier:
     """Signatures (insert_seq, s0, ..., value) in a folder: `base` and appended `tail` parts, compacted when the tail is long."""
 
@@ -73,6 +88,20 @@ def nearest(store: DataFrame, query: list[int], k: int) -> DataFrame:
     return _hits(store, query).orderBy("distance", "insert_seq").limit(max(k, 0))
 
 
+def nearest_of(queries: DataFrame, store: DataFrame, k: int, bits: int) -> DataFrame:
+    """(query_id, rank, insert_seq, distance, event_id, doc_idx): `nearest` for every query (query_id, q0, ...)."""
+    near = search.knn_join(queries, store.withColumnRenamed("insert_seq", "doc_idx"), k, bits).withColumnRenamed("doc_idx", "insert_seq")
+    event, doc = unpack_value(F.col("value"))
+    return near.join(store.select("insert_seq", event.alias("event_id"), doc.alias("doc_idx")), "insert_seq")
+
+
+def within_of(queries: DataFrame, store: DataFrame, r: int, bits: int) -> DataFrame:
+    """(query_id, insert_seq, distance, event_id, doc_idx): `within` for every query (query_id, q0, ...)."""
+    near = search.radius_of(queries, store.withColumnRenamed("insert_seq", "doc_idx"), r, bits).withColumnRenamed("doc_idx", "insert_seq")
+    event, doc = unpack_value(F.col("value"))
+    return near.join(store.select("insert_seq", event.alias("event_id"), doc.alias("doc_idx")), "insert_seq")
+
+
 def within(store: DataFrame, query: list[int], r: int) -> DataFrame:
     """All rows within r bits, r included."""
     return _hits(store, query).where(F.col("distance") <= r)

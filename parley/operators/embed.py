@@ -5,9 +5,11 @@ from __future__ import annotations
 from typing import Protocol
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions import hashing as H
 from parley.functions import signature as S
 from parley.functions import text as T
 
@@ -40,33 +42,53 @@ def embed_with(df: DataFrame, embedder: Embedder, text: str = "text", batch: int
     return df.withColumn("vector", run(text))
 
 
-def hashed_components(df: DataFrame, key: str, text: str = "text", dim: int = 256, **options) -> DataFrame:
-    """(key, pos, value): the non-empty components of hashed embeddings, before normalisation.
+def _words(text: str) -> Column:
+    """A lowered text cut at what isn't a letter or digit; empty words are left out later."""
+    return F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
 
-    Rows are split into features within the row; the only shuffle is the sum by
-    (key, pos), most of which happens before it.
+
+def hashed_components(df: DataFrame, key: str, text: str = "text", dim: int = 256, seed: int = 7, bands: int = 4, use_bigrams: bool = True, drop_stop_words: bool = True) -> DataFrame:
+    """(key, pos, value): the non-empty components of each row's hashed embedding, before normalisation.
+
+    Rows are hashed within the row, in Arrow batches, and nothing is shuffled; rows
+    that repeat a key have components each. A null text has none.
     """
-    seed, bands = options.pop("seed", 7), options.pop("bands", 4)
-    f = df.select(key, F.explode(T.features(F.col(text), **options)).alias("token"))
-    h = T.hash_blocks(F.col("token"), seed, bands)
-    f = f.select(key, *[x.alias(f"h{i}") for i, x in enumerate(h)])
-    hits = f.select(key, F.explode(T.hashed([F.col(f"h{i}") for i in range(len(h))], dim, bands)).alias("h"))
-    return hits.groupBy(key, F.col("h.pos").alias("pos")).agg(F.sum("h.sign").alias("value"))
+    stop = T.STOP_WORDS if drop_stop_words else []
+
+    @F.arrow_udf("array<struct<pos:int,value:bigint>>")
+    def run(words: pa.Array) -> pa.Array:
+        pos, value, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for _, total, hits in H.components(words, dim, seed, bands, use_bigrams, stop):
+            row, at = np.nonzero(hits)
+            pos.append(at)
+            value.append(total[row, at])
+            size.append(np.bincount(row, minlength=len(total)))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(value))], names=["pos", "value"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(size)).astype(np.int32)), pairs)
+
+    return df.select(key, F.explode(run(_words(text))).alias("c")).select(key, F.col("c.pos").alias("pos"), F.col("c.value").alias("value"))
 
 
 def hashed_embedding(df: DataFrame, key: str, text: str = "text", dim: int = 256, **options) -> DataFrame:
     """(key, pos, value) with every embedding of length one; an embedding of length below 1e-9 stays as it is."""
-    c = hashed_components(df, key, text, dim, **options)
+    c = hashed_components(df, key, text, dim, **options)  # keys must be unique here, as lengths are taken by key
     norm = F.sqrt(F.sum(F.col("value").cast("double") * F.col("value")).over(Window.partitionBy(key)))
     return c.select(key, "pos", F.when(norm > 1e-9, F.col("value") / norm).otherwise(F.col("value").cast("double")).alias("value"))
 
 
 def text_signature(df: DataFrame, key: str, text: str = "text", bits: int = 256, **options) -> DataFrame:
-    """(key, s0, ...): signatures of texts. Components of zero set their bit, so a text without features is all ones."""
-    c = hashed_components(df, key, text, bits, **options).where("value < 0")
-    bit = S.shl(F.lit(1).cast("bigint"), (63 - F.col("pos") % 64).cast("int"))
-    words = c.groupBy(key).agg(*[F.bit_or(F.when(F.floor(F.col("pos") / 64) == w, bit).otherwise(0)).alias(f"n{w}") for w in range(bits // 64)])
-    return df.select(key).join(words, key, "left").select(key, *[F.bitwise_not(F.coalesce(f"n{w}", F.lit(0).cast("bigint"))).alias(f"s{w}") for w in range(bits // 64)])
+    """(key, s0, ...): signatures of texts. Components of zero set their bit, so a text without features is all ones.
+
+    Nothing is shuffled: each row's components live in its Arrow batch only.
+    """
+    drop, bigrams = options.pop("drop_stop_words", True), options.pop("use_bigrams", True)
+    stop, names = T.STOP_WORDS if drop else [], S.word_names(bits)
+
+    @F.arrow_udf("struct<" + ",".join(f"{w}:bigint" for w in names) + ">")
+    def run(words: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(x) for x in H.signature_words(words, bits, bigrams=bigrams, stop=stop, **options)], names=names)
+
+    return df.select(key, run(_words(text)).alias("_signature")).select(key, *[F.col(f"_signature.{w}").alias(w) for w in names])
 
 
 def random_projection(source_dim: int, bits: int = 256, seed: int = 7) -> np.ndarray:

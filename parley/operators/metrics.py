@@ -77,3 +77,12 @@ def running_rate(log: DataFrame, order: str, hit: str, points: list[int]) -> Dat
 def server_stats(log: DataFrame, micros: str) -> DataFrame:
     """(requests, total_us, mean_ms): the mean in whole milliseconds over at least one request."""
     return log.agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum(micros), F.lit(0)).alias("total_us")).withColumn("mean_ms", F.expr("(total_us div 1000) div greatest(requests, 1)"))
+
+
+def decision_stats(log: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, finalized, speculative, delta_cache, scanned, speculative_rate, cache_rate, hit_rate) of finalized turns (served_by); a ratio over nothing is 0."""
+    one = lambda *names: F.count_if(F.col("served_by").isin(*names))
+    served = log.where(F.col("served_by").isin("speculative", "delta_cache", "shard_scan", "full_scan", "rescan"))
+    t = served.groupBy(*by).agg(F.count(F.lit(1)).alias("finalized"), one("speculative").alias("speculative"), one("delta_cache").alias("delta_cache"), one("shard_scan", "full_scan", "rescan").alias("scanned"))
+    looked = F.col("finalized") - F.col("speculative")  # speculations that hold never ask the cache
+    return t.select("*", ratio(F.col("speculative"), F.col("finalized")).alias("speculative_rate"), ratio(F.col("delta_cache"), looked).alias("cache_rate"), ratio(F.col("finalized") - F.col("scanned"), F.col("finalized")).alias("hit_rate"))

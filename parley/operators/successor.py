@@ -49,6 +49,21 @@ class TabularSR:
     def confidence(self) -> float:
         return min(self.t / self.warmup, 1.0)
 
+    def renewed(self) -> TabularSR:
+        return TabularSR(self.gamma, self.eta, self.warmup)
+
+    def dump(self) -> dict:
+        """Hyper-parameters, events seen and the table as triples."""
+        rows = [{"source": s, "target": c, "value": v} for s, r in sorted(self.rows.items()) for c, v in sorted(r.items())]
+        return {"gamma": self.gamma, "eta": self.eta, "t": self.t, "warmup": self.warmup, "vocab": sorted(self.rows), "rows": rows}
+
+    @staticmethod
+    def restore(saved: dict) -> TabularSR:
+        m = TabularSR(saved["gamma"], saved["eta"], saved["warmup"], saved["t"], {e: {} for e in saved["vocab"]})
+        for r in saved["rows"]:
+            m.rows.setdefault(r["source"], {})[r["target"]] = r["value"]
+        return m
+
 
 class Hybrid:
     """SR where it is confident enough and has an answer, else Markov; both learn from every transition."""
@@ -56,6 +71,9 @@ class Hybrid:
     def __init__(self, sr, markov, threshold: float = 0.5):
         self.sr, self.markov, self.threshold = sr, markov, threshold
 
+    def renewed(self) -> Hybrid:
+        return Hybrid(self.sr.renewed(), self.markov.renewed(), self.threshold)
+
     def observe(self, prev: int, nxt: int) -> None:
         self.sr.observe(prev, nxt)
         self.markov.observe(prev, nxt)
@@ -99,19 +117,43 @@ def transition_matrix(turns: DataFrame, event: str = "event_id") -> DataFrame:
     return pairs.select("source", "target", (F.col("n") / F.sum("n").over(Window.partitionBy("source"))).alias("p"))
 
 
-def closed_form(matrix: DataFrame, gamma: float = 0.9, depth: int = 8) -> DataFrame:
-    """(source, target, value): the series I + gT + ... + (gT)^depth by sparse self-joins.
+def closed_form(matrix: DataFrame, gamma: float = 0.9, tolerance: float = 1e-12, dense: int = 1000) -> DataFrame:
+    """(source, target, value) of (I - gamma T)^-1, the sum of all powers of gamma T; values of `tolerance` or less are left out.
 
     An order-free alternative to TD(0). The table has the square of the number of
-    events at most, whatever the number of turns.
+    events at most, whatever the number of turns. Up to `dense` events the system is
+    solved on the driver; beyond that the series is summed by doubling, in as many
+    rounds of joins as it takes until what is left out is below the tolerance, with a
+    checkpoint after each.
     """
+    spark = matrix.sparkSession
     nodes = matrix.select(F.col("source").alias("n")).union(matrix.select("target")).distinct()
-    total = power = nodes.select(F.col("n").alias("source"), F.col("n").alias("target"), F.lit(1.0).alias("value"))
-    step = matrix.select(F.col("source").alias("via"), F.col("target").alias("to"), "p")
-    for _ in range(depth):
-        power = power.join(step, power["target"] == step["via"]).groupBy("source", F.col("to").alias("target")).agg(F.sum(F.col("value") * F.col("p") * gamma).alias("value"))
-        total = total.unionByName(power)
-    return total.groupBy("source", "target").agg(F.sum("value").alias("value"))
+    names = sorted(r["n"] for r in nodes.limit(dense + 1).collect())
+    kind = dict(matrix.dtypes)["source"]
+    if len(names) <= dense:
+        at, t = {e: i for i, e in enumerate(names)}, np.zeros((len(names), len(names)))
+        for r in matrix.collect():  # at most the square of `dense` rows
+            t[at[r["source"]], at[r["target"]]] += r["p"]
+        m = np.linalg.solve(np.eye(len(names)) - gamma * t, np.eye(len(names)))
+        x, y = np.nonzero(m > tolerance)
+        e = np.array(names)
+        out = pa.table({"source": e[x], "target": e[y], "value": m[x, y]}) if len(names) else pa.table({"source": pa.array([], pa.int64()), "target": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        return spark.createDataFrame(out).select(F.col("source").cast(kind).alias("source"), F.col("target").cast(kind).alias("target"), "value")
+    total = nodes.select(F.col("n").alias("source"), F.col("n").alias("target"), F.lit(1.0).alias("value"))
+    power, left = matrix.select("source", "target", (F.col("p") * gamma).alias("value")), gamma / (1 - gamma)
+    terms = 1
+    while left > tolerance:
+        total = total.unionByName(_product(power, total)).groupBy("source", "target").agg(F.sum("value").alias("value")).checkpoint()
+        power = _product(power, power).checkpoint()
+        terms *= 2
+        left = gamma**terms / (1 - gamma)
+    return total.where(F.col("value") > tolerance)
+
+
+def _product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The product of two sparse matrices (source, target, value)."""
+    b = b.select(F.col("source").alias("via"), F.col("target").alias("to"), F.col("value").alias("v"))
+    return a.join(b, a["target"] == b["via"]).groupBy("source", F.col("to").alias("target")).agg(F.sum(F.col("value") * F.col("v")).alias("value"))
 
 
 def predict(table: DataFrame, k: int, keys: list[str] = ()) -> DataFrame:

@@ -53,6 +53,11 @@ def first_query(spark, d) -> list[int]:
     return S.literal_words(vectors(spark, d).orderBy("doc_idx").first(), 64)
 
 
+def asked(spark, d) -> DataFrame:
+    """(query_id, q0, event): the queries of the searches, every vector whose id is divisible by 100."""
+    return vectors(spark, d).where("doc_idx % 100 = 0").select(F.col("doc_idx").alias("query_id"), F.col("s0").alias("q0"), F.col("event").alias("own"))
+
+
 def turns(spark, d) -> DataFrame:
     """(session, ts, seq, event, event_id) of users' events."""
     e = table(spark, d, "events").select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("event"))
@@ -81,6 +86,7 @@ def utterances(spark, d) -> DataFrame:
 V = """v AS (SELECT vec_id AS doc_idx, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')::BIT AS s FROM embeddings),
 q AS (SELECT s AS qs FROM v ORDER BY doc_idx LIMIT 1),
 d AS (SELECT doc_idx, label, bit_count(xor(s, qs))::INTEGER AS distance FROM v, q)"""
+VQ = V.replace("q AS (SELECT s AS qs FROM v ORDER BY doc_idx LIMIT 1)", "q AS (SELECT doc_idx AS query_id, s AS qs, label AS own FROM v WHERE doc_idx % 100 = 0)").replace("d AS (SELECT doc_idx", "d AS (SELECT query_id, own, doc_idx")
 DIM = "e AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS event_id FROM (SELECT DISTINCT label::VARCHAR AS name FROM embeddings)), b AS (SELECT doc_idx, event_id FROM v JOIN e ON e.name = v.label::VARCHAR)"
 
 
@@ -102,17 +108,21 @@ def sig_to_bits(spark, d):
     return vectors(spark, d).select("doc_idx", S.bits_of(["s0"]).alias("bits"))
 
 
-@register(f"WITH {V} SELECT x.doc_idx AS a, y.doc_idx AS b, bit_count(xor(x.s, y.s))::INTEGER AS distance FROM v x, v y WHERE x.label = y.label AND x.doc_idx < y.doc_idx")
+@register(f"WITH {VQ} SELECT query_id, doc_idx, distance FROM d WHERE label = own")
 def hamming_pairs(spark, d):
-    """Distances of all pairs of vectors of one event."""
+    """Distances of every query to all vectors of its event."""
     v = vectors(spark, d)
-    y = v.select(F.col("doc_idx").alias("b"), F.col("s0").alias("q0"), F.col("event").alias("e"))
-    return v.join(y, (v["event"] == y["e"]) & (v["doc_idx"] < y["b"])).select(F.col("doc_idx").alias("a"), "b", S.hamming(["s0"], ["q0"]).alias("distance"))
+    q = asked(spark, d)
+    return v.join(q, v["event"] == q["own"]).select("query_id", "doc_idx", S.hamming(["s0"], ["q0"]).alias("distance"))
+
+
+def ranked(d: str, k: int, by: str = "query_id") -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY distance, doc_idx)::INTEGER AS rank FROM ({d})) WHERE rank <= {k}"
 
 
-@register(f"WITH {V} SELECT doc_idx, distance FROM d ORDER BY distance, doc_idx LIMIT 10")
+@register(f"WITH {VQ} {ranked('SELECT query_id, doc_idx, distance FROM d', 10)}")
 def scan_topk(spark, d):
-    return search.top_k(vectors(spark, d), first_query(spark, d), 10)
+    return search.knn_join(asked(spark, d), vectors(spark, d), 10, 64)
 
 
 @register(f"WITH {V} SELECT doc_idx, distance FROM d")
@@ -120,10 +130,12 @@ def scan_topk_k_gt_n(spark, d):
     return search.top_k(vectors(spark, d), first_query(spark, d), 1_000_000_000)
 
 
-@register(f"WITH {V} SELECT doc_idx, distance FROM d WHERE label IN (1, 3) ORDER BY distance, doc_idx LIMIT 10")
+@register(f"WITH {VQ} {ranked('SELECT query_id, doc_idx, distance FROM d WHERE label IN (own, (own + 1) % 10)', 10)}")
 def subset_topk(spark, d):
-    v = vectors(spark, d)
-    return search.subset_top_k(v, catalog.scope(vector_bridge(spark, d), [1, 3]), first_query(spark, d), 10)
+    """Of every query the nearest among the rows of its own event and of the next."""
+    q, dim = asked(spark, d), catalog.event_dim(vectors(spark, d))
+    scopes = q.select("query_id", F.explode(F.array(F.col("own").cast("int"), (F.col("own").cast("int") + 1) % 10)).cast("string").alias("name")).join(dim, "name")
+    return search.scoped_join(q, scopes, vectors(spark, d), vector_bridge(spark, d), 10, 64)
 
 
 @register(f"WITH {V} SELECT doc_idx, distance FROM d WHERE doc_idx IN (1, 2, 5) ORDER BY distance, doc_idx LIMIT 10")
@@ -131,21 +143,29 @@ def subset_out_of_range(spark, d):
     return search.subset_top_k(vectors(spark, d), spark.createDataFrame([(1,), (2,), (2,), (5,), (10**15,)], "doc_idx bigint"), first_query(spark, d), 10)
 
 
-HIER = f"""WITH {V}, {DIM}, c AS (SELECT doc_idx, distance FROM d ORDER BY distance, doc_idx LIMIT 64),
-seed AS (SELECT * FROM c ORDER BY distance, doc_idx LIMIT 40),
-f AS (SELECT event_id, min(distance * 1000000000000 + doc_idx) AS h FROM seed JOIN b USING (doc_idx) GROUP BY event_id ORDER BY h LIMIT 8),
-sc AS (SELECT DISTINCT doc_idx FROM b WHERE event_id IN (SELECT event_id FROM f))"""
+HIER = f"""WITH {VQ}, {DIM}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_idx) AS r FROM d),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h) AS n FROM (SELECT query_id, event_id, min(distance * 1000000000000 + doc_idx) AS h FROM c JOIN b USING (doc_idx) WHERE r <= 40 GROUP BY query_id, event_id)) WHERE n <= 8),
+sc AS (SELECT query_id, doc_idx FROM b JOIN f USING (event_id)), sz AS (SELECT query_id, count(*) AS scope_size FROM sc GROUP BY query_id)"""
 
 
-@register(f"{HIER} SELECT doc_idx, distance, true AS used_shards, (SELECT count(*) FROM sc) AS scope_size FROM d WHERE doc_idx IN (SELECT doc_idx FROM sc) ORDER BY distance, doc_idx LIMIT 10")
+@register(f"{HIER} {ranked('SELECT query_id, doc_idx, distance, true AS used_shards, scope_size FROM d JOIN sc USING (query_id, doc_idx) JOIN sz USING (query_id)', 10)}")
 def hier_search(spark, d):
-    return search.hierarchical(vectors(spark, d), vector_bridge(spark, d), first_query(spark, d), 10)
+    return search.hierarchical_join(asked(spark, d), vectors(spark, d), vector_bridge(spark, d), 10, 64)
 
 
-@register(f"{HIER} SELECT event_id::INTEGER AS event_id, (h // 1000000000000)::INTEGER AS distance, (h % 1000000000000)::BIGINT AS doc_idx FROM f")
+@register(f"{HIER} SELECT query_id, event_id::INTEGER AS event_id, (h // 1000000000000)::INTEGER AS distance, (h % 1000000000000)::BIGINT AS doc_idx FROM f")
 def hier_candidates(spark, d):
-    coarse = search.top_k(vectors(spark, d), first_query(spark, d), 64)
-    return search.candidate_events(coarse, vector_bridge(spark, d), 10)
+    coarse = search.knn_join(asked(spark, d), vectors(spark, d), 64, 64)
+    return search.candidates_of(coarse, vector_bridge(spark, d), 10)
+
+
+@register(f"{HIER}, h AS ({ranked('SELECT query_id, doc_idx, distance FROM d JOIN sc USING (query_id, doc_idx)', 10)}) SELECT count(*) AS hits, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 6) AS recall FROM h JOIN c USING (query_id, doc_idx)")
+def hier_recall(spark, d):
+    """The share of hierarchical hits that are among the exact ten nearest, over all queries."""
+    q, v = asked(spark, d), vectors(spark, d)
+    exact = search.knn_join(q, v, 10, 64).select("query_id", "doc_idx", F.lit(1.0).alias("on"))
+    hits = search.hierarchical_join(q, v, vector_bridge(spark, d), 10, 64)
+    return hits.join(exact, ["query_id", "doc_idx"], "left").agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg(F.coalesce("on", F.lit(0.0))), 6).alias("recall"))
 
 
 @register(f"WITH {V} SELECT doc_idx, distance, false AS used_shards, (SELECT count(*) FROM v) AS scope_size FROM d ORDER BY distance, doc_idx LIMIT 10")
@@ -154,26 +174,20 @@ def hier_single_event(spark, d):
     return search.hierarchical(v, v.select("doc_idx", F.lit(0).alias("event_id")), first_query(spark, d), 10)
 
 
-@register(f"""WITH {V}, r AS (SELECT x.doc_idx AS query_id, y.doc_idx, bit_count(xor(x.s, y.s))::INTEGER AS distance, row_number() OVER (PARTITION BY x.doc_idx ORDER BY bit_count(xor(x.s, y.s)), y.doc_idx)::INTEGER AS rank FROM v x, v y)
-SELECT * FROM r WHERE rank <= 5""")
+@register(f"WITH {VQ} {ranked('SELECT query_id, doc_idx, distance FROM d', 5)}")
 def knn_join(spark, d):
-    v = vectors(spark, d)
-    return search.knn_join(v.select(F.col("doc_idx").alias("query_id"), F.col("s0").alias("q0")), v.select("doc_idx", "s0"), 5, 64)
+    """As blocks of queries, each broadcast by itself."""
+    return search.knn_join(asked(spark, d), vectors(spark, d).select("doc_idx", "s0"), 5, 64, broadcast_rows=64)
 
 
-@register(f"WITH {V} SELECT doc_idx, distance FROM d WHERE distance <= 24")
+@register(f"WITH {VQ} SELECT query_id, doc_idx, distance FROM d WHERE distance <= 24")
 def radius_search(spark, d):
-    return search.radius(vectors(spark, d), first_query(spark, d), 24)
-
-
-@register(f"WITH {V} SELECT x.doc_idx AS a, y.doc_idx AS b, bit_count(xor(x.s, y.s))::INTEGER AS distance FROM v x, v y WHERE x.doc_idx < y.doc_idx AND bit_count(xor(x.s, y.s)) <= 7")
-def radius_join_banded(spark, d):
-    return search.self_radius_join(vectors(spark, d).select("doc_idx", "s0"), 7, 64)
+    return search.radius_of(asked(spark, d), vectors(spark, d), 24, 64)
 
 
-@register(f"WITH {V}, {DIM}, r AS (SELECT event_id, doc_idx, distance, row_number() OVER (PARTITION BY event_id ORDER BY distance, doc_idx) AS rank FROM d JOIN b USING (doc_idx) WHERE event_id IN (0, 2, 4)) SELECT event_id::INTEGER AS event_id, doc_idx, distance FROM r WHERE rank <= 4")
+@register(f"WITH {VQ}, {DIM} {ranked('SELECT query_id, event_id::INTEGER AS event_id, doc_idx, distance FROM d JOIN b USING (doc_idx)', 4, 'query_id, event_id')}")
 def per_event_topk(spark, d):
-    return search.per_event_search(vectors(spark, d), vector_bridge(spark, d), [0, 2, 4], first_query(spark, d), 4)
+    return search.per_event_join(asked(spark, d), vectors(spark, d), vector_bridge(spark, d), 4, 64)
 
 
 @register(f"WITH {V}, {DIM} SELECT doc_idx, distance FROM d JOIN b USING (doc_idx) WHERE event_id IN (0, 2, 4) ORDER BY distance, doc_idx LIMIT 6")
@@ -250,6 +264,14 @@ def text_signature(spark, d):
     return text_corpus(spark, d)
 
 
+@register(f"""WITH {FEATURES}, {hashes(256)}, {ALL_CP}, y AS {packed('ac', 'doc_id', False)}, c AS (SELECT *, min(doc_id) OVER (PARTITION BY s0, s1, s2, s3) AS rep FROM y), x AS (SELECT * FROM c WHERE rep = doc_id)
+SELECT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(a.s0, b.s0)) + bit_count(xor(a.s1, b.s1)) + bit_count(xor(a.s2, b.s2)) + bit_count(xor(a.s3, b.s3)))::INTEGER AS distance FROM x a JOIN x b ON a.doc_id < b.doc_id
+WHERE bit_count(xor(a.s0, b.s0))::INTEGER + bit_count(xor(a.s1, b.s1)) + bit_count(xor(a.s2, b.s2)) + bit_count(xor(a.s3, b.s3)) <= 15 UNION ALL SELECT rep, doc_id, 0 FROM c WHERE rep <> doc_id""")
+def radius_join_banded(spark, d):
+    """Documents whose text signatures differ in at most 15 of 256 bits, copies told as members of their class."""
+    return search.self_radius_join(text_corpus(spark, d), 15, 256)
+
+
 B_FEATURES = FEATURES.replace("documents", "benchmark").replace("doc_id", "item_id").replace("tk ", "btk ").replace("FROM tk", "FROM btk").replace("ts AS", "bts AS").replace("FROM ts", "FROM bts").replace("ft AS", "bft AS")
 B_HASHES = hashes(256).replace("doc_id", "item_id").replace("FROM ft", "FROM bft").replace("hm AS", "bhm AS").replace("FROM hm", "FROM bhm").replace("hs AS", "bhs AS").replace("FROM hs", "FROM bhs").replace("cp AS", "bcp AS")
 B_ALL = "bac AS (SELECT item_id, pos, value FROM bcp UNION ALL SELECT item_id, 0, 0 FROM benchmark)"
@@ -304,11 +326,18 @@ def scope_union(spark, d):
     return catalog.scope(vector_bridge(spark, d), [2, 0, 2])
 
 
-@register(f"WITH {V}, {DIM} SELECT event_id::INTEGER AS event_id, list(doc_idx ORDER BY doc_idx) AS rows FROM b GROUP BY event_id")
+@register(f"WITH {V}, {DIM} SELECT event_id::INTEGER AS event_id, doc_idx // 65536 AS block, list(doc_idx ORDER BY doc_idx) AS rows FROM b GROUP BY 1, 2")
 def event_rows(spark, d):
     return catalog.inverted_list(vector_bridge(spark, d))
 
 
+@register("SELECT (row_number() OVER (ORDER BY event_type) - 1)::INTEGER AS event_id, count(*) AS rows FROM events GROUP BY event_type HAVING count(*) >= 1024")
+def warm_events(spark, d):
+    """Events with enough rows that an index of their own is worth its cost."""
+    t = turns(spark, d)
+    return catalog.worth_keeping(t.select(F.col("seq").alias("doc_idx"), "event_id"))
+
+
 @register("SELECT count(DISTINCT k) AS keys, count(*) AS rows FROM (SELECT conv_id, list_sort(list_distinct(list(role))) AS k FROM conversations GROUP BY conv_id)")
 def scope_hash_sets(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("r"))
@@ -382,6 +411,14 @@ def markov_topk(spark, d):
     return _predicted(spark, d, s.select(F.col("session").alias("query_id"), markov.last_n(F.transform("x", lambda x: x["event_id"]), 3).alias("history")), 3)
 
 
+@register(predict_sql(HISTORIES, 3).replace("SELECT query_id, event_id, ord", "SELECT query_id, rank, (SELECT name FROM e WHERE e.event_id = z.event_id) AS name FROM (SELECT query_id, event_id, ord") + ") z WHERE event_id <> 2")
+def predicted_names(spark, d):
+    """Names of the predicted events, without those that the catalogue doesn't know; here it lacks one."""
+    t = turns(spark, d)
+    known = t.select(F.col("event_id"), F.col("event").alias("name")).distinct().where("event_id <> 2")
+    return catalog.event_names(markov_topk(spark, d), known).select("query_id", "rank", "name")
+
+
 BACKOFF = [(1, [0, 99, 1]), (2, [77]), (3, []), (4, [99, 2, 3]), (5, [4, 4, 4])]
 
 
@@ -418,18 +455,18 @@ def context_age_window(spark, d):
 
 SR = f"""{TURNS}, pr AS (SELECT hist[len(hist)] AS source, ev AS target, count(*) AS n FROM h WHERE len(hist) >= 1 GROUP BY 1, 2),
 tm AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS p FROM pr),
-p0 AS (SELECT n AS source, n AS target, 1.0::DOUBLE AS value FROM (SELECT source AS n FROM tm UNION SELECT target FROM tm))""" + "".join(
-    f", p{i} AS (SELECT a.source, b.target, sum(a.value * b.p * 0.9) AS value FROM p{i - 1} a JOIN tm b ON a.target = b.source GROUP BY 1, 2)" for i in range(1, 9)
-)
-SR += ", sr AS (SELECT source, target, sum(value) AS value FROM (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(9)) + ") GROUP BY 1, 2)"
+pw AS (SELECT 0 AS k, n AS source, n AS target, 1.0::DOUBLE AS value FROM (SELECT source AS n FROM tm UNION SELECT target FROM tm)
+  UNION ALL SELECT any_value(a.k) + 1, a.source, b.target, sum(a.value * b.p * 0.9) FROM pw a JOIN tm b ON a.target = b.source WHERE a.k < 320 GROUP BY a.source, b.target),
+sr AS (SELECT source, target, sum(value) AS value FROM pw GROUP BY 1, 2)"""
 
 
-@register(f"WITH {SR} SELECT source, target, round(value, 6) AS value FROM sr")
+@register(f"WITH RECURSIVE {SR} SELECT source, target, round(value, 6) AS value FROM sr")
 def sr_closed_form(spark, d):
+    """The SQL adds up 320 powers, of which what is left out is below 1e-13 of a row's sum."""
     return successor.closed_form(successor.transition_matrix(turns(spark, d))).select("source", "target", F.round("value", 6).alias("value"))
 
 
-@register(f"""WITH {SR}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY greatest(value, 0) DESC, target) AS rank FROM sr WHERE source <> target)
+@register(f"""WITH RECURSIVE {SR}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY greatest(value, 0) DESC, target) AS rank FROM sr WHERE source <> target)
 SELECT source, rank::INTEGER AS rank, target, round(greatest(value, 0) / sum(greatest(value, 0)) OVER (PARTITION BY source), 6) AS probability FROM r WHERE rank <= 3""")
 def sr_predict(spark, d):
     m = successor.closed_form(successor.transition_matrix(turns(spark, d)))
@@ -500,6 +537,15 @@ def event_centroids(spark, d):
     return embed.majority_signature(vectors(spark, d), "event", 64)
 
 
+@register("""WITH o AS (SELECT label, i, CASE WHEN 2 * sum(CASE WHEN embedding[i + 1] >= 0 THEN 1 ELSE 0 END) >= count(*) THEN 1.0::DOUBLE ELSE 0.0 END AS x FROM embeddings, range(0, 64) t(i) GROUP BY label, i), mu AS (SELECT i, avg(x) AS m FROM o GROUP BY i)
+SELECT a.i::INTEGER AS bit, c.i::INTEGER AS other, round(avg(a.x * c.x) - any_value(ma.m * mc.m), 6) AS cov FROM o a JOIN o c ON a.label = c.label AND a.i <= c.i JOIN mu ma ON ma.i = a.i JOIN mu mc ON mc.i = c.i GROUP BY 1, 2""")
+def centroid_pca_covariance(spark, d):
+    """The covariance that the centroid variant of the low-rank projection takes its components from."""
+    n, s, x = successor.bit_statistics(embed.majority_signature(vectors(spark, d), "event", 64), 64)
+    c = x / n - np.outer(s / n, s / n)
+    return spark.createDataFrame([(i, j, float(round(c[i, j], 6) + 0.0)) for i in range(64) for j in range(i, 64)], "bit int, other int, cov double")
+
+
 # --- sessions --------------------------------------------------------------------------------------------------------
 
 GATE = f"""{V}, o AS (SELECT label, s, row_number() OVER (PARTITION BY label ORDER BY doc_idx) AS r, doc_idx FROM v)"""
@@ -509,15 +555,8 @@ GATE_REC = f"""WITH RECURSIVE {GATE}, g AS (
 
 
 def gated(spark, d) -> DataFrame:
-    """(event, doc_idx, emitted): the drift gate as a fold over each event's signatures."""
-    v = vectors(spark, d).groupBy("event").agg(F.array_sort(F.collect_list(F.struct("doc_idx", "s0"))).alias("x"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.expr("CAST(array() AS array<struct<doc_idx:bigint,emitted:boolean>>)").alias("out"))
-
-    def step(a, x):
-        on = a["last"].isNull() | (F.bit_count(a["last"].bitwiseXOR(x["s0"])) >= 30)
-        return F.struct(F.when(on, x["s0"]).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(F.struct(x["doc_idx"].alias("doc_idx"), on.alias("emitted")))).alias("out"))
-
-    return v.select("event", F.explode(F.aggregate("x", start, step)["out"]).alias("o")).select("event", "o.doc_idx", "o.emitted")
+    """(event, doc_idx, emitted): the drift gate over each event's signatures in order."""
+    return live.gate(vectors(spark, d), "event", "doc_idx", 64, 30)
 
 
 @register(f"{GATE_REC} SELECT label::VARCHAR AS event, doc_idx, emitted FROM g")
@@ -534,7 +573,7 @@ def gate_stats(spark, d):
 def _replayed(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), F.col("source").alias("event"))
     corpus = text_corpus(spark, d).join(catalog.doc_event(docs, catalog.event_dim(docs)), "doc_idx")
-    return live.replay(utterances(spark, d), corpus)
+    return live.replay(utterances(spark, d), corpus).drop("model")
 
 
 @register()
@@ -553,13 +592,12 @@ def delta_cache_log(spark, d):
     return _replayed(spark, d).where("served_by IN ('delta_cache', 'speculative')").select("session", "seq", "served_by", "scope_size", F.size("doc_ids").alias("hits"))
 
 
-@register(f"""WITH {V}, {DIM}, bk AS (SELECT b.event_id, min(bit_count(xor(v.s, w.s))) AS best, w.doc_idx AS q FROM v JOIN b USING (doc_idx), v w GROUP BY b.event_id, w.doc_idx),
+@register(f"""WITH {V}, {DIM}, bk AS (SELECT b.event_id, min(bit_count(xor(v.s, w.s))) AS best, w.doc_idx AS q FROM v JOIN b USING (doc_idx), v w WHERE w.doc_idx % 100 = 0 GROUP BY b.event_id, w.doc_idx),
 al AS (SELECT q, min(best) AS best FROM bk GROUP BY q)
 SELECT al.q AS query_id, (min(CASE WHEN event_id IN (0, 1, 2) THEN bk.best END) = any_value(al.best)) AS warm_hit FROM bk JOIN al USING (q) GROUP BY al.q""")
 def prefetch_warm_hits(spark, d):
-    """Whether the best distance within the prefetched events 0, 1, 2 is the best of all, for every vector as the query."""
-    v, b = vectors(spark, d).select("doc_idx", "s0"), vector_bridge(spark, d)
-    q = v.select(F.col("doc_idx").alias("query_id"), F.col("s0").alias("q0"))
+    """Whether the best distance within the prefetched events 0, 1, 2 is the best of all, for every query."""
+    v, b, q = vectors(spark, d).select("doc_idx", "s0"), vector_bridge(spark, d), asked(spark, d)
     best = lambda c, name: search.knn_join(q, c, 1, 64).select("query_id", F.col("distance").alias(name))
     warm = best(v.join(catalog.scope(b, [0, 1, 2]), "doc_idx", "left_semi"), "warm")
     return best(v, "cold").join(warm, "query_id", "left").select("query_id", F.coalesce(F.col("warm") == F.col("cold"), F.lit(False)).alias("warm_hit"))
@@ -573,14 +611,14 @@ def cold_store(spark, d) -> DataFrame:
     return v.select(F.col("doc_idx").alias("insert_seq"), "s0", cold.pack_value(F.col("event").cast("int"), F.col("doc_idx")).alias("value"))
 
 
-@register(f"WITH {V} SELECT doc_idx AS insert_seq, distance, label::BIGINT AS event_id, doc_idx FROM d ORDER BY distance, doc_idx LIMIT 7")
+@register(f"WITH {VQ} {ranked('SELECT query_id, doc_idx AS insert_seq, distance, label::BIGINT AS event_id, doc_idx FROM d', 7)}")
 def cold_nearest(spark, d):
-    return cold.nearest(cold_store(spark, d), first_query(spark, d), 7)
+    return cold.nearest_of(asked(spark, d), cold_store(spark, d), 7, 64)
 
 
-@register(f"WITH {V} SELECT doc_idx AS insert_seq, distance, label::BIGINT AS event_id, doc_idx FROM d WHERE distance <= 22")
+@register(f"WITH {VQ} SELECT query_id, doc_idx AS insert_seq, distance, label::BIGINT AS event_id, doc_idx FROM d WHERE distance <= 22")
 def cold_radius(spark, d):
-    return cold.within(cold_store(spark, d), first_query(spark, d), 22)
+    return cold.within_of(asked(spark, d), cold_store(spark, d), 22, 64)
 
 
 @register("SELECT vec_id AS doc_idx, (label::BIGINT * 4294967296 + vec_id) AS value, label::BIGINT AS event_id, vec_id AS doc FROM embeddings")
@@ -625,12 +663,12 @@ def bit_select_zero(spark, d):
 # --- metrics and formatting --------------------------------------------------------------------------------------------
 
 
-@register(f"""WITH {V}, r AS (SELECT x.doc_idx AS q, x.label AS target, y.label AS topic, row_number() OVER (PARTITION BY x.doc_idx ORDER BY bit_count(xor(x.s, y.s)), y.doc_idx) AS rank FROM v x, v y WHERE x.doc_idx <> y.doc_idx),
+@register(f"""WITH {V}, r AS (SELECT x.doc_idx AS q, x.label AS target, y.label AS topic, row_number() OVER (PARTITION BY x.doc_idx ORDER BY bit_count(xor(x.s, y.s)), y.doc_idx) AS rank FROM v x, v y WHERE x.doc_idx % 100 = 0 AND x.doc_idx <> y.doc_idx),
 g AS (SELECT q, any_value(target) AS target, list(topic ORDER BY rank) AS topics FROM r WHERE rank <= 5 GROUP BY q)
 SELECT count(*) AS n, round(avg(CASE WHEN topics[1] = target THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN list_contains(topics, target) THEN 1.0 ELSE 0 END), 6) AS topk FROM g""")
 def topic_correctness(spark, d):
     v = vectors(spark, d)
-    near = search.knn_join(v.select(F.col("doc_idx").alias("query_id"), F.col("s0").alias("q0")), v.select("doc_idx", "s0"), 6, 64).where("query_id <> doc_idx")
+    near = search.knn_join(asked(spark, d), v.select("doc_idx", "s0"), 6, 64).where("query_id <> doc_idx")
     w = markov.Window.partitionBy("query_id").orderBy("rank")
     near = near.withColumn("r", F.row_number().over(w)).where("r <= 5")
     e = v.select("doc_idx", F.col("event").alias("topic"))
@@ -645,6 +683,17 @@ def latency_percentiles(spark, d):
     return metrics.percentiles(table(spark, d, "events"), "value", ["event_type"]).withColumn("mean", F.round("mean", 6))
 
 
+DECIDED = "CASE event_type WHEN 'click' THEN 'speculative' WHEN 'view' THEN 'delta_cache' WHEN 'purchase' THEN 'warm' ELSE 'shard_scan' END"
+
+
+@register(f"""WITH s AS (SELECT {DECIDED} AS w FROM events), c AS (SELECT count(*) FILTER (w <> 'warm') AS n, count(*) FILTER (w = 'speculative') AS a, count(*) FILTER (w = 'delta_cache') AS b, count(*) FILTER (w = 'shard_scan') AS z FROM s)
+SELECT n AS finalized, a AS speculative, b AS delta_cache, z AS scanned, round(CASE WHEN n > 0 THEN a / n ELSE 0 END, 6) AS speculative_rate, round(CASE WHEN n > a THEN b / (n - a) ELSE 0 END, 6) AS cache_rate, round(CASE WHEN n > 0 THEN (n - z) / n ELSE 0 END, 6) AS hit_rate FROM c""")
+def decision_stats(spark, d):
+    """Ratios over a log of decisions, for which the events' types stand."""
+    t = metrics.decision_stats(table(spark, d, "events").select(F.expr(DECIDED).alias("served_by")))
+    return t.select("finalized", "speculative", "delta_cache", "scanned", *[F.round(x, 6).alias(x) for x in ("speculative_rate", "cache_rate", "hit_rate")])
+
+
 @register("SELECT event_type AS served_by, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6) AS percent FROM events GROUP BY event_type")
 def event_tally(spark, d):
     t = metrics.tally(table(spark, d, "events").select(F.col("event_type").alias("served_by")))

@@ -166,6 +166,48 @@ def load_markov(spark: SparkSession, path: str, max_order: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("ord").between(1, max_order))
 
 
+def save_model(spark: SparkSession, model, path: str) -> None:
+    """A successor model (tabular or of low rank) as a JSON file; a low-rank model's projection and features follow from the corpus and aren't written."""
+    _put_text(spark, path, json.dumps(model.dump()))
+
+
+def _saved(spark: SparkSession, path: str) -> dict:
+    return json.loads("".join(r[0] for r in spark.read.text(path).collect()))  # one model
+
+
+def load_sr(spark: SparkSession, path: str):
+    """A tabular successor model."""
+    from parley.operators.successor import TabularSR
+
+    return TabularSR.restore(_saved(spark, path))
+
+
+def load_low_rank(spark: SparkSession, path: str, k: int, **options):
+    """A low-rank successor model of rank k, made anew with `options` as at first; a saved model of another rank or length is an error."""
+    from parley.operators.successor import LowRankSR
+
+    saved = _saved(spark, path)
+    if saved["normal"] != (options.get("projection") is not None):
+        raise CorpusError(f"{path}: saved with {'a given' if saved['normal'] else 'the drawn'} projection")
+    m = LowRankSR(k, gamma=saved["gamma"], eta=saved["eta"], warmup=saved["warmup"], **options)
+    m.load(saved)
+    return m
+
+
+def save_warm_events(spark: SparkSession, events: list[int], path: str) -> None:
+    """Ids of the events whose rows are worth keeping at hand."""
+    _put_text(spark, path, json.dumps(sorted(events)))
+
+
+def load_warm_events(spark: SparkSession, path: str, bridge: DataFrame, least: int = 1024) -> list[int]:
+    """The saved ids of events that still exist and have `least` rows or more; without a file there are none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return []
+    named = spark.createDataFrame([(e,) for e in _saved(spark, path)], "event_id int")
+    return sorted(r["event_id"] for r in catalog.worth_keeping(bridge, least).join(F.broadcast(named), "event_id").collect())
+
+
 def to_response(hits: DataFrame) -> DataFrame:
     """One JSON string of hits (rank, distance, id, event, text), in order of rank."""
     item = F.struct("rank", "distance", "id", "event", "text")

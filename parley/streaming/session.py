@@ -7,12 +7,17 @@ a Structured Streaming query. Both give the same rows for the same log.
 
 from __future__ import annotations
 
+import json
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley import worker_cache
 from parley.functions import signature as S
@@ -124,6 +129,39 @@ class DriftGate:
         self.last = self.current = None
 
 
+def gate(rows: DataFrame, session: str, order: str, bits: int, threshold: int = GATE) -> DataFrame:
+    """(session, order, emitted): what a drift gate lets through of each session's signatures (s0, ...), in order.
+
+    Whether a row passes depends on the last that did, so a session is one task's;
+    it streams through the sorted rows and holds one signature.
+    """
+    words = S.word_names(bits)
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        name, last = None, None
+        for b in batches:
+            on, names = np.zeros(b.num_rows, bool), b.column(0).to_pylist()
+            sigs = np.stack([b.column(2 + w).to_numpy() for w in range(len(words))], axis=1).view(np.uint64)
+            for i, who in enumerate(names):
+                if last is None or who != name or ham(last, sigs[i]) >= threshold:
+                    on[i], name, last = True, who, sigs[i].copy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(on)], names=[session, order, "emitted"])
+
+    ordered = rows.select(session, order, *words).repartition(session).sortWithinPartitions(session, order)
+    return ordered.mapInArrow(run, f"{session} {kinds[session]}, {order} {kinds[order]}, emitted boolean")
+
+
+class Predictor(Protocol):
+    """What foretells the next event of a session: of a context (event ids, latest last) the k likeliest with their probabilities, learning from what follows what."""
+
+    def predict(self, context: list[int], k: int) -> list[tuple[int, float]]: ...
+
+    def observe(self, prev: int, nxt: int) -> None: ...
+
+    def confidence(self) -> float: ...
+
+
 class OnlineMarkov:
     """Order-1 counts learnt as they come (or given), Laplace smoothing, optional decay."""
 
@@ -146,6 +184,25 @@ class OnlineMarkov:
                 self.vocab |= {*context, nxt}
                 self.counts.setdefault(tuple(context), {})[nxt] = (weight, 0.0)
 
+    def renewed(self) -> OnlineMarkov:
+        """A model with the same settings that has learnt nothing."""
+        return OnlineMarkov(self.alpha, self.half_life, self.max_order)
+
+    def dump(self) -> str:
+        """The model as JSON."""
+        rows = [[list(c), e, w, at] for c, row in sorted(self.counts.items()) for e, (w, at) in sorted(row.items())]
+        return json.dumps({"alpha": self.alpha, "half_life_s": self.half_life, "max_order": self.max_order, "vocab": sorted(self.vocab), "rows": rows})
+
+    @staticmethod
+    def restore(saved: str) -> OnlineMarkov:
+        x = json.loads(saved)
+        m = OnlineMarkov(x["alpha"], x["half_life_s"], x["max_order"])
+        m.vocab = set(x["vocab"])
+        for context, e, w, at in x["rows"]:
+            if len(context) <= m.max_order:
+                m.counts.setdefault(tuple(context), {})[e] = (w, at)
+        return m
+
     def observed(self, prev: int, now: float = 0.0) -> float:
         return sum(self._now(c, now) for c in self.counts.get((prev,), {}).values())
 
@@ -165,15 +222,25 @@ class OnlineMarkov:
         return 1.0
 
 
+def as_markov(predictor) -> OnlineMarkov | None:
+    """The Markov model that a predictor is or holds."""
+    return predictor if isinstance(predictor, OnlineMarkov) else getattr(predictor, "markov", None)
+
+
 @dataclass
 class Session:
-    """One conversation. `fallback` searches the corpus when the predicted scope has fewer than k rows, which the plain rules don't."""
+    """One conversation. `fallback` searches the corpus when the predicted scope has fewer than k rows, which the plain rules don't.
+
+    With `persist`, a reset gives out what the session's Markov model has learnt, and
+    the conversation that follows under the same name begins with it.
+    """
 
-    predictor: object = field(default_factory=OnlineMarkov)
+    predictor: Predictor = field(default_factory=OnlineMarkov)
     coarse_k: int = 64
     max_events: int = 8
     fallback: bool = False
     cold: Index | None = None
+    persist: bool = False
 
     def __post_init__(self):
         self.window: list[tuple[int, float]] = []
@@ -237,44 +304,116 @@ class Session:
         if action == "warm":
             return {"served_by": "warm", "results": [], "top_event": -1, "predicted": self.warm(index), "scope_size": len(self.scope), "cold": []}
         if action == "reset":
-            self.__init__(predictor=type(self.predictor)(), coarse_k=self.coarse_k, max_events=self.max_events, fallback=self.fallback, cold=self.cold)
-            return {"served_by": "reset", "results": [], "top_event": -1, "predicted": [], "scope_size": 0, "cold": []}
+            learnt = as_markov(self.predictor) if self.persist else None
+            fresh = self.predictor.renewed() if hasattr(self.predictor, "renewed") else type(self.predictor)()
+            if learnt is self.predictor:
+                fresh = learnt
+            elif learnt is not None:
+                fresh.markov = learnt
+            self.__init__(predictor=fresh, coarse_k=self.coarse_k, max_events=self.max_events, fallback=self.fallback, cold=self.cold, persist=self.persist)
+            return {"served_by": "reset", "results": [], "top_event": -1, "predicted": [], "scope_size": 0, "cold": [], "model": learnt.dump() if learnt else None}
         raise ValueError(f"unknown action {action}")
 
 
-OUTPUT = "session string, seq bigint, served_by string, doc_ids array<bigint>, distances array<int>, top_event int, predicted array<int>, scope_size bigint"
+    def start_from(self, saved: str) -> None:
+        """Takes over a Markov model that an earlier conversation gave out."""
+        if isinstance(self.predictor, OnlineMarkov):
+            self.predictor = OnlineMarkov.restore(saved)
+        elif hasattr(self.predictor, "markov"):
+            self.predictor.markov = OnlineMarkov.restore(saved)
 
 
-def _rows(session_id, index: Index, state: Session, log: pd.DataFrame, words: list[str]) -> pd.DataFrame:
+OUTPUT = "session string, seq bigint, served_by string, doc_ids array<bigint>, distances array<int>, top_event int, predicted array<int>, scope_size bigint, model string"
+_COLUMNS = ["session", "seq", "served_by", "doc_ids", "distances", "top_event", "predicted", "scope_size", "model"]
+
+
+def _rows(session_id, index: Index, state: Session, log: pd.DataFrame, words: list[str]) -> list[tuple]:
+    """What a session puts out for rows of its log, which are in order."""
     out = []
-    log = log.sort_values(["ts", "seq"], kind="stable")
     sigs = log[words].to_numpy(np.int64).view(np.uint64)
     for sig, seq, ts, action, k in zip(sigs, log["seq"], log["ts"], log["action"], log["k"]):
         got = state.apply(index, action, sig, int(k), pd.Timestamp(ts).timestamp())
         if got:
-            out.append((session_id, int(seq), got["served_by"], [int(index.doc[r]) for _, r in got["results"]], [d for d, _ in got["results"]], got["top_event"], got["predicted"], got["scope_size"]))
-    return pd.DataFrame(out, columns=["session", "seq", "served_by", "doc_ids", "distances", "top_event", "predicted", "scope_size"])
+            out.append((session_id, int(seq), got["served_by"], [int(index.doc[r]) for _, r in got["results"]], [d for d, _ in got["results"]], got["top_event"], got["predicted"], got["scope_size"], got.get("model")))
+    return out
 
 
 def collect_index(corpus: DataFrame, bits: int, limit_bytes: int = 512 << 20):
     """Broadcasts a corpus (doc_idx, s0, ..., event_id) as arrays: 44 bytes a row at 256 bits. A corpus beyond `limit_bytes` is refused: give each kind of session its own scope, or use the relational search."""
     words = S.word_names(bits)
-    n = corpus.count()
-    if n * (8 * len(words) + 12) > limit_bytes:
-        raise ValueError(f"a corpus of {n} rows is too large to be held by every worker")
-    t = corpus.select("doc_idx", *words, "event_id").toPandas()
-    arrays = t[words].to_numpy(np.int64).view(np.uint64), t["doc_idx"].to_numpy(np.int64), t["event_id"].fillna(-1).to_numpy(np.int64)
+    rows = corpus.select("doc_idx", *words, F.coalesce("event_id", F.lit(-1)).cast("bigint").alias("event_id")).persist()  # computed once, for the count and for the arrays
+    try:
+        n = rows.count()
+        if n * (8 * len(words) + 12) > limit_bytes:
+            raise ValueError(f"a corpus of {n} rows is too large to be held by every worker")
+        t = rows.toArrow()
+    finally:
+        rows.unpersist()
+    arrays = np.stack([t[w].to_numpy() for w in words], axis=1).view(np.uint64) if n else np.zeros((0, len(words)), np.uint64), t["doc_idx"].to_numpy(), t["event_id"].to_numpy()
     return corpus.sparkSession.sparkContext.broadcast(arrays)
 
 
-def replay(log: DataFrame, corpus: DataFrame, bits: int = 256, make=Session) -> DataFrame:
-    """Rows of OUTPUT for a log (session, seq, ts, action, k, s0, ...): sessions in parallel, each in the order of (ts, seq)."""
+def _with_prior(log: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """The log with each session's saved model, null without one."""
+    if prior is None:
+        return log.withColumn("model", F.lit(None).cast("string"))
+    return log.join(prior.select("session", "model"), "session", "left")
+
+
+def replay(log: DataFrame, corpus: DataFrame, bits: int = 256, make=Session, prior: DataFrame | None = None) -> DataFrame:
+    """Rows of OUTPUT for a log (session, seq, ts, action, k, s0, ...): sessions in parallel, each in the order of (ts, seq).
+
+    A task streams through the sorted rows of its sessions with the state of one
+    session at a time, so a long session needs no more memory than a short one.
+    Sessions named in `prior` (session, model) begin with that model.
+    """
     words, sent = S.word_names(bits), collect_index(corpus, bits)
 
-    def fold(key, pdf):
-        return _rows(key[0], _index_of(sent), make(), pdf, words)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, name, state = _index_of(sent), None, None
+        for frame in frames:
+            out = []
+            edge = [0, *(np.flatnonzero(frame["session"].to_numpy()[1:] != frame["session"].to_numpy()[:-1]) + 1).tolist(), len(frame)]
+            for a, b in zip(edge[:-1], edge[1:]):
+                part = frame.iloc[a:b]
+                if not len(part):
+                    continue
+                if state is None or part["session"].iloc[0] != name:
+                    name, state = part["session"].iloc[0], _started(make, part)
+                out += _rows(name, index, state, part, words)
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    rows = _with_prior(log, prior).repartition("session").sortWithinPartitions("session", "ts", "seq")
+    return rows.select("session", "seq", "ts", "action", "k", *words, "model").mapInPandas(fold, OUTPUT)
+
+
+def _started(make, log: pd.DataFrame) -> Session:
+    session, saved = make(), log["model"].iloc[0]
+    if isinstance(saved, str):
+        session.start_from(saved)
+    return session
+
+
+def save_models(rows: DataFrame, path: str) -> None:
+    """Appends the models that resets gave out to a folder."""
+    rows.where("model IS NOT NULL").select("session", "seq", "model").write.mode("append").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    """(session, model): of each session the last model saved."""
+    return spark.read.schema("session string, seq bigint, model string").parquet(path).groupBy("session").agg(F.max_by("model", "seq").alias("model"))
+
+
+def keep_models(rows: DataFrame, path: str, checkpoint: str, output: str):
+    """Starts a query that writes a stream's rows to `output` and the models that resets gave out to `path`."""
+
+    def write(batch: DataFrame, _) -> None:
+        batch = batch.persist()
+        save_models(batch, path)
+        batch.write.mode("append").parquet(output)
+        batch.unpersist()
 
-    return log.groupBy("session").applyInPandas(fold, OUTPUT)
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _index_of(sent) -> Index:
@@ -285,26 +424,30 @@ def _index_of(sent) -> Index:
     return kept["session index"][1]
 
 
-def stream(log: DataFrame, corpus: DataFrame, bits: int = 256, make=Session, ttl_ms: int = 3_600_000) -> DataFrame:
+def stream(log: DataFrame, corpus: DataFrame, bits: int = 256, make=Session, ttl_ms: int = 3_600_000, prior: DataFrame | None = None) -> DataFrame:
     """The same rows from a stream; a session's state is dropped after `ttl_ms` without rows.
 
-    Rows of one micro-batch are worked off in the order of (ts, seq).
+    Rows of one micro-batch are worked off in the order of (ts, seq). Timeouts are
+    looked at when there are new rows: micro-batches without any are switched off in
+    the session, as with a timeout in processing time they would follow each other
+    without end and a query over what is available would never be over.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    log.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     words, sent = S.word_names(bits), collect_index(corpus, bits)
 
     def step(key, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        session = pickle.loads(state.get[0]) if state.exists else make()
-        log = pd.concat(list(frames))
-        yield _rows(key[0], _index_of(sent), session, log, words)
+        log = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
+        session = pickle.loads(state.get[0]) if state.exists else _started(make, log)
+        yield pd.DataFrame(_rows(key[0], _index_of(sent), session, log, words), columns=_COLUMNS)
         state.update((_frozen(session),))
         state.setTimeoutDuration(ttl_ms)
 
-    return log.groupBy("session").applyInPandasWithState(step, OUTPUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _with_prior(log, prior).groupBy("session").applyInPandasWithState(step, OUTPUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _frozen(session: Session) -> bytes:

@@ -107,10 +107,53 @@ def test_a_cycle_has_its_analytic_values():
         assert abs(m.rows[0][k] - want) < 0.05
 
 
-def test_closed_form_of_a_cycle(spark):
-    t = turns_of(spark, [[0, 1, 2] * 10])
-    got = {(r["source"], r["target"]): r["value"] for r in successor.closed_form(successor.transition_matrix(t), 0.5, 8).collect()}
-    assert got[0, 0] == pytest.approx(1 + 0.5**3 + 0.5**6) and got[0, 2] == pytest.approx(0.5**2 + 0.5**5 + 0.5**8)
+@pytest.mark.parametrize("dense", [1000, 1])
+def test_closed_form_is_the_inverse(spark, dense):
+    """Solved at once, and summed by doubling: M (I - gamma T) = I, whatever gamma."""
+    spark.sparkContext.setCheckpointDir("/tmp/parley-checkpoints")
+    t = turns_of(spark, [[0, 1, 2] * 10, [0, 3, 3, 1, 0, 4]])
+    matrix = successor.transition_matrix(t)
+    p = np.zeros((5, 5))
+    for r in matrix.collect():
+        p[r["source"], r["target"]] = r["p"]
+    for gamma in (0.5, 0.9) if dense == 1 else (0.5, 0.9, 0.99):
+        m = np.zeros((5, 5))
+        for r in successor.closed_form(matrix, gamma, dense=dense).collect():
+            m[r["source"], r["target"]] = r["value"]
+        assert np.allclose(m @ (np.eye(5) - gamma * p), np.eye(5), atol=1e-8)
+    assert successor.closed_form(matrix.limit(0)).collect() == []
+
+
+def test_saved_models(spark, tmp_path):
+    from parley.sources import index_io as io
+
+    m = successor.TabularSR(0.8, 0.2, 10)
+    for a, b in ((1, 2), (2, 3), (1, 3), (3, 1)):
+        m.observe(a, b)
+    io.save_model(spark, m, str(tmp_path / "sr.json"))
+    back = io.load_sr(spark, str(tmp_path / "sr.json"))
+    assert back == m and back.predict([1], 3) == m.predict([1], 3)
+    low = successor.LowRankSR(8, 64)
+    for e in range(4):
+        low.set_centroid(e, np.arange(64) % (e + 2) == 0)
+    for i in range(60):
+        low.observe(i % 4, (i + 1) % 4)
+    io.save_model(spark, low, str(tmp_path / "low.json"))
+    again = io.load_low_rank(spark, str(tmp_path / "low.json"), 8, bits=64)
+    assert np.array_equal(again.m, low.m) and (again.t, again.gap) == (low.t, low.gap)
+    with pytest.raises(ValueError):
+        io.load_low_rank(spark, str(tmp_path / "low.json"), 9, bits=64)
+    with pytest.raises(io.CorpusError):
+        io.load_low_rank(spark, str(tmp_path / "low.json"), 8, bits=64, projection=np.zeros((64, 8)))
+
+
+def test_warm_events(spark, tmp_path):
+    from parley.sources import index_io as io
+
+    bridge = spark.range(0, 90).selectExpr("id AS doc_idx", "CAST(CASE WHEN id < 50 THEN 1 WHEN id < 80 THEN 2 ELSE 3 END AS INT) AS event_id")
+    assert io.load_warm_events(spark, str(tmp_path / "none.json"), bridge) == []
+    io.save_warm_events(spark, [3, 1, 7], str(tmp_path / "warm.json"))
+    assert io.load_warm_events(spark, str(tmp_path / "warm.json"), bridge, 20) == [1]
 
 
 def test_predictions_leave_the_event_itself_out(spark):

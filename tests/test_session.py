@@ -151,8 +151,11 @@ def test_stream_gives_the_rows_of_the_replay_over_restarts(frames, spark, tmp_pa
     for part in ("seq < 12", "seq >= 12"):  # the query is stopped in between and takes its state up again
         log.where(part).coalesce(1).write.mode("append").parquet(source)
         q = live.stream(spark.readStream.schema(log.schema).parquet(source), corpus).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert q.exception() is None
+        try:
+            assert q.awaitTermination(120), "the query doesn't end"
+            assert q.exception() is None
+        finally:
+            q.stop()
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(spark.read.parquet(out)) == key(live.replay(log, corpus))
 
@@ -160,3 +163,57 @@ def test_stream_gives_the_rows_of_the_replay_over_restarts(frames, spark, tmp_pa
 def test_unknown_action(index):
     with pytest.raises(ValueError):
         live.Session().apply(index, "dance", index.words[0], 1, 0.0)
+
+
+def test_models_outlive_sessions(frames, spark, tmp_path):
+    """A reset gives out what was learnt; the next conversation of that name begins with it, in a batch as in a stream."""
+    log, corpus, _ = frames
+    end = log.groupBy("session").agg({"seq": "max", "ts": "max"}).selectExpr("session", "`max(seq)` + 1 AS seq", "`max(ts)` + INTERVAL 1 SECOND AS ts", "'reset' AS action", "5 AS k", "0L AS s0", "0L AS s1", "0L AS s2", "0L AS s3")
+    whole, make = log.unionByName(end), lambda: live.Session(persist=True)
+    rows = live.replay(whole, corpus, make=make)
+    saved = {r["session"]: r["model"] for r in rows.where("model IS NOT NULL").collect()}
+    assert set(saved) == {"s0", "s1", "s2"} and all(live.OnlineMarkov.restore(x).dump() == x for x in saved.values())
+    live.save_models(rows, str(tmp_path / "models"))
+    prior = live.load_models(spark, str(tmp_path / "models"))
+    assert {r["session"]: r["model"] for r in prior.collect()} == saved
+    # a session that begins with the model is one that has gone on
+    later = log.selectExpr("session", "seq + 100 AS seq", "ts + INTERVAL 1 HOUR AS ts", "action", "k", "s0", "s1", "s2", "s3")
+    on = [tuple(r) for r in live.replay(whole.unionByName(later), corpus, make=make).where("seq >= 100").collect()]
+    new = [tuple(r) for r in live.replay(later, corpus, make=make, prior=prior).collect()]
+    assert sorted(map(repr, on)) == sorted(map(repr, new)) and any(r[6] for r in new)
+    source = str(tmp_path / "in")
+    whole.coalesce(1).write.parquet(source)
+    out = live.stream(spark.readStream.schema(whole.schema).parquet(source), corpus, make=make)
+    q = live.keep_models(out, str(tmp_path / "kept"), str(tmp_path / "cp"), str(tmp_path / "out"))
+    try:
+        assert q.awaitTermination(120) and q.exception() is None
+    finally:
+        q.stop()
+    assert {r["session"]: r["model"] for r in live.load_models(spark, str(tmp_path / "kept")).collect()} == saved
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
+
+
+def test_a_reset_forgets_or_keeps():
+    from parley.operators.successor import Hybrid, TabularSR
+
+    one = live.Index(np.zeros((1, 4), np.uint64), np.array([0]), np.array([0]))
+    for predictor in (live.OnlineMarkov(0.5, 60.0, 2), Hybrid(TabularSR(warmup=4), live.OnlineMarkov(0.5))):
+        for persist in (False, True):
+            s = live.Session(predictor=predictor, persist=persist)
+            s.predictor.observe(1, 2)
+            row = s.apply(one, "reset", one.words[0], 1, 0.0)
+            kept = live.as_markov(s.predictor)
+            assert (row["model"] is not None) == persist == bool(kept.counts) and kept.alpha == 0.5 and type(s.predictor) is type(predictor)
+    s = live.Session(predictor=TabularSR(), persist=True)
+    assert s.apply(one, "reset", one.words[0], 1, 0.0)["model"] is None
+
+
+def test_gate_streams_through_sorted_rows(spark):
+    """The rows of the fold in memory, a hot session among them."""
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 2 else f"s{i % 5}", i, *map(int, rng.integers(-(2**40), 2**40, 2))) for i in range(600)]
+    df = spark.createDataFrame(rows, "session string, i bigint, s0 bigint, s1 bigint").repartition(5)
+    want, gates = set(), {}
+    for name, i, a, b in rows:
+        want.add((name, i, gates.setdefault(name, live.DriftGate(40)).update(np.array([a, b], np.int64).view(np.uint64))))
+    assert set(map(tuple, live.gate(df, "session", "i", 128, 40).collect())) == want

@@ -98,3 +98,28 @@ def test_context_lines_and_template(spark):
 @pytest.mark.parametrize("raw, safe", [("../../etc/passwd", ".._.._etc_passwd"), ("a/b", "a_b"), ("a\\b", "a_b")])
 def test_sanitised(spark, raw, safe):
     assert one(spark, raw, T.sanitised) == safe
+
+
+def test_hashes_in_batches_are_those_of_the_expressions(spark):
+    """The Arrow kernel against the expressions that SQL states, feature by feature."""
+    texts = ["The dog bites the Dog, and bites again", "", None, "the and of", "Ärger über naïve  ÇA 12 ab12", "one", "a b c " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for options in ({}, {"bands": 6, "seed": 3}, {"use_bigrams": False, "drop_stop_words": False}):
+        bands, seed = options.get("bands", 4), options.get("seed", 7)
+        f = df.select("k", F.explode(T.features(F.col("text"), options.get("use_bigrams", True), options.get("drop_stop_words", True))).alias("token"))
+        h = T.hash_blocks(F.col("token"), seed, bands)
+        f = f.select("k", *[x.alias(f"h{i}") for i, x in enumerate(h)]).select("k", F.explode(T.hashed([F.col(f"h{i}") for i in range(len(h))], 128, bands)).alias("h"))
+        want = {(r[0], r[1]): r[2] for r in f.groupBy("k", F.col("h.pos").alias("pos")).agg(F.sum("h.sign")).collect()}
+        got = {(r["k"], r["pos"]): r["value"] for r in embed.hashed_components(df, "k", dim=128, **options).collect()}
+        assert got == want
+        bits = {r["k"]: [r["s0"], r["s1"]] for r in embed.text_signature(df, "k", bits=128, **options).collect()}
+        for k in range(len(texts)):
+            on = [w & (1 << (63 - i % 64)) != 0 for i in range(128) for w in [bits[k][i // 64] & (2**64 - 1)]]
+            assert on == [want.get((k, i), 0) >= 0 for i in range(128)]
+
+
+def test_sql_functions(spark):
+    from parley.functions import signature as S
+
+    S.register_sql(spark)
+    assert spark.sql("SELECT ham64(0, -1), ham64(5, 6), ham256(array(0, 1, 2, 3), array(0, 1, 2, -4))").first() == (64, 2, 64)
