@@ -22,6 +22,36 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class RemoteEmbedder:
+    """An embedder behind a request: `post(texts, timeout_s)` gives {"index", "embedding"} items, in any order.
+
+    Items are put in the order of the texts; a missing, repeated or surplus one is an
+    error, as is a vector of another length. A request that fails is repeated
+    `retries` times, waiting twice as long each time.
+    """
+
+    def __init__(self, post, dim: int, timeout_s: float = 30.0, retries: int = 2, wait_s: float = 0.5):
+        self.post, self.dim, self.timeout_s, self.retries, self.wait_s = post, dim, timeout_s, retries, wait_s
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        import time
+
+        for attempt in range(self.retries + 1):
+            try:
+                items = self.post(texts, self.timeout_s)
+                break
+            except OSError:
+                if attempt == self.retries:
+                    raise
+                time.sleep(self.wait_s * 2**attempt)
+        if sorted(x["index"] for x in items) != list(range(len(texts))):
+            raise ValueError(f"embedder gave {len(items)} items for {len(texts)} texts")
+        out = [x["embedding"] for x in sorted(items, key=lambda x: x["index"])]
+        if any(len(v) != self.dim for v in out):
+            raise ValueError(f"embedder gave vectors of other lengths than {self.dim}")
+        return np.array(out, np.float32).reshape(len(texts), self.dim)
+
+
 def embed_with(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = 256) -> DataFrame:
     """Adds `vector` from an embedder, in Arrow batches cut into `batch` texts; count and dimension are checked."""
     import pandas as pd
@@ -76,19 +106,23 @@ def hashed_embedding(df: DataFrame, key: str, text: str = "text", dim: int = 256
     return c.select(key, "pos", F.when(norm > 1e-9, F.col("value") / norm).otherwise(F.col("value").cast("double")).alias("value"))
 
 
-def text_signature(df: DataFrame, key: str, text: str = "text", bits: int = 256, **options) -> DataFrame:
-    """(key, s0, ...): signatures of texts. Components of zero set their bit, so a text without features is all ones.
+def signature_of(text: str, bits: int = 256, use_bigrams: bool = True, drop_stop_words: bool = True, **options) -> Column:
+    """A struct of the words s0, ... of a text's signature. Components of zero set their bit, so a text without features is all ones.
 
     Nothing is shuffled: each row's components live in its Arrow batch only.
     """
-    drop, bigrams = options.pop("drop_stop_words", True), options.pop("use_bigrams", True)
-    stop, names = T.STOP_WORDS if drop else [], S.word_names(bits)
+    stop, names = T.STOP_WORDS if drop_stop_words else [], S.word_names(bits)
 
     @F.arrow_udf("struct<" + ",".join(f"{w}:bigint" for w in names) + ">")
     def run(words: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([pa.array(x) for x in H.signature_words(words, bits, bigrams=bigrams, stop=stop, **options)], names=names)
+        return pa.StructArray.from_arrays([pa.array(x) for x in H.signature_words(words, bits, bigrams=use_bigrams, stop=stop, **options)], names=names)
+
+    return run(_words(text))
 
-    return df.select(key, run(_words(text)).alias("_signature")).select(key, *[F.col(f"_signature.{w}").alias(w) for w in names])
+
+def text_signature(df: DataFrame, key: str, text: str = "text", bits: int = 256, **options) -> DataFrame:
+    """(key, s0, ...): signatures of texts, each row's by itself."""
+    return df.select(key, signature_of(text, bits, **options).alias("_signature")).select(key, *[F.col(f"_signature.{w}").alias(w) for w in S.word_names(bits)])
 
 
 def random_projection(source_dim: int, bits: int = 256, seed: int = 7) -> np.ndarray:

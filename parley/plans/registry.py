@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions import signature as S
 from parley.functions import text as T
 from parley.operators import catalog, cold, embed, markov, metrics, search, successor
+from parley.streaming import requests
 from parley.streaming import session as live
 
 QUERIES: dict = {}
@@ -77,8 +78,8 @@ def utterances(spark, d) -> DataFrame:
         F.col("conv_id").cast("string").alias("session"), (F.col("turn") * 8 + F.col("x.i")).alias("seq"), F.timestamp_seconds(F.col("turn") * 5 + F.col("x.i")).alias("ts"), F.col("x.action").alias("action"),
         F.array_join(F.slice("w", 1, F.greatest(F.ceil(F.size("w") * F.col("x.part")).cast("int"), F.lit(1))), " ").alias("text"),
     )
-    rows = rows.withColumn("key", F.struct("session", "seq"))
-    return rows.join(embed.text_signature(rows, "key"), "key").select("session", "seq", "ts", "action", F.lit(10).alias("k"), *S.word_names(256))
+    rows = rows.withColumn("signature", embed.signature_of("text"))
+    return rows.select("session", "seq", "ts", "action", F.lit(10).alias("k"), *[F.col(f"signature.{w}").alias(w) for w in S.word_names(256)])
 
 
 # --- signatures and search -----------------------------------------------------------------------------------------
@@ -603,6 +604,22 @@ def prefetch_warm_hits(spark, d):
     return best(v, "cold").join(warm, "query_id", "left").select("query_id", F.coalesce(F.col("warm") == F.col("cold"), F.lit(False)).alias("warm_hit"))
 
 
+REQUESTS = """SELECT conv_id::VARCHAR AS session, turn::BIGINT AS seq, CASE WHEN role = 'user' THEN 'finalize' WHEN role = 'assistant' THEN 'warm' ELSE 'reset' END AS action,
+CASE WHEN role = 'user' THEN text END AS query, CASE WHEN role = 'user' THEN CASE WHEN trim(text) = '' THEN 400 ELSE 200 END ELSE 200 END AS status FROM conversations"""
+
+
+@register(f"SELECT session, seq, CASE WHEN status = 200 THEN action END AS action, CASE WHEN status = 200 THEN query END AS text, CASE WHEN status = 200 AND action = 'finalize' THEN 5 WHEN status = 200 THEN 10 END AS k, status FROM ({REQUESTS})")
+def routed_requests(spark, d):
+    """Conversations as requests to a service: users' turns ask for completions, others' warm or reset their session."""
+    c, role = table(spark, d, "conversations"), F.col("role")
+    session = F.col("conv_id").cast("string")
+    asked = F.to_json(F.struct(session.alias("user"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages")))
+    path = F.when(role == "user", "/v1/chat/completions").otherwise(F.concat(F.lit("/session/"), session, F.when(role == "assistant", "/warm").otherwise("/reset")))
+    rows = c.select(F.col("turn").cast("bigint").alias("seq"), F.timestamp_seconds("turn").alias("ts"), F.lit("POST").alias("method"), path.alias("path"), F.when(role == "user", asked).alias("body"), session.alias("sender"))
+    got = requests.routed(rows)
+    return got.select(F.col("sender").alias("session"), "seq", "action", "text", "k", "status")
+
+
 # --- cold tier -------------------------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,9 @@
 """Spark sessions with the settings the engine wants."""
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -9,9 +13,21 @@ def local_session(cores: int | str = "*", **conf) -> SparkSession:
     settings = {
         "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": os.path.join(tempfile.gettempdir(), f"parley-{os.getuid()}"),  # driver and executors are one process here
     }
     for k, v in (settings | conf).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, one of our own if driver and executors are one process, as in tests, else an error."""
+    conf = spark.sparkContext.getConf()
+    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = os.path.join(tempfile.gettempdir(), f"parley-{os.getuid()}")
+    return at.rstrip("/")

@@ -89,22 +89,45 @@ def signatures_from(spark: SparkSession, raw: bytes, bits: int = 256) -> DataFra
     return spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "doc_idx bigint, " + ", ".join(f"{w} bigint" for w in S.word_names(bits)))
 
 
+def numbered(df: DataFrame, by: list[str], name: str, path: str) -> DataFrame:
+    """The rows with their places in the order of `by`, from 0, through a range-sorted copy in a folder: counts of its partitions shift their own numbering."""
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_p")).write.mode("overwrite").parquet(path)
+    ordered = spark.read.parquet(path)
+    shift = ordered.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*by)) - 1
+    return ordered.join(F.broadcast(shift), "_p").withColumn(name, place).drop("_p", "_before")
+
+
+def import_corpus(spark: SparkSession, path: str, kind: str = "parquet", ident: str = "id", text: str = "text", event: str | None = "event", **options) -> DataFrame:
+    """(id, text, event) of any source that Spark reads, by the names of its columns; rows without id or text are left out, an empty corpus is an error.
+
+    With kind `files` every file under the path is an entry: its path, its text and
+    the folder it lies in.
+    """
+    if kind == "files":
+        rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("id"), F.col("value").alias("text"))
+        out = rows.withColumn("event", F.element_at(F.split("id", "/"), -2))
+    else:
+        rows = spark.read.format(kind).options(**options).load(path)
+        out = rows.select(F.col(ident).cast("string").alias("id"), F.col(text).cast("string").alias("text"), (F.col(event).cast("string") if event else F.lit(None).cast("string")).alias("event"))
+    out = out.where("id IS NOT NULL AND text IS NOT NULL")
+    if out.isEmpty():
+        raise CorpusError(f"{path}: empty corpus")
+    return out
+
+
 def build_index(corpus: DataFrame, path: str, bits: int = 256, **options) -> None:
     """Writes an index folder of a corpus (id, text, event): `docs`, `signatures` partitioned by event_id, `events`, and a manifest.
 
     doc_idx is the place of the id in sorted order, so rebuilding gives the same index.
     """
-    from pyspark.sql import Window
-
     if bits % 64:
         raise CorpusError("bits must be a multiple of 64")
     spark = corpus.sparkSession
-    # places from a range-sorted corpus: counts of its partitions shift their own numbering
-    ordered = corpus.repartitionByRange("id", "text").sortWithinPartitions("id", "text").select("*", F.spark_partition_id().alias("_p"))
-    ordered.write.mode("overwrite").parquet(f"{path}/_ordered")
-    ordered = spark.read.parquet(f"{path}/_ordered")
-    shift = ordered.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    docs = ordered.join(F.broadcast(shift), "_p").withColumn("doc_idx", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("id", "text")) - 1).select("doc_idx", "id", "text", "event")
+    docs = numbered(corpus, ["id", "text"], "doc_idx", f"{path}/_ordered").select("doc_idx", "id", "text", "event")
     docs.write.mode("overwrite").parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     catalog.event_dim(docs).write.mode("overwrite").parquet(f"{path}/events")

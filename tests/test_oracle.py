@@ -3,7 +3,7 @@
 import pytest
 
 from tables import SF
-from parley.plans import registry
+from parley.plans import files, registry  # noqa: F401
 
 
 @pytest.mark.parametrize("name", list(registry.ORACLE_SQL))

@@ -87,3 +87,14 @@ def test_models_round_trip(spark, tmp_path):
     t = spark.createDataFrame([(1, [0], 1, 8.0), (2, [0, 1], 2, 4.0)], "ord int, context array<int>, next int, weight double")
     io.save_markov(t, str(tmp_path / "t"), half_life_s=10.0, elapsed_s=20.0)
     assert [tuple(r) for r in io.load_markov(spark, str(tmp_path / "t"), 1).collect()] == [(1, [0], 1, 2.0)]
+
+
+def test_imports(spark, tmp_path):
+    (tmp_path / "d" / "faq").mkdir(parents=True)
+    (tmp_path / "d" / "faq" / "a.txt").write_text("one\ntwo")
+    (r,) = io.import_corpus(spark, str(tmp_path / "d"), "files").collect()
+    assert r["id"].endswith("faq/a.txt") and (r["text"], r["event"]) == ("one\ntwo", "faq")
+    (tmp_path / "x.csv").write_text("k,t\n1,text\n2,\n")
+    assert list(map(tuple, io.import_corpus(spark, str(tmp_path / "x.csv"), "csv", "k", "t", None, header=True).collect())) == [("1", "text", None)]
+    with pytest.raises(io.CorpusError):
+        io.import_corpus(spark, str(tmp_path / "x.csv"), "csv", "k", "t", None, header=True, comment="1")

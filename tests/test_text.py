@@ -123,3 +123,25 @@ def test_sql_functions(spark):
 
     S.register_sql(spark)
     assert spark.sql("SELECT ham64(0, -1), ham64(5, 6), ham256(array(0, 1, 2, 3), array(0, 1, 2, -4))").first() == (64, 2, 64)
+
+
+def test_embedders_behind_requests():
+    calls = []
+
+    def post(texts, timeout):
+        calls.append((len(texts), timeout))
+        if len(calls) == 1:
+            raise ConnectionError("busy")
+        return [{"index": i, "embedding": [float(i), 1.0]} for i in reversed(range(len(texts)))]
+
+    e = embed.RemoteEmbedder(post, 2, timeout_s=3, wait_s=0)
+    assert e.embed(["a", "b", "c"]).tolist() == [[0, 1], [1, 1], [2, 1]] and calls == [(3, 3), (3, 3)]
+    for items in ([], [{"index": 0, "embedding": [1.0]}], [{"index": 1, "embedding": [1.0, 2.0]}]):
+        with pytest.raises(ValueError):
+            embed.RemoteEmbedder(lambda *_: items, 2).embed(["a"])
+
+    def down(*_):
+        raise TimeoutError
+
+    with pytest.raises(TimeoutError):
+        embed.RemoteEmbedder(down, 2, retries=1, wait_s=0).embed(["a"])
