@@ -11,28 +11,50 @@ from parley.llm import common, decontaminate, exact_dedup, ngram_join, pieces, t
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier fitted on the labelled ones doesn't find toxic."""
+    """Documents that a classifier fitted on the labelled ones doesn't find toxic.
+
+    Rows with a null or empty text stay, as do all rows where there are no labels;
+    repeated rows are decided alike; all columns are kept; no rows give none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the least doc_id."""
+    """Of equal texts one row with the least doc_id.
+
+    Each row is settled by its own text, also where rows repeat a doc_id; rows with a
+    null text or doc_id stay; empty texts equal each other; all columns are kept; no
+    rows give none.
+    """
     return exact_dedup.drop_duplicates(docs)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the least doc_id."""
+    """Of each group of near duplicates one row with the least doc_id.
+
+    Each row is settled by its own text, also where rows repeat a doc_id; rows with a
+    null or empty text or a null doc_id stay; all columns are kept; no rows give none.
+    """
     return ngram_join.drop_similar(docs)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items, re-parameterised ones included."""
+    """Documents without benchmark items, re-parameterised ones included.
+
+    Each row is settled by its own text; rows with a null or empty text or a null
+    doc_id stay; repeated rows are decided alike; all columns are kept; no rows, or
+    no items, take none away.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Subword ids of what is left."""
+    """(doc_id, ids, n_tokens, roundtrip, agrees) of all rows that are left.
+
+    A null text has null ids, an empty one none; doc_id may be null; repeated rows are
+    encoded alike; no rows give none.
+    """
     return pieces.encode(docs)
 
 
@@ -43,8 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's output is written to the shared folder and read again."""
+    """The last stage's rows; each stage's output is written to the shared folder and read again, and deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
