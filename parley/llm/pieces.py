@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from parley import worker_cache
 
+from . import common
 from . import kernel as K
 
 U64 = np.uint64
@@ -76,6 +77,8 @@ class Vocabulary:
         self.text = np.frombuffer(b"".join(text), np.uint8)
         self.text_size = np.array([len(t) for t in text], np.int64)
         self.text_at = np.cumsum(self.text_size) - self.text_size
+        self.unknown = lib.unk_id()
+        self.mask = U64(2**64 - 1)  # the bits of units' hashes that are used
         self.forget()
 
     @staticmethod
@@ -91,6 +94,7 @@ class Vocabulary:
         self.known_at, self.known_size, self.known_ok = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.known_checked = np.zeros(0, bool)
         self.store = np.zeros(0, np.int32)
+        self.unit_at, self.unit_size, self.units = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _table(self, keys, ranks, merged) -> None:
         """An open-addressing hash table of pairs."""
@@ -307,17 +311,34 @@ class Vocabulary:
         end = np.append(start[1:], n)
         p, q = K.powers(K.BYTE_BASE, n + 1)
         run = np.concatenate([np.zeros(1, U64), np.cumsum(K._CODE[raw] * p[:n])])
-        h = K.mix((run[end] - run[start]) * q[start])
+        h = K.mix((run[end] - run[start]) * q[start]) & self.mask
+        size_of = end - start
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > 600_000:
+        # units are told apart by their bytes: those that differ from the first of their hash are encoded by themselves
+        rep = first[which]
+        odd = size_of != size_of[rep]
+        differs = np.concatenate([[0], np.cumsum(raw[np.minimum(np.repeat(start[rep] - start, size_of) + np.arange(n), n - 1)] != raw)])
+        odd |= differs[end] > differs[start]
+        if len(self.known) > 300_000:
             self.forget()
         pos = np.searchsorted(self.known, distinct)
         have = np.zeros(len(distinct), bool)
         inside = pos < len(self.known)
         have[inside] = self.known[pos[inside]] == distinct[inside]
+        at_known = np.flatnonzero(have)
+        if len(at_known):  # the same of units that were kept
+            k, f = pos[at_known], first[at_known]
+            same = self.unit_size[k] == size_of[f]
+            j = np.flatnonzero(same)
+            m = size_of[f[j]]
+            off = np.concatenate([[0], np.cumsum(m)])
+            step = np.arange(off[-1]) - np.repeat(off[:-1], m)
+            wrong = np.concatenate([[0], np.cumsum(self.units[np.repeat(self.unit_at[k[j]], m) + step] != raw[np.repeat(start[f[j]], m) + step])])
+            same[j] = wrong[off[1:]] == wrong[off[:-1]]
+            odd |= np.isin(which, at_known[~same]) if not same.all() else False
         if check:  # units that were kept without asking the library
             again = np.flatnonzero(have)
-            again = again[~self.known_checked[pos[again]]]
+            again = again[~self.known_checked[pos[again]] & ~odd[first[again]]]
             if len(again):
                 self.known_ok[pos[again]] = self.encode_units(raw, start[first[again]], end[first[again]], True)[2]
                 self.known_checked[pos[again]] = True
@@ -326,16 +347,24 @@ class Vocabulary:
             out, per, ok = self.encode_units(raw, start[first[new]], end[first[new]], check)
             at = len(self.store) + np.cumsum(per) - per
             self.store = np.concatenate([self.store, out])
+            m = size_of[first[new]]
+            unit_at = len(self.units) + np.cumsum(m) - m
+            self.units = np.concatenate([self.units, raw[np.repeat(start[first[new]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]])
             ins = np.searchsorted(self.known, distinct[new])
             self.known = np.insert(self.known, ins, distinct[new])
             self.known_checked = np.insert(self.known_checked, ins, check)
             self.known_at, self.known_size, self.known_ok = np.insert(self.known_at, ins, at), np.insert(self.known_size, ins, per), np.insert(self.known_ok, ins, ok)
+            self.unit_at, self.unit_size = np.insert(self.unit_at, ins, unit_at), np.insert(self.unit_size, ins, m)
         slot = np.searchsorted(self.known, distinct)[which]
-        per = self.known_size[slot]
-        ids = self.store[np.repeat(self.known_at[slot] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
+        per, at, agreed, store = self.known_size[slot], self.known_at[slot], self.known_ok[slot], self.store
+        if odd.any():
+            out, own, ok = self.encode_units(raw, start[odd], end[odd], check)
+            at[odd], per[odd], agreed[odd] = len(store) + np.cumsum(own) - own, own, ok
+            store = np.concatenate([store, out])
+        ids = store[np.repeat(at - (np.cumsum(per) - per), per) + np.arange(per.sum())]
         owner = np.searchsorted(edge, start, "right") - 1
         count = np.bincount(owner, per, minlength=len(size)).astype(np.int64)
-        bad = np.bincount(owner, ~self.known_ok[slot], minlength=len(size)) > 0
+        bad = np.bincount(owner, ~agreed, minlength=len(size)) > 0
         return ids, count, ~bad
 
     def decode_flat(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +386,7 @@ class Vocabulary:
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         count = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([y for x in ids for y in x], np.int64)
+        flat = np.array([self.unknown if y is None or not 0 <= y < self.size else y for x in ids for y in x], np.int64)
         data, off = self.decode_flat(flat, count)
         return [data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(ids))]
 
@@ -378,6 +407,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame
     ignored; an empty table gives no rows. `model` must be readable where the
     executors run.
     """
+    common.small_batches(docs.sparkSession)
 
     def run(batches):
         v = Vocabulary.of(model)
@@ -402,7 +432,14 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) of encoded rows (doc_id, ids). Null ids give a null text, no ids an empty one."""
+    """(doc_id, text) of encoded rows (doc_id, ids).
+
+    Null ids give a null text, no ids an empty one; an id that is null or not in the
+    vocabulary counts as the unknown piece. Bytes that aren't UTF-8 are replaced.
+    Repeated rows are decoded alike; doc_id may be null; other columns are ignored;
+    an empty table gives no rows.
+    """
+    common.small_batches(tokens.sparkSession)
 
     def run(batches):
         v = Vocabulary.of(model)

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import kernel as K
 
 BITS = 18
@@ -61,8 +63,8 @@ def examples(texts) -> list[np.ndarray]:
         d, p = grams(words)
         key = np.unique(d << BITS | p)
         edge = np.searchsorted(key, np.arange(end - row + 1) << BITS)
-        key &= (1 << BITS) - 1
-        out += [np.append(key[edge[i] : edge[i + 1]], 1 << BITS) for i in range(end - row)]
+        place = (key & ((1 << BITS) - 1)).astype(np.int32)
+        out += [np.append(place[edge[i] : edge[i + 1]], np.int32(1 << BITS)) for i in range(end - row)]
     return out
 
 
@@ -97,9 +99,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options)
         got = [b for b in batches if b.num_rows]
         at, w = np.zeros(0, np.int64), np.zeros(0, np.float32)
         if got:
-            t = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            t = pa.Table.from_batches(got)
+            t = t.take(pc.sort_indices(t.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")]))
+            got.clear()
             at, w = fit(t["text"], t["label"].to_numpy(), **options)
-            del got, t
+            del t
             K.trim()
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["places", "weights"])
 
@@ -135,6 +139,7 @@ class Model:
 
 def probability(model: DataFrame):
     """The model as a function from a text column to a probability column; null for null."""
+    common.small_batches(model.sparkSession)
     sent = model.sparkSession.sparkContext.broadcast(tuple(map(bytes, model.first() or (b"", b""))))  # some kilobytes; without any labels there is no row
 
     @F.pandas_udf("double")
@@ -142,7 +147,9 @@ def probability(model: DataFrame):
         import pandas as pd
 
         column = pa.array(text, pa.string(), from_pandas=True)
-        return pd.Series(Model(*sent.value).score(column)).round(6).mask(text.isna().to_numpy())
+        out = pd.Series(Model(*sent.value).score(column)).round(6).mask(text.isna().to_numpy())
+        K.trim()
+        return out
 
     return of
 

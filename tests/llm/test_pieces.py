@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -116,3 +117,23 @@ def test_cached_units_are_still_checked(monkeypatch):
     checked, _, ok = v.encode_chunk(*text, check=True)
     v.encode_chunk(*text, check=True)
     assert asked == [False, True] and ok.all() and plain.tolist() == checked.tolist()
+
+
+def test_units_of_one_hash_are_told_apart():
+    """With few bits of the hash left, nearly all units clash, within a chunk and with those kept; the ids stay the library's."""
+    v = P.Vocabulary(P.MODEL)
+    texts = [f"the {w} house{i} and {i * 7} other  words\n{w}" for i, w in enumerate("red green blue black white grey brown pink".split())] * 2
+    for bits in (0, 2, 5):
+        v.mask = np.uint64(2**bits - 1)
+        v.forget()
+        for part in (texts[:5], texts[3:], ["quite new ones here", "the red house0"]):
+            ids, count, ok = v.encode_chunk(*P.K.text_buffers(pa.array(part)))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == v.library.encode(part) and ok.all()
+
+
+def test_ids_beyond_the_vocabulary(spark):
+    df = spark.createDataFrame([(1, [5000, None, 10**9, -1]), (2, None), (None, []), (1, [5000, None, 10**9, -1])], "doc_id bigint, ids array<int>")
+    v = P.Vocabulary.of(P.MODEL)
+    want = v.decode([[5000] + [v.unknown] * 3])[0]
+    assert sorted(((r["doc_id"], r["text"]) for r in P.decode(df).collect()), key=repr) == sorted([(1, want), (1, want), (2, None), (None, "")], key=repr)
+    assert P.decode(df.limit(0)).collect() == []
