@@ -135,7 +135,7 @@ def scan_topk_k_gt_n(spark, d):
 def subset_topk(spark, d):
     """Of every query the nearest among the rows of its own event and of the next."""
     q, dim = asked(spark, d), catalog.event_dim(vectors(spark, d))
-    scopes = q.select("query_id", F.explode(F.array(F.col("own").cast("int"), (F.col("own").cast("int") + 1) % 10)).cast("string").alias("name")).join(dim, "name")
+    scopes = q.select("query_id", F.explode(F.array("own", ((F.col("own").cast("int") + 1) % 10).cast("string"))).alias("name")).join(dim, "name")
     return search.scoped_join(q, scopes, vectors(spark, d), vector_bridge(spark, d), 10, 64)
 
 
