@@ -62,6 +62,17 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange(SINGLE), SINGLE + np.searchsorted((mass - c / 2) / mass[-1] * rest, np.arange(rest + 1))])
 
 
+def _bound(z: np.ndarray) -> None:
+    """Cuts logits at TOP; mostly there are none to cut, and a maximum is sooner taken than minima."""
+    if z.size and z.max() > TOP:
+        np.minimum(z, TOP, out=z)
+
+
+def _exp(z: np.ndarray) -> None:
+    _bound(z)
+    np.exp(z, out=z)
+
+
 def _with_one(h: np.ndarray) -> np.ndarray:
     """Hidden states with a further component of one, which biases are multiplied with."""
     return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
@@ -107,13 +118,13 @@ class Model:
     def attend(self, ids: np.ndarray):
         """Hidden states of windows (batch, CONTEXT) of ids, and what the gradient needs; `a` are exponentials whose sums' inverses are `inv`."""
         p, n = self.rest, ids.shape
-        x = self.embed[ids] + p["place"]
+        x = self.embed.take(ids, axis=0)
+        x += p["place"]
         flat = x.reshape(-1, DIM)
         q = (flat @ (p["query"] * _SCALE)).reshape(*n, DIM)
         k, v = (flat @ p["key"]).reshape(*n, DIM), (flat @ p["value"]).reshape(*n, DIM)
         a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-        np.minimum(a, TOP, out=a)
-        np.exp(a, out=a)
+        _exp(a)
         a *= _SEEN
         inv = (1 / (a @ _ONE[CONTEXT]))[..., None]
         c = (a @ v) * inv
@@ -129,17 +140,17 @@ class Model:
         h = _with_one(h)
         for b in range(0, len(h), 4096):
             z = h[b : b + 4096] @ self.rest["head"]
-            np.minimum(z, TOP, out=z)
-            own = z[np.arange(len(z)), cls[b : b + 4096]]
+            _bound(z)
+            own = z.ravel().take(np.arange(0, z.size, CLASSES) + cls[b : b + 4096])
             np.exp(z, out=z)
             out[b : b + 4096] = np.log(z @ one[:CLASSES]) - own
         for c, rows in self._by_class(cls):
             e, f = self.edge[c], self.edge[c + 1]
             for b in range(0, len(rows), 1024):
                 r = rows[b : b + 1024]
-                z = h[r] @ self.out[e:f].T
-                np.minimum(z, TOP, out=z)
-                own = z[np.arange(len(z)), self.order[target[r]] - e]
+                z = h.take(r, axis=0) @ self.out[e:f].T
+                _bound(z)
+                own = z.ravel().take(np.arange(0, z.size, f - e) + self.order.take(target.take(r)) - e)
                 np.exp(z, out=z)
                 out[r] += np.log(z @ one[: f - e]) - own
         return out
@@ -157,9 +168,8 @@ class Model:
         target = ids[:, first + 1 :]
         return self.losses(h[:, first:].reshape(-1, DIM), target.ravel()).reshape(target.shape)
 
-    def train(self, windows: np.ndarray, rate: float, batch: int | None = None) -> None:
-        """One pass of Adagrad over windows of CONTEXT + 1 ids, in 64 steps of up to 256 windows or more steps; ids of -1 are padding, which has no loss."""
-        batch = batch or min(256, max(16, len(windows) // 64))
+    def train(self, windows: np.ndarray, rate: float, batch: int) -> None:
+        """One pass of Adagrad over windows of CONTEXT + 1 ids; ids of -1 are padding, which has no loss."""
         p, rate = self.rest, np.float32(rate)
         seen = {k: np.full(v.shape, 1e-4, np.float32) for k, v in (("embed", self.embed), ("out", self.out), *p.items())}
         one = self._ones()
@@ -176,27 +186,25 @@ class Model:
             if not len(real):
                 continue
             h, (x, q, k, v, a, inv, c) = self.attend(ids)
-            target, hs, share = target[real], _with_one(h.reshape(-1, DIM)[real]), np.float32(1 / len(real))
+            target, hs, share = target[real], _with_one(h.reshape(-1, DIM).take(real, axis=0)), np.float32(1 / len(real))
             cls = self.cls[target]
             dhs = np.empty((len(hs), DIM), np.float32)
             g = {"head": np.zeros_like(p["head"])}
             for r in range(0, len(hs), 4096):
                 part = hs[r : r + 4096]
                 z = part @ p["head"]
-                np.minimum(z, TOP, out=z)
-                np.exp(z, out=z)
+                _exp(z)
                 z *= (share / (z @ one[:CLASSES]))[:, None]
-                z[np.arange(len(z)), cls[r : r + 4096]] -= share
+                z.ravel()[np.arange(0, z.size, CLASSES) + cls[r : r + 4096]] -= share
                 g["head"] += part.T @ z
                 dhs[r : r + 4096] = z @ p["head"][:DIM].T
             for k_, rows in self._by_class(cls):
                 e, f = self.edge[k_], self.edge[k_ + 1]
-                part, out = hs[rows], self.out[e:f]
+                part, out = hs.take(rows, axis=0), self.out[e:f]
                 z = part @ out.T
-                np.minimum(z, TOP, out=z)
-                np.exp(z, out=z)
+                _exp(z)
                 z *= (share / (z @ one[: f - e]))[:, None]
-                z[np.arange(len(z)), self.order[target[rows]] - e] -= share
+                z.ravel()[np.arange(0, z.size, f - e) + self.order.take(target.take(rows)) - e] -= share
                 dhs[rows] += z @ out[:, :DIM]
                 step(out, seen["out"][e:f], z.T @ part)
             dh = np.zeros((ids.size, DIM), np.float32)
@@ -208,18 +216,18 @@ class Model:
             da = ds @ np.ascontiguousarray(v.transpose(0, 2, 1))
             da -= ((dc * c) @ _ONE[DIM])[..., None] * inv
             da *= a
-            dq, dk = (da @ k).reshape(-1, DIM) * _SCALE, (da.transpose(0, 2, 1) @ q).reshape(-1, DIM)
-            flat, dv = x.reshape(-1, DIM), dv.reshape(-1, DIM)
-            g["query"], g["key"], g["value"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
-            dx = dh + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
+            dqkv = np.concatenate([(da @ k).reshape(-1, DIM) * _SCALE, (da.transpose(0, 2, 1) @ q).reshape(-1, DIM), dv.reshape(-1, DIM)], axis=1)
+            g["query"], g["key"], g["value"] = np.split(x.reshape(-1, DIM).T @ dqkv, 3, axis=1)
+            dx = dqkv @ np.concatenate([p["query"], p["key"], p["value"]], axis=1).T
+            dx += dh
             g["place"] = dx.reshape(-1, CONTEXT * DIM).sum(axis=0).reshape(CONTEXT, DIM)
             for name, d in g.items():
                 step(p[name], seen[name], d)
             order = np.argsort(ids.ravel().astype(narrow), kind="stable")
             s = ids.ravel()[order]
             lead = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            d, rows = np.add.reduceat(dx[order], lead, axis=0), s[lead]
-            held = seen["embed"][rows] + d * d
+            d, rows = np.add.reduceat(dx.take(order, axis=0), lead, axis=0), s[lead]
+            held = seen["embed"].take(rows, axis=0) + d * d
             seen["embed"][rows] = held
             self.embed[rows] -= rate * d / np.sqrt(held)
 
@@ -327,7 +335,9 @@ def _step(sent, rate, wide):
         old, flat = Model.load(sent.value), 0
         for part in np.array_split(w, max(1, len(w) // GROUP)):
             m = Model.load(sent.value)
-            m.train(part, rate)
+            batch = min(256, max(4, len(part) // 64))
+            # a group of fewer than 64 steps goes in smaller ones, as the first steps tell little of the directions
+            m.train(part, rate * min(1.0, len(part) / batch / 64), batch)
             flat = flat + _flat(m, np.bincount(np.maximum(part[:, :-1], 0).ravel(), minlength=len(m.embed)).astype(np.float32), old, len(part))
         flat = np.concatenate([flat, np.zeros(-len(flat) % BLOCKS)]).astype("<f4")
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(flat, BLOCKS)], pa.binary())], names=["block", "data"])
