@@ -72,6 +72,14 @@ def embed_with(df: DataFrame, embedder: Embedder, text: str = "text", batch: int
     return df.withColumn("vector", run(text))
 
 
+def spread(df: DataFrame, task_bytes: int = 8 << 20) -> DataFrame:
+    """Small inputs over all cores, as a file of one row group is one task's otherwise; what has `task_bytes` for each core stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= cores * task_bytes:
+        return df
+    return df.repartition(cores)
+
+
 def _words(text: str) -> Column:
     """A lowered text cut at what isn't a letter or digit; empty words are left out later."""
     return F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
@@ -96,7 +104,7 @@ def hashed_components(df: DataFrame, key: str, text: str = "text", dim: int = 25
         pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(value))], names=["pos", "value"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(size)).astype(np.int32)), pairs)
 
-    return df.select(key, F.explode(run(_words(text))).alias("c")).select(key, F.col("c.pos").alias("pos"), F.col("c.value").alias("value"))
+    return spread(df.select(key, text)).select(key, F.explode(run(_words(text))).alias("c")).select(key, F.col("c.pos").alias("pos"), F.col("c.value").alias("value"))
 
 
 def hashed_embedding(df: DataFrame, key: str, text: str = "text", dim: int = 256, **options) -> DataFrame:
@@ -122,7 +130,7 @@ def signature_of(text: str, bits: int = 256, use_bigrams: bool = True, drop_stop
 
 def text_signature(df: DataFrame, key: str, text: str = "text", bits: int = 256, **options) -> DataFrame:
     """(key, s0, ...): signatures of texts, each row's by itself."""
-    return df.select(key, signature_of(text, bits, **options).alias("_signature")).select(key, *[F.col(f"_signature.{w}").alias(w) for w in S.word_names(bits)])
+    return spread(df.select(key, text)).select(key, signature_of(text, bits, **options).alias("_signature")).select(key, *[F.col(f"_signature.{w}").alias(w) for w in S.word_names(bits)])
 
 
 def random_projection(source_dim: int, bits: int = 256, seed: int = 7) -> np.ndarray:

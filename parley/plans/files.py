@@ -5,24 +5,14 @@ What is written goes to the session's shared folder and is deleted when the appl
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import cold, embed, markov, search
 from parley.plans.registry import B_ALL, B_FEATURES, B_HASHES, TOKENS, TRANS, V, first_query, hashes, packed, register, table, turns, vectors
-from parley.session import shared_dir
+from parley.session import scratch
 from parley.sources import index_io as io
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
 @register("SELECT doc_id::VARCHAR AS id, source AS event, length(text)::INTEGER AS chars FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
 def file_corpus(spark, d):
     """Documents as JSON lines and back."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions import signature as S
 from parley.functions import text as T
 from parley.operators import catalog, cold, embed, markov, metrics, search, successor
+from parley.session import stored
 from parley.streaming import requests
 from parley.streaming import session as live
 
@@ -78,7 +79,7 @@ def utterances(spark, d) -> DataFrame:
         F.col("conv_id").cast("string").alias("session"), (F.col("turn") * 8 + F.col("x.i")).alias("seq"), F.timestamp_seconds(F.col("turn") * 5 + F.col("x.i")).alias("ts"), F.col("x.action").alias("action"),
         F.array_join(F.slice("w", 1, F.greatest(F.ceil(F.size("w") * F.col("x.part")).cast("int"), F.lit(1))), " ").alias("text"),
     )
-    rows = rows.withColumn("signature", embed.signature_of("text"))
+    rows = embed.spread(rows).withColumn("signature", embed.signature_of("text"))
     return rows.select("session", "seq", "ts", "action", F.lit(10).alias("k"), *[F.col(f"signature.{w}").alias(w) for w in S.word_names(256)])
 
 
@@ -270,7 +271,7 @@ SELECT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(a.s0, b.s0)) + bit_count(xor
 WHERE bit_count(xor(a.s0, b.s0))::INTEGER + bit_count(xor(a.s1, b.s1)) + bit_count(xor(a.s2, b.s2)) + bit_count(xor(a.s3, b.s3)) <= 15 UNION ALL SELECT rep, doc_id, 0 FROM c WHERE rep <> doc_id""")
 def radius_join_banded(spark, d):
     """Documents whose text signatures differ in at most 15 of 256 bits, copies told as members of their class."""
-    return search.self_radius_join(text_corpus(spark, d), 15, 256)
+    return search.self_radius_join(stored(text_corpus(spark, d), "signatures"), 15, 256)
 
 
 B_FEATURES = FEATURES.replace("documents", "benchmark").replace("doc_id", "item_id").replace("tk ", "btk ").replace("FROM tk", "FROM btk").replace("ts AS", "bts AS").replace("FROM ts", "FROM bts").replace("ft AS", "bft AS")

@@ -3,8 +3,9 @@
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", **conf) -> SparkSession:
@@ -31,3 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"parley-{os.getuid()}")
     return at.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, which is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A DataFrame written to the shared folder and read again, for what is used several times or must not change."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
