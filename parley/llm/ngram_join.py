@@ -22,6 +22,13 @@ gram sets, made anew from the texts of the documents that occur in candidate pai
 only; a text is sent to the cells of blocks in which it has candidates, and as
 blocks follow the least gram, groups of near copies are sent about once.
 
+Groups of near copies grow with the corpus, and their pairs as the square. So where
+links are counted and not told (`similar_documents`, `drop_similar`), documents that
+agree in a band of minima fall into families beforehand. All pairs within a family
+are compared as products of matrices in the cells of its texts, of which only a row
+for each document comes out, and the index tells pairs across families only. Every
+pair is compared by one of the two, so no link depends on what families there are.
+
 Token frequencies are counted over all documents in a fixed number of hash
 buckets; collisions merely change the order, which may be any.
 """
@@ -41,6 +48,7 @@ from . import kernel as K
 
 U64 = np.uint64
 GROUPS = 32
+BANDS, BAND = 16, 4
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
 LOW48 = U64((1 << 48) - 1)
@@ -93,12 +101,25 @@ def _sketch_place(gram: np.ndarray) -> np.ndarray:
     return (gram >> U64(48 - SKETCH_BITS)).astype(np.int64)
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
-_FIRST_SQL = "doc_id bigint, f1 bigint, f2 bigint, n int, low bigint, block int, counts binary"
+_FIRST = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("bands", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
+_FIRST_SQL = "doc_id bigint, f1 bigint, f2 bigint, n int, low bigint, bands array<bigint>, block int, counts binary"
+
+
+def _bands(key: np.ndarray, e: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """BANDS values for each of `some` rows, each of BAND minima: the least gram from each of as many places in the range of grams on, around its end."""
+    places = BANDS * BAND
+    start = np.arange(places, dtype=U64) * U64((1 << 48) // places)
+    at = np.searchsorted(key, (some.astype(U64)[:, None] << U64(48) | start).ravel()).reshape(-1, places)
+    at = np.where(at < e[some + 1][:, None], at, e[some][:, None])
+    low = (key[at] & LOW48).reshape(-1, BANDS, BAND)
+    out = np.broadcast_to(np.arange(BANDS, dtype=U64), low.shape[:2])
+    for i in range(BAND):
+        out = K.mix(out * U64(3) + low[:, :, i])
+    return out
 
 
 def _survey(n):
-    """Set fingerprints and least grams of a partition's documents, and at the end its share of the frequency sketch."""
+    """Set fingerprints, least grams and bands of a partition's documents, and at the end its share of the frequency sketch."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -117,10 +138,10 @@ def _survey(n):
                     np.cumsum(K.mix(gram + U64(salt << 50)), out=total[1:])
                     f.append((total[e[some + 1]] - total[e[some]]).view(np.int64))
                 k = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + some]), pa.array(f[0]), pa.array(f[1]), pa.array((e[some + 1] - e[some]).astype(np.int32)), pa.array(gram[e[some]].view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_FIRST)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row + some]), pa.array(f[0]), pa.array(f[1]), pa.array((e[some + 1] - e[some]).astype(np.int32)), pa.array(gram[e[some]].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * BANDS), pa.array(_bands(key, e, some).ravel().view(np.int64))), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_FIRST)
         if counts.any():
             parts = [x.astype("<u4").tobytes() for x in np.split(counts, SKETCH_BLOCKS)]
-            void = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+            void = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*void, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=_FIRST)
         K.trim()
 
@@ -134,6 +155,38 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table([table["block"].slice(0, 1), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["block", "counts"])
 
 
+_BANDED = np.dtype([("band", "<i8"), ("doc", "<i8")])
+
+
+def _banded(parts):
+    """(bucket, blob): the bands of documents."""
+
+    def run(batches):
+        for b in batches:
+            band = b.column(1).flatten().to_numpy()
+            if len(band):
+                record = np.empty(len(band), _BANDED)
+                record["band"], record["doc"] = band, np.repeat(b.column(0).to_numpy(), BANDS)
+                used, raw = common.blobs((K.mix(band.view(U64)) % U64(parts)).astype(np.int64), parts, record)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(raw, pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def _leaders(table: pa.Table) -> pa.Table:
+    """(a, b): the least document of each band, and each other one."""
+    r = np.concatenate([np.frombuffer(x.as_buffer(), _BANDED) for x in table["blob"]])
+    r = r[np.lexsort((r["doc"], r["band"]))]
+    lead = np.flatnonzero(np.concatenate([[True], r["band"][1:] != r["band"][:-1]]))
+    a, b = np.repeat(r["doc"][lead], np.diff(np.append(lead, len(r)))), r["doc"]
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    K.trim()
+    return pa.table([a[fresh], b[fresh]], names=["a", "b"])
+
+
 def _spread(sig, doc, size, often, block):
     """Signatures of tokens that occur `often`, for tasks of about 2 x `block` documents each.
 
@@ -155,7 +208,7 @@ def _spread(sig, doc, size, often, block):
 
 
 def _signatures(n, t, parts, sent, block=100_000):
-    """(bucket, blob): signatures of a partition's sets, packed as parallel arrays."""
+    """(bucket, blob): signatures of a partition's sets, packed as parallel arrays; rows are (doc_id, text), and their family where there are families."""
     long = long_from(t)
     out = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -169,16 +222,19 @@ def _signatures(n, t, parts, sent, block=100_000):
             bucket = ((h >> U64(40)) % U64(parts)).astype(np.int64)
             order = np.lexsort((z, d, bucket))
             bucket, h, d, z = bucket[order], h[order], d[order].astype("<i8"), z[order]
+            ids, own = np.concatenate(known), np.concatenate(families)
+            by = np.argsort(ids, kind="stable")
             lead = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (d[1:] != d[:-1]) | (z[1:] != z[:-1])]))
             times = np.diff(np.append(lead, len(d))).astype("<i4")
             edge, runs = np.searchsorted(bucket, np.arange(parts + 1)), np.searchsorted(bucket[lead], np.arange(parts + 1))
             low, high, d, z = h.astype("<u4"), (h >> U64(32)).astype(np.uint8), d[lead], z[lead]
+            family = own[by[np.searchsorted(ids[by], d)]].astype("<i8")
             used = np.flatnonzero(np.diff(edge))
             blob = [
-                np.array([runs[u + 1] - runs[u]], "<i8").tobytes() + b"".join(x[runs[u] : runs[u + 1]].tobytes() for x in (d, z, times)) + b"".join(x[edge[u] : edge[u + 1]].tobytes() for x in (low, high))
+                np.array([runs[u + 1] - runs[u]], "<i8").tobytes() + b"".join(x[runs[u] : runs[u + 1]].tobytes() for x in (d, family, z, times)) + b"".join(x[edge[u] : edge[u + 1]].tobytes() for x in (low, high))
                 for u in used
             ]
-            for x in (sigs, docs, sizes):
+            for x in (sigs, docs, sizes, known, families):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blob, pa.binary())], schema=out)
 
@@ -186,12 +242,14 @@ def _signatures(n, t, parts, sent, block=100_000):
             for to, x in zip((sigs, docs, sizes), _spread(*found, block)):
                 to.append(x)
 
-        sigs, docs, sizes = [], [], []
+        sigs, docs, sizes, known, families = [], [], [], [], []
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, own = b.column(0).to_numpy(), b.column(b.num_columns - 1 if b.num_columns > 2 else 0).to_numpy()
             for row, end, key in gram_sets(b.column(1), n):
                 if not len(key):
                     continue
+                known.append(ids[row:end])
+                families.append(own[row:end])
                 gram, d = key & LOW48, (key >> U64(48)).astype(np.int64)
                 f = counts[_sketch_place(gram)].astype(np.int64)
                 order = np.lexsort((gram, np.minimum(f, (1 << 40)), d))  # the global order within each set
@@ -236,29 +294,36 @@ _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("lea
 
 
 def _pairs(t, hold=2_000_000):
-    """Pairs of documents in a bucket with sizes that allow similarity: how many signatures they share there, how many they must share in all.
+    """Pairs of documents of different families in a bucket with sizes that allow similarity: how many signatures they share there, how many they must share in all.
 
     They are told whenever `hold` of them have been met, so a pair may be told in parts, to be added up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, z, times, low, high = [], [], [], [], []
+        d, f, z, times, low, high = [], [], [], [], [], []
         for batch in batches:
             for x in batch.column("blob"):  # documents with how many signatures follow, then the signatures
                 raw = np.frombuffer(x.as_buffer(), np.uint8)
                 k = int(raw[:8].view("<i8")[0])
-                n = (len(raw) - 8 - 16 * k) // 5
+                n = (len(raw) - 8 - 24 * k) // 5
                 d.append(raw[8 : 8 + 8 * k].view("<i8").copy())
-                z.append(raw[8 + 8 * k : 8 + 12 * k].view("<i4").copy())
-                times.append(raw[8 + 12 * k : 8 + 16 * k].view("<i4").copy())
-                low.append(np.frombuffer(raw[8 + 16 * k : 8 + 16 * k + 4 * n].tobytes(), "<u4"))
-                high.append(raw[8 + 16 * k + 4 * n :].copy())
+                f.append(raw[8 + 8 * k : 8 + 16 * k].view("<i8").copy())
+                z.append(raw[8 + 16 * k : 8 + 20 * k].view("<i4").copy())
+                times.append(raw[8 + 20 * k : 8 + 24 * k].view("<i4").copy())
+                low.append(np.frombuffer(raw[8 + 24 * k : 8 + 24 * k + 4 * n].tobytes(), "<u4"))
+                high.append(raw[8 + 24 * k + 4 * n :].copy())
         z, low, high = np.concatenate(z), np.concatenate(low), np.concatenate(high)
         ids, of_run = np.unique(np.concatenate(d), return_inverse=True)
+        family = np.empty(len(ids), np.int64)
+        family[of_run] = np.concatenate(f)
+        # documents are numbered by families, so that those of a family are next to each other in the order of numbers
+        by = np.argsort(family, kind="stable")
+        of_run = np.argsort(by)[of_run]
+        ids, family = ids[by], family[by]
         smallest = np.full(len(ids), np.iinfo(np.int32).max, np.int64)
         np.minimum.at(smallest, of_run, z)
         run_of = np.repeat(np.arange(len(z), dtype=np.int32), np.concatenate(times))
-        del d, times
+        del d, f, times, by
         found, held = [], 0
 
         def told():
@@ -288,18 +353,27 @@ def _pairs(t, hold=2_000_000):
             at = of_run[runs]
             order = np.lexsort((at, sig))
             sig, at, size = sig[order], at[order].astype(U64), z[runs[order]]
-            alive, step = np.arange(len(sig)), 1
-            while len(alive):
-                alive = alive[alive + step < len(sig)]
-                alive = alive[sig[alive + step] == sig[alive]]
-                x, y = alive, alive + step
-                ok = (at[x] != at[y]) & (np.minimum(size[x], size[y]) >= need(np.maximum(size[x], size[y]), t))
+            if not len(sig):
+                continue
+            # each with those after its family's, up to the end of its signature's
+            fam = family[at.astype(np.int64)]
+            turn = np.concatenate([[True], sig[1:] != sig[:-1]])
+            stop = np.append(np.flatnonzero(turn)[1:], len(sig))[np.cumsum(turn) - 1]
+            turn[1:] |= fam[1:] != fam[:-1]
+            begin = np.append(np.flatnonzero(turn)[1:], len(sig))[np.cumsum(turn) - 1]
+            before = np.concatenate([[0], np.cumsum(stop - begin)])
+            i = 0
+            while i < len(sig) and before[i] < before[-1]:
+                j = max(i + 1, int(np.searchsorted(before, before[i] + (1 << 20), "right")) - 1)
+                x = np.repeat(np.arange(i, j), np.diff(before[i : j + 1]))
+                y = begin[x] + np.arange(before[i], before[j]) - before[x]
+                ok = np.minimum(size[x], size[y]) >= need(np.maximum(size[x], size[y]), t)
                 found.append(at[x[ok]] << U64(32) | at[y[ok]])
                 held += len(found[-1])
                 if held > hold:
                     yield from told()
                     found, held = [], 0
-                step += 1
+                i = j
         if held:
             yield from told()
         del low, high, run_of, by_slot, found
@@ -308,17 +382,154 @@ def _pairs(t, hold=2_000_000):
     return run
 
 
+def _sets(column, n) -> list[np.ndarray]:
+    """The sorted grams of each text."""
+    sets = []
+    for row, end, key in gram_sets(column, n):
+        e = _edges(key, end - row)
+        gram = key & LOW48
+        sets += [gram[e[i] : e[i + 1]] for i in range(end - row)]
+    return sets
+
+
+def _common(sets, ai, bi) -> np.ndarray:
+    """How many grams two sets have in common, for pairs in the order of `ai`."""
+    common_ = np.zeros(len(ai), np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], ai[1:] != ai[:-1], [True]])) if len(ai) else []
+    for s, e in zip(edge[:-1], edge[1:]):
+        one = sets[ai[s]]
+        for c in range(s, e, 256):  # partners in blocks, to bound memory
+            other = [sets[j] for j in bi[c : min(e, c + 256)]]
+            flat = np.concatenate(other)
+            pos = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+            hit = np.concatenate([[0], np.cumsum(one[pos] == flat)])
+            stop = np.cumsum([len(x) for x in other])
+            common_[c : c + len(other)] = hit[stop] - hit[stop - [len(x) for x in other]]
+    return common_
+
+
+def _similar_rows(sets: list[np.ndarray], t, na: int, first: int) -> np.ndarray:
+    """Which of the first `na` sets are similar to which from `first` on.
+
+    Grams that an eighth of the sets has are columns of a dense matrix, of at most
+    eight times as many cells as there are grams; what others add is counted pair by pair.
+    """
+    m, size = len(sets), np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(m), size)
+    _, gram, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    dense = often > m // 8
+    x = np.zeros((m, int(dense.sum())), np.float32)
+    at = dense[gram]
+    x[row[at], (np.cumsum(dense) - 1)[gram[at]]] = 1
+    at = np.flatnonzero(~at & (often > 1)[gram])
+    at = at[np.argsort(gram[at], kind="stable")]  # by gram, and by row within
+    row, gram = row[at], gram[at]
+    right = np.flatnonzero(row >= first)
+    column, n_right = row[right] - first, np.bincount(gram[right], minlength=len(often))
+    begin = np.cumsum(n_right) - n_right
+    left = np.flatnonzero(row < na)
+    left = left[np.argsort(row[left], kind="stable")]
+    of_row = np.searchsorted(row[left], np.arange(na + 1))
+    n_b = m - first
+    ok = np.empty((na, n_b), bool)
+    step = max(1, min(512, (1 << 21) // n_b))
+    for s in range(0, na, step):
+        e = min(na, s + step)
+        c = x[s:e] @ x[first:].T
+        i = left[of_row[s] : of_row[e]]
+        many = np.concatenate([[0], np.cumsum(n_right[gram[i]])])
+        k = 0
+        while k < len(i):
+            j = max(k + 1, int(np.searchsorted(many, many[k] + (1 << 21), "right")) - 1)
+            each = np.repeat(np.arange(k, j), np.diff(many[k : j + 1]))
+            other = begin[gram[i[each]]] + np.arange(many[k], many[j]) - many[each]
+            c += np.bincount((row[i[each]] - s) * n_b + column[other], minlength=c.size).reshape(c.shape).astype(np.float32)
+            k = j
+        ok[s:e] = c >= (size[s:e, None] + size[first:] - c.astype(np.float64)) * t - 1e-9
+    if not first:
+        np.fill_diagonal(ok, False)
+    return ok
+
+
+def _reached(ok: np.ndarray, m: int, first: int) -> np.ndarray:
+    """The least set that each of m sets is linked to, from set to set; rows of `ok` are sets from 0, columns those from `first` on."""
+    to = np.arange(m, dtype=np.int32)
+    while True:
+        old = to.copy()
+        for s in range(0, len(ok), 512):
+            part = ok[s : s + 512]
+            low = np.minimum(np.where(part, to[first:], np.int32(m)).min(axis=1), to[s : s + len(part)])
+            to[s : s + len(part)] = low
+            np.minimum(to[first:], np.where(part, low[:, None], np.int32(m)).min(axis=0), out=to[first:])
+        to = to[to]
+        if (to == old).all():
+            return to
+
+
+_LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def _families(n, t, few=4096):
+    """(document, one that it is linked to from document to document, rows similar to it) in a cell: the pairs within families, or between two parts of one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = _sets(table["text"], n)
+        ids, family, part, weight = (table[c].to_numpy() for c in ("doc_id", "family", "part", "weight"))
+        order = np.lexsort((ids, part, family))
+        edge = np.flatnonzero(np.concatenate([[True], family[order][1:] != family[order][:-1], [True]]))
+        across = table["x"][0].as_py() < table["y"][0].as_py()
+        links, to = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        ai, bi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(edge[:-1], edge[1:]):
+            rows = order[s:e]
+            na = int((part[rows] == part[rows[0]]).sum()) if across else len(rows)
+            first = na if across else 0
+            if first == len(rows):
+                continue
+            if na * (len(rows) - first) <= few:
+                i, j = np.divmod(np.arange(na * (len(rows) - first)), len(rows) - first)
+                j += first
+                ai.append(rows[i[i < j]])
+                bi.append(rows[j[i < j]])
+                continue
+            ok = _similar_rows([sets[i] for i in rows], t, na, first)
+            w = weight[rows].astype(np.float64)
+            for i in range(0, na, 512):
+                block = ok[i : i + 512].astype(np.float64)
+                links[rows[i : i + len(block)]] += (block @ w[first:]).astype(np.int64)
+                if across:
+                    links[rows[first:]] += (w[i : i + len(block)] @ block).astype(np.int64)
+            to[rows] = rows[_reached(ok, len(rows), first)]
+        a, b = np.concatenate(ai), np.concatenate(bi)
+        size = np.array([len(x) for x in sets])
+        both = _common(sets, a, b)
+        ok = both >= (size[a] + size[b] - both) * t - 1e-9
+        a, b = a[ok], b[ok]
+        np.add.at(links, a, weight[b])
+        np.add.at(links, b, weight[a])
+        while len(a):
+            old = to.copy()
+            low = np.minimum(to[a], to[b])
+            np.minimum.at(to, a, low)
+            np.minimum.at(to, b, low)
+            to = to[to]
+            if (to == old).all():
+                break
+        some = np.flatnonzero(links)
+        del sets
+        K.trim()
+        return pa.table([ids[some], ids[to[some]], links[some]], schema=_LINKED)
+
+    return run
+
+
 def _verify(n, t):
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32()), ("total", pa.int32())])
 
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         if not texts.num_rows or not pairs.num_rows:
             return out.empty_table()
-        sets, ids = [], texts["doc_id"].to_numpy()
-        for row, end, key in gram_sets(texts["text"], n):
-            e = _edges(key, end - row)
-            gram = key & LOW48
-            sets += [gram[e[i] : e[i + 1]] for i in range(end - row)]
+        sets, ids = _sets(texts["text"], n), texts["doc_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
         ranks = ids[order]
@@ -331,17 +542,7 @@ def _verify(n, t):
         a, b = a[pair], b[pair]
         by = np.lexsort((bi, ai))
         a, b, ai, bi = a[by], b[by], ai[by], bi[by]
-        common_ = np.zeros(len(a), np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], ai[1:] != ai[:-1], [True]]))
-        for s, e in zip(edge[:-1], edge[1:]):
-            one = sets[ai[s]]
-            for c in range(s, e, 256):  # partners in blocks, to bound memory
-                other = [sets[j] for j in bi[c : min(e, c + 256)]]
-                flat = np.concatenate(other)
-                pos = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-                hit = np.concatenate([[0], np.cumsum(one[pos] == flat)])
-                stop = np.cumsum([len(x) for x in other])
-                common_[c : c + len(other)] = hit[stop] - hit[stop - [len(x) for x in other]]
+        common_ = _common(sets, ai, bi)
         size = np.array([len(x) for x in sets])
         del sets
         K.trim()
@@ -355,15 +556,34 @@ def _verify(n, t):
     return run
 
 
-def _similar(docs: DataFrame, n: int, threshold: float, broadcast_bytes: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, common, total) of pairs of representatives, and (a, b, n) of classes' other members, over rows whose doc_id is unique."""
+def _in_families(rows: DataFrame, sets: DataFrame, family: DataFrame, classes: DataFrame, n: int, threshold: float, broadcast_bytes: int, block_bytes: int) -> DataFrame:
+    """(a, b, n) as `_families` has it. Small families share cells; one beyond `block_bytes` of grams falls into parts, any two of which meet in a cell of their own."""
+    small = lambda df, width: df.count() * width <= broadcast_bytes
+    sized = family.join(sets.select("doc_id", "n"), "doc_id").join(classes.select(F.col("a").alias("doc_id"), F.col("copies").alias("weight")), "doc_id", "left")
+    sized = common.materialise(sized.select("doc_id", "family", F.coalesce("weight", F.lit(1)).alias("weight"), (F.col("n").cast("bigint") * 8).alias("load")), "gram-families")
+    side = max(6, ceil((sized.agg(F.sum("load")).first()[0] or 0) / block_bytes))
+    heavy = sized.groupBy("family").agg(F.ceil(F.sum("load") / block_bytes).cast("int").alias("split")).where("split > 1")
+    place = sized.join(F.broadcast(heavy) if side * 24 <= broadcast_bytes else heavy, "family", "left").withColumn("split", F.coalesce("split", F.lit(1)))
+    place = place.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("split")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
+    cell = F.when(F.col("split") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(side)))
+    place = place.select("doc_id", "family", "part", "weight", "split", cell.alias("cell"), F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    place = common.materialise(place, "gram-family-cells")
+    texts = rows.join(F.broadcast(place) if small(place, 80) else place, "doc_id")
+    return common.materialise(texts.groupBy(F.col("split") > 1, "cell", "x", "y").applyInArrow(_families(n, threshold), "a bigint, b bigint, n bigint"), "gram-linked")
+
+
+def _similar(docs: DataFrame, n: int, threshold: float, broadcast_bytes: int, block_bytes: int, by_family: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(a, b, common, total) of pairs of representatives, and (a, b, n) of classes' other members, over rows whose doc_id is unique.
+
+    With `by_family` the pairs are only those across families, and what is within them is told as `_families` has it.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     first = common.materialise(rows.mapInArrow(_survey(n), _FIRST_SQL), "gram-survey")
     blocks = first.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_counts, "block int, counts binary").collect()
     if not blocks:
-        return spark.createDataFrame([], "a bigint, b bigint, common int, total int"), spark.createDataFrame([], "a bigint, b bigint, n int")
+        return spark.createDataFrame([], "a bigint, b bigint, common int, total int"), spark.createDataFrame([], "a bigint, b bigint, n int"), spark.createDataFrame([], "a bigint, b bigint, n bigint") if by_family else None
     sent = spark.sparkContext.broadcast(b"".join(bytes(x["counts"]) for x in sorted(blocks, key=lambda x: x["block"])))  # 4 MB at any size of the corpus
 
     small = lambda df, width: df.count() * width <= broadcast_bytes
@@ -372,7 +592,20 @@ def _similar(docs: DataFrame, n: int, threshold: float, broadcast_bytes: int, bl
     members = common.join_classes(sets, classes, ["f1", "f2", "n"], "copies", "inner", broadcast_bytes)
     copies = common.materialise(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n").distinct(), "gram-copies")
     gone = copies.select(F.col("b").alias("doc_id"))
-    reps = rows.join(F.broadcast(gone) if small(gone, 40) else gone, "doc_id", "left_anti")
+    linked = None
+    if by_family:
+        parts = max(8, ceil(sets.count() * BANDS * _BANDED.itemsize / (16 << 20)))
+        banded = first.where("block IS NULL").select("doc_id", "bands").mapInArrow(_banded(parts), "bucket int, blob binary")
+        edges = banded.groupBy("bucket").applyInArrow(_leaders, "a bigint, b bigint")
+        # copies agree with their representative, which is less, in all bands
+        edges = edges.join(gone.withColumnRenamed("doc_id", "b"), "b", "left_anti")
+        family = common.materialise(groups(edges).withColumnRenamed("keeper_id", "family"), "gram-family")
+        linked = _in_families(rows, sets, family, classes, n, threshold, broadcast_bytes, block_bytes)
+        # one join for both: copies go, and the others get their family
+        known = common.materialise(family.select("doc_id", "family", F.lit(False).alias("gone")).unionByName(gone.select("doc_id", F.col("doc_id").alias("family"), F.lit(True).alias("gone"))), "gram-known")
+        reps = rows.join(F.broadcast(known) if small(known, 40) else known, "doc_id", "left").where("NOT coalesce(gone, false)").select("doc_id", "text", F.coalesce("family", "doc_id").alias("family"))
+    else:
+        reps = rows.join(F.broadcast(gone) if small(gone, 40) else gone, "doc_id", "left_anti")
 
     # few buckets: a similar pair is told once by each bucket in which it has a common signature
     size = common.input_bytes(rows)
@@ -393,7 +626,7 @@ def _similar(docs: DataFrame, n: int, threshold: float, broadcast_bytes: int, bl
     wanted = common.materialise(cand.select(F.explode(F.array("a", "b")).alias("doc_id"), "cell").distinct(), "gram-wanted")
     texts = rows.join(F.broadcast(wanted) if small(wanted, 60) else wanted, "doc_id")
     pairs = texts.groupBy("cell").cogroup(cand.groupBy("cell")).applyInArrow(_verify(n, threshold), "a bigint, b bigint, common int, total int")
-    return pairs, copies
+    return pairs, copies, linked
 
 
 def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = 64 << 20, block_bytes: int = 16 << 20) -> DataFrame:
@@ -416,7 +649,7 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast
     the texts are joined by shuffles. Texts are verified in cells of two blocks of
     about `block_bytes` each.
     """
-    pairs, copies = _similar(docs, n, threshold, broadcast_bytes, block_bytes)
+    pairs, copies, _ = _similar(docs, n, threshold, broadcast_bytes, block_bytes)
     return pairs.unionByName(copies.select("a", "b", F.col("n").alias("common"), F.col("n").alias("total")))
 
 
@@ -440,14 +673,14 @@ def similar_documents(docs: DataFrame, n: int = 3, threshold: float = 0.5, broad
     """
     docs, key = _keyed(docs)
     rows = docs if key is None else docs.select(F.when(F.col("doc_id").isNotNull(), F.col(key)).alias("doc_id"), "text")
-    pairs, copies = _similar(rows, n, threshold, broadcast_bytes, block_bytes)
+    pairs, copies, linked = _similar(rows, n, threshold, broadcast_bytes, block_bytes, True)
     pairs = common.materialise(pairs.select("a", "b"), "similar")
     sizes = common.materialise(copies.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("size")), "class-sizes")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = sizes.select(F.col("a").alias("b"), "size")
     met = common.join_classes(both, other, ["b"], "size", "left", broadcast_bytes, 24).select("a", F.coalesce("size", F.lit(1)).alias("n"))
-    links = met.unionByName(sizes.select("a", (F.col("size") - 1).alias("n"))).groupBy("a").agg(F.sum("n").alias("links"))
-    keeper = groups(pairs).select(F.col("doc_id").alias("a"), F.col("keeper_id").alias("group_id"))
+    links = met.unionByName(linked.select("a", "n")).unionByName(sizes.select("a", (F.col("size") - 1).alias("n"))).groupBy("a").agg(F.sum("n").alias("links"))
+    keeper = groups(pairs.unionByName(linked.select("a", "b"))).select(F.col("doc_id").alias("a"), F.col("keeper_id").alias("group_id"))
     reps = links.join(keeper, "a", "left").join(sizes, "a", "left").select("a", F.coalesce("group_id", "a").alias("group_id"), "links", F.coalesce("size", F.lit(1)).alias("size"))
     reps = common.materialise(reps, "similar-representatives")
     members = common.join_classes(copies.select("a", "b"), reps.where("size > 1"), ["a"], "size", "inner", broadcast_bytes)
@@ -493,7 +726,7 @@ def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_
     """
     rows, key = _keyed(docs)
     own = "doc_id" if key is None else key
-    pairs, copies = _similar(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(own)).alias("doc_id"), "text"), n, threshold, broadcast_bytes, block_bytes)
+    pairs, copies, _ = _similar(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(own)).alias("doc_id"), "text"), n, threshold, broadcast_bytes, block_bytes)
     gone = groups(pairs).where("doc_id <> keeper_id").select(F.col("doc_id").alias(own)).unionByName(copies.select(F.col("b").alias(own)))
     gone = common.materialise(gone, "similar-gone")
     small = gone.count() * 40 <= broadcast_bytes

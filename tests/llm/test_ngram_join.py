@@ -186,3 +186,39 @@ def test_extended_prefixes_hold_enough():
         long = J.long_from(t)
         for n in range(long, long + 500):
             assert J.need(n, t) >= J.shared(n, t) + J.GROUPS
+
+
+def near_copies(m, seed=3):
+    """m different texts, nearly all of them similar to each other, and some that are similar to nothing."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    rows = [(i, " ".join(w if r.random() > 0.06 else f"x{r.randrange(300)}" for w in base)) for i in range(m)]
+    return rows + [(m + i, " ".join(f"y{r.randrange(5000)}" for _ in range(50))) for i in range(5)]
+
+
+@pytest.mark.parametrize("block", [16 << 20, 1 << 16])
+def test_pairs_of_a_family_are_not_told(docs_of, block):
+    """Links of a group of near copies are counted without a row for each pair, also where the group falls into parts."""
+    rows = near_copies(200)
+    want = linked(rows)
+    assert len(want) > 190 and sum(x[2] for x in want) > 10 * len(rows)
+    assert sorted(map(tuple, J.similar_documents(docs_of(rows), block_bytes=block).collect())) == want
+    pairs, _, cells = J._similar(docs_of(rows).select("doc_id", "text"), 3, 0.5, 64 << 20, block, True)
+    assert pairs.count() < len(rows)
+    assert len({(r["a"], r["b"]) for r in cells.collect()}) < 40 * len(rows)
+
+
+def test_rows_of_a_family_are_brute_force():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 40, 80)
+    sets = [np.unique(np.concatenate([base[r.random(80) < r.uniform(0.5, 1)], r.integers(0, 60, 15), r.integers(1 << 41, 1 << 45, 9)])).astype(np.uint64) for _ in range(120)]
+    for na, first in ((120, 0), (50, 50)):
+        ok = J._similar_rows(sets, 0.5, na, first)
+        want = np.array([[i != j + first and 2 * len(np.intersect1d(sets[i], sets[j + first])) >= len(np.union1d(sets[i], sets[j + first])) for j in range(120 - first)] for i in range(na)])
+        assert (ok == want).all() and 0 < want.mean() < 1
+    chain = np.zeros((40, 40), bool)
+    chain[np.arange(39), np.arange(1, 40)] = chain[np.arange(1, 40), np.arange(39)] = True
+    chain[20, 21] = chain[21, 20] = False
+    assert J._reached(chain, 40, 0).tolist() == [0] * 21 + [21] * 19
