@@ -726,8 +726,8 @@ def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_
     """
     rows, key = _keyed(docs)
     own = "doc_id" if key is None else key
-    pairs, copies, _ = _similar(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(own)).alias("doc_id"), "text"), n, threshold, broadcast_bytes, block_bytes)
-    gone = groups(pairs).where("doc_id <> keeper_id").select(F.col("doc_id").alias(own)).unionByName(copies.select(F.col("b").alias(own)))
+    pairs, copies, linked = _similar(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(own)).alias("doc_id"), "text"), n, threshold, broadcast_bytes, block_bytes, True)
+    gone = groups(pairs.select("a", "b").unionByName(linked.select("a", "b"))).where("doc_id <> keeper_id").select(F.col("doc_id").alias(own)).unionByName(copies.select(F.col("b").alias(own)))
     gone = common.materialise(gone, "similar-gone")
     small = gone.count() * 40 <= broadcast_bytes
     return rows.join(F.broadcast(gone) if small else gone, own, "left_anti").select(docs.columns)

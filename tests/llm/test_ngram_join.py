@@ -222,3 +222,16 @@ def test_rows_of_a_family_are_brute_force():
     chain[np.arange(39), np.arange(1, 40)] = chain[np.arange(1, 40), np.arange(39)] = True
     chain[20, 21] = chain[21, 20] = False
     assert J._reached(chain, 40, 0).tolist() == [0] * 21 + [21] * 19
+
+
+def test_near_copies_are_dropped_by_few_edges(docs_of, monkeypatch):
+    """What is grouped of m near copies is about a row for each, not for each pair."""
+    rows, groups, seen = near_copies(150, 8), J.groups, []
+
+    def counted(pairs):
+        seen.append(pairs.count())
+        return groups(pairs)
+
+    monkeypatch.setattr(J, "groups", counted)
+    assert J.drop_similar(docs_of(rows)).count() == kept(rows) < 20
+    assert seen[-1] < 2 * len(rows)
