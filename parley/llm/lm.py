@@ -1,6 +1,6 @@
 """Language-model scores by a causal self-attention model trained here, in numpy.
 
-Tokens are the subword ids of `pieces`. The model embeds id and place, attends
+Tokens are the subword ids of `pieces`, whose new units the library encodes here. The model embeds id and place, attends
 causally within a window of CONTEXT tokens, and predicts the next token in two
 steps from the same hidden state: its class, by a softmax over classes, and the
 token, by a softmax over the class's tokens. The most frequent tokens of the corpus
@@ -41,8 +41,9 @@ ROUNDS = 3
 BLOCKS = 32
 BOS = 1
 TOP = np.float32(40)  # logits beyond it count as it, so that no exponential overflows
-_SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
-_ONE = {n: np.ones(n, np.float32) for n in (DIM, CONTEXT)}
+_SEEN = np.triu(np.ones((CONTEXT, CONTEXT), np.float32))  # which places (rows) each place (column) sees
+#: A product of so many multiplications at most goes the library's way of small ones, which is several times as fast for thin matrices.
+SMALL = 1_000_000
 #: Parameters besides those of tokens; the last row of `head` are biases.
 SHAPES = (("place", (CONTEXT, DIM)), ("query", (DIM, DIM)), ("key", (DIM, DIM)), ("value", (DIM, DIM)), ("mixed", (DIM, DIM)), ("head", (DIM + 1, CLASSES)))
 _SCALE = np.float32(DIM**-0.5)
@@ -73,9 +74,69 @@ def _exp(z: np.ndarray) -> None:
     np.exp(z, out=z)
 
 
-def _with_one(h: np.ndarray) -> np.ndarray:
-    """Hidden states with a further component of one, which biases are multiplied with."""
-    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+def _wide(rows: int, n: int) -> np.ndarray:
+    """A matrix with a column for each token, whose rows don't lie a power of two apart, as they would contend for the same lines of a cache."""
+    return np.empty((rows, -(-n // 32) * 32 + 16), np.float32)[:, :n]
+
+
+def _in_parts(m: np.ndarray, n: int) -> np.ndarray:
+    """Parts of n columns each, as a view."""
+    return m.reshape(len(m), -1, n).transpose(1, 0, 2)
+
+
+def _split(by: int, columns: int) -> tuple[int, int]:
+    """How many columns, with `by` multiplications each, a small product has, and how many of all are in such parts."""
+    n = 1 << max(1, SMALL // max(by, 1)).bit_length() - 1
+    return n, columns - columns % n
+
+
+def _times(w: np.ndarray, m: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """w @ m for many columns."""
+    w, out = np.ascontiguousarray(w), _wide(len(w), m.shape[1]) if out is None else out
+    n, whole = _split(w.size, m.shape[1])
+    if whole:
+        np.matmul(w, _in_parts(m[:, :whole], n), out=_in_parts(out[:, :whole], n))
+    if whole < m.shape[1]:
+        np.matmul(w, m[:, whole:], out=out[:, whole:])
+    return out
+
+
+def _across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T for many columns of both."""
+    n, whole = _split(len(a) * len(b), a.shape[1])
+    out = a[:, whole:] @ b[:, whole:].T
+    if whole:
+        out += (_in_parts(a[:, :whole], n) @ _in_parts(b[:, :whole], n).transpose(0, 2, 1)).sum(axis=0)
+    return out
+
+
+def _taken(m: np.ndarray, columns: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """The columns of a matrix that are told, row by row, as numpy's take along rows is slow."""
+    out = np.empty((len(m), len(columns)), m.dtype) if out is None else out
+    for a, b in zip(m, out):
+        np.take(a, columns, out=b, mode="wrap")
+    return out
+
+
+def _steps(size: int, n: int) -> list[slice]:
+    """Slices of n columns for products with a class of so many tokens."""
+    k = max(64, SMALL // (size * (DIM + 1)))
+    return [slice(b, min(b + k, n)) for b in range(0, n, k)]
+
+
+def _room(edge: np.ndarray) -> np.ndarray:
+    """Room for the logits of one of `_steps`, used again and again, so that it stays in a cache."""
+    return np.empty(max(64 * int(np.diff(edge).max()), SMALL // DIM), np.float32)
+
+
+def _logits(weights: np.ndarray, h: np.ndarray, room: np.ndarray) -> np.ndarray:
+    z = room[: len(weights) * h.shape[1]].reshape(len(weights), -1)
+    return np.matmul(weights, h, out=z)
+
+
+def _own(z: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where in a flat matrix each column has its row."""
+    return row * z.shape[1] + np.arange(z.shape[1])
 
 
 class Model:
@@ -115,122 +176,160 @@ class Model:
         m.order, m.edge, m.cls = np.frombuffer(raw[-3], np.int32), np.frombuffer(raw[-2], np.int64), np.frombuffer(raw[-1], np.int16)
         return m
 
-    def attend(self, ids: np.ndarray):
-        """Hidden states of windows (batch, CONTEXT) of ids, and what the gradient needs; `a` are exponentials whose sums' inverses are `inv`."""
-        p, n = self.rest, ids.shape
-        x = self.embed.take(ids, axis=0)
-        x += p["place"]
-        flat = x.reshape(-1, DIM)
-        q = (flat @ (p["query"] * _SCALE)).reshape(*n, DIM)
-        k, v = (flat @ p["key"]).reshape(*n, DIM), (flat @ p["value"]).reshape(*n, DIM)
-        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    def attend(self, ids: np.ndarray, first: int = 0):
+        """Hidden states of the places from `first` on of windows (batch, CONTEXT) of ids, and what the gradient needs.
+
+        Everything has a column for each token, so that what is done to a token's
+        components is done to long rows. The last row of the hidden states is one,
+        which biases are multiplied with, and that of `qkv`, queries, keys and values,
+        whose sums are so told with the products; `a` (batch, seen, place) are
+        exponentials whose sums' inverses are `inv`.
+        """
+        p, n = self.rest, CONTEXT - first
+        rows = self.embed.take(ids, axis=0)
+        rows += p["place"]
+        x, qkv = _wide(DIM, ids.size), _wide(3 * DIM + 1, ids.size)
+        x[:] = rows.reshape(-1, DIM).T
+        _times(self._qkv().T, x, qkv[: 3 * DIM])
+        qkv[3 * DIM] = 1
+        q, k, v = (_in_parts(m, CONTEXT) for m in (qkv[:DIM], qkv[DIM : 2 * DIM], qkv[2 * DIM :]))
+        a = k.transpose(0, 2, 1) @ q[:, :, first:]
         _exp(a)
-        a *= _SEEN
-        inv = (1 / (a @ _ONE[CONTEXT]))[..., None]
-        c = (a @ v) * inv
-        return x + (c.reshape(-1, DIM) @ p["mixed"]).reshape(*n, DIM), (x, q, k, v, a, inv, c)
-
-    def _ones(self, least: int = 0) -> np.ndarray:
-        """Ones to add up rows with, as a product is faster than a sum over short rows."""
-        return np.ones(max(CLASSES, int(np.diff(self.edge).max()), least), np.float32)
+        a *= np.ascontiguousarray(_SEEN[:, first:])
+        c = _wide(DIM + 1, len(ids) * n)
+        np.matmul(v, a, out=_in_parts(c, n))
+        inv = 1 / c[DIM]
+        c = c[:DIM]
+        c *= inv
+        h = _wide(DIM + 1, len(ids) * n)
+        _times(p["mixed"].T, c, h[:DIM])
+        h[:DIM].reshape(DIM, -1, n)[:] += x.reshape(DIM, -1, CONTEXT)[:, :, first:]
+        h[DIM] = 1
+        return h, (x, qkv, a, inv, c)
+
+    def _qkv(self) -> np.ndarray:
+        """Weights of queries, already scaled, keys and values."""
+        return np.concatenate([self.rest["query"] * _SCALE, self.rest["key"], self.rest["value"]], axis=1)
 
     def losses(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """-log p of a target under each hidden state."""
-        cls, out, one = self.cls[target], np.empty(len(h), np.float32), self._ones()
-        h = _with_one(h)
-        for b in range(0, len(h), 4096):
-            z = h[b : b + 4096] @ self.rest["head"]
-            _bound(z)
-            own = z.ravel().take(np.arange(0, z.size, CLASSES) + cls[b : b + 4096])
-            np.exp(z, out=z)
-            out[b : b + 4096] = np.log(z @ one[:CLASSES]) - own
-        for c, rows in self._by_class(cls):
-            e, f = self.edge[c], self.edge[c + 1]
-            for b in range(0, len(rows), 1024):
-                r = rows[b : b + 1024]
-                z = h.take(r, axis=0) @ self.out[e:f].T
+        """-log p of a target under each hidden state; 0 for padding."""
+        order, edge, several = self._by_class(target)
+        h, local = _taken(h, order), self.order.take(target.take(order))
+        cls, loss = np.repeat(np.arange(CLASSES), np.diff(edge)), np.zeros(len(order), np.float32)
+        room = _room(self.edge)
+
+        def add(weights, own, at, to):
+            one = np.ones(len(weights), np.float32)
+            for r in _steps(len(weights), to - at):
+                z = _logits(weights, h[:, at:to][:, r], room)
                 _bound(z)
-                own = z.ravel().take(np.arange(0, z.size, f - e) + self.order.take(target.take(r)) - e)
+                mine = z.ravel().take(_own(z, own[r]))
                 np.exp(z, out=z)
-                out[r] += np.log(z @ one[: f - e]) - own
+                loss[at:to][r] += np.log(one @ z) - mine
+
+        add(np.ascontiguousarray(self.rest["head"].T), cls, 0, len(order))
+        for c, at, to in several:
+            add(self.out[self.edge[c] : self.edge[c + 1]], local[at:to] - self.edge[c], at, to)
+        out = np.zeros(len(target), np.float32)
+        out[order] = loss
         return out
 
-    def _by_class(self, cls: np.ndarray):
-        """Classes of several tokens, and which rows have them."""
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.edge) > 1)):
-            yield c, order[edge[c] : edge[c + 1]]
+    def _by_class(self, target: np.ndarray):
+        """Targets in the order of their classes, without padding; where in it each class begins; and the classes of several tokens, with from where to where they are."""
+        cls = np.append(self.cls, np.int16(CLASSES)).take(target, mode="wrap")
+        edge = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES)[:CLASSES])])
+        several = np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.edge) > 1))
+        return np.argsort(cls, kind="stable")[: edge[-1]], edge, list(zip(several.tolist(), edge[several].tolist(), edge[several + 1].tolist()))
 
     def nll(self, ids: np.ndarray, first: int) -> np.ndarray:
         """-log p of the tokens at places first + 1 .. CONTEXT of windows of CONTEXT + 1 ids, given all before them in the window."""
-        h, _ = self.attend(ids[:, :-1])
+        h, _ = self.attend(ids[:, :-1], first)
         target = ids[:, first + 1 :]
-        return self.losses(h[:, first:].reshape(-1, DIM), target.ravel()).reshape(target.shape)
+        return self.losses(h, target.ravel()).reshape(target.shape)
 
     def train(self, windows: np.ndarray, rate: float, batch: int) -> None:
         """One pass of Adagrad over windows of CONTEXT + 1 ids; ids of -1 are padding, which has no loss."""
         p, rate = self.rest, np.float32(rate)
         seen = {k: np.full(v.shape, 1e-4, np.float32) for k, v in (("embed", self.embed), ("out", self.out), *p.items())}
-        one = self._ones()
+        room = _room(self.edge)
         narrow = np.uint16 if len(self.embed) <= 65536 else np.int32
 
         def step(x, s, d):
-            s += d * d
-            x -= rate * d / np.sqrt(s)
+            t = d * d
+            s += t
+            np.sqrt(s, out=t)
+            np.divide(d, t, out=t)
+            t *= rate
+            x -= t
+
+        def softmax(weights, h, own, share, dh):
+            """The gradient of the mean of -log p(own) by the weights; that by the hidden states is added to dh."""
+            one, back, g = np.ones(len(weights), np.float32), np.ascontiguousarray(weights[:, :DIM].T), None
+            for r in _steps(len(weights), h.shape[1]):
+                part = h[:, r]
+                z = _logits(weights, part, room)
+                _exp(z)
+                total = one @ z
+                z.ravel()[_own(z, own[r])] -= total
+                total = share / total
+                u = back @ z
+                u *= total
+                dh[:, r] += u
+                d = z @ (part * total).T
+                g = d if g is None else g + d
+            return g
 
         for b in range(0, len(windows), batch):
             w = windows[b : b + batch]
             ids, target = np.maximum(w[:, :-1], 0), w[:, 1:].ravel()
-            real = np.flatnonzero(target >= 0)
+            real, edge, several = self._by_class(target)
             if not len(real):
                 continue
-            h, (x, q, k, v, a, inv, c) = self.attend(ids)
-            target, hs, share = target[real], _with_one(h.reshape(-1, DIM).take(real, axis=0)), np.float32(1 / len(real))
-            cls = self.cls[target]
-            dhs = np.empty((len(hs), DIM), np.float32)
-            g = {"head": np.zeros_like(p["head"])}
-            for r in range(0, len(hs), 4096):
-                part = hs[r : r + 4096]
-                z = part @ p["head"]
-                _exp(z)
-                z *= (share / (z @ one[:CLASSES]))[:, None]
-                z.ravel()[np.arange(0, z.size, CLASSES) + cls[r : r + 4096]] -= share
-                g["head"] += part.T @ z
-                dhs[r : r + 4096] = z @ p["head"][:DIM].T
-            for k_, rows in self._by_class(cls):
-                e, f = self.edge[k_], self.edge[k_ + 1]
-                part, out = hs.take(rows, axis=0), self.out[e:f]
-                z = part @ out.T
-                _exp(z)
-                z *= (share / (z @ one[: f - e]))[:, None]
-                z.ravel()[np.arange(0, z.size, f - e) + self.order.take(target.take(rows)) - e] -= share
-                dhs[rows] += z @ out[:, :DIM]
-                step(out, seen["out"][e:f], z.T @ part)
-            dh = np.zeros((ids.size, DIM), np.float32)
-            dh[real] = dhs
-            g["mixed"] = c.reshape(-1, DIM).T @ dh
-            dc = (dh @ p["mixed"].T).reshape(c.shape)
-            ds = dc * inv
-            dv = a.transpose(0, 2, 1) @ ds
-            da = ds @ np.ascontiguousarray(v.transpose(0, 2, 1))
-            da -= ((dc * c) @ _ONE[DIM])[..., None] * inv
-            da *= a
-            dqkv = np.concatenate([(da @ k).reshape(-1, DIM) * _SCALE, (da.transpose(0, 2, 1) @ q).reshape(-1, DIM), dv.reshape(-1, DIM)], axis=1)
-            g["query"], g["key"], g["value"] = np.split(x.reshape(-1, DIM).T @ dqkv, 3, axis=1)
-            dx = dqkv @ np.concatenate([p["query"], p["key"], p["value"]], axis=1).T
-            dx += dh
-            g["place"] = dx.reshape(-1, CONTEXT * DIM).sum(axis=0).reshape(CONTEXT, DIM)
+            h, kept = self.attend(ids)
+            share = np.float32(1 / len(real))
+            hs, local, dhs = _taken(h, real), self.order.take(target.take(real)), np.zeros((DIM, ids.size), np.float32)
+            g = {"head": softmax(np.ascontiguousarray(p["head"].T), hs, np.repeat(np.arange(CLASSES), np.diff(edge)), share, dhs[:, : len(real)]).T}
+            for k, at, to in several:
+                e, f = self.edge[k], self.edge[k + 1]
+                step(self.out[e:f], seen["out"][e:f], softmax(self.out[e:f], hs[:, at:to], local[at:to] - e, share, dhs[:, at:to]))
+            back = np.full(ids.size, ids.size - 1)  # padding, if there is any, has the last column, which is 0
+            back[real] = np.arange(len(real))
+            dx = _wide(DIM, ids.size)
+            _taken(dhs, back, dx)
+            g |= self._attend_back(dx, *kept)
             for name, d in g.items():
                 step(p[name], seen[name], d)
             order = np.argsort(ids.ravel().astype(narrow), kind="stable")
             s = ids.ravel()[order]
-            lead = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            d, rows = np.add.reduceat(dx.take(order, axis=0), lead, axis=0), s[lead]
+            lead = np.concatenate([[True], s[1:] != s[:-1]])
+            rows, which = s[lead], np.empty(len(order), np.int64)
+            which[order] = np.cumsum(lead) - 1
+            d = np.stack([np.bincount(which, x) for x in dx], axis=1).astype(np.float32)
             held = seen["embed"].take(rows, axis=0) + d * d
             seen["embed"][rows] = held
             self.embed[rows] -= rate * d / np.sqrt(held)
 
+    def _attend_back(self, dh: np.ndarray, x, qkv, a, inv, c) -> dict[str, np.ndarray]:
+        """Gradients by the parameters of `attend`; dh, those by the hidden states, become those by the embedded tokens."""
+        p, n = self.rest, dh.shape[1]
+        g = {"mixed": _across(c, dh)}
+        # the gradient by a: products with the values, less their mean, which the values' row of ones takes off
+        ds = _wide(DIM + 1, n)
+        np.multiply(_times(p["mixed"], dh), inv, out=ds[:DIM])
+        np.negative(np.einsum("ij,ij->j", ds[:DIM], c), out=ds[DIM])
+        q, k, v = (_in_parts(m, CONTEXT) for m in (qkv[:DIM], qkv[DIM : 2 * DIM], qkv[2 * DIM :]))
+        da = v.transpose(0, 2, 1) @ _in_parts(ds, CONTEXT)
+        da *= a
+        dqkv = _wide(3 * DIM, n)
+        np.matmul(k, da, out=_in_parts(dqkv[:DIM], CONTEXT))
+        np.matmul(q, da.transpose(0, 2, 1), out=_in_parts(dqkv[DIM : 2 * DIM], CONTEXT))
+        np.matmul(_in_parts(ds[:DIM], CONTEXT), a.transpose(0, 2, 1), out=_in_parts(dqkv[2 * DIM :], CONTEXT))
+        g["query"], g["key"], g["value"] = np.split(_across(x, dqkv), 3, axis=1)
+        g["query"] = g["query"] * _SCALE
+        dh += _times(self._qkv(), dqkv)
+        g["place"] = dh.reshape(DIM, -1, CONTEXT).sum(axis=1).T
+        return g
+
 
 def windows_of(ids: np.ndarray, count: np.ndarray, stride: int = STRIDE):
     """Windows over documents' ids: (rows of CONTEXT + 1 ids padded with -1, document, index in the document).
@@ -258,7 +357,7 @@ def _gather(model: str):
     """Encoded documents and, at the end, token counts of a partition."""
 
     def run(batches):
-        v = pieces.Vocabulary.of(model)
+        v = pieces.Vocabulary.of(model, by_library=True)
         wide = "<u2" if v.size <= 65536 else "<u4"
         total = np.zeros(-(-v.size // BLOCKS) * BLOCKS, np.int64)
         for b in batches:
@@ -391,10 +490,9 @@ def score_flat(m: Model, ids: np.ndarray, count: np.ndarray, batch: int = 128) -
         for b in range(0, len(rows), 16 * batch):
             r = rows[b : b + 16 * batch]
             x = np.maximum(w[r], 0)
-            h = np.concatenate([m.attend(x[i : i + batch, :-1])[0][:, first:] for i in range(0, len(x), batch)])
-            place = np.flatnonzero((w[r][:, first + 1 :] >= 0).ravel())
-            loss = m.losses(h.reshape(-1, DIM)[place], x[:, first + 1 :].ravel()[place])
-            out += np.bincount(np.repeat(doc[r], CONTEXT - first)[place], loss, minlength=len(count))
+            h = np.concatenate([m.attend(x[i : i + batch, :-1], first)[0] for i in range(0, len(x), batch)], axis=1)
+            loss = m.losses(h, w[r][:, first + 1 :].ravel()).reshape(len(r), -1)
+            out += np.bincount(doc[r], loss.sum(axis=1, dtype=np.float64), minlength=len(count))
     return out
 
 

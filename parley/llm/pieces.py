@@ -15,6 +15,7 @@ also encoded by the sentencepiece library, and every text is decoded again.
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,12 @@ LONG_UNIT = 256
 class Vocabulary:
     """A sentencepiece model's pieces as arrays: merges by pair, single characters, byte pieces, bytes of pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_library: bool = False):
+        """by_library: new units are encoded by the library, which is faster; `agrees` then says nothing."""
         import sentencepiece
 
+        self.by_library = by_library
+
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.size = lib.get_piece_size()
         normal = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
@@ -82,11 +86,11 @@ class Vocabulary:
         self.forget()
 
     @staticmethod
-    def of(path: str) -> Vocabulary:
+    def of(path: str, by_library: bool = False) -> Vocabulary:
         kept = worker_cache()
-        if ("vocabulary", path) not in kept:
-            kept["vocabulary", path] = Vocabulary(path)
-        return kept["vocabulary", path]
+        if ("vocabulary", path, by_library) not in kept:
+            kept["vocabulary", path, by_library] = Vocabulary(path, by_library)
+        return kept["vocabulary", path, by_library]
 
     def forget(self) -> None:
         """Empties the store of encoded units."""
@@ -238,6 +242,11 @@ class Vocabulary:
 
     def encode_units(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, check: bool):
         """Ids of units (byte ranges), their counts, and whether the library agrees with each."""
+        if self.by_library:
+            ids = self._ids_by_library(raw.tobytes(), start, end)
+            if None not in ids:
+                per = np.array([len(x) for x in ids], np.int64)
+                return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(per.sum())), per, np.ones(len(per), bool)
         size = end - start
         off = np.cumsum(size) - size
         take = np.repeat(start - off, size) + np.arange(size.sum())
@@ -265,19 +274,26 @@ class Vocabulary:
         per = np.bincount(unit[begin], count, minlength=len(size)).astype(np.int64)
         ok = np.ones(len(size), bool)
         if check and len(size):
-            text = data.tobytes()
-            # the library puts a space before each text: a unit's own first space stands for it, others follow a line feed
-            spaced = raw[start] == 32
-            probe = [text[o + 1 : o + n].decode() if s else "\n" + text[o : o + n].decode() for o, n, s in zip(off.tolist(), size.tolist(), spaced.tolist())]
-            flat = out.tolist()
-            edge = np.concatenate([[0], np.cumsum(per)]).tolist()
-            head = self.library.encode("\n")
-            lone = self.library.encode("a ")[len(self.library.encode("a")) :]  # the library encodes an empty text as nothing
-            for i, (ids, s) in enumerate(zip(self.library.encode(probe, num_threads=1), spaced.tolist())):
-                want = flat[edge[i] : edge[i + 1]]
-                ok[i] = ids == head + want if not s else ids == want if probe[i] else lone == want
+            flat, edge = out.tolist(), np.concatenate([[0], np.cumsum(per)]).tolist()
+            for i, ids in enumerate(self._ids_by_library(data.tobytes(), off, off + size)):
+                ok[i] = ids == flat[edge[i] : edge[i + 1]]
         return out, per, ok
 
+    def _ids_by_library(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> list[list[int] | None]:
+        """What the library gives for units; None where it merges one with the line feed before it."""
+        # it puts a space before each text: a unit's own first space stands for it, others follow a line feed
+        spaced = [raw[a] == 32 for a in start.tolist()]
+        probe = [raw[a + 1 : b].decode() if s else "\n" + raw[a:b].decode() for a, b, s in zip(start.tolist(), end.tolist(), spaced)]
+        head = self.library.encode("\n")
+        lone = self.library.encode("a ")[len(self.library.encode("a")) :]  # it encodes an empty text as nothing
+        out = []
+        for ids, text, s in zip(self.library.encode(probe, num_threads=1), probe, spaced):
+            if not s:
+                out.append(ids[len(head) :] if ids[: len(head)] == head else None)
+            else:
+                out.append(ids if text else lone)
+        return out
+
     def encode_chunk(self, data: np.ndarray, offsets: np.ndarray, check: bool = True):
         """(ids, number of ids of each text, whether the library agrees) of a chunk of texts."""
         mark = np.flatnonzero(data == 0xE2)

@@ -165,3 +165,36 @@ def test_small_tables_are_trained_on(docs_of, english):
     docs = docs_of([(i, english(i, 60)) for i in range(6)])
     mean = lambda **o: np.mean([r["mean_nll"] for r in L.score(docs, **o).collect()])
     assert mean() < mean(rounds=0) - 0.01
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 64, 1000, 1024, 5000])
+def test_products_in_small_parts_are_the_products(n):
+    rng = np.random.default_rng(7)
+    a, b, w = L._wide(17, n), L._wide(48, n), rng.normal(size=(48, 17)).astype(np.float32)
+    a[:], b[:] = rng.normal(size=a.shape), rng.normal(size=b.shape)
+    assert np.allclose(L._times(w, a), w @ a, atol=1e-4)
+    assert np.allclose(L._across(a, b), a @ b.T, atol=1e-2)
+    columns = rng.integers(0, n, 2 * n)
+    assert (L._taken(a, columns) == a[:, columns]).all()
+    assert [i for r in L._steps(9507, n) for i in range(n)[r]] == list(range(n))
+
+
+def test_only_scored_places_are_computed():
+    """Hidden states from a place on are those of all places from there on; padding has no loss."""
+    m, ids = small(), np.random.default_rng(8).integers(2, 120, (5, L.CONTEXT + 1))
+    every, some = (m.attend(ids[:, :-1], first)[0] for first in (0, L.OVERLAP))
+    assert some.shape == (L.DIM + 1, 5 * L.STRIDE)
+    assert np.allclose(every.reshape(L.DIM + 1, 5, -1)[:, :, L.OVERLAP :], some.reshape(L.DIM + 1, 5, -1), atol=1e-5)
+    target = ids[:, L.OVERLAP + 1 :].ravel().copy()
+    whole = m.losses(some, target)
+    target[::3] = -1
+    assert np.allclose(m.losses(some, target), np.where(target < 0, 0, whole), atol=1e-5)
+
+
+def test_ids_are_those_of_the_merges(english):
+    """What the library gives for units, as the model's tokens are made, is what the merges of `pieces` give."""
+    from parley.llm import pieces
+
+    texts = ["", " ", "\n", "  two  spaces \n\n and lines\n", "a▁b", "é中\U0001f600 mixed\tand\x00odd", "x" * 700, english(3, 300), " lead", "trail ", "\n lead"]
+    own, library = pieces.Vocabulary.of(pieces.MODEL), pieces.Vocabulary.of(pieces.MODEL, by_library=True)
+    assert library is not own and library.encode(texts) == own.encode(texts) == [own.library.encode(x) for x in texts]
