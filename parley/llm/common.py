@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from parley.session import shared_dir
 
 
+#: What may be broadcast, as it is estimated: a hash table of that many bytes takes several times as much of the driver's memory while it is made.
+BROADCAST_BYTES = 16 << 20
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, or with underscores before it until no column of the DataFrame has it."""
     taken = {c.lower() for c in df.columns}

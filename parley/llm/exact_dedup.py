@@ -249,7 +249,7 @@ def _with_class(rows: DataFrame, classes: DataFrame, broadcast_bytes: int, how:
     return common.join_classes(keyed, side, [names[c] for c in ("d1", "d2", "d3")], names["copies"], how, broadcast_bytes), names
 
 
-def exact_duplicates(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def exact_duplicates(docs: DataFrame, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
     """(doc_id, keeper_id, copies) of every document whose text another row has too.
 
     keeper_id is the least doc_id of the rows with that very text, copies their
@@ -266,7 +266,7 @@ def exact_duplicates(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFr
     return found.select("doc_id", "keeper_id", "copies")
 
 
-def drop_duplicates(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def drop_duplicates(docs: DataFrame, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
     """The documents without repeated texts: of equal texts one row with the least doc_id stays.
 
     Each row is settled by its own text, so other rows of its doc_id don't matter.

@@ -629,7 +629,7 @@ def _similar(docs: DataFrame, n: int, threshold: float, broadcast_bytes: int, bl
     return pairs, copies, linked
 
 
-def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = 64 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = common.BROADCAST_BYTES, block_bytes: int = 16 << 20) -> DataFrame:
     """(a, b, common, total): all pairs with |A and B| / |A or B| >= threshold over word n-gram sets, with identical sets collapsed.
 
     Each class of identical sets is represented by its least doc_id. A row with
@@ -663,7 +663,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str | None]:
     return common.materialise(docs.orderBy("doc_id", F.xxhash64("text"), F.rand(1)).withColumn(key, F.monotonically_increasing_id()), "numbered"), key
 
 
-def similar_documents(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = 64 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = common.BROADCAST_BYTES, block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, group_id, links) of every document that another row is similar to, as `similar_pairs` has it.
 
     links counts the rows similar to it, copies included; group_id is the least
@@ -716,7 +716,7 @@ def groups(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = 64 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5, broadcast_bytes: int = common.BROADCAST_BYTES, block_bytes: int = 16 << 20) -> DataFrame:
     """One document of each group of similar ones: the one with the least doc_id. Documents similar to none stay.
 
     Every row is settled by its own text, also where rows repeat a doc_id; of rows

@@ -129,7 +129,7 @@ def _shard(h: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(h), F.lit(shards)).cast("int")
 
 
-def listed(rows: DataFrame, cascades: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def listed(rows: DataFrame, cascades: DataFrame, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
     """`rows` (with a column `key`) and whether each key is listed, as a further column `blocked`.
 
     Exact for every key of the universe that the cascades were built over. A null

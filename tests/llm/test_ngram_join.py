@@ -235,3 +235,13 @@ def test_near_copies_are_dropped_by_few_edges(docs_of, monkeypatch):
     monkeypatch.setattr(J, "groups", counted)
     assert J.drop_similar(docs_of(rows)).count() == kept(rows) < 20
     assert seen[-1] < 2 * len(rows)
+
+
+def test_broadcasts_leave_room_in_the_driver():
+    """A hash table takes the driver several times its estimated size while it is made, whatever the corpus' size."""
+    from inspect import signature
+
+    from parley.llm import common, exact_dedup, url_filter
+
+    for f in (J.drop_similar, J.similar_documents, J.similar_pairs, exact_dedup.drop_duplicates, exact_dedup.exact_duplicates, url_filter.listed):
+        assert signature(f).parameters["broadcast_bytes"].default <= common.BROADCAST_BYTES <= 16 << 20
