@@ -51,6 +51,8 @@ GROUPS = 32
 BANDS, BAND = 16, 4
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
+#: Texts of one part of a family, whose pairs are cells of a matrix.
+PART_ROWS = 8192
 LOW48 = U64((1 << 48) - 1)
 
 
@@ -557,13 +559,13 @@ def _verify(n, t):
 
 
 def _in_families(rows: DataFrame, sets: DataFrame, family: DataFrame, classes: DataFrame, n: int, threshold: float, broadcast_bytes: int, block_bytes: int) -> DataFrame:
-    """(a, b, n) as `_families` has it. Small families share cells; one beyond `block_bytes` of grams falls into parts, any two of which meet in a cell of their own."""
+    """(a, b, n) as `_families` has it. Small families share cells; one beyond half of `block_bytes` of grams, or `PART_ROWS` texts, falls into parts, any two of which meet in a cell of their own."""
     small = lambda df, width: df.count() * width <= broadcast_bytes
     sized = family.join(sets.select("doc_id", "n"), "doc_id").join(classes.select(F.col("a").alias("doc_id"), F.col("copies").alias("weight")), "doc_id", "left")
     sized = common.materialise(sized.select("doc_id", "family", F.coalesce("weight", F.lit(1)).alias("weight"), (F.col("n").cast("bigint") * 8).alias("load")), "gram-families")
     side = max(6, ceil((sized.agg(F.sum("load")).first()[0] or 0) / block_bytes))
-    heavy = sized.groupBy("family").agg(F.ceil(F.sum("load") / block_bytes).cast("int").alias("split")).where("split > 1")
-    place = sized.join(F.broadcast(heavy) if side * 24 <= broadcast_bytes else heavy, "family", "left").withColumn("split", F.coalesce("split", F.lit(1)))
+    heavy = sized.groupBy("family").agg(F.ceil(F.greatest(F.sum("load") * 2 / block_bytes, F.count(F.lit(1)) / PART_ROWS)).cast("int").alias("split")).where("split > 1")
+    place = sized.join(F.broadcast(heavy) if small(heavy, 24) else heavy, "family", "left").withColumn("split", F.coalesce("split", F.lit(1)))
     place = place.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("split")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
     cell = F.when(F.col("split") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(side)))
     place = place.select("doc_id", "family", "part", "weight", "split", cell.alias("cell"), F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))

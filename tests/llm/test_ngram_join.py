@@ -237,6 +237,24 @@ def test_near_copies_are_dropped_by_few_edges(docs_of, monkeypatch):
     assert seen[-1] < 2 * len(rows)
 
 
+def test_a_family_of_many_short_texts_falls_into_parts(docs_of, monkeypatch):
+    """The matrix of a family's pairs is bounded by the number of its texts too, which may be many where they are short."""
+    rows, families = near_copies(150, 5), J._families
+
+    def bounded(n, t):
+        run = families(n, t)
+
+        def checked(table):
+            assert table.num_rows <= 80, table.num_rows  # two parts of 20 by hash, with room
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(J, "PART_ROWS", 20, raising=False)
+    monkeypatch.setattr(J, "_families", bounded)
+    assert sorted(map(tuple, J.similar_documents(docs_of(rows)).collect())) == linked(rows)
+
+
 def test_broadcasts_leave_room_in_the_driver():
     """A hash table takes the driver several times its estimated size while it is made, whatever the corpus' size."""
     from inspect import signature
