@@ -217,3 +217,34 @@ def test_gate_streams_through_sorted_rows(spark):
     for name, i, a, b in rows:
         want.add((name, i, gates.setdefault(name, live.DriftGate(40)).update(np.array([a, b], np.int64).view(np.uint64))))
     assert set(map(tuple, live.gate(df, "session", "i", 128, 40).collect())) == want
+
+
+def test_speculations_are_looked_for_when_they_are_needed(index, monkeypatch):
+    """A partial costs no scan of the corpus; what a turn gives out costs one."""
+    scans, measure = [], live.Index._measure
+    monkeypatch.setattr(live.Index, "_measure", lambda self, q, spans: (scans.append(1), measure(self, q, spans))[1], raising=False)
+    s, q = live.Session(), index.words[5]
+    for bits in (range(100), range(50), range(4)):
+        assert s.observe(index, flip(q, bits), 10)
+    assert not scans
+    got = s.finalize(index, q, 10, 0.0)
+    assert len(scans) == 1 and got["served_by"] == "speculative" and got["results"] == index.top_k(flip(q, range(4)), 10)
+
+
+def test_scans_of_many_blocks_are_brute_force(monkeypatch):
+    """Blocks of rows, events that lie apart, ties and rows without event."""
+    monkeypatch.setattr(live, "SCAN_ROWS", 16, raising=False)
+    r = np.random.default_rng(2)
+    words, event, doc = r.integers(0, 1 << 4, (3000, 4)).astype(np.uint64), r.integers(-1, 5, 3000), r.permutation(9000)[:3000]
+    one = live.Index(words, doc, event)
+    for q in words[:5]:
+        want = sorted((live.ham(w, q), i) for i, w in enumerate(one.words))
+        for k in (1, 7, 64, 2999, 5000):
+            assert one.top_k(q, k) == want[:k]
+            assert one.top_k(q, k, one.scope([3, 1, 3, 77])) == [x for x in want if one.event[x[1]] in (1, 3)][:k]
+
+
+def test_sessions_are_spread_over_tasks(frames):
+    """Their rows are few bytes, and adaptive execution would put them into one task."""
+    log, corpus, _ = frames
+    assert live.replay(log, corpus).rdd.getNumPartitions() >= 4
