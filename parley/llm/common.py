@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.session import shared_dir
+from parley.session import shared_dir, small_batches  # noqa: F401 - the operators take the latter from here
 
 
 #: What may be broadcast, as it is estimated: a hash table of that many bytes takes several times as much of the driver's memory while it is made.
@@ -51,18 +50,6 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
-    """Has the session cut what goes to Python workers into Arrow batches of at most 8 MB, as texts may be long; a smaller limit stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if _bytes(spark.conf.get(name)) > limit:
-        spark.conf.set(name, str(limit))
-
-
-def _bytes(size: str) -> int:
-    m = re.match(r"(-?\d+)\s*([kmgt]?)", size.lower())
-    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if int(m[1]) > 0 else 1 << 62
-
-
 def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, how: str, broadcast_bytes: int, width: int = 100) -> DataFrame:
     """Rows with their class by equal `keys`; column `copies` of a class tells how many rows have it.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parley.functions import hashing as H
 from parley.functions import signature as S
 from parley.functions import text as T
+from parley.session import small_batches
 
 
 class Embedder(Protocol):
@@ -92,6 +93,7 @@ def hashed_components(df: DataFrame, key: str, text: str = "text", dim: int = 25
     that repeat a key have components each. A null text has none.
     """
     stop = T.STOP_WORDS if drop_stop_words else []
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("array<struct<pos:int,value:bigint>>")
     def run(words: pa.Array) -> pa.Array:
@@ -130,6 +132,7 @@ def signature_of(text: str, bits: int = 256, use_bigrams: bool = True, drop_stop
 
 def text_signature(df: DataFrame, key: str, text: str = "text", bits: int = 256, **options) -> DataFrame:
     """(key, s0, ...): signatures of texts, each row's by itself."""
+    small_batches(df.sparkSession)
     return spread(df.select(key, text)).select(key, signature_of(text, bits, **options).alias("_signature")).select(key, *[F.col(f"_signature.{w}").alias(w) for w in S.word_names(bits)])
 
 

@@ -145,3 +145,41 @@ def test_embedders_behind_requests():
 
     with pytest.raises(TimeoutError):
         embed.RemoteEmbedder(down, 2, retries=1, wait_s=0).embed(["a"])
+
+
+def test_vectorised_md5_is_md5():
+    """Tokens of all lengths around a block, as they lie in a slice of an array."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    from parley.functions import hashing as H
+
+    tokens = ["".join(chr(97 + (i * j) % 26) for j in range(i % 130)) for i in range(400)] + ["ä" * i for i in range(60)]
+    for seed, bands in ((7, 4), (123456, 6), (7, 1)):
+        got = H.digests(pa.array(["x", *tokens, "y"]).slice(1, len(tokens)), seed, bands)
+        raw = [b"".join(hashlib.md5(f"{seed}|{b}|{t}".encode()).digest() for b in range(2)) for t in tokens]
+        want = np.array([np.frombuffer(x, ">u4")[:bands] for x in raw])
+        assert got.shape == want.shape and (got == want).all()
+    assert H.digests(pa.array([], pa.string()), 7, 4).shape == (0, 4)
+
+
+def test_memory_of_hashing_is_bounded(spark):
+    """A batch of many words takes no more memory than some of them, and nothing is kept."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from parley import worker_cache
+    from parley.functions import hashing as H
+
+    words = pa.array([[f"w{i}-{j}" for j in range(1000)] for i in range(1500)])
+    tracemalloc.start()
+    try:
+        H.signature_words(words, 256, stop=[])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100 << 20
+    assert not any(isinstance(k, tuple) and k[0] == "md5" for k in worker_cache())
+    embed.text_signature(spark.createDataFrame([(1, "a b")], "k int, text string"), "k").collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
