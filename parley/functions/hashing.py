@@ -110,6 +110,14 @@ def features(words, bigrams: bool = True, stop: list[str] = ()) -> tuple[np.ndar
     return np.concatenate([row, row[pair]]), np.concatenate([index, np.arange(len(pair)) + len(names)]), pa.concat_arrays([names, pairs])
 
 
+def bigrams(words, stop: list[str] = ()) -> tuple[pa.Array, pa.Array]:
+    """(bigram, how often it occurs) in lists of words, after stop words are dropped."""
+    row, index, names = _kept(words, stop)
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    found = pc.binary_join_element_wise(names.take(pa.array(index[pair])), names.take(pa.array(index[pair + 1])), "_").value_counts()
+    return found.field("values"), found.field("counts")
+
+
 def parts(words, rows: int):
     """(first row, lists of words) of at most `rows` rows and about WORDS words each."""
     if isinstance(words, pa.ChunkedArray):

@@ -136,6 +136,23 @@ def text_signature(df: DataFrame, key: str, text: str = "text", bits: int = 256,
     return spread(df.select(key, text)).select(key, signature_of(text, bits, **options).alias("_signature")).select(key, *[F.col(f"_signature.{w}").alias(w) for w in S.word_names(bits)])
 
 
+def bigram_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(bigram, n): how often each bigram of words that aren't stop words occurs.
+
+    They are made and counted batch by batch in Arrow and added up after a shuffle: most
+    occur once, so a task that counts its own beforehand holds nearly all of them.
+    """
+    stop = T.STOP_WORDS
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            values, counts = H.bigrams(b.column(0), stop)
+            yield pa.RecordBatch.from_arrays([values, counts], names=["bigram", "n"])
+
+    return spread(df.select(text)).select(_words(text).alias("words")).mapInArrow(run, "bigram string, n bigint").repartition("bigram").groupBy("bigram").agg(F.sum("n").alias("n"))
+
+
 def random_projection(source_dim: int, bits: int = 256, seed: int = 7) -> np.ndarray:
     """bits x source_dim matrix of +-1/sqrt(source_dim) from MD5 of seed, row and column."""
     import hashlib

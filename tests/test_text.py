@@ -183,3 +183,15 @@ def test_memory_of_hashing_is_bounded(spark):
     assert not any(isinstance(k, tuple) and k[0] == "md5" for k in worker_cache())
     embed.text_signature(spark.createDataFrame([(1, "a b")], "k int, text string"), "k").collect()
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
+def test_bigrams_are_counted_in_arrow(spark):
+    """The counts of the expressions, also of empty and missing texts, and no row for each occurrence."""
+    texts = ["The dog bites the Dog, and bites again", "", None, "the and of", "Ärger über naïve  ÇA 12 ab12", "one", "a_b c " * 300, "dog bites dog"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    want = df.select(F.explode(T.bigrams(T.without_stop_words(T.tokens(F.col("text"))))).alias("bigram")).groupBy("bigram").count()
+    got = embed.bigram_counts(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert embed.bigram_counts(df.where("k < 0")).count() == 0
